@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from .packing import op9_packing
-from .simhash import op8_simhash
+from . import decontam, packing, simhash, suffix_dedup
 
 
 def queries() -> dict:
-    return {"op8_simhash": op8_simhash, "op9_packing": op9_packing}
+    return {
+        "op7_decontamination": decontam.op7_decontamination,
+        "op8_simhash": simhash.op8_simhash,
+        "op9_packing": packing.op9_packing,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op7_decontamination": decontam.ORACLE}
