@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, simhash, suffix_dedup
+from . import decontam, packing, quality, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op3_quality": quality.op3_quality,
         "op7_decontamination": decontam.op7_decontamination,
         "op8_simhash": simhash.op8_simhash,
         "op9_packing": packing.op9_packing,
