@@ -1,10 +1,62 @@
-"""Cleaning and packing of a corpus in stages; each stage's result is written and read by the next."""
+"""Cleaning and packing of a corpus in stages.
+
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is
+written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievemark.llm import decontam, packing, quality, simhash, suffix_dedup
+from sievemark.llm.common import stored, table
+
+#: Documents with a lower probability of good quality go.
+ACCEPT = 0.5
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on labels, accepts."""
+    net = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.with_score(docs, net, out="__score").where(F.col("__score") >= ACCEPT).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without byte windows that a document with a smaller doc_id has; n_chars is counted again."""
+    return suffix_dedup.cleaned(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack_documents(docs, packing.vocabulary_path())
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", near_dedup),
+    ("suffix-array dedup", substring_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("packing", pack),
+]
+#: The first stage is a trained network, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"stage{k}")
+    return docs
