@@ -5,12 +5,15 @@ longer hold a repeat across documents leave after each pass:
 
 1. First digit: GRAM bytes. Only suffixes that start at the smallest gram hash of some window take part, as
    two equal windows have that gram at the same place (winnowing). Grams of one document leave.
-2. Remaining digits: the windows around each gram that is left, as 8-byte digits. Windows that are still equal
-   after the last digit are the repeated windows.
+2. All that stands around a gram at once: grams whose surroundings are the same wherever they occur need no
+   further digit, as all their windows are equal (surroundings are compared by a 64-bit hash beside the gram's).
+3. Remaining digits of the other windows, 8 bytes each. Windows that are still equal after the last digit
+   are the repeated windows.
 
 Text is shuffled by document bucket once and that exchange is used by all passes; what moves between passes
-are packed arrays of hashes and of the bytes around shared grams, reduced per bucket before they move. A
-window found in any number of documents is one entry per bucket.
+are packed arrays of hashes and of the bytes around grams with mixed surroundings, reduced per bucket
+before they move. A window found in any number of documents is one entry per bucket. Gram hashes travel
+with as many bytes as make chance meetings rare at the corpus' size; these cost time, not correctness.
 
 Edge cases: null text is empty text; texts shorter than the window lose nothing; rows that share a doc_id never
 make each other repeats; a null doc_id counts as smaller than all others; an empty table gives an empty
@@ -19,6 +22,8 @@ result; all other columns are kept whatever their names (internal ones start wit
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,20 +34,20 @@ from pyspark.sql import types as T
 from .common import table, total
 
 WINDOW, GRAM = 50, 28
-#: Bytes of text in a bucket of documents, and in one pass over a bucket.
-BUCKET, SLICE = 4 << 20, 1 << 20
+#: Bytes of text in a bucket of documents; windows of a text that are hashed at once (places take 20 bits).
+BUCKET, PIECE = 4 << 20, (1 << 20) - 4096
 #: A gram that so many buckets share is dealt out by window instead of by gram.
 WIDE = 2000
 NO_ID = -(1 << 63)
 
 
-def make_kernels(window: int = WINDOW, gram: int = GRAM):
+def make_kernels(window: int = WINDOW, gram: int = GRAM, hash_bytes: int = 8):
     """The numpy kernels for one window length, as a namespace of functions."""
     reach = window - gram  # a window has reach + 1 grams
     side = reach + gram + reach  # bytes around a gram that its windows cover
     record = np.dtype([("h", "u8"), ("d", "i8"), ("t", "u8"), ("p", "i4"), ("b", "i4"), ("lo", "u1"), ("hi", "u1"), ("x", "u1", (side,))])
     odd = np.uint64(0x9E3779B97F4A7C15)
-    powers = np.cumprod(np.full(gram, odd))[::-1].copy()
+    mask = np.uint64((1 << 8 * hash_bytes) - 1)
 
     def gram_hashes(data: np.ndarray) -> np.ndarray:
         """Hash of each gram: prefix doubling of polynomial hashes, then a mix so that order is random."""
@@ -64,32 +69,26 @@ def make_kernels(window: int = WINDOW, gram: int = GRAM):
 
     def anchors(data: np.ndarray):
         """Positions of anchor grams, first and last window (by its start) that each anchors, gram hashes."""
-        h = gram_hashes(data)
-        n = len(data) - window + 1  # windows
-        low, size = h, 1
-        while size * 2 <= reach + 1:
-            low = np.minimum(low[:-size], low[size:])
-            size *= 2
-        rest = reach + 1 - size
-        low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-        # leftmost gram of each window with the smallest hash: equal windows agree on it
-        first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        pos = np.full(n, -1, np.int64)
-        for back in range(reach, -1, -1):
-            np.copyto(pos, np.arange(back, back + n), where=h[back : back + n] == low)
-        cut = np.flatnonzero(np.concatenate(([True], pos[1:] != pos[:-1])))
-        at = pos[cut]
-        return at, cut, np.append(cut[1:], n) - 1, h[at]
-
-    def joined(texts: list[bytes]):
-        """Slices of texts as (first text, array of bytes, starts): anchors never cross texts."""
+        parts = []
+        for base in range(0, len(data) - window + 1, PIECE):
+            h = gram_hashes(data[base : base + PIECE + window - 1])
+            # ordered by hash, then by place: equal windows agree on their leftmost smallest gram
+            low, size = h >> np.uint64(20) << np.uint64(20) | np.arange(len(h), dtype=np.uint64), 1
+            while size * 2 <= reach + 1:
+                low = np.minimum(low[:-size], low[size:])
+                size *= 2
+            if rest := reach + 1 - size:
+                low = np.minimum(low[:-rest], low[rest:])
+            cut = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+            at = (low[cut] & np.uint64((1 << 20) - 1)).astype(np.int64)
+            parts.append((at + base, cut + base, np.append(cut[1:], len(low)) - 1 + base, h[at] & mask))
+        return parts[0] if len(parts) == 1 else tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+    def text_anchors(texts: list[bytes]):
         for k, t in enumerate(texts):
             if len(t) >= window:
-                yield k, np.frombuffer(t, np.uint8)
-
-    def text_anchors(texts):
-        for k, data in joined(texts):
-            yield k, data, anchors(data)
+                data = np.frombuffer(t, np.uint8)
+                yield k, data, anchors(data)
 
     def records(k, data, found, keep, doc, key, bucket):
         at, lo, hi, h = (x[keep] for x in found)
@@ -100,16 +99,16 @@ def make_kernels(window: int = WINDOW, gram: int = GRAM):
         out["x"] = np.lib.stride_tricks.sliding_window_view(padded, side)[at]
         return out
 
-    def first_in_bucket(rec: np.ndarray):
-        """Splits a bucket's records into those of the first document for what they hold, and repeats of it."""
-        order = np.lexsort((rec["d"], as_key(rec), rec["h"]))
-        rec = rec[order]
-        same = np.zeros(len(rec), bool)
-        same[1:] = (rec["h"][1:] == rec["h"][:-1]) & (rec["lo"][1:] == rec["lo"][:-1]) & (rec["hi"][1:] == rec["hi"][:-1]) & (rec["x"][1:] == rec["x"][:-1]).all(axis=1)
-        group = np.cumsum(~same) - 1
-        heads = rec["d"][np.flatnonzero(~same)]
-        later = rec["d"] > heads[group]
-        return rec[~later], rec[later]
+    def ordered(rec: np.ndarray):
+        """A bucket's records by gram, surroundings and document; their keys, starts of equal ones, and whether
+        a record's document is not the first that has it."""
+        key = as_key(rec)
+        order = np.lexsort((rec["d"], key, rec["h"]))
+        rec, key = rec[order], key[order]
+        new = np.ones(len(rec), bool)
+        new[1:] = (rec["h"][1:] != rec["h"][:-1]) | (key[1:] != key[:-1])
+        start = np.flatnonzero(new)
+        return rec, key, start, rec["d"] > rec["d"][start][np.cumsum(new) - 1]
 
     def as_key(rec):
         """A number for the bytes and range of a record; equal records have equal numbers."""
@@ -118,7 +117,7 @@ def make_kernels(window: int = WINDOW, gram: int = GRAM):
         wide[:, :side] = rec["x"]
         for w in wide.view(np.uint64).T:
             h = (h ^ (h >> np.uint64(29))) * odd + w
-        return h
+        return h ^ (h >> np.uint64(32))
 
     def radix_groups(rows: np.ndarray) -> np.ndarray:
         """Group number of each row of bytes (-1: no equal row), one 8-byte digit a pass."""
@@ -184,12 +183,20 @@ def make_kernels(window: int = WINDOW, gram: int = GRAM):
         out["e"] = rec["p"] - reach + hi + window
         return out
 
-    class Kernels:
-        pass
+    def merged(s: np.ndarray) -> np.ndarray:
+        """Spans of each text with overlapping ones joined."""
+        s = s[np.lexsort((s["s"], s["t"], s["d"]))]
+        if not len(s):
+            return s
+        text = np.concatenate(([0], np.cumsum((s["d"][1:] != s["d"][:-1]) | (s["t"][1:] != s["t"][:-1]))))
+        far = np.maximum.accumulate(text << 32 | s["e"])
+        new = np.concatenate(([True], (text[1:] << 32 | s["s"][1:]) > far[:-1]))
+        start = np.flatnonzero(new)
+        out = s[start].copy()
+        out["e"] = far[np.append(start[1:], len(s)) - 1] & 0xFFFFFFFF
+        return out
 
-    k = Kernels()
-    k.__dict__.update(record=record, reach=reach, side=side, text_anchors=text_anchors, records=records, first_in_bucket=first_in_bucket, repeats=repeats, spans=spans, anchors=anchors, radix_groups=radix_groups)
-    return k
+    return SimpleNamespace(record=record, text_anchors=text_anchors, records=records, ordered=ordered, repeats=repeats, spans=spans, merged=merged, anchors=anchors, radix_groups=radix_groups)
 
 
 def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, whole_chars: bool = False) -> DataFrame:
@@ -198,8 +205,9 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     whole_chars: keep every code point of which not all bytes are to go, so that what stays is UTF-8."""
     spark = docs.sparkSession
     gram = min(GRAM, max(1, window * GRAM // WINDOW))
-    buckets = max(1, total(docs, F.octet_length(text)) // BUCKET)
-    parts = max(1, buckets)
+    size = total(docs, F.octet_length(text))
+    parts = buckets = max(1, size // BUCKET)
+    hash_bytes = min(8, (size.bit_length() + 10 + 7) // 8)
     dealt = docs.withColumns({
         "__sd_text": F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")),
         "__sd_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)),
@@ -224,67 +232,108 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         head = np.array([bucket], "<i8").tobytes() if bucket is not None else b""
         return [(int(by[a]), head + values[a:b].tobytes()) for a, b in zip(cut, [*cut[1:], len(by)], strict=True)]
 
+    short = np.dtype([("h", "u1", (hash_bytes,)), ("m", "u1")])
+    entry = np.dtype([("h", "u1", (hash_bytes,)), ("c", "<u8"), ("d", "<i8"), ("m", "u1")])
+    answer = np.dtype([("h", "u1", (hash_bytes,)), ("d", "<i8"), ("m", "u1")])
+
+    def put(kind, h, **fields):
+        out = np.zeros(len(h), kind)
+        out["h"] = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :hash_bytes]
+        for k, v in fields.items():
+            out[k] = v
+        return out
+
+    def get(kind, part, head=0):
+        """Rows of all payloads, their hashes as numbers, and with a head the bucket that each row comes from."""
+        data = part.column("__sd_data").to_pylist()
+        rows = [np.frombuffer(x, kind, offset=head) for x in data]
+        froms = np.repeat([np.frombuffer(x, "<i8", 1)[0] for x in data], [len(r) for r in rows]) if head else None
+        rows = np.concatenate(rows)
+        h = np.zeros((len(rows), 8), np.uint8)
+        h[:, :hash_bytes] = rows["h"]
+        return rows, h.view(np.uint64)[:, 0], froms
+
+    def by_part(rows, h, bucket):
+        return deal(rows, (h % np.uint64(parts)).astype(np.int64), bucket)
+
+    def of_grams(part, wanted):
+        """A bucket's records whose gram is among those wanted (sorted)."""
+        k = make_kernels(window, gram, hash_bytes)
+        ids, texts, bucket = rows_of(part)
+        rec = [np.zeros(0, k.record)]
+        for i, data, found in k.text_anchors(texts):
+            at = np.minimum(np.searchsorted(wanted, found[3]), len(wanted) - 1)
+            keep = wanted[at] == found[3]
+            if keep.any():
+                rec.append(k.records(i, data, found, keep, ids[i], np.uint64(xxhash.xxh64_intdigest(texts[i])), bucket))
+        return k, bucket, np.concatenate(rec)
+
     def first_digit(part: pa.Table) -> pa.Table:
-        """Per bucket: hash of each gram, twice if two documents have it."""
-        k = make_kernels(window, gram)
+        """Per bucket: each gram, marked if two documents have it."""
+        k = make_kernels(window, gram, hash_bytes)
         ids, texts, bucket = rows_of(part)
         seen_h, seen_d = [], []
         for i, _, (_, _, _, h) in k.text_anchors(texts):
-            h = np.unique(h)
             seen_h.append(h)
             seen_d.append(np.full(len(h), ids[i]))
         if not seen_h:
             return out([])
         h, d = np.concatenate(seen_h), np.concatenate(seen_d)
-        order = np.lexsort((d, h))
+        order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        two = np.zeros(len(h), bool)
-        two[1:] = ~new[1:] & (d[1:] != d[:-1])
-        start = np.flatnonzero(new)
-        multi = np.logical_or.reduceat(two, start)
-        send = np.concatenate([h[start], h[start][multi]])
-        return out(deal(send, (send % np.uint64(parts)).astype(np.int64), bucket))
+        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        several = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
+        return out(by_part(put(short, h[start], m=several), h[start], bucket))
 
     def shared(part: pa.Table) -> pa.Table:
-        """Grams of two documents or more go back to their buckets, those of many buckets marked as wide."""
-        hs, bs = [], []
-        for data in part.column("__sd_data").to_pylist():
-            h = np.frombuffer(data, np.uint64, offset=8)
-            hs.append(h)
-            bs.append(np.full(len(h), np.frombuffer(data, "<i8", 1)[0], np.int32))
-        h, b = np.concatenate(hs), np.concatenate(bs)
+        """Grams of two documents or more go back to their buckets."""
+        rows, h, b = get(short, part, 8)
         order = np.argsort(h, kind="stable")
-        h, b = h[order], b[order]
+        start = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+        n = np.diff(np.append(start, len(h)))
+        keep = order[np.repeat((n > 1) | (np.maximum.reduceat(rows["m"][order], start) > 0), n)]
+        return out(deal(put(short, h[keep]), b[keep]))
+
+    def around(part: pa.Table, replies: pa.Table) -> pa.Table:
+        """For shared grams: hash of what stands around and the first document that has it, per bucket."""
+        if not part.num_rows or not replies.num_rows:
+            return out([])
+        k, bucket, rec = of_grams(part, np.sort(get(short, replies)[1]))
+        if not len(rec):
+            return out([])
+        rec, key, start, later = k.ordered(rec)
+        several = np.logical_or.reduceat(later, start)
+        return out(by_part(put(entry, rec["h"][start], c=key[start], d=rec["d"][start], m=several), rec["h"][start], bucket))
+
+    def compared(part: pa.Table) -> pa.Table:
+        """To buckets: the first document that has a gram if all surroundings are alike; else a request for them."""
+        rows, h, b = get(entry, part, 8)
+        order = np.argsort(h, kind="stable")
+        rows, h, b = rows[order], h[order], b[order]
         start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         n = np.diff(np.append(start, len(h)))
-        n = np.repeat(n, n)
-        keep = n > 1
-        reply = np.zeros(keep.sum(), [("h", "u8"), ("w", "u1")])
-        reply["h"], reply["w"] = h[keep], n[keep] > WIDE
-        return out(deal(reply, b[keep].astype(np.int64)))
+        mixed = np.minimum.reduceat(rows["c"], start) != np.maximum.reduceat(rows["c"], start)
+        kind = np.repeat(np.where(mixed, np.where(n > WIDE, 2, 1), 0), n)
+        least = np.repeat(np.minimum.reduceat(rows["d"], start), n)
+        keep = (kind > 0) | (rows["d"] > least) | (rows["m"] > 0)
+        reply = put(answer, h[keep], d=least[keep], m=kind[keep])
+        return out(deal(reply, b[keep]))
 
     def next_digits(part: pa.Table, replies: pa.Table) -> pa.Table:
-        """What stands around shared grams, from the first document of the bucket that has it; spans of the others."""
+        """What stands around grams with mixed surroundings, once a bucket; spans that are known to go."""
         if not part.num_rows or not replies.num_rows:
             return out([])
-        k = make_kernels(window, gram)
-        ids, texts, bucket = rows_of(part)
-        known = np.sort(np.concatenate([np.frombuffer(x, [("h", "u8"), ("w", "u1")]) for x in replies.column("__sd_data").to_pylist()]), order="h")
-        grams = known["h"]
-        rec = []
-        for i, data, found in k.text_anchors(texts):
-            at = np.minimum(np.searchsorted(grams, found[3]), len(grams) - 1)
-            keep = grams[at] == found[3]
-            if keep.any():
-                rec.append(k.records(i, data, found, keep, ids[i], np.uint64(xxhash.xxh64_intdigest(texts[i])), bucket))
-        if not rec:
+        known, grams, _ = get(answer, replies)
+        grams, first = np.unique(grams, return_index=True)
+        known = known[first]
+        k, bucket, rec = of_grams(part, grams)
+        if not len(rec):
             return out([])
-        rec, later = k.first_in_bucket(np.concatenate(rec))
-        wide = known["w"][np.searchsorted(grams, rec["h"])] > 0
-        send = [rec[~wide]]
-        for one in np.flatnonzero(wide):  # a gram of very many buckets: each window by its own hash
+        rec, _, _, later = k.ordered(rec)
+        about = known[np.searchsorted(grams, rec["h"])]
+        gone = later | (about["m"] == 0) & (rec["d"] > about["d"])
+        send = [rec[~gone & (about["m"] == 1)]]
+        for one in np.flatnonzero(~gone & (about["m"] == 2)):  # a gram of very many buckets: each window by its own hash
             r = rec[one]
             for o in range(int(r["lo"]), int(r["hi"]) + 1):
                 x = rec[one : one + 1].copy()
@@ -294,14 +343,15 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
                 x["x"][0, o + window :] = 0
                 send.append(x)
         send = np.concatenate(send)
-        pairs = [(p, b"r" + x) for p, x in deal(send, (send["h"] % np.uint64(parts)).astype(np.int64))]
-        if len(later):
-            pairs.append((bucket % parts, b"s" + np.array([bucket], "<i8").tobytes() + k.spans(later, later["lo"].astype(np.int64), later["hi"].astype(np.int64)).tobytes()))
+        pairs = [(p, b"r" + x) for p, x in by_part(send, send["h"], None)]
+        cut = k.merged(k.spans(rec[gone], rec["lo"][gone].astype(np.int64), rec["hi"][gone].astype(np.int64)))
+        if len(cut):
+            pairs.append((bucket % parts, b"s" + np.array([bucket], "<i8").tobytes() + cut.tobytes()))
         return out(pairs)
 
     def last_digits(part: pa.Table) -> pa.Table:
         """Spans to remove, for each bucket."""
-        k = make_kernels(window, gram)
+        k = make_kernels(window, gram, hash_bytes)
         rec, pairs = [], []
         for data in part.column("__sd_data").to_pylist():
             if data[:1] == b"s":
@@ -311,7 +361,8 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         if rec:
             rec, who, lo, hi = k.repeats(np.concatenate(rec))
             if len(who):
-                pairs += deal(k.spans(rec[who], lo, hi), rec["b"][who].astype(np.int64))
+                bucket, cut = rec["b"][who], k.spans(rec[who], lo, hi)
+                pairs += [(int(b), k.merged(cut[bucket == b]).tobytes()) for b in np.unique(bucket)]
         return out(pairs)
 
     names = docs.columns
@@ -352,9 +403,11 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         return pa.table([*arrays, pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in (sizes, removed, count))], names=[f.name for f in schema])
 
     by_bucket = dealt.groupBy("__sd_bucket")
-    found = by_bucket.applyInArrow(first_digit, packed).groupBy("__sd_bucket").applyInArrow(shared, packed)
-    around = by_bucket.cogroup(found.groupBy("__sd_bucket")).applyInArrow(next_digits, packed)
-    cuts = around.groupBy("__sd_bucket").applyInArrow(last_digits, packed)
+    back = lambda df, f: df.groupBy("__sd_bucket").applyInArrow(f, packed)
+    again = lambda df, f: by_bucket.cogroup(df.groupBy("__sd_bucket")).applyInArrow(f, packed)
+    found = back(by_bucket.applyInArrow(first_digit, packed), shared)
+    known = back(again(found, around), compared)
+    cuts = back(again(known, next_digits), last_digits)
     return by_bucket.cogroup(cuts.groupBy("__sd_bucket")).applyInArrow(apply, schema)
 
 
