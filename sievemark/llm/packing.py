@@ -13,8 +13,11 @@ only doc_id and text are read, other columns don't matter.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,100 +25,156 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import LOWER, table
 
 LENGTH, SEGMENTS, END = 2048, 256, 1
-BLOCK = 4096
-#: Shortest piece that is cut off just to fill a sequence.
-LEAST = 1
-CACHE = 1 << 18
+BLOCK = 1024
+#: Words whose ids a task remembers.
+CACHE = 1 << 20
 
 
-class WordTokens:
-    """Ids of whole texts by a tokenizer that drops white space: what stands between blanks is encoded once
-    and looked up after that. Blanks always end a token, so the ids are those of the whole text."""
+#: What the vocabulary's pre-tokenizer splits by.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for lower-cased UTF-8 bytes, if all that isn't ASCII is a Latin letter.
+PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+#: Neither ASCII nor a Latin letter that lower-cases to one code point and is its own normal form.
+FOREIGN = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+class Memory:
+    """Ids of strings that hold no blank, encoded together once and looked up after that."""
+
+    MARK = "\x01"  # stands between strings that are encoded together; it is one token of its own
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        (self.mark,) = tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.clear()
 
     def clear(self):
-        self.at: dict[str, int] = {}
+        self.at: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def learn(self, keys: list[bytes]):
+        if odd := {w for w in keys if self.MARK.encode() in w}:
+            keys.sort(key=odd.__contains__)
+        words = [w.decode().lower() for w in keys] if self.tokenizer.normalizer is None else [w.decode() for w in keys]
+        odd = [w for w in words if self.MARK in w]
+        plain = words[: len(words) - len(odd)]
+        text = [f" {self.MARK} ".join([*plain[i : i + 500], ""]) for i in range(0, len(plain), 500)]
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
+        joined = np.concatenate([*found, np.zeros(0, np.uint32)])
+        sizes = np.diff(np.flatnonzero(joined == self.mark), prepend=-1) - 1
+        parts = [joined[joined != self.mark]]
+        parts += [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in odd]
+        sizes = np.concatenate([sizes, [len(x) for x in parts[1:]]]).astype(np.int64)
+        new = np.concatenate(parts)
+        first, used = len(self.ends) - 1, int(self.ends[-1])
+        self.at.update(zip(keys, range(first, first + len(words)), strict=True))
+        if used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.zeros(max(used, len(new)), np.uint32)])
+        self.ids[used : used + len(new)] = new
+        self.ends = np.concatenate([self.ends, used + np.cumsum(sizes)])
+
+    def encode(self, split: list[list[bytes]]) -> list[np.ndarray]:
+        """Ids of texts that are given as their strings."""
         if len(self.at) > CACHE:
             self.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.at)
-        if new:
-            new = list(new)
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            first = len(self.ends) - 1
-            self.at.update(zip(new, range(first, first + len(new)), strict=True))
-            ends = self.ends[-1] + np.cumsum([len(x) for x in found])
-            if ends[-1] > len(self.ids):
-                self.ids = np.concatenate([self.ids[: self.ends[-1]], np.zeros(int(ends[-1]), np.uint32)])
-            self.ids[self.ends[-1] : ends[-1]] = np.fromiter((i for x in found for i in x), np.uint32, int(ends[-1] - self.ends[-1]))
-            self.ends = np.concatenate([self.ends, ends])
-        out, look = [], self.at.__getitem__
-        for words in split:
-            at = np.fromiter(map(look, words), np.int64, len(words))
-            start = self.ends[at]
-            size = self.ends[at + 1] - start
-            stop = np.cumsum(size)
-            out.append(self.ids[np.repeat(start - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)])
-        return out
-
-
-def place(demand: np.ndarray, limits: np.ndarray, grain: np.ndarray) -> list[list[tuple[int, int, int]]]:
+        count = [len(x) for x in split]
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(at < 0)):
+            missing = [words[i] for i in new.tolist()]
+            self.learn(list(set(missing)))
+            at[new] = [self.at[w] for w in missing]
+        start = self.ends[at]
+        size = self.ends[at + 1] - start
+        stop = np.cumsum(size)
+        ids = self.ids[np.repeat(start - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        return np.split(ids, np.concatenate(([0], stop))[np.cumsum(count)[:-1]]) if count else []
+
+
+class WordTokens:
+    """Ids of whole texts by a tokenizer that drops white space.
+
+    Texts in Latin script are split as the tokenizer does it and only new pieces are encoded; of others, all
+    that stands between blanks is encoded once. Blanks always end a token, so the ids are those of the whole
+    text either way."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        whole, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.whole = Memory(whole)
+        steps = json.loads(whole.to_str())["pre_tokenizer"] or {}
+        steps = steps.get("pretokenizers", [steps])
+        self.latin = steps[0].get("pattern") == {"Regex": PATTERN}
+        if self.latin:
+            bare.normalizer = None
+            bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.bare = Memory(bare)
+
+    @classmethod
+    def of_worker(cls, path: str) -> WordTokens:
+        """The one of this process: tasks that a worker runs later start with what it has learned."""
+        import tokenizers
+
+        kept = vars(tokenizers).setdefault("_word_tokens", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        # a special token's name may stand in a text, and must not arise from lower-casing
+        latin = [self.latin and b"<|" not in t and (t.isascii() or not FOREIGN.search(t.decode())) for t in texts]
+        fast = iter(self.bare.encode([PIECES.findall(t.translate(LOWER)) for t, ok in zip(texts, latin, strict=True) if ok]) if any(latin) else ())
+        slow = iter(self.whole.encode([t.split() for t, ok in zip(texts, latin, strict=True) if not ok]))
+        return [next(fast if ok else slow) for ok in latin]
+
+
+def place(demand: np.ndarray, limits: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (piece, start, length) for pieces with demand (tokens, segments, loss tokens).
 
-    The sequence that is open takes the fitting piece with the largest scalar product of its demand and
-    the room left, both as shares of the limits. If none fits and grain says that cuts are allowed, a piece
-    is cut to fill the room; loss tokens count in proportion, rounded up."""
-    share = demand / limits
-    left = demand.astype(float).copy()
+    The open sequence takes the fitting piece with the largest scalar product of its demand and the room
+    left, both as shares of the limits. If none fits, a piece is cut to fill the room; loss tokens count in
+    proportion, rounded up."""
+    left = demand.astype(np.float64).copy()
     begin = np.zeros(len(demand), np.int64)
-    alive = np.ones(len(demand), bool)
+    alive = np.arange(len(demand))
     out: list[list[tuple[int, int, int]]] = []
-    while alive.any():
-        # the largest piece opens a sequence
-        room = limits.astype(float).copy()
+    while len(alive):
+        room = limits.astype(np.float64).copy()
         seq: list[tuple[int, int, int]] = []
-        where = np.flatnonzero(alive)
-        pool, ask, part = where, left[where], share[where]
-        ok = np.ones(len(pool), bool)
-        while True:
-            fits = ok & (ask <= room).all(axis=1)
-            if fits.any():
-                k = int(np.argmax(np.where(fits, part @ (room / limits), -1.0)))
-                i = int(pool[k])
-                seq.append((i, int(begin[i]), int(left[i, 0])))
-                room -= ask[k]
-                alive[i] = False
-                ok[k] = False
-                if room[0] < 1 or room[1] < 1:
-                    break
-                continue
-            cut = np.flatnonzero(ok & (ask[:, 0] > room[0])) if room[0] >= LEAST and room[1] >= 1 else ()
-            cut = [k for k in cut if grain[pool[k]] and room[2] >= np.ceil(room[0] * ask[k, 2] / max(1, ask[k, 0]))]
-            if cut:
-                k = cut[0]
-                i, take = int(pool[k]), int(room[0])
-                seq.append((i, int(begin[i]), take))
-                loss = np.ceil(take * left[i, 2] / left[i, 0])
-                begin[i] += take
-                left[i, 0] -= take
-                left[i, 2] -= loss
-                share[i] = left[i] / limits
-            break
+        ask = [np.ascontiguousarray(c) for c in left[alive].T]
+        gone = np.zeros(len(alive), bool)
+        while room[0] >= 1 and room[1] >= 1:
+            fits = (ask[0] <= room[0]) & (ask[1] <= room[1]) & (ask[2] <= room[2]) & ~gone
+            weight = room / limits**2
+            score = np.where(fits, ask[0] * weight[0] + ask[1] * weight[1] + ask[2] * weight[2], -1.0)
+            k = int(np.argmax(score))
+            if not fits[k]:
+                share = np.ceil(room[0] * ask[2] / np.maximum(1, ask[0]))
+                cut = np.flatnonzero(~gone & (ask[0] > room[0]) & (ask[1] <= room[1]) & (share <= room[2]))
+                if len(cut):
+                    i, take, loss = int(alive[cut[0]]), int(room[0]), share[cut[0]]
+                    seq.append((i, int(begin[i]), take))
+                    begin[i] += take
+                    left[i] -= (take, 0, min(loss, left[i, 2]))
+                break
+            i = int(alive[k])
+            seq.append((i, int(begin[i]), int(left[i, 0])))
+            room -= left[i]
+            gone[k] = True
         if not seq:
-            raise ValueError("a piece that may not be cut exceeds the limits")
+            # loss tokens alone keep every piece out: cut the first to what the loss limit allows
+            i = int(alive[0])
+            take = max(1, int(left[i, 0] * limits[2] // left[i, 2]))
+            seq.append((i, int(begin[i]), take))
+            begin[i] += take
+            left[i] -= (take, 0, np.ceil(take * left[i, 2] / left[i, 0]))
+        alive = alive[~gone]
         out.append(seq)
     return out
 
@@ -128,7 +187,7 @@ def pack_rows(rows, length: int, segments: int, loss_limit: int, first: int):
     def flush():
         nonlocal number
         demand = np.array([[len(ids) - at, 1, loss] for _, ids, at, loss in block], float).reshape(-1, 3)
-        for seq in place(demand, limits, np.ones(len(block), bool)):
+        for seq in place(demand, limits):
             offset = 0
             for i, start, size in seq:
                 key, ids, at, _ = block[i]
@@ -160,13 +219,13 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, segme
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches):
-        words, task = WordTokens(vocabulary), TaskContext.get().partitionId()
+        words, task = WordTokens.of_worker(vocabulary), TaskContext.get().partitionId()
 
         def rows():
             for b in batches:
-                for at in range(0, b.num_rows, 1000):
-                    ids, texts, shares = (c.to_pylist() for c in b.slice(at, 1000).columns)
-                    for key, got, share in zip(ids, words.encode([t or "" for t in texts]), shares, strict=True):
+                for at in range(0, b.num_rows, 200):
+                    ids, texts, shares = (c.to_pylist() for c in b.slice(at, 200).columns)
+                    for key, got, share in zip(ids, words.encode([t or b"" for t in texts]), shares, strict=True):
                         got = np.append(got, np.uint32(end))
                         yield key, got, int(np.ceil(len(got) * share))
 
@@ -180,7 +239,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, segme
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
     share = F.coalesce(F.col(loss_share), F.lit(1.0)) if loss_share else F.lit(1.0)
-    return docs.select(F.col("doc_id").cast("long"), "text", share.cast("double").alias("share")).mapInArrow(run, fields)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), share.cast("double").alias("share")).mapInArrow(run, fields)
 
 
 def vocabulary_path() -> str:
