@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprints, language, packing, quality, simhash, suffix_dedup
+from . import decontam, fingerprints, language, lm_score, packing, quality, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op3_quality": quality.op3_quality,
         "op4_language": language.op4_language,
+        "op5_lm_score": lm_score.op5_lm_score,
         "op6_fingerprints": fingerprints.op6_fingerprints,
         "op7_decontamination": decontam.op7_decontamination,
         "op8_simhash": simhash.op8_simhash,
