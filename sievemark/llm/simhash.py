@@ -192,13 +192,12 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that are the first of their component, by doc_id; of rows that repeat a doc_id
-    within a component all stay, as do rows without doc_id."""
-    marked = stored(with_fingerprint(docs, out="__fp"), "marked")
-    groups = near_groups(marked.select("doc_id", F.col("__fp").alias("fp")), radius)
-    heads = groups.groupBy("component").agg(F.lit(1).alias("one")).select(F.col("component").alias("__head"))
-    keep = marked.join(heads, marked.doc_id == heads["__head"], "left")
-    return keep.where("doc_id is null or __head is not null").select(*docs.columns)
+    """The rows of docs without those that aren't the first of their component, by doc_id. Rows that repeat a
+    doc_id stay or go together; rows without doc_id stay."""
+    prints = stored(with_fingerprint(docs.select("doc_id", "text"), out="fp").select("doc_id", "fp"), "simhash")
+    groups = near_groups(prints, radius)
+    gone = prints.join(groups, "fp").where("doc_id <> component").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
