@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprints, language, lm_score, packing, quality, simhash, suffix_dedup
+from . import decontam, fingerprints, language, license_scan, lm_score, packing, quality, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op2_license_scan": license_scan.op2_license_scan,
         "op3_quality": quality.op3_quality,
         "op4_language": language.op4_language,
         "op5_lm_score": lm_score.op5_lm_score,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_decontamination": decontam.ORACLE}
+    return {"op2_license_scan": license_scan.ORACLE, "op7_decontamination": decontam.ORACLE}
