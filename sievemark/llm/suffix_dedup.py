@@ -45,8 +45,9 @@ def make_kernels(window: int = WINDOW, gram: int = GRAM, hash_bytes: int = 8):
     """The numpy kernels for one window length, as a namespace of functions."""
     reach = window - gram  # a window has reach + 1 grams
     side = reach + gram + reach  # bytes around a gram that its windows cover
-    record = np.dtype([("h", "u8"), ("d", "i8"), ("t", "u8"), ("p", "i4"), ("b", "i4"), ("lo", "u1"), ("hi", "u1"), ("x", "u1", (side,))])
+    record = np.dtype([("h", "u8"), ("d", "i8"), ("t", "u4"), ("p", "i4"), ("b", "i4"), ("lo", "u1"), ("hi", "u1"), ("x", "u1", (side,))])
     odd = np.uint64(0x9E3779B97F4A7C15)
+    place = np.arange(side)
     mask = np.uint64((1 << 8 * hash_bytes) - 1)
 
     def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -96,7 +97,9 @@ def make_kernels(window: int = WINDOW, gram: int = GRAM, hash_bytes: int = 8):
         out["h"], out["d"], out["t"], out["p"], out["b"] = h, doc, key, at, bucket
         out["lo"], out["hi"] = lo - (at - reach), hi - (at - reach)
         padded = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(reach, np.uint8)])
-        out["x"] = np.lib.stride_tricks.sliding_window_view(padded, side)[at]
+        x = np.lib.stride_tricks.sliding_window_view(padded, side)[at]
+        x[(place < out["lo"][:, None]) | (place >= out["hi"][:, None].astype(np.int64) + window)] = 0  # of no window here
+        out["x"] = x
         return out
 
     def ordered(rec: np.ndarray):
@@ -177,7 +180,7 @@ def make_kernels(window: int = WINDOW, gram: int = GRAM, hash_bytes: int = 8):
 
     def spans(rec, lo, hi):
         """Byte spans of windows lo to hi around the records' grams."""
-        out = np.zeros(len(rec), [("d", "i8"), ("t", "u8"), ("s", "i4"), ("e", "i4")])
+        out = np.zeros(len(rec), [("d", "i8"), ("t", "u4"), ("s", "i4"), ("e", "i4")])
         out["d"], out["t"] = rec["d"], rec["t"]
         out["s"] = rec["p"] - reach + lo
         out["e"] = rec["p"] - reach + hi + window
@@ -265,7 +268,7 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             at = np.minimum(np.searchsorted(wanted, found[3]), len(wanted) - 1)
             keep = wanted[at] == found[3]
             if keep.any():
-                rec.append(k.records(i, data, found, keep, ids[i], np.uint64(xxhash.xxh64_intdigest(texts[i])), bucket))
+                rec.append(k.records(i, data, found, keep, ids[i], xxhash.xxh32_intdigest(texts[i]), bucket))
         return k, bucket, np.concatenate(rec)
 
     def first_digit(part: pa.Table) -> pa.Table:
@@ -371,7 +374,7 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     def apply(part: pa.Table, cuts: pa.Table) -> pa.Table:
         by: dict = {}
         if cuts.num_rows and part.num_rows:
-            s = np.concatenate([np.frombuffer(x, [("d", "i8"), ("t", "u8"), ("s", "i4"), ("e", "i4")]) for x in cuts.column("__sd_data").to_pylist()])
+            s = np.concatenate([np.frombuffer(x, [("d", "i8"), ("t", "u4"), ("s", "i4"), ("e", "i4")]) for x in cuts.column("__sd_data").to_pylist()])
             s = s[np.lexsort((s["s"], s["t"], s["d"]))]
             at = np.flatnonzero(np.concatenate(([True], (s["d"][1:] != s["d"][:-1]) | (s["t"][1:] != s["t"][:-1]))))
             by = {(int(s["d"][a]), int(s["t"][a])): s[a:b] for a, b in zip(at, [*at[1:], len(s)], strict=True)}
@@ -380,7 +383,7 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             ids, texts, _ = rows_of(part)
             touched = {d for d, _ in by}
             for d, t in zip(ids.tolist(), texts, strict=True):
-                mine = by.get((d, xxhash.xxh64_intdigest(t))) if d in touched else None
+                mine = by.get((d, xxhash.xxh32_intdigest(t))) if d in touched else None
                 sizes.append(len(t))
                 if mine is None:
                     kept.append(t)
