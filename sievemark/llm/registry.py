@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprints, language, license_scan, lm_score, packing, quality, simhash, suffix_dedup
+from . import decontam, fingerprints, language, license_scan, lm_score, packing, quality, sharding, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_sharding": sharding.op1_sharding,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_quality": quality.op3_quality,
         "op4_language": language.op4_language,
