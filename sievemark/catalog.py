@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import plans
+from .plans import constraints, decisions, geometry, ladders, relational  # noqa: F401  (they register their queries)
+
 
 def queries() -> dict:
-    return {}
+    return dict(plans.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(plans.ORACLES)
