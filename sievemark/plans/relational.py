@@ -1,0 +1,171 @@
+"""Filters, joins, deduplication and set operations on logs and candidates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import scores
+from ..operators import keyed
+from ..sources import adapters as A
+from . import query
+
+
+@query("split_filter", A.SQL + "SELECT block_id, split FROM qry WHERE split <> 'test'")
+def split_filter(spark, sf_dir):
+    return A.blocks(spark, sf_dir).where(F.col("split").isin("dev", "calib")).select("block_id", "split")
+
+
+@query("tier_filter", A.SQL + "SELECT block_id, regime FROM qry WHERE regime LIKE '%hard'")
+def tier_filter(spark, sf_dir):
+    return A.blocks(spark, sf_dir).where(F.endswith("regime", F.lit("hard"))).select("block_id", "regime")
+
+
+@query("exposed_groups", A.SQL + f"SELECT exposed, count(*) AS n FROM (SELECT list_contains({list(A.EXPOSED)}, family) AS exposed FROM qry) GROUP BY exposed")
+def exposed_groups(spark, sf_dir):
+    return A.blocks(spark, sf_dir).groupBy(F.col("family").isin(*A.EXPOSED).alias("exposed")).agg(F.count("*").alias("n"))
+
+
+@query("path_rewrite", "SELECT page_id, 'arms/alt/' || string_split(url, '/')[-1] AS path FROM pages")
+def path_rewrite(spark, sf_dir):
+    return A.read(spark, sf_dir, "pages").select("page_id", scores.file_in(F.col("url"), "arms/alt").alias("path"))
+
+
+@query("config_merge")
+def config_merge(spark, sf_dir):
+    """Right-biased merge of settings without one key."""
+    base = F.create_map(*map(F.lit, ("quant", "nf4", "prompt", "paper", "arm", "a")))
+    over = F.create_map(F.lit("prompt"), F.col("source"), F.lit("views"), F.lit("two"))
+    kept = F.map_filter(base, lambda k, _: (k != "arm") & ~F.map_contains_key(over, k))
+    return A.read(spark, sf_dir, "documents").select("doc_id", F.map_concat(kept, over).alias("config"))
+
+
+@query("default_fill", "SELECT doc_id, CASE WHEN lang IS NULL OR lang = 'es' THEN 'default' ELSE lang END AS chat FROM documents")
+def default_fill(spark, sf_dir):
+    return A.read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.nullif("lang", F.lit("es")), F.lit("default")).alias("chat"))
+
+
+@query("join_scores", "SELECT l_orderkey AS block_id, l_linenumber AS position, o_orderpriority AS label, o_totalprice AS score FROM lineitem, orders WHERE l_orderkey = o_orderkey")
+def join_scores(spark, sf_dir):
+    items = A.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block_id"), F.col("l_linenumber").alias("position"))
+    orders = A.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("block_id"), F.col("o_orderpriority").alias("label"), F.col("o_totalprice").alias("score"))
+    return keyed.joined_or_fail(items, orders, "block_id")
+
+
+@query("join_content_key", A.SQL + "SELECT a.ord, sha256('{\"answer\": \"' || a.answer || '\", \"config\": \"' || a.config || '\"}') AS key, count(*) AS partners FROM log a JOIN log b ON a.answer = b.answer AND a.config = b.config GROUP BY a.ord, a.answer, a.config")
+def join_content_key(spark, sf_dir):
+    """Join on the digest of a canonical text of the identity; partners are counted per key, not paired."""
+    key = F.sha2(scores.canonical_json({"config": F.col("config"), "answer": F.col("answer")}), 256)
+    rows = A.log(spark, sf_dir).select("ord", key.alias("key"))
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("partners")), "key").select("ord", "key", "partners")
+
+
+@query("complete_queries", "SELECT l_orderkey AS block_id FROM lineitem GROUP BY 1 HAVING bool_and(l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 5))")
+def complete_queries(spark, sf_dir):
+    items = A.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block_id"), F.col("l_partkey").alias("part_id"))
+    scored = A.read(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("part_id"))
+    return keyed.complete_groups(items, scored, "block_id", "part_id")
+
+
+@query("todo_anti", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def todo_anti(spark, sf_dir):
+    return keyed.to_do(A.read(spark, sf_dir, "documents"), A.read(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+
+
+@query("cached_semi", "SELECT doc_id, lang FROM documents WHERE EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
+def cached_semi(spark, sf_dir):
+    return keyed.already(A.read(spark, sf_dir, "documents").select("doc_id", "lang"), A.read(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+
+
+@query("dedupe_first", A.SQL + "SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) = 1")
+def dedupe_first(spark, sf_dir):
+    return keyed.first_per_key(A.log(spark, sf_dir), ["key"], ["ord"])
+
+
+@query("conflicts", A.SQL + "SELECT key, count(*) AS n_rows, count(DISTINCT config) AS n_kinds FROM log GROUP BY key HAVING count(DISTINCT config) > 1")
+def conflicts(spark, sf_dir):
+    return keyed.conflicts(A.log(spark, sf_dir), ["key"], ["config"])
+
+
+@query("upsert", A.SQL + "SELECT key, config, ord FROM log WHERE config NOT IN ('src1', 'src2') UNION ALL SELECT key, config, -ord FROM log WHERE config IN ('src1', 'src2')")
+def upsert(spark, sf_dir):
+    old = A.log(spark, sf_dir).select("key", "config", "ord")
+    return keyed.upsert(old, old.where(F.col("config").isin("src1", "src2")).withColumn("ord", -F.col("ord")), "config")
+
+
+@query("set_intersect", "SELECT doc_id FROM documents WHERE n_chars > 2000 INTERSECT SELECT doc_id FROM labels")
+def set_intersect(spark, sf_dir):
+    return A.read(spark, sf_dir, "documents").where("n_chars > 2000").select("doc_id").intersect(A.read(spark, sf_dir, "labels").select("doc_id"))
+
+
+@query("shared_candidate", "SELECT l_partkey AS part_id FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag || l_linestatus) = (SELECT count(DISTINCT l_returnflag || l_linestatus) FROM lineitem)")
+def shared_candidate(spark, sf_dir):
+    """Candidates that every regime has."""
+    items = A.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part_id"), F.concat("l_returnflag", "l_linestatus").alias("regime"))
+    regimes = items.agg(F.count_distinct("regime").alias("all"))
+    return items.groupBy("part_id").agg(F.count_distinct("regime").alias("n")).join(F.broadcast(regimes), F.col("n") == F.col("all")).select("part_id")
+
+
+@query("systematic_sample", "SELECT p_partkey AS part_id FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE r % 17 = 1")
+def systematic_sample(spark, sf_dir):
+    """Every 17th of each group, beginning with the first."""
+    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return A.read(spark, sf_dir, "part").withColumn("r", rank).where("r % 17 = 1").select(F.col("p_partkey").alias("part_id"))
+
+
+@query("role_lookup", A.SQL + "SELECT peg_id, label AS role, arg_max(offset_mm, offset_mm) AS cand_id FROM ladder GROUP BY ALL")
+def role_lookup(spark, sf_dir):
+    """The last candidate of each role."""
+    return A.ladder(spark, sf_dir).groupBy("peg_id", F.col("label").alias("role")).agg(F.max_by("offset_mm", "offset_mm").alias("cand_id"))
+
+
+@query("paired_wins", A.SQL + """SELECT split, count(*) AS pairs, count(*) FILTER (mate > other) AS wins FROM (SELECT split, block_id, max(p_yes) FILTER (label = 'compatible') AS mate, arg_min(p_yes, position) FILTER (label = 'incompatible') AS other FROM lab GROUP BY ALL)
+WHERE mate IS NOT NULL AND other IS NOT NULL GROUP BY split""")
+def paired_wins(spark, sf_dir):
+    """How often the mate beats the first distractor of its block."""
+    mate, other = F.col("label") == "compatible", F.when(F.col("label") == "incompatible", F.col("position"))
+    pairs = A.labelled(spark, sf_dir).groupBy("split", "block_id").agg(F.max(F.when(mate, F.col("p_yes"))).alias("mate"), F.min_by("p_yes", other).alias("other"))
+    return pairs.where("mate is not null and other is not null").groupBy("split").agg(F.count("*").alias("pairs"), F.count_if(F.col("mate") > F.col("other")).alias("wins"))
+
+
+@query("own_rank", A.SQL + "SELECT block_id, r AS rank FROM (SELECT block_id, label, row_number() OVER (PARTITION BY block_id ORDER BY p_yes DESC, cand_id) AS r FROM lab) WHERE label = 'compatible'")
+def own_rank(spark, sf_dir):
+    rank = F.row_number().over(Window.partitionBy("block_id").orderBy(F.desc("p_yes"), "cand_id"))
+    return A.labelled(spark, sf_dir).withColumn("rank", rank.cast("long")).where("label = 'compatible'").select("block_id", "rank")
+
+
+@query("replica_report", A.SQL + """, r AS (SELECT split, label, row_number() OVER (PARTITION BY block_id ORDER BY p_yes DESC, cand_id) AS a, row_number() OVER (PARTITION BY block_id ORDER BY answer <> 'yes', CASE WHEN answer = 'yes' THEN -top_prob ELSE top_prob END, cand_id) AS b FROM lab WHERE has_mate)
+SELECT split, count(*) AS n, count(*) FILTER (a = 1) AS top1_score, count(*) FILTER (b = 1) AS top1_answer, round(avg(a), 9) AS mean_rank FROM r WHERE label = 'compatible' GROUP BY split""")
+def replica_report(spark, sf_dir):
+    """The own item's place in two orders."""
+    from ..operators.decide import composite_order
+
+    w = Window.partitionBy("block_id")
+    rows = A.labelled(spark, sf_dir).withColumns({"a": F.row_number().over(w.orderBy(F.desc("p_yes"), "cand_id")), "b": F.row_number().over(w.orderBy(*composite_order()))}).where("label = 'compatible'")
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("a") == 1).alias("top1_score"), F.count_if(F.col("b") == 1).alias("top1_answer"), F.round(F.avg("a"), 9).alias("mean_rank"))
+
+
+@query("block_verify", A.SQL + "SELECT block_id, sum((label = 'compatible')::INT)::BIGINT AS mates, has_mate FROM lab GROUP BY ALL HAVING (sum((label = 'compatible')::INT) = 1) <> has_mate")
+def block_verify(spark, sf_dir):
+    """Blocks without exactly one mate where there should be one, or with one where not: none may be."""
+    n = A.labelled(spark, sf_dir).groupBy("block_id", "has_mate").agg(F.count_if(F.col("label") == "compatible").alias("mates"))
+    return n.where((F.col("mates") == 1) != F.col("has_mate")).select("block_id", "mates", "has_mate")
+
+
+@query("replay_compare", """WITH a AS (SELECT l_returnflag AS f, sum(l_quantity) AS qty, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), m AS (UNPIVOT a ON qty, n INTO NAME metric VALUE v)
+SELECT f AS slice, metric, round(v, 6) AS stored, round(v, 6) AS computed, true AS same FROM m""")
+def replay_compare(spark, sf_dir):
+    """Stored and recomputed metrics side by side in long form, compared within a tolerance."""
+    items = A.read(spark, sf_dir, "lineitem")
+    computed = items.groupBy(F.col("l_returnflag").alias("slice")).agg(F.sum("l_quantity").alias("qty"), F.count("*").cast("double").alias("n"))
+    parts = items.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.count("*").cast("double").alias("n"))
+    stored = parts.groupBy(F.col("l_returnflag").alias("slice")).agg(F.sum("qty").alias("qty"), F.sum("n").alias("n"))
+    long = lambda df, v: df.unpivot("slice", ["qty", "n"], "metric", v)
+    both = long(stored, "stored").join(long(computed, "computed"), ["slice", "metric"], "full")
+    return both.select("slice", "metric", F.round("stored", 6).alias("stored"), F.round("computed", 6).alias("computed"), (F.abs(F.col("stored") - F.col("computed")) <= 1e-6).alias("same"))
+
+
+@query("prompt_render", "SELECT item_id, 'USER: <image> Does ' || replace(text, chr(10), ' ') || ' fit? ASSISTANT:' AS prompt FROM benchmark")
+def prompt_render(spark, sf_dir):
+    text = F.replace("text", F.lit("\n"), F.lit(" "))
+    return A.read(spark, sf_dir, "benchmark").select("item_id", F.format_string("USER: <image> Does %s fit? ASSISTANT:", text).alias("prompt"))
