@@ -1,0 +1,92 @@
+"""Logs, manifests and records, and seeded tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import keyed
+from ..sources import adapters as A
+from ..sources import generators, records
+from . import query
+
+
+@query("log_load")
+def log_load(spark, sf_dir):
+    """A JSON-lines log written from the documents and read back with its checks."""
+    rows = A.log(spark, sf_dir)
+    lines = keyed.first_per_key(rows, ["key"], ["ord"]).select(F.to_json(F.struct("key", "answer", "p_yes", "config")).alias("value"))
+    return records.parsed_log(lines)
+
+
+@query("manifest_check", A.SQL + "SELECT coalesce(a.path, e.path) AS path, CASE WHEN a.path IS NULL THEN 'missing' WHEN e.path IS NULL THEN 'unexpected' ELSE 'changed' END AS fault FROM (SELECT doc_id AS path, sha256(text) AS d FROM documents WHERE doc_id % 10 <> 3) a FULL JOIN (SELECT doc_id AS path, CASE WHEN doc_id % 10 = 4 THEN '' ELSE sha256(text) END AS d FROM documents WHERE doc_id % 10 <> 5) e ON a.path = e.path WHERE a.d IS DISTINCT FROM e.d")
+def manifest_check(spark, sf_dir):
+    docs = A.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("digest"))
+    expected = docs.where("path % 10 <> 5").withColumn("digest", F.when(F.col("path") % 10 == 4, "").otherwise(F.col("digest")))
+    return keyed.manifest_faults(docs.where("path % 10 <> 3"), expected)
+
+
+@query("identity_check", "SELECT doc_id FROM documents WHERE n_chars <> length(text)")
+def identity_check(spark, sf_dir):
+    """Rows whose stored field does not follow from their content: none may be."""
+    return A.read(spark, sf_dir, "documents").where(F.col("n_chars") != F.length("text")).select("doc_id")
+
+
+@query("reverify", "SELECT l_orderkey AS block_id, l_linenumber AS position FROM lineitem JOIN part ON l_partkey = p_partkey WHERE abs(l_extendedprice - l_quantity * p_retailprice) > 1e-4")
+def reverify(spark, sf_dir):
+    """Stored values that differ from recomputed ones by more than a tolerance."""
+    joined = A.read(spark, sf_dir, "lineitem").join(A.read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    wrong = joined.where(F.abs(F.col("l_extendedprice") - F.col("l_quantity") * F.col("p_retailprice")) > 1e-4)
+    return wrong.select(F.col("l_orderkey").alias("block_id"), F.col("l_linenumber").alias("position"))
+
+
+@query("record_validate")
+def record_validate(spark, sf_dir):
+    """Faults of a calibration record made from this data: none may be."""
+    from .decisions import fitted_s1
+
+    counts = {r["split"]: r["count"] for r in A.blocks(spark, sf_dir).groupBy("split").count().collect()}
+    record = {"split": "calib", "n": sum(counts.values()), "counts": counts, "thresholds": {"S1": {"tau": fitted_s1(spark, sf_dir)}}}
+    return spark.createDataFrame([(x,) for x in records.record_faults(record)], "fault string")
+
+
+@query("splits")
+def splits(spark, sf_dir):
+    return spark.createDataFrame(sorted(generators.family_splits(generators.SIZES).items()), "family string, split string")
+
+
+@query("shuffle")
+def shuffle(spark, sf_dir):
+    """Presentation order of each part's four blocks."""
+    ids = [p for p, _, _ in generators.part_list()]
+    rows = [(f"{p}_{r}", i, c) for p in ids for r in ("present_easy", "present_hard", "absent_easy", "absent_hard") for i, c in enumerate(generators.shuffled(["first", "second", "third"], f"{p}_{r}"))]
+    return spark.createDataFrame(rows, "block_id string, position int, role string")
+
+
+@query("panel")
+def panel(spark, sf_dir):
+    groups: dict[str, list[str]] = {}
+    for part, family, _ in generators.part_list():
+        groups.setdefault(family, []).append(part)
+    return spark.createDataFrame(generators.panel(groups, 3, generators.SPLIT_SEED), "category string, part_id string")
+
+
+@query("mask_margin")
+def mask_margin(spark, sf_dir):
+    """Each part's raster against its grown one."""
+    import numpy as np
+    import pandas as pd
+
+    from ..operators import polygons as P
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r, h in zip(b.ring, b.hole, strict=True):
+                pts = P._points(r) / 5  # two lattice points a millimetre
+                x, y = P.lattice(pts, 0.4)
+                peg = P.inside(pts, h / 5, x, y)
+                hole = np.hypot(x, y) < (h - P.CLEARANCE) / 5 if h else np.zeros(x.shape, bool)
+                out.append(P.signed_margin(peg, (P.inside(pts, 0.0, x, y) | (P.edge_distance(pts, x, y) <= P.CLEARANCE / 5)) & ~hole))
+            yield pd.DataFrame({"part_id": b.part_id, "margin_px": out})
+
+    return P.profiles(generators.parts(spark)).mapInPandas(run, "part_id string, margin_px double")

@@ -1,0 +1,214 @@
+"""Fit of pegs and sockets, similarity, and the construction of candidate sets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import polygons
+from ..operators import rectangles as R
+from ..sources import adapters as A
+from ..sources import generators
+from . import query
+
+_PAIRS = A.SQL + """, q AS (SELECT p.split, p.part_id AS peg_id, s.part_id AS socket_id, p.w, p.h, p.bore_w AS own_w, p.bore_h AS own_h, s.bore_w, s.bore_h FROM shapes p JOIN shapes s ON p.split = s.split),
+turns AS (SELECT *, t AS turn, (bore_w - CASE t WHEN 0 THEN w ELSE h END) / 2 AS dx, (bore_h - CASE t WHEN 0 THEN h ELSE w END) / 2 AS dy FROM q, (SELECT unnest([0, 90]) AS t)),
+m AS (SELECT *, CASE WHEN dx >= 0 AND dy >= 0 THEN least(dx, dy) ELSE -least(2, sqrt(greatest(-dx, 0) ** 2 + greatest(-dy, 0) ** 2)) END AS mg, sqrt(dx * dx + dy * dy) AS gap FROM turns),
+lab2 AS (SELECT split, peg_id, socket_id, any_value(own_w) AS own_w, any_value(own_h) AS own_h, any_value(bore_w) AS bore_w, any_value(bore_h) AS bore_h, max(mg) AS margin, min(turn) FILTER (mg = best) AS turn, min(gap) FILTER (mg >= 0.05::DOUBLE) AS max_gap
+ FROM (SELECT *, max(mg) OVER (PARTITION BY peg_id, socket_id) AS best FROM m) GROUP BY ALL),
+matrix AS (SELECT *, CASE WHEN margin >= 0.05::DOUBLE THEN 'compatible' WHEN margin >= -0.05::DOUBLE THEN 'ambiguous' ELSE 'incompatible' END AS label FROM lab2)"""
+
+
+def _iou(a: str, b: str, c: str, d: str) -> str:
+    one = lambda x, y: f"least({a}, {x}) * least({b}, {y}) / ({a} * {b} + {c} * {d} - least({a}, {x}) * least({b}, {y}))"
+    return f"greatest({one(c, d)}, {one(d, c)})"
+
+
+_POOL = _PAIRS + f", pool AS (SELECT *, {_iou('own_w', 'own_h', 'bore_w', 'bore_h')} AS sim FROM matrix WHERE peg_id <> socket_id AND label = 'incompatible')"
+
+
+def matrix(spark, sf_dir):
+    return R.label_matrix(A.shapes(spark, sf_dir), "split")
+
+
+@query("label_matrix", _PAIRS + "SELECT peg_id, socket_id, label, CASE WHEN label = 'ambiguous' THEN 'boundary' ELSE '' END AS reason, round(margin, 9) AS margin, (coalesce(max_gap, 0) > 0.6::DOUBLE)::INTEGER AS loose FROM matrix")
+def label_matrix(spark, sf_dir):
+    return matrix(spark, sf_dir).select("peg_id", "socket_id", "label", "reason", F.round("margin", 9).alias("margin"), "loose")
+
+
+@query("fit_margin", A.SQL + "SELECT part_id, round(CASE WHEN bore_h - 1 < h THEN -least(2, sqrt(greatest(w - bore_w + 1, 0) ** 2 / 4 + (h - bore_h + 1) ** 2 / 4)) ELSE 0 END, 9) AS margin FROM shapes")
+def fit_margin(spark, sf_dir):
+    """Own peg in its own bore shrunk by 1: no turn considered."""
+    m = R.margin(F.col("w"), F.col("h"), F.col("bore_w") - 1, F.col("bore_h") - 1)
+    return A.shapes(spark, sf_dir).select("part_id", F.round(m, 9).alias("margin"))
+
+
+@query("best_turn", _PAIRS + "SELECT peg_id, socket_id, turn FROM matrix")
+def best_turn(spark, sf_dir):
+    return matrix(spark, sf_dir).select("peg_id", "socket_id", "turn")
+
+
+@query("pair_label", _PAIRS + "SELECT label, count(*) AS n, count(*) FILTER (margin = -2) AS capped FROM matrix GROUP BY label")
+def pair_label(spark, sf_dir):
+    return matrix(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("margin") == -2).alias("capped"))
+
+
+@query("loose_flag", _PAIRS + "SELECT peg_id, socket_id, round(max_gap, 9) AS max_gap FROM matrix WHERE label = 'compatible'")
+def loose_flag(spark, sf_dir):
+    return matrix(spark, sf_dir).where("label = 'compatible'").select("peg_id", "socket_id", F.round("max_gap", 9).alias("max_gap"))
+
+
+@query("similarity", _PAIRS + f"SELECT peg_id, socket_id, round({_iou('own_w', 'own_h', 'bore_w', 'bore_h')}, 9) AS sim FROM matrix")
+def similarity(spark, sf_dir):
+    s = R.similarity(*map(F.col, ("own_w", "own_h", "bore_w", "bore_h")))
+    return R.pairs(A.shapes(spark, sf_dir), "split").select("peg_id", "socket_id", F.round(s, 9).alias("sim"))
+
+
+@query("candidate_pool", _POOL + "SELECT peg_id, socket_id, round(sim, 9) AS sim FROM pool")
+def candidate_pool(spark, sf_dir):
+    return R.pool(matrix(spark, sf_dir)).select("peg_id", "socket_id", F.round("sim", 9).alias("sim"))
+
+
+@query("near_dup", A.SQL + f"SELECT a.part_id AS part_a, b.part_id AS part_b, round({_iou('a.bore_w', 'a.bore_h', 'b.bore_w', 'b.bore_h')}, 9) AS similarity FROM shapes a JOIN shapes b ON a.part_id < b.part_id AND a.split <> b.split WHERE {_iou('a.bore_w', 'a.bore_h', 'b.bore_w', 'b.bore_h')} >= 0.97")
+def near_dup(spark, sf_dir):
+    return R.near_duplicates(A.shapes(spark, sf_dir), 0.97).withColumn("similarity", F.round("similarity", 9))
+
+
+_SIM_E = _iou("e.bore_w", "e.bore_h", "c.bore_w", "c.bore_h")
+_EASY = _POOL + f""", r1 AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY peg_id ORDER BY sim, socket_id) = 1),
+r2 AS (SELECT c.* FROM pool c JOIN r1 e USING (peg_id) WHERE (c.sim, c.socket_id) > (e.sim, e.socket_id) AND {_SIM_E} <= 0.8::DOUBLE QUALIFY row_number() OVER (PARTITION BY c.peg_id ORDER BY c.sim, c.socket_id) = 1),
+r3 AS (SELECT c.* FROM pool c JOIN r1 e USING (peg_id) JOIN r2 f ON f.peg_id = c.peg_id WHERE (c.sim, c.socket_id) > (f.sim, f.socket_id) AND {_SIM_E} <= 0.8::DOUBLE AND {_iou("f.bore_w", "f.bore_h", "c.bore_w", "c.bore_h")} <= 0.8::DOUBLE QUALIFY row_number() OVER (PARTITION BY c.peg_id ORDER BY c.sim, c.socket_id) = 1),
+easy AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)"""
+
+
+def easy_rows(spark, sf_dir):
+    picked = R.pick_easy(R.pool(matrix(spark, sf_dir)))
+    by_id = F.array_sort(F.transform("easy", lambda e: F.struct(e["socket_id"].alias("socket_id"), e["sim"].alias("sim"))))
+    return picked.select("peg_id", F.posexplode(by_id).alias("pos", "e"))
+
+
+@query("pick_easy", _EASY + "SELECT peg_id, 'E' || row_number() OVER (PARTITION BY peg_id ORDER BY socket_id) AS role, socket_id FROM easy")
+def pick_easy(spark, sf_dir):
+    return easy_rows(spark, sf_dir).select("peg_id", F.concat(F.lit("E"), (F.col("pos") + 1).cast("string")).alias("role"), F.col("e.socket_id").alias("socket_id"))
+
+
+_HARD = ", best AS (SELECT peg_id, socket_id, sim, " + _iou("own_w", "own_h", "(own_w - 1.6)", "(own_h - 1.6)") + " AS made FROM pool QUALIFY row_number() OVER (PARTITION BY peg_id ORDER BY sim DESC, socket_id DESC) = 1), hard AS (SELECT peg_id, CASE WHEN made < sim THEN socket_id END AS hard_id, greatest(made, sim) AS hard_sim, CASE WHEN made < sim THEN 'catalog' ELSE 'constructed' END AS hard_kind FROM best)"
+
+
+@query("pick_hard", _POOL + _HARD + "SELECT peg_id, hard_id, round(hard_sim, 9) AS hard_sim, hard_kind FROM hard")
+def pick_hard(spark, sf_dir):
+    return R.pick_hard(R.pool(matrix(spark, sf_dir))).withColumn("hard_sim", F.round("hard_sim", 9))
+
+
+@query("eligibility", _EASY + _HARD + """, e AS (SELECT peg_id, count(*) AS n_easy, CASE WHEN count(*) = 3 THEN max(sim) END AS easy_max FROM easy GROUP BY peg_id), np AS (SELECT peg_id, count(*) AS n_pool FROM pool GROUP BY peg_id),
+x AS (SELECT o.peg_id, o.label, coalesce(n_pool, 0) AS n_pool, coalesce(n_easy, 0) AS n_easy, easy_max, hard_sim FROM matrix o LEFT JOIN e USING (peg_id) LEFT JOIN np USING (peg_id) LEFT JOIN hard USING (peg_id) WHERE o.peg_id = o.socket_id)
+SELECT peg_id, n_pool, n_easy, round(easy_max, 9) AS easy_max, round(hard_sim, 9) AS hard_sim, CASE WHEN label <> 'compatible' THEN 'own socket' WHEN n_easy < 3 THEN 'fewer than 3 distinct' WHEN hard_sim IS NULL THEN 'no hard candidate' WHEN hard_sim < 0.6 THEN 'hard too unlike' WHEN hard_sim - easy_max < 0.15 THEN 'tiers not separate' ELSE '' END AS reason,
+ (label = 'compatible' AND n_easy = 3 AND hard_sim >= 0.6 AND hard_sim - easy_max >= 0.15)::INTEGER AS eligible FROM x""")
+def eligibility(spark, sf_dir):
+    return R.eligibility(A.shapes(spark, sf_dir), "split").withColumns({c: F.round(c, 9) for c in ("easy_max", "hard_sim")})
+
+
+_CHOSEN = ", ce AS (SELECT peg_id, list(socket_id ORDER BY socket_id) AS s FROM easy GROUP BY peg_id HAVING count(*) = 3)"
+
+
+@query("regimes_unpivot", _EASY + _HARD + _CHOSEN + """SELECT peg_id, regime, slot, role, CASE role WHEN 'mate' THEN peg_id WHEN 'hard' THEN coalesce(hard_id, -peg_id) WHEN 'e1' THEN s[1] WHEN 'e2' THEN s[2] ELSE s[3] END AS cand FROM ce JOIN hard USING (peg_id),
+ (VALUES ('present_easy', 0, 'mate'), ('present_easy', 1, 'e1'), ('present_easy', 2, 'e2'), ('present_hard', 0, 'mate'), ('present_hard', 1, 'hard'), ('present_hard', 2, 'e2'), ('absent_easy', 0, 'e3'), ('absent_easy', 1, 'e1'), ('absent_easy', 2, 'e2'), ('absent_hard', 0, 'e3'), ('absent_hard', 1, 'hard'), ('absent_hard', 2, 'e2')) v(regime, slot, role)""")
+def regimes_unpivot(spark, sf_dir):
+    p = R.pool(matrix(spark, sf_dir))
+    easy = R.pick_easy(p).where(F.size("easy") == 3).select("peg_id", F.array_sort(F.transform("easy", lambda e: e["socket_id"])).alias("s"))
+    chosen = easy.join(R.pick_hard(p), "peg_id").select("peg_id", F.col("peg_id").alias("mate"), F.coalesce("hard_id", -F.col("peg_id")).alias("hard"), *[F.get("s", F.lit(i)).alias(f"e{i + 1}") for i in range(3)])
+    return R.regimes(chosen)
+
+
+@query("compat_per_peg", _PAIRS + ", n AS (SELECT s.split, s.part_id, count(x.socket_id) AS n FROM shapes s LEFT JOIN matrix x ON x.peg_id = s.part_id AND x.socket_id <> x.peg_id AND x.label = 'compatible' GROUP BY ALL) SELECT split, min(n) AS least, list_sort(list(n))[len(list(n)) // 2 + 1] AS median, max(n) AS most FROM n GROUP BY split")
+def compat_per_peg(spark, sf_dir):
+    return R.counts_per_peg(matrix(spark, sf_dir), A.shapes(spark, sf_dir), "split")
+
+
+@query("first_rung", A.SQL + "SELECT part_id, min(s) AS shrink FROM shapes, (SELECT unnest([0.3, 0.5, 0.7, 0.9, 1.2])::DOUBLE AS s) WHERE sqrt(2) * (bore_w - s - w) / 2 < -0.05::DOUBLE GROUP BY part_id")
+def first_rung(spark, sf_dir):
+    """Shrinks at which the own peg is surely too large, whichever way it is turned."""
+    return R.first_rung(A.shapes(spark, sf_dir).withColumns({"h": F.col("w"), "bore_h": F.col("bore_w")}), (0.3, 0.5, 0.7, 0.9, 1.2))
+
+
+@query("aperture_ladder", A.SQL + """, o AS (SELECT part_id, w, h, unnest([-1.2, -0.6, -0.3, 0.1, 0.3, 0.6, 1.2])::DOUBLE AS o FROM shapes)
+SELECT part_id, o AS offset_mm, CASE WHEN o >= 0.05 THEN 'compatible' WHEN round(-sqrt(2) * abs(o), 9) >= -0.05 THEN 'ambiguous' ELSE 'incompatible' END AS label, round(CASE WHEN o >= 0 THEN o ELSE -least(2, sqrt(2) * abs(o)) END, 6) AS margin FROM o WHERE w = h OR abs(w - h) > 8""")
+def aperture_ladder(spark, sf_dir):
+    """Seven bores per peg, from too tight to wide; for squares and shapes that no turn helps."""
+    rows = A.shapes(spark, sf_dir).where("w = h or abs(w - h) > 8").withColumn("offset_mm", F.explode(F.array(*map(F.lit, (-1.2, -0.6, -0.3, 0.1, 0.3, 0.6, 1.2)))))
+    grown = lambda c: F.col(c) + 2 * F.col("offset_mm")
+    out = rows.withColumns({k: v for k, v in R.label_columns(F.col("w"), F.col("h"), grown("w"), grown("h")).items() if k in ("label", "margin")})
+    return out.select("part_id", "offset_mm", "label", F.round("margin", 6).alias("margin"))
+
+
+@query("has_quarter_symmetry", A.SQL + "SELECT part_id, w = h AS symmetric FROM shapes")
+def has_quarter_symmetry(spark, sf_dir):
+    """Whether a quarter turn changes less than 0.001 of area."""
+    common = F.least("w", "h") * F.least("h", "w")
+    return A.shapes(spark, sf_dir).select("part_id", (2 * (F.col("w") * F.col("h") - common) <= 1e-3).alias("symmetric"))
+
+
+@query("nominal_bore", A.SQL + "SELECT part_id, round((w + 0.6) * (h + 0.6) - (4 - pi()) * 0.09, 9) AS area FROM shapes")
+def nominal_bore(spark, sf_dir):
+    """Area of the peg's outline grown by the clearance, with rounded corners."""
+    c = R.CLEARANCE
+    return A.shapes(spark, sf_dir).select("part_id", F.round(F.col("w") * F.col("h") + 2 * c * (F.col("w") + F.col("h")) + F.lit(3.141592653589793 * c * c), 9).alias("area"))
+
+
+@query("part_checks", A.SQL + "SELECT part_id, CASE WHEN w * h <= 0 THEN 'no area' WHEN greatest(w, h) > 29.4 THEN 'too large' WHEN (40 - greatest(bore_w, bore_h)) / 2 < 5 THEN 'thin wall' ELSE 'ok' END AS fault FROM shapes")
+def part_checks(spark, sf_dir):
+    w, h = F.col("w"), F.col("h")
+    fault = F.when(w * h <= 0, "no area").when(F.greatest(w, h) > R.MAX_EXTENT, "too large").when((R.BLOCK - F.greatest("bore_w", "bore_h")) / 2 < R.MIN_WALL, "thin wall").otherwise("ok")
+    return A.shapes(spark, sf_dir).select("part_id", fault.alias("fault"))
+
+
+@query("volumes", A.SQL + "SELECT part_id, w * h * 20 AS peg, round(40 * 40 * 26 - bore_w * bore_h * 22, 6) AS socket FROM shapes")
+def volumes(spark, sf_dir):
+    """Volume of the extruded peg, and of its block less the cavity."""
+    return A.shapes(spark, sf_dir).select("part_id", (F.col("w") * F.col("h") * 20).alias("peg"), F.round(1600 * 26 - F.col("bore_w") * F.col("bore_h") * 22, 6).alias("socket"))
+
+
+@query("centroid", A.SQL + "SELECT part_id, w / 2 AS x, h / 2 AS y, w * h AS area FROM shapes")
+def centroid(spark, sf_dir):
+    """Area centroid by the shoelace formula, of rectangles with a corner at the origin."""
+    ring = polygons.ring([(F.lit(0.0), F.lit(0.0)), (F.col("w"), F.lit(0.0)), (F.col("w"), F.col("h")), (F.lit(0.0), F.col("h"))])
+    c = A.shapes(spark, sf_dir).select("part_id", polygons.centroid(ring).alias("c"))
+    return c.select("part_id", "c.x", "c.y", "c.area")
+
+
+@query("profile_stats", A.SQL + "SELECT part_id, w AS width, h AS height, w * h AS area FROM shapes")
+def profile_stats(spark, sf_dir):
+    ring = polygons.ring([(-F.col("w") / 2, -F.col("h") / 2), (F.col("w") / 2, -F.col("h") / 2), (F.col("w") / 2, F.col("h") / 2), (-F.col("w") / 2, F.col("h") / 2)])
+    s = A.shapes(spark, sf_dir).select("part_id", ring.alias("r"))
+    span = lambda c: F.array_max(F.transform("r", lambda v: v[c])) - F.array_min(F.transform("r", lambda v: v[c]))
+    return s.select("part_id", span("x").alias("width"), span("y").alias("height"), polygons.centroid(F.col("r"))["area"].alias("area"))
+
+
+@query("wkt_parse")
+def wkt_parse(spark, sf_dir):
+    text = F.format_string("POLYGON ((0.000000 0.000000, %.6f 0.000000, %.6f %.6f, 0.000000 0.000000))", "w", "w", "h")
+    return A.shapes(spark, sf_dir).select("part_id", polygons.from_wkt(text).alias("ring"))
+
+
+@query("catalog_gen")
+def catalog_gen(spark, sf_dir):
+    return generators.parts(spark)
+
+
+@query("profile_vertices")
+def profile_vertices(spark, sf_dir):
+    return polygons.profiles(generators.parts(spark))
+
+
+@query("mirror_twins")
+def mirror_twins(spark, sf_dir):
+    return generators.mirror_twins(generators.parts(spark))
+
+
+@query("shift_fit")
+def shift_fit(spark, sf_dir):
+    return polygons.shift_fits(polygons.profiles(generators.parts(spark)))
+
+
+@query("raster")
+def raster(spark, sf_dir):
+    return polygons.rasters(polygons.profiles(generators.parts(spark)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Groups that are reported apart.
-EXPOSED = ("ALGERIA", "BRAZIL", "CHINA", "FRANCE", "INDIA", "JAPAN", "KENYA")
+EXPOSED = ("NATION_0", "NATION_3", "NATION_6", "NATION_9", "NATION_12", "NATION_15", "NATION_18")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
