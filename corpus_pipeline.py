@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm import decontam, packing, quality, simhash, suffix_dedup
-from sievemark.llm.common import stored, table
+from sievemark.llm.common import stored, table, unused
 
 #: Documents with a lower probability of good quality go.
 ACCEPT = 0.5
@@ -19,7 +19,8 @@ ACCEPT = 0.5
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, trained on labels, accepts."""
     net = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, net, out="__score").where(F.col("__score") >= ACCEPT).select(*docs.columns)
+    score = unused(docs.columns, "quality_score")
+    return quality.with_score(docs, net, out=score).where(F.col(score) >= ACCEPT).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, table
+from .common import LOWER, table, unused
 
 #: Bounds of the training sample.
 PER_LANGUAGE, MOST = 800, 64
@@ -176,13 +176,14 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languages:
 def with_language(docs: DataFrame, model: Languages, text: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    own = unused(docs.columns, "text_bytes")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # one table of n-gram slots a language, 1 MB each
 
     def run(batches):
         model = sent.value
         names = [*model.names, "und"]
         for b in batches:
-            at = b.schema.get_field_index("__text")
+            at = b.schema.get_field_index(own)
             texts = [t or b"" for t in b.column(at).to_pylist()]
             texts = [t if _LETTER.search(t.decode()) else b"" for t in texts]
             langs, shares, some, size = [], [], [], 0
@@ -198,7 +199,7 @@ def with_language(docs: DataFrame, model: Languages, text: str = "text") -> Data
             cols = [c for i, c in enumerate(b.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(np.concatenate(shares), pa.float64())], names=schema.names)
 
-    return docs.withColumn("__text", F.col(text).cast("binary")).mapInArrow(run, schema)
+    return docs.withColumn(own, F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 #: Bound of the training sample: rows of each class.
 PER_CLASS = 1500
@@ -71,6 +71,7 @@ class ByteNet:
     def forward(self, texts: list[bytes]):
         data, first, blocks = lay_out(texts)
         z = responses(data, self.filters)
+        z[first + blocks - 1, BLOCK // STRIDE - (WIDTH - 1) // STRIDE :] = 0  # windows of padding that reach into the next text
         top = np.maximum(z.max(axis=1) + self.bias, 0)
         largest, mean, nxt = pooled(top, first, blocks)
         feats = np.concatenate([largest, mean], axis=1)
@@ -145,12 +146,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Byt
 def with_score(docs: DataFrame, net: ByteNet, text: str = "text", out: str = "score") -> DataFrame:
     """docs with a double column: the probability of quality 1."""
     schema = docs.select("*", F.lit(0.0).alias(out)).schema
+    own = unused(docs.columns, "text_bytes")
     sent = docs.sparkSession.sparkContext.broadcast(net)  # some 130 kB
 
     def run(batches):
         model = sent.value
         for b in batches:
-            at = b.schema.get_field_index("__text")
+            at = b.schema.get_field_index(own)
             texts = [t or b"" for t in b.column(at).to_pylist()]
             found, some, size = [], [], 0
             for t in texts:
@@ -163,7 +165,7 @@ def with_score(docs: DataFrame, net: ByteNet, text: str = "text", out: str = "sc
             cols = [c for i, c in enumerate(b.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(found), pa.float64())], names=schema.names)
 
-    return docs.withColumn("__text", F.col(text).cast("binary")).mapInArrow(run, schema)
+    return docs.withColumn(own, F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

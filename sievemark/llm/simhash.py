@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored, table, words_of
+from .common import components, stored, table, unused, words_of
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: The 64 bits are counted in so many equal parts; a tile holds fingerprints with equal counts.
@@ -47,15 +47,16 @@ def simhash(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "simhash") -> DataFrame:
     """docs with a long column that holds the fingerprint's bits."""
     schema = docs.select("*", F.lit(0).cast("long").alias(out)).schema
+    own = unused(docs.columns, "text_bytes")
 
     def run(batches):
         for b in batches:
-            at = b.schema.get_field_index("__text")
+            at = b.schema.get_field_index(own)
             prints = np.array([simhash(t) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
             cols = [c for i, c in enumerate(b.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(prints)], names=schema.names)
 
-    return docs.withColumn("__text", F.col(text).cast("binary")).mapInArrow(run, schema)
+    return docs.withColumn(own, F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
 def _cell(fp: str):
