@@ -229,9 +229,11 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     def deal(values, by, bucket=None):
         """One row for each receiver: [bucket,] values."""
+        if not len(by):
+            return []
         order = np.argsort(by, kind="stable")
         values, by = values[order], by[order]
-        cut = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1]))) if len(by) else []
+        cut = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1])))
         head = np.array([bucket], "<i8").tobytes() if bucket is not None else b""
         return [(int(by[a]), head + values[a:b].tobytes()) for a, b in zip(cut, [*cut[1:], len(by)], strict=True)]
 
