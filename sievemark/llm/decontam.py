@@ -9,8 +9,8 @@ Only DataFrame operations are used. (explode_outer, not explode: for the latter
 array's size, which computes all shingles again for each word; the joins drop its null rows.) Words are runs of letters and digits, lower-cased; an item of fewer words than
 the shingle width is one shingle of all its words.
 
-Edge cases: null, empty or wordless texts and items match nothing; rows that repeat are matched each; a null
-doc_id is carried along; empty tables give an empty result; other columns are not read (kept by clean()).
+Edge cases: null, empty or wordless texts and items match nothing; equal documents (id and text) and equal items
+give one row; different texts under one id are matched each; null ids are carried along; empty tables give an empty result; other columns are not read (kept by clean()).
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def _widened(width: int) -> Column:
 
 
 def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """item_id, width, shingle, hash and n (distinct shingles of the item)."""
+    """item_id, item_key (of id and words), width, shingle, hash and n (distinct shingles of the item)."""
     w = items.select("item_id", words("text").alias("w")).where(F.size("w") > 0)
     parts = [
         w.where(F.size("w") >= k if k == width else F.size("w") == k).select("item_id", F.lit(k).alias("width"), _strings(k).alias("s"))
@@ -60,19 +60,19 @@ def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
     for p in parts[1:]:
         out = out.union(p)
     hashed = F.transform(F.split("shingle", " "), lambda x: F.xxhash64(x))
-    out = out.distinct().select("item_id", "width", F.size("s").alias("n"), F.explode_outer("s").alias("shingle")).withColumn("h", hashed)
+    out = out.distinct().select("item_id", F.xxhash64("item_id", "width", "s").alias("item_key"), "width", F.size("s").alias("n"), F.explode_outer("s").alias("shingle")).withColumn("h", hashed)
     by_width = F.coalesce(*[F.when(F.col("width") == k, F.xxhash64(F.lit(k), *(F.get("h", F.lit(i)) for i in range(k)))) for k in range(1, width + 1)])
-    return out.select("item_id", "width", "n", "shingle", by_width.alias("hash"))
+    return out.select("item_id", "item_key", "width", "n", "shingle", by_width.alias("hash"))
 
 
 def sketches(shingles: DataFrame, share: float = SHARE) -> DataFrame:
-    """item_id, hash and need (least number of shingles of a document that can match)."""
+    """item_key, hash and need (least number of shingles of a document that can match)."""
     from pyspark.sql import Window
 
     most = F.pow(2.0, F.floor(F.log2("n")) + 1) - 1  # of the item's size partition
     length = F.floor((1 - share) * most + 1e-9) + 1
-    rank = F.row_number().over(Window.partitionBy("item_id", "n").orderBy("hash"))
-    return shingles.withColumn("r", rank).where(F.col("r") <= length).select("item_id", "hash", F.ceil(share * F.col("n") - 1e-9).alias("need"))
+    rank = F.row_number().over(Window.partitionBy("item_key").orderBy("hash"))
+    return shingles.withColumn("r", rank).where(F.col("r") <= length).select("item_key", "hash", F.ceil(share * F.col("n") - 1e-9).alias("need"))
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
@@ -89,7 +89,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float
     hashed = hashed.select("doc_id", "text_key", F.concat(*[_hashes(k) for k in widths]).alias("x"))
     found = hashed.select("doc_id", "text_key", F.size("x").alias("size"), F.explode_outer("x").alias("hash"))
     found = found.join(near(sketches(shingles, share)), "hash").where("size >= need")
-    candidates = stored(found.select("doc_id", "text_key", "item_id").distinct(), "candidates")
+    candidates = stored(found.select("doc_id", "text_key", "item_key").distinct(), "candidates")
 
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
     some = candidates.select("doc_id", "text_key").distinct()
@@ -97,8 +97,8 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float
     texts = texts.select("doc_id", "text_key", words("text").alias("w")).distinct()
     parts = texts.select("doc_id", "text_key", F.explode_outer(F.concat(*map(_widened, widths))).alias("x"))
     parts = parts.select("doc_id", "text_key", "x.width", "x.shingle").join(near(shingles), ["width", "shingle"])
-    counts = parts.groupBy("doc_id", "text_key", "item_id", "n").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= share * F.col("n") - 1e-9)
-    sure = counts.join(candidates, same(counts, candidates) & (counts["item_id"] == candidates["item_id"]), "left_semi")
+    counts = parts.groupBy("doc_id", "text_key", "item_id", "item_key", "n").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= share * F.col("n") - 1e-9)
+    sure = counts.join(candidates, same(counts, candidates) & (counts["item_key"] == candidates["item_key"]), "left_semi")
     return sure.select("doc_id", "text_key", "item_id", F.col("n").cast("long").alias("n_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
