@@ -48,6 +48,7 @@ class Fingerprints:
         self.weights = _mix(np.arange(1, shingle + 1, dtype=np.uint64)) | np.uint64(1)
         grid = np.arange(ATTEMPTS, dtype=np.uint64)[:, None] * np.uint64(bins) + np.arange(bins, dtype=np.uint64)
         self.donors = (_mix(grid + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bins)).astype(np.int64)
+        self.salt = _mix(np.arange(bins, dtype=np.uint64) + np.uint64(0x51ED2701))
         self.shift = np.uint64(64 - (bins - 1).bit_length())
 
     def values(self, text: bytes | None) -> np.ndarray | None:
@@ -84,7 +85,8 @@ class Fingerprints:
             if len(empty):  # practically never: the next full bin
                 filled = np.flatnonzero(full)
                 bins[empty] = source[filled[np.searchsorted(filled, empty) % len(filled)]]
-        return (bins & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
+        # mixed with the bin's number, so that bins with one value agree with others by chance each for itself
+        return (_mix(bins + self.salt) & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
 
     def packed(self, values: np.ndarray | None) -> str:
         """Hexadecimal digits of the bins' bits."""
