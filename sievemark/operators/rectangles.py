@@ -87,17 +87,15 @@ def pool(matrix: DataFrame) -> DataFrame:
 def pick_easy(pool_: DataFrame) -> DataFrame:
     """(peg_id, easy): three sockets, the least similar first, none too like one chosen before; fewer if there are none.
 
-    Three steps, each the best of what the earlier choices leave; pools are of one catalogue."""
-    socket = F.struct("socket_id", "bore_w", "bore_h", "sim", "margin")
-    rows = pool_.groupBy("peg_id").agg(F.sort_array(F.collect_list(F.struct("sim", "socket_id", "bore_w", "bore_h", "margin"))).alias("p"))
-
-    def step(chosen, x):
-        clash = F.exists(chosen, lambda c: similarity(c["bore_w"], c["bore_h"], x["bore_w"], x["bore_h"]) > MAX_PAIR_SIMILARITY)
-        return F.when((F.size(chosen) >= 3) | clash, chosen).otherwise(F.concat(chosen, F.array(x)))
-
-    first = F.slice("p", 1, 1)
-    del socket
-    return rows.select("peg_id", F.aggregate(F.slice("p", 2, F.size("p")), first, step).alias("easy"))
+    Three aggregations, each the least of what the earlier choices leave."""
+    rows = pool_.select("peg_id", F.struct("sim", "socket_id", "bore_w", "bore_h", "margin").alias("x"))
+    apart = lambda c: similarity(F.col(f"{c}.bore_w"), F.col(f"{c}.bore_h"), F.col("x.bore_w"), F.col("x.bore_h")) <= MAX_PAIR_SIMILARITY
+    later = lambda c: F.struct("x.sim", "x.socket_id") > F.struct(f"{c}.sim", f"{c}.socket_id")
+    first = rows.groupBy("peg_id").agg(F.min("x").alias("a"))
+    second = rows.join(first, "peg_id").where(later("a") & apart("a")).groupBy("peg_id").agg(F.min("x").alias("b"), F.first("a").alias("a"))
+    third = rows.join(second, "peg_id").where(later("b") & apart("a") & apart("b")).groupBy("peg_id").agg(F.min("x").alias("c"))
+    chosen = first.join(second.select("peg_id", "b"), "peg_id", "left").join(third, "peg_id", "left")
+    return chosen.select("peg_id", F.array_compact(F.array("a", "b", "c")).alias("easy"))
 
 
 def pick_hard(pool_: DataFrame) -> DataFrame:
