@@ -124,17 +124,23 @@ def compat_per_peg(spark, sf_dir):
     return R.counts_per_peg(matrix(spark, sf_dir), A.shapes(spark, sf_dir), "split")
 
 
-@query("first_rung", A.SQL + "SELECT part_id, min(s) AS shrink FROM shapes, (SELECT unnest([0.3, 0.5, 0.7, 0.9, 1.2])::DOUBLE AS s) WHERE sqrt(2) * (bore_w - s - w) / 2 < -0.05::DOUBLE GROUP BY part_id")
+def _margin(w: str, h: str, bw: str, bh: str) -> str:
+    """Best margin over turns, as SQL."""
+    one = lambda x, y: f"(CASE WHEN {bw} >= {x} AND {bh} >= {y} THEN least({bw} - {x}, {bh} - {y}) / 2 ELSE -least(2, sqrt(power(greatest({x} - {bw}, 0) / 2, 2) + power(greatest({y} - {bh}, 0) / 2, 2))) END)"
+    return f"greatest({one(w, h)}, {one(h, w)})"
+
+
+@query("first_rung", A.SQL + f", s AS (SELECT part_id, s, {_margin('w', 'h', '(bore_w - s)', '(bore_h - s)')} AS m FROM shapes, (SELECT unnest([0.3, 0.5, 0.7, 0.9, 1.2])::DOUBLE AS s)) SELECT part_id, min(s) AS shrink FROM s WHERE m < -0.05::DOUBLE GROUP BY part_id")
 def first_rung(spark, sf_dir):
-    """Shrinks at which the own peg is surely too large, whichever way it is turned."""
-    return R.first_rung(A.shapes(spark, sf_dir).withColumns({"h": F.col("w"), "bore_h": F.col("bore_w")}), (0.3, 0.5, 0.7, 0.9, 1.2))
+    """The first shrink of the bore at which the own peg is surely too large, whichever way it is turned."""
+    return R.first_rung(A.shapes(spark, sf_dir), (0.3, 0.5, 0.7, 0.9, 1.2))
 
 
-@query("aperture_ladder", A.SQL + """, o AS (SELECT part_id, w, h, unnest([-1.2, -0.6, -0.3, 0.1, 0.3, 0.6, 1.2])::DOUBLE AS o FROM shapes)
-SELECT part_id, o AS offset_mm, CASE WHEN o >= 0.05 THEN 'compatible' WHEN round(-sqrt(2) * abs(o), 9) >= -0.05 THEN 'ambiguous' ELSE 'incompatible' END AS label, round(CASE WHEN o >= 0 THEN o ELSE -least(2, sqrt(2) * abs(o)) END, 6) AS margin FROM o WHERE w = h OR abs(w - h) > 8""")
+@query("aperture_ladder", A.SQL + f""", o AS (SELECT part_id, w, h, unnest([-1.2, -0.6, -0.3, 0.1, 0.3, 0.6, 1.2])::DOUBLE AS o FROM shapes), m AS (SELECT *, {_margin('w', 'h', '(w + 2 * o)', '(h + 2 * o)')} AS m FROM o)
+SELECT part_id, o AS offset_mm, CASE WHEN m >= 0.05::DOUBLE THEN 'compatible' WHEN m >= -0.05::DOUBLE THEN 'ambiguous' ELSE 'incompatible' END AS label, round(m, 6) AS margin FROM m""")
 def aperture_ladder(spark, sf_dir):
-    """Seven bores per peg, from too tight to wide; for squares and shapes that no turn helps."""
-    rows = A.shapes(spark, sf_dir).where("w = h or abs(w - h) > 8").withColumn("offset_mm", F.explode(F.array(*map(F.lit, (-1.2, -0.6, -0.3, 0.1, 0.3, 0.6, 1.2)))))
+    """Seven bores per peg, from too tight to wide."""
+    rows = A.shapes(spark, sf_dir).withColumn("offset_mm", F.explode(F.array(*map(F.lit, (-1.2, -0.6, -0.3, 0.1, 0.3, 0.6, 1.2)))))
     grown = lambda c: F.col(c) + 2 * F.col("offset_mm")
     out = rows.withColumns({k: v for k, v in R.label_columns(F.col("w"), F.col("h"), grown("w"), grown("h")).items() if k in ("label", "margin")})
     return out.select("part_id", "offset_mm", "label", F.round("margin", 6).alias("margin"))
