@@ -17,7 +17,7 @@ with as many bytes as make chance meetings rare at the corpus' size; these cost
 
 Edge cases: null text is empty text; texts shorter than the window lose nothing; rows that share a doc_id never
 make each other repeats; a null doc_id counts as smaller than all others; an empty table gives an empty
-result; all other columns are kept whatever their names (internal ones start with __sd_).
+result; all other columns are kept (by cleaned() whatever their names; dedup_windows() adds __sd_ columns).
 """
 
 from __future__ import annotations
@@ -214,7 +214,7 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     dealt = docs.withColumns({
         "__sd_text": F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")),
         "__sd_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)),
-        "__sd_bucket": F.pmod(F.xxhash64(doc_id, F.lit(3)), F.lit(buckets)).cast("int"),
+        "__sd_bucket": F.pmod(F.xxhash64(doc_id, text), F.lit(buckets)).cast("int"),
     }).drop(text)
     packed = "__sd_bucket int, __sd_data binary"
 
@@ -418,12 +418,13 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
 def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with repeated windows cut out of text (and n_chars, if there, counted again); same columns."""
-    out = dedup_windows(docs, window=window, whole_chars=True)
-    new = {"text": F.when(F.col("__sd_bytes") > F.col("__sd_removed"), F.decode("__sd_kept", "UTF-8")).otherwise(F.lit(""))}
-    out = out.withColumns(new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column is called like an internal one
+    out = dedup_windows(docs.toDF(*own.values()), own["doc_id"], own["text"], window, whole_chars=True)
+    text = F.when(F.col("__sd_bytes") > F.col("__sd_removed"), F.decode("__sd_kept", "UTF-8")).otherwise(F.lit(""))
+    out = out.withColumn(own["text"], text)
+    if "n_chars" in own:
+        out = out.withColumn(own["n_chars"], F.length(own["text"]).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(new).alias(c) for c, new in own.items()])
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 import hashlib
 import re
-from functools import partial
 
 import numpy as np
 import pytest
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from sievemark.llm import decontam, license_scan, simhash, suffix_dedup
 from sievemark.llm.common import components, words_of
 
-from .conftest import corpus, prose  # noqa: F401
+from .conftest import corpus, prose
 
 
 def rows(df, *cols):
@@ -135,6 +134,8 @@ def test_suffix_odd(spark, odd, empty):
     assert rows(suffix_dedup.cleaned(same), "text") == [(line,), (line,)]
     assert suffix_dedup.cleaned(odd).columns == odd.columns and suffix_dedup.cleaned(odd).count() == odd.count()
     assert suffix_dedup.cleaned(empty).count() == 0
+    taken = same.withColumns({c: F.lit(1) for c in ("__sd_text", "__sd_kept", "__sd_bucket")})
+    assert suffix_dedup.cleaned(taken).columns == taken.columns and suffix_dedup.cleaned(taken).count() == 2
 
 
 def test_whole_chars(spark):
@@ -224,4 +225,3 @@ def test_licences_against_all_pairs(spark, docs):
 
 def test_words():
     assert words_of("A\tb\x0bC\x1cd É ".encode()) == [b"a", b"b", b"c\x1cd", "É".encode()] and words_of(None) == []
-    assert partial and F
