@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_license_scan": license_scan.ORACLE, "op7_decontamination": decontam.ORACLE}
+    return {"op2_license_scan": license_scan.ORACLE, "op7_decontamination": decontam.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE}

@@ -430,3 +430,18 @@ def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__sd_bytes").alias("n_bytes"), F.col("__sd_removed").alias("n_removed"), F.col("__sd_spans").alias("n_spans"), F.sha2("__sd_kept", 256).alias("kept_sha256"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, {2 * WINDOW}) AS s FROM (SELECT doc_id, x, unnest(range(0, n - {WINDOW - 1})) AS i FROM d WHERE n >= {WINDOW})),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+hit AS (SELECT w.doc_id, w.i FROM w JOIN f ON w.s = f.s AND f.first < w.doc_id),
+cut AS (SELECT *, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {WINDOW}, -1) AS new FROM hit),
+run AS (SELECT doc_id, k, min(i) AS a, max(i) + {WINDOW} AS b FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM cut) GROUP BY doc_id, k),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS x FROM (
+  SELECT r.doc_id, d.x, a, coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS p FROM (SELECT doc_id, a, b FROM run UNION ALL SELECT doc_id, n, n FROM d) r JOIN d ON d.doc_id = r.doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.x)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
