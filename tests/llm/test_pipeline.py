@@ -56,7 +56,7 @@ def test_registry():
 
 
 @pytest.mark.skipif(not DATA.is_dir(), reason="no test tables")
-@pytest.mark.parametrize("name", registry.oracle_sql())
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_against_sql(spark, name):
     import duckdb
 
