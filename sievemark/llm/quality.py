@@ -24,6 +24,9 @@ from .common import table, unused
 PER_CLASS = 1500
 WIDTH, STRIDE, FILTERS, BLOCK = 8, 4, 16, 256
 EPOCHS, BATCH, RATE, SEED = 20, 64, 0.02, 7
+#: Share of label-1 rows of which a short run of words is learned as well, and its most words: so that a short
+#: text is not taken for a poor one. (Parts of label-0 texts may be good, so these are learned whole only.)
+FRAGMENTS, FRAGMENT = 0.15, 24
 #: Bytes that are scored at once.
 AT_ONCE = 1 << 20
 
@@ -140,7 +143,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Byt
         return ByteNet(min(max(float(y.mean()), 0.001), 0.999) if len(y) else 0.5)
     few, many = sorted((np.flatnonzero(y == 0), np.flatnonzero(y == 1)), key=len)
     again = np.concatenate([np.resize(few, len(many)), many])
-    return ByteNet().fit([bytes(rows[i]["text"]) for i in again], y[again])
+    texts, rng = [bytes(rows[i]["text"]) for i in again], np.random.default_rng(SEED)
+    parts = []
+    for i in np.flatnonzero(y == 1):
+        if rng.random() < FRAGMENTS:
+            words = bytes(rows[i]["text"]).split(b" ")
+            size = int(rng.integers(2, FRAGMENT + 1))
+            at = int(rng.integers(0, max(1, len(words) - size)))
+            parts.append(b" ".join(words[at : at + size]))
+    return ByteNet().fit(texts + parts, np.concatenate([y[again], np.ones(len(parts), np.float32)]))
 
 
 def with_score(docs: DataFrame, net: ByteNet, text: str = "text", out: str = "score") -> DataFrame:
