@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import ratio
 
+#: Repetitions and seeds.
 REPS, SEED = 2000, 20260924
 LADDER_SEED = 20260923
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import ratio
 
+#: The coverage target and the grids of thresholds.
 TARGET, TOLERANCE = 0.70, 1e-12
 TAUS = tuple(round(0.1 * i, 2) for i in range(11))
 DELTAS = (0.0, 0.05, 0.1, 0.2, 0.3, 0.5)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import ratio
 
+#: Names of the reported counts, and of the ratios with their two counts.
 COUNTS = ("n", "n_present", "n_absent", "selected", "correct", "wrong", "deferred", "failures", "present_selected", "absent_selected", "top1_correct")
 RATIOS = {
     "coverage": ("selected", "n"), "present_coverage": ("present_selected", "n_present"), "accepted_risk": ("wrong", "selected"), "correct_yield": ("correct", "n_present"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import is_finite, ratio
 
+#: Reporting cap, tolerance of a step, and the margin bins with their names.
 CAP, STEP_TOLERANCE = -2.0, 1e-12
 EDGES = (-2.0, -1.0, -0.5, -0.15, -0.05, 0.05, 0.15)
 NAMES = ("(-2,-1)", "[-1,-0.5)", "[-0.5,-0.15)", "[-0.15,-0.05)", "[-0.05,0.05)", "[0.05,0.15)", "[0.15,+inf)")

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed values, in millimetres and shares.
 BAND, CAP, LOOSE, CLEARANCE = 0.05, 2.0, 0.6, 0.3
 MAX_EXTENT, MIN_WALL, BLOCK = 29.4, 5.0, 40.0
 MAX_PAIR_SIMILARITY, MIN_HARD, MIN_GAP = 0.8, 0.6, 0.15

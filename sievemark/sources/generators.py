@@ -8,51 +8,59 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Seed and sizes of the split of families.
 SPLIT_SEED = 20260922
 SPLIT_SIZES = {"dev": 4, "calib": 7, "test": 7}
 
-#: Families in their order, names of a family's sizes, and the sizes of its members (m: mirrored).
+#: Part families in their order, and the sizes of each family's members in millimetres.
 SIZES = {
-    "circle": ("d", ["10", "13", "16", "20", "24"]),
-    "square": ("s", ["10", "13", "16", "20"]),
-    "rect": ("w h", ["20 8", "20 10", "16 8", "24 12", "12 6"]),
-    "obround": ("w h", ["20 8", "16 8", "24 10", "14 6"]),
-    "ellipse": ("w h", ["20 12", "18 10", "24 16"]),
-    "polygon": ("n r", ["3 11", "5 10", "6 10", "6 8", "8 10"]),
-    "dshape": ("d flat", ["16 2", "16 4", "16 6", "20 4"]),
-    "double_d": ("d flat", ["16 2", "16 4", "20 3"]),
-    "cross": ("w h arm", ["20 20 5", "20 20 8", "16 16 6", "20 14 6"]),
-    "tee": ("w h t", ["20 16 6", "20 16 4", "16 20 6"]),
-    "ell": ("w h t", ["18 18 6", "18 18 6 m", "20 14 6", "20 14 6 m", "18 18 4", "18 18 4 m"]),
-    "star": ("n r_out r_in", ["4 11 5.5", "5 11 5.5", "6 11 5.5", "5 11 7"]),
-    "keyed": ("d key_w key_h keys", ["16 3 2 n", "16 5 2 n", "16 3 2 ns", "16 3 2 ne", "20 4 2 n"]),
-    "notched": ("w h nw nh dx", ["16 12 6 3 0", "16 12 6 3 -4", "16 12 6 3 -4 m", "16 12 8 4 0"]),
-    "trapezoid": ("top bottom h", ["20 14 8", "20 16 8", "16 12 8"]),
-    "chamfered": ("w h c", ["18 8 3", "18 8 3 m", "18 8 5", "14 8 3"]),
-    "gear": ("n r_tip r_root", ["6 11 8.5", "8 11 8.5", "12 11 9"]),
-    "tube": ("d_out d_in", ["14 6", "14 9", "18 10"]),
+    "circle": [{"d": 10}, {"d": 13}, {"d": 16}, {"d": 20}, {"d": 24}],
+    "square": [{"s": 10}, {"s": 13}, {"s": 16}, {"s": 20}],
+    "rect": [{"w": 20, "h": 8}, {"w": 20, "h": 10}, {"w": 16, "h": 8}, {"w": 24, "h": 12}, {"w": 12, "h": 6}],
+    "obround": [{"w": 20, "h": 8}, {"w": 16, "h": 8}, {"w": 24, "h": 10}, {"w": 14, "h": 6}],
+    "ellipse": [{"w": 20, "h": 12}, {"w": 18, "h": 10}, {"w": 24, "h": 16}],
+    "polygon": [{"n": 3, "r": 11}, {"n": 5, "r": 10}, {"n": 6, "r": 10}, {"n": 6, "r": 8}, {"n": 8, "r": 10}],
+    "dshape": [{"d": 16, "flat": 2}, {"d": 16, "flat": 4}, {"d": 16, "flat": 6}, {"d": 20, "flat": 4}],
+    "double_d": [{"d": 16, "flat": 2}, {"d": 16, "flat": 4}, {"d": 20, "flat": 3}],
+    "cross": [{"w": 20, "h": 20, "arm": 5}, {"w": 20, "h": 20, "arm": 8}, {"w": 16, "h": 16, "arm": 6}, {"w": 20, "h": 14, "arm": 6}],
+    "tee": [{"w": 20, "h": 16, "t": 6}, {"w": 20, "h": 16, "t": 4}, {"w": 16, "h": 20, "t": 6}],
+    "ell": [
+        {"w": 18, "h": 18, "t": 6},
+        {"w": 18, "h": 18, "t": 6, "mirror": True},
+        {"w": 20, "h": 14, "t": 6},
+        {"w": 20, "h": 14, "t": 6, "mirror": True},
+        {"w": 18, "h": 18, "t": 4},
+        {"w": 18, "h": 18, "t": 4, "mirror": True},
+    ],
+    "star": [
+        {"n": 4, "r_out": 11, "r_in": 5.5},
+        {"n": 5, "r_out": 11, "r_in": 5.5},
+        {"n": 6, "r_out": 11, "r_in": 5.5},
+        {"n": 5, "r_out": 11, "r_in": 7},
+    ],
+    "keyed": [
+        {"d": 16, "key_w": 3, "key_h": 2, "keys": "n"},
+        {"d": 16, "key_w": 5, "key_h": 2, "keys": "n"},
+        {"d": 16, "key_w": 3, "key_h": 2, "keys": "ns"},
+        {"d": 16, "key_w": 3, "key_h": 2, "keys": "ne"},
+        {"d": 20, "key_w": 4, "key_h": 2, "keys": "n"},
+    ],
+    "notched": [
+        {"w": 16, "h": 12, "nw": 6, "nh": 3, "dx": 0},
+        {"w": 16, "h": 12, "nw": 6, "nh": 3, "dx": -4},
+        {"w": 16, "h": 12, "nw": 6, "nh": 3, "dx": -4, "mirror": True},
+        {"w": 16, "h": 12, "nw": 8, "nh": 4, "dx": 0},
+    ],
+    "trapezoid": [{"top": 20, "bottom": 14, "h": 8}, {"top": 20, "bottom": 16, "h": 8}, {"top": 16, "bottom": 12, "h": 8}],
+    "chamfered": [{"w": 18, "h": 8, "c": 3}, {"w": 18, "h": 8, "c": 3, "mirror": True}, {"w": 18, "h": 8, "c": 5}, {"w": 14, "h": 8, "c": 3}],
+    "gear": [{"n": 6, "r_tip": 11, "r_root": 8.5}, {"n": 8, "r_tip": 11, "r_root": 8.5}, {"n": 12, "r_tip": 11, "r_root": 9}],
+    "tube": [{"d_out": 14, "d_in": 6}, {"d_out": 14, "d_in": 9}, {"d_out": 18, "d_in": 10}],
 }
 
 
-def _number(x: str):
-    try:
-        v = float(x)
-    except ValueError:
-        return x
-    return int(v) if v == int(v) else v
-
-
 def part_list() -> list[tuple[str, str, str]]:
     """(part_id, family, params as JSON with sorted keys) of the whole catalogue."""
-    out = []
-    for family, (names, members) in SIZES.items():
-        for i, member in enumerate(members, 1):
-            values = member.split()
-            params = dict(zip(names.split(), map(_number, values), strict=False))
-            if values[-1] == "m":
-                params["mirror"] = True
-            out.append((f"{family}_{i:02d}", family, json.dumps(params, sort_keys=True)))
-    return out
+    return [(f"{family}_{i:02d}", family, json.dumps(params, sort_keys=True)) for family, members in SIZES.items() for i, params in enumerate(members, 1)]
 
 
 def parts(spark: SparkSession) -> DataFrame:
