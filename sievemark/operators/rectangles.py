@@ -26,15 +26,19 @@ def gap(w: Column, h: Column, bw: Column, bh: Column) -> Column:
     return F.hypot((bw - w) / 2, (bh - h) / 2)
 
 
-def label_columns(w: Column, h: Column, bw: Column, bh: Column) -> dict[str, Column]:
-    """margin at the best turn (ties: the smaller), turn, label, reason, max_gap and loose."""
-    flat, turned = margin(w, h, bw, bh), margin(h, w, bw, bh)
+def measures(w: Column, h: Column, bw: Column, bh: Column) -> Column:
+    """Margin and gap as the peg lies and after a quarter turn."""
+    return F.struct(margin(w, h, bw, bh).alias("flat"), margin(h, w, bw, bh).alias("turned"), gap(w, h, bw, bh).alias("flat_gap"), gap(h, w, bw, bh).alias("turned_gap"))
+
+
+def label_columns(m: Column) -> dict[str, Column]:
+    """From measures: margin at the best turn (ties: the smaller), turn, label, reason, max_gap and loose."""
+    flat, turned = m["flat"], m["turned"]
     any_fit = (flat >= 0) | (turned >= 0)
-    usable = lambda m: F.when(any_fit & (m < 0), float("-inf")).otherwise(m)
-    best = F.greatest(usable(flat), usable(turned))
+    usable = lambda x: F.when(any_fit & (x < 0), float("-inf")).otherwise(x)
+    best = F.greatest(flat, turned)  # a turn that fits exceeds all that don't
     label = F.when(best >= BAND, "compatible").when(best >= -BAND, "ambiguous").otherwise("incompatible")
-    fit = lambda m, g: F.when(m >= BAND, g)
-    widest = F.least(fit(flat, gap(w, h, bw, bh)), fit(turned, gap(h, w, bw, bh)))
+    widest = F.least(F.when(flat >= BAND, m["flat_gap"]), F.when(turned >= BAND, m["turned_gap"]))
     return {
         "margin": best, "turn": F.when(usable(flat) >= usable(turned), 0).otherwise(90), "label": label, "reason": F.when(label == "ambiguous", "boundary").otherwise(""),
         "max_gap": widest, "loose": (F.coalesce(widest, F.lit(0.0)) > LOOSE).cast("int"),
@@ -58,8 +62,15 @@ def pairs(shapes: DataFrame, *by: str) -> DataFrame:
     return left.join(right, [*by])
 
 
+def labelled(rows: DataFrame, w: Column, h: Column, bw: Column, bh: Column) -> DataFrame:
+    """rows with the label columns. Measures are made as rows of a generator, once each: filters on labels are not
+    moved below it, where each would work them out again."""
+    out = rows.select("*", F.explode_outer(F.array(measures(w, h, bw, bh))).alias("__m"))
+    return out.withColumns(label_columns(F.col("__m"))).drop("__m")
+
+
 def label_matrix(shapes: DataFrame, *by: str) -> DataFrame:
-    return pairs(shapes, *by).withColumns(label_columns(*map(F.col, ("w", "h", "bore_w", "bore_h"))))
+    return labelled(pairs(shapes, *by), *map(F.col, ("w", "h", "bore_w", "bore_h")))
 
 
 def near_duplicates(shapes: DataFrame, least: float) -> DataFrame:
@@ -111,8 +122,8 @@ def first_rung(shapes: DataFrame, shrinks: tuple[float, ...]) -> DataFrame:
     """(part_id, shrink): the first of a list of shrinks at which the own peg no longer fits."""
     rung = F.posexplode(F.array(*map(F.lit, shrinks)))
     rows = shapes.select("part_id", "w", "h", "bore_w", "bore_h", rung.alias("pos", "shrink"))
-    cols = label_columns(F.col("w"), F.col("h"), F.col("bore_w") - F.col("shrink"), F.col("bore_h") - F.col("shrink"))
-    return rows.withColumn("label", cols["label"]).where("label = 'incompatible'").groupBy("part_id").agg(F.min_by("shrink", "pos").alias("shrink"))
+    rows = labelled(rows, F.col("w"), F.col("h"), F.col("bore_w") - F.col("shrink"), F.col("bore_h") - F.col("shrink"))
+    return rows.where("label = 'incompatible'").groupBy("part_id").agg(F.min_by("shrink", "pos").alias("shrink"))
 
 
 def eligibility(shapes: DataFrame, *by: str) -> DataFrame:

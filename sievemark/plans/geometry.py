@@ -142,7 +142,7 @@ def aperture_ladder(spark, sf_dir):
     """Seven bores per peg, from too tight to wide."""
     rows = A.shapes(spark, sf_dir).withColumn("offset_mm", F.explode(F.array(*map(F.lit, (-1.2, -0.6, -0.3, 0.1, 0.3, 0.6, 1.2)))))
     grown = lambda c: F.col(c) + 2 * F.col("offset_mm")
-    out = rows.withColumns({k: v for k, v in R.label_columns(F.col("w"), F.col("h"), grown("w"), grown("h")).items() if k in ("label", "margin")})
+    out = R.labelled(rows, F.col("w"), F.col("h"), grown("w"), grown("h"))
     return out.select("part_id", "offset_mm", "label", F.round("margin", 6).alias("margin"))
 
 

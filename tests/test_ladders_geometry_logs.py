@@ -53,7 +53,7 @@ def test_rank_statistics(spark):
 
 def label(spark, w, h, bw, bh):
     df = spark.createDataFrame([(float(w), float(h), float(bw), float(bh))], "w double, h double, bore_w double, bore_h double")
-    return df.select(*[c.alias(k) for k, c in R.label_columns(*map(F.col, df.columns)).items()]).first()
+    return df.select(*[c.alias(k) for k, c in R.label_columns(R.measures(*map(F.col, df.columns))).items()]).first()
 
 
 def test_labels(spark):
