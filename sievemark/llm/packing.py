@@ -29,8 +29,8 @@ from .common import LOWER, table
 
 LENGTH, SEGMENTS, END = 2048, 256, 1
 BLOCK = 1024
-#: Words whose ids a task remembers.
-CACHE = 1 << 20
+#: Pieces whose ids a task remembers, and up to how many its worker keeps for later tasks.
+CACHE, KEEP = 1 << 20, 450_000
 
 
 #: What the vocabulary's pre-tokenizer splits by.
@@ -126,6 +126,12 @@ class WordTokens:
             kept[path] = cls(path)
         return kept[path]
 
+    def trim(self):
+        """Forgets what is too much to keep while the worker does other work."""
+        for memory in (self.whole, *([self.bare] if self.latin else [])):
+            if len(memory.at) > KEEP:
+                memory.clear()
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         # a special token's name may stand in a text, and must not arise from lower-casing
         latin = [self.latin and b"<|" not in t and (t.isascii() or not FOREIGN.search(t.decode())) for t in texts]
@@ -237,6 +243,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, segme
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+        words.trim()
 
     share = F.coalesce(F.col(loss_share), F.lit(1.0)) if loss_share else F.lit(1.0)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), share.cast("double").alias("share")).mapInArrow(run, fields)
