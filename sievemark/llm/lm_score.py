@@ -5,10 +5,12 @@ longest context that the trie has; if it is new there, an escape is coded and th
 used, without the symbols already refused (exclusion). The escape gets what the context's occurrences leave
 after its own symbols, and DISCOUNT of a count of each of these.
 
-Counts cover every training document. What is sent to the executors is bounded whatever the corpus: of each
-order only grams that make up at least one in GRAMS of all symbols stay (so at most GRAMS of them; all suffixes
-of a gram that stays stay too), and words of at least one in WORDS of all tokens. Rarer words are joined
-with their counts by a shuffle, where no word has more than one in WORDS of the rows.
+Counts cover every training document, and every gram that occurs LEAST times is in the model, whatever the size of
+the corpus. Contexts that end with the same LOW bytes make up a part of the trie, and a part never leaves the
+executors: each chunk of texts sends its distinct codes to the parts and gets their probabilities back. Sent to all
+are grams of up to LOW bytes only, which depend on the alphabet and not on the corpus, and words of at least one in
+WORDS of all tokens. Rarer words are joined with their counts by a shuffle, where no word has more than one in WORDS
+of the rows.
 
 Texts are scored as lower-cased words joined by single spaces and an end, after an end. Words are compared by
 64-bit hashes.
@@ -31,14 +33,18 @@ from pyspark.sql import functions as F
 from .common import stored, table, words_of
 
 ORDER = 6
-GRAMS, WORDS = 1 << 21, 1 << 19
+WORDS = 1 << 19
+#: Grams of up to so many bytes are sent to all; longer ones are in the part of the LOW bytes before their last.
+LOW = 3
+#: Bytes of training text for each part of the trie; distinct codes and bytes after which a chunk of texts ends.
+PART, CHUNK_CODES, CHUNK = 8 << 20, 1_500_000, 24 << 20
 #: Longer grams that occur less often are left to the escape.
 LEAST = 2
 #: What each symbol of a context leaves to the escape.
 DISCOUNT = 0.5
 AT_ONCE, MEMORY = 1 << 20, 200_000
 END = b"\n"
-GRAM, WORD, DOCS = 0, 1, 2
+GRAM, WORD, DOCS, PACKED = 0, 1, 2, 3
 
 
 def codes(streams: list[bytes], order: int = ORDER):
@@ -57,10 +63,11 @@ def codes(streams: list[bytes], order: int = ORDER):
 class Trie:
     """Sorted grams of each length, with their counts; contexts with their totals and exclusions."""
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], total: int):
-        """grams: for each order the codes (context, then symbol in the lowest byte) and counts; total: all symbols."""
+    def __init__(self, grams: list[tuple], total: int):
+        """grams: for each order the codes (context, then symbol in the lowest byte) and counts, and, where the order
+        below may lack them, how often each context occurs, by context; total: all symbols."""
         self.total, self.levels = total, []
-        for k, (code, n) in enumerate(grams):
+        for k, (code, n, *occurs) in enumerate(grams):
             sort = np.argsort(code)
             code, n = code[sort].astype(np.uint64), n[sort].astype(np.float64)
             context = code >> np.uint64(8)
@@ -72,8 +79,11 @@ class Trie:
                 seen, refused = np.full(len(start), float(total)), np.zeros(len(start))
             else:
                 below = self.levels[-1]
-                at = self.find(below["code"], names)[0]
-                seen = np.maximum(below["n"][at] if len(start) else np.zeros(0), kept)
+                if occurs:
+                    seen = occurs[0].astype(np.float64)
+                else:
+                    at, there = self.find(below["code"], names)
+                    seen = np.maximum(np.where(there, below["n"][at], 0) if len(below["n"]) else 0, kept)
                 shorter = self.find(below["code"], code & np.uint64((1 << 8 * k) - 1))[0]
                 refused = np.add.reduceat(below["n"][shorter], start) if len(start) else np.zeros(0)
             self.levels.append({"code": code, "n": n, "names": names, "kept": kept, "symbols": symbols, "seen": seen, "refused": refused})
@@ -132,7 +142,7 @@ def held_out() -> Column:
 
 def _planes(x: np.ndarray) -> bytes:
     """Numbers byte by byte, highest bytes first: sorted ones compress well this way."""
-    return np.ascontiguousarray(x.astype(x.dtype.newbyteorder(">")).view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.astype(x.dtype.newbyteorder(">")).view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
 
 
 def _numbers(data: bytes, kind: str, n: int) -> np.ndarray:
@@ -148,18 +158,37 @@ def merged(parts):
     return key, np.bincount(where, n, len(key)).astype(np.int64)
 
 
-def count_all(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(kind, length, key, n): counts of words by hash (WORD) and documents (DOCS), and of grams of up to order + 1
-    bytes that make up at least one in GRAMS of all symbols (GRAM; for lengths 1 and 2 partial sums of all grams).
+def receivers(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
 
-    Each task packs its counts by receiver. Grams are dealt out by their last three bytes, so that a receiver has all
-    there is to know about the shorter grams that they end with."""
+
+def owners(code: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each code: that of the LOW bytes before its last."""
+    return receivers(code >> np.uint64(8) & np.uint64((1 << 8 * LOW) - 1), parts)
+
+
+def parts_of(docs: DataFrame) -> int:
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(1, min(1 << 20, size // (16 << 20)))
+    return max(1, min(1 << 20, size // PART))
+
+
+def unpacked(data: bytes):
+    """Codes, counts, and how often each context occurs, of a PACKED row."""
+    n, contexts = np.frombuffer(data, "<i8", 2)
+    ends = 16 + 8 * n
+    return _numbers(data[16:], "u8", n), _numbers(data[ends:], "i8", n), _numbers(data[ends + 8 * n :], "i8", contexts)
+
+
+def count_all(docs: DataFrame, order: int = ORDER, parts: int | None = None) -> DataFrame:
+    """(part, kind, length, key, n, data): counts of words by hash (WORD) and documents (DOCS), partial sums for grams
+    of up to LOW bytes (GRAM), and for each longer length the part's grams that occur LEAST times (PACKED).
+
+    Each task packs its counts by receiver. Grams are dealt out by the LOW bytes before their last, so that a receiver
+    has all there is to know about the longer grams with such a context."""
+    parts = parts or parts_of(docs)
 
     def rows(kind, key, n):
-        by = key & np.uint64(0xFFFFFF) if kind == GRAM else key
-        by = ((by * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
+        by = owners(key, parts) if kind == GRAM else receivers(key, parts)
         sort = np.argsort(by, kind="stable")
         cut = np.searchsorted(by[sort], np.arange(parts + 1))
         who = [p for p in range(parts) if cut[p] < cut[p + 1]]
@@ -202,44 +231,83 @@ def count_all(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for kind, data in zip(part.column("kind").to_pylist(), part.column("data").to_pylist(), strict=True):
             n = len(data) // 12
             by.setdefault(kind, []).append((_numbers(data, "u8", n), _numbers(data[8 * n :], "u4", n)))
-        out = []
+        whose, out, packed = part.column("part")[0].as_py(), [], []
         for kind, some in by.items():
             key, n = merged(some)
             if kind != GRAM:
                 out.append((kind, 0, key, n))
                 continue
             for length in range(order + 1, 0, -1):
-                key, n = merged([(key & np.uint64((1 << 8 * length) - 1), n)])
-                keep = n >= max(LEAST, floor) if length > 2 else n > 0
-                out.append((kind, length, key[keep], n[keep]))
+                if length <= order:
+                    key, n = merged([(key & np.uint64((1 << 8 * length) - 1), n)])
+                if length <= LOW:
+                    out.append((kind, length, key, n))
+                else:
+                    packed.append((length, _packed(key, n, length)))
         size = [len(x[2]) for x in out]
+        column = lambda at, more: [*np.repeat([x[at] for x in out], size).tolist(), *more]
+        none = np.zeros(len(packed), np.int64)
         return pa.table({
-            "kind": pa.array(np.repeat([x[0] for x in out], size).astype(np.int32)), "length": pa.array(np.repeat([x[1] for x in out], size).astype(np.int32)),
-            "key": pa.array(np.concatenate([x[2] for x in out]).view(np.int64)), "n": pa.array(np.concatenate([x[3] for x in out])),
+            "part": pa.array([whose] * (sum(size) + len(packed)), pa.int32()), "kind": pa.array(column(0, [PACKED] * len(packed)), pa.int32()), "length": pa.array(column(1, [x[0] for x in packed]), pa.int32()),
+            "key": pa.array(np.concatenate([*[x[2].view(np.int64) for x in out], none])), "n": pa.array(np.concatenate([*[x[3] for x in out], none])), "data": pa.array([*[None] * sum(size), *[x[1] for x in packed]], pa.binary()),
         })
 
-    floor = size // GRAMS // 2  # a first cut, below that of train(): at least half of a text's bytes count as symbols
     texts = docs.select(F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(count, "part int, kind int, data binary").groupBy("part").applyInArrow(add, "kind int, length int, key long, n long")
+    return texts.mapInArrow(count, "part int, kind int, data binary").groupBy("part").applyInArrow(add, "part int, kind int, length int, key long, n long, data binary")
+
+
+def _packed(key: np.ndarray, n: np.ndarray, length: int) -> bytes:
+    """Grams that occur LEAST times, and the occurrences of their contexts, which count all grams."""
+    context = key >> np.uint64(8)
+    start = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    occurs, names = np.add.reduceat(n, start), context[start]
+    keep = n >= LEAST
+    left = np.isin(names, context[keep])
+    # only ends before a text make up this context: it occurs in a text where nothing but an end follows
+    ends = np.uint64(int.from_bytes(END * (length - 1), "big"))
+    for at in np.flatnonzero(names == ends):
+        mine = context == ends
+        occurs[at] = max(n[mine & (key & np.uint64(0xFF) == END[0])].sum(), n[mine & keep].sum())
+    return np.array([keep.sum(), left.sum()], "<i8").tobytes() + _planes(key[keep]) + _planes(n[keep]) + _planes(occurs[left])
+
+
+def low_grams(counts: DataFrame, order: int = ORDER) -> list[tuple]:
+    """Codes and counts of the grams of up to LOW bytes."""
+    rows = counts.where(F.col("kind") == GRAM).groupBy("length", "key").agg(F.sum("n").alias("n")).where((F.col("length") < 3) | (F.col("n") >= LEAST)).toArrow()
+    length, key, n = (rows.column(c).to_numpy() for c in ("length", "key", "n"))
+    return [(key[length == k].view(np.uint64), n[length == k]) for k in range(1, min(LOW, order + 1) + 1)]
+
+
+def trie_of(low: list[tuple], packed: dict[int, list[bytes]], symbols: int, order: int = ORDER) -> Trie:
+    """The trie of the low grams and of parts' PACKED rows by length."""
+    grams = list(low)
+    for length in range(LOW + 1, order + 2):
+        some = [unpacked(x) for x in packed.get(length, [])]
+        key, n = (np.concatenate([np.zeros(0, kind), *[x[i] for x in some]]) for i, kind in ((0, np.uint64), (1, np.int64)))
+        context = np.concatenate([np.zeros(0, np.uint64), *[np.unique(x[0] >> np.uint64(8)) for x in some]])
+        grams.append((key, n, np.concatenate([np.zeros(0, np.int64), *[x[2] for x in some]])[np.argsort(context)]))
+    return Trie(grams, symbols)
 
 
 def train(counts: DataFrame, order: int = ORDER):
-    """Trie, hashes and counts of frequent words, and the totals, from the table of counts."""
-    sums = {(r["kind"], r["length"]): r for r in counts.groupBy("kind", "length").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
+    """The whole trie in one place, for small tables, and what totals() gives."""
+    often, tokens, distinct, ends, symbols = totals(counts)
+    packed: dict = {}
+    for r in counts.where(F.col("kind") == PACKED).select("length", "data").collect():
+        packed.setdefault(r["length"], []).append(bytes(r["data"]))
+    return trie_of(low_grams(counts, order), packed, symbols, order), often, tokens, distinct, ends
+
+
+def totals(counts: DataFrame):
+    """Hashes and counts of frequent words, and the totals, from the table of counts."""
+    sums = {(r["kind"], r["length"]): r for r in counts.where(F.col("kind") != PACKED).groupBy("kind", "length").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
     of = lambda kind, length, what: int(sums[kind, length][what]) if (kind, length) in sums else 0
     symbols, ends = of(GRAM, 1, "n"), of(DOCS, 0, "n")
     tokens, distinct = of(WORD, 0, "n") + ends, of(WORD, 0, "distinct") + (ends > 0)
-    least = max(1, -(-symbols // GRAMS))
-    grams = []
-    for length in range(1, order + 2):
-        some = counts.where((F.col("kind") == GRAM) & (F.col("length") == length))
-        some = some.groupBy("key").agg(F.sum("n").alias("n")) if length < 3 else some.select("key", "n")
-        rows = some.where(F.col("n") >= (max(LEAST, least) if length > 2 else least)).toArrow()  # at most GRAMS rows
-        grams.append((rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()))
     often = counts.where((F.col("kind") == WORD) & (F.col("n") >= seldom_below(tokens))).select("key", "n").toArrow()  # at most WORDS rows
     key, n = often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()
     sort = np.argsort(key)
-    return Trie(grams, symbols), (key[sort], n[sort]), tokens, distinct, ends
+    return (key[sort], n[sort]), tokens, distinct, ends, symbols
 
 
 def seldom_below(tokens: int) -> int:
@@ -248,16 +316,27 @@ def seldom_below(tokens: int) -> int:
 
 def score_documents(docs: DataFrame, training: DataFrame, order: int = ORDER) -> DataFrame:
     """docs' doc_id with held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    counts = stored(count_all(training, order), "counts")
-    trie, often, tokens, distinct, ends = train(counts, order)
+    parts = parts_of(training)
+    counts = stored(count_all(training, order, parts), "counts")
+    often, tokens, distinct, ends, symbols = totals(counts)
     whole = tokens + 0.5 * (distinct + 1)
-    sent = docs.sparkSession.sparkContext.broadcast((trie, often))
-    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<long>"
+    sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
-        trie, (often, often_n) = sent.value
+        """Texts (part null) with what their words give, and the distinct codes of each chunk by part."""
+        often, often_n = sent.value
         at_word, hashes, counted = {}, np.zeros(0, np.uint64), np.zeros(0, np.int64)
         row = TaskContext.get().partitionId() << 36
+        chunk, codes_, held, size = row, [], 0, 0
+
+        def said():
+            code = np.unique(np.concatenate(codes_))
+            by = owners(code, parts)
+            sort = np.argsort(by, kind="stable")
+            cut = np.searchsorted(by[sort], np.arange(parts + 1))
+            who = [p for p in range(parts) if cut[p] < cut[p + 1]]
+            return pa.RecordBatch.from_pylist([{"chunk": chunk, "part": p, "data": _planes(code[sort[cut[p] : cut[p + 1]]])} for p in who], schema=shape)
+
         for b in batches:
             ids = iter(b.column(0).to_pylist())
             for some in _streams(b.column(1)):
@@ -281,17 +360,33 @@ def score_documents(docs: DataFrame, training: DataFrame, order: int = ORDER) ->
                 base = np.bincount(owner, np.where(c > 0, np.log10((c + 0.5) / whole), 0), len(some)) + np.log10((ends + 0.5) / whole)
                 rare = hashes[at[c == 0]].view(np.int64)
                 cut = np.concatenate(([0], np.cumsum(np.bincount(owner, c == 0, len(some)).astype(np.int64))))
-                code, starts = codes([b" ".join(w) for w in some], order)
-                kinds, which = np.unique(code, return_inverse=True)
-                score = np.add.reduceat(trie.log10(kinds)[which], starts)
+                texts = [b" ".join(w) for w in some]
+                codes_.append(np.unique(codes(texts, order)[0]))
+                held += len(codes_[-1])
+                size += sum(map(len, texts))
                 n = len(some)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + n)), pa.array([next(ids) for _ in range(n)], pa.int64()), pa.array(sizes + 1), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(rare))],
-                    names=["row", "doc_id", "n_tokens", "known", "base", "score", "rare"],
-                )
+                    [
+                        pa.array([chunk] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(texts, pa.binary()), pa.array(np.arange(row, row + n)), pa.array([next(ids) for _ in range(n)], pa.int64()),
+                        pa.array(sizes + 1), pa.array(known), pa.array(base), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(rare)),
+                    ],
+                    schema=shape,
+                )
                 row += n
+                if held > CHUNK_CODES:
+                    codes_ = [np.unique(np.concatenate(codes_))]
+                    held = len(codes_[0])
+                if held > CHUNK_CODES * 2 // 3 or size > CHUNK:
+                    yield said()
+                    chunk, codes_, held, size = row, [], 0, 0
+        if codes_:
+            yield said()
 
-    found = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema), "scores")
+    shape = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("data", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.int64()))])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    asked = stored(texts.mapInArrow(run, "chunk long, part int, data binary, row long, doc_id long, n_tokens long, known long, base double, rare array<long>"), "codes")
+    answers = _answers(counts, asked.where("part is not null"), low_grams(counts, order), symbols, order)
+    found = stored(_sums(asked.where("part is null"), answers, parts, order), "scores")
     seldom = counts.where((F.col("kind") == WORD) & (F.col("n") < seldom_below(tokens))).select("key", "n")
     rare = found.select("row", F.explode("rare").alias("key")).join(seldom, "key", "left")
     n = F.coalesce("n", F.lit(0))
@@ -300,6 +395,77 @@ def score_documents(docs: DataFrame, training: DataFrame, order: int = ORDER) ->
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 
+def _answers(counts: DataFrame, asked: DataFrame, low: list[tuple], symbols: int, order: int) -> DataFrame:
+    """(chunk, part, data): log10 of the probability of every code asked for, in the order of the codes."""
+    sent = counts.sparkSession.sparkContext.broadcast(low)
+
+    def run(batches):
+        key, packed, trie = None, {}, None
+        for b in batches:
+            for part, chunk, length, data in zip(*(b.column(c).to_pylist() for c in ("part", "chunk", "length", "data")), strict=True):
+                if part != key:
+                    key, packed, trie = part, {}, None
+                if length:
+                    packed.setdefault(length, []).append(data)
+                    continue
+                if trie is None:
+                    trie, packed = trie_of(sent.value, packed, symbols, order), {}
+                code = _numbers(data, "u8", len(data) // 8)
+                yield pa.RecordBatch.from_pylist([{"chunk": chunk, "part": part, "data": trie.log10(code).tobytes()}], schema=shape)
+
+    shape = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
+    grams = counts.where(F.col("kind") == PACKED).select("part", F.lit(-1).cast("long").alias("chunk"), "length", "data")
+    both = grams.union(asked.select("part", "chunk", F.lit(0).alias("length"), "data"))
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(n, "part").sortWithinPartitions("part", "chunk").mapInArrow(run, "chunk long, part int, data binary")
+
+
+def _sums(texts: DataFrame, answers: DataFrame, parts: int, order: int) -> DataFrame:
+    """texts without their text and with their score; a chunk's answers come before its texts."""
+    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<long>"
+
+    def scored(values, rows):
+        texts = pa.concat_batches(rows)
+        some = texts.column("data").to_pylist()
+        ends = np.cumsum([len(t) + 1 for t in some])
+        slices = np.searchsorted(ends, np.arange(AT_ONCE, ends[-1] + AT_ONCE, AT_ONCE), "right").tolist()
+        slices = [(a, b) for a, b in zip([0, *slices], [*slices, len(some)], strict=True) if a < b]
+        code = np.unique(np.concatenate([np.unique(codes(some[a:b], order)[0]) for a, b in slices]))
+        value = np.empty(len(code))
+        value[np.argsort(owners(code, parts), kind="stable")] = np.concatenate([np.frombuffer(v) for _, v in sorted(values)])
+        score = []
+        for a, b in slices:
+            mine, starts = codes(some[a:b], order)
+            kinds, which = np.unique(mine, return_inverse=True)
+            score.append(np.add.reduceat(value[np.searchsorted(code, kinds)][which], starts))
+        out = {c: texts.column(c) for c in texts.schema.names} | {"score": pa.array(np.concatenate(score))}
+        return pa.RecordBatch.from_pydict({c: out[c] for c in ("row", "doc_id", "n_tokens", "known", "base", "score", "rare")})
+
+    def run(batches):
+        key, values, rows = None, [], []
+        for b in batches:
+            chunk, part = b.column("chunk").to_numpy(), b.column("part")
+            cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                if at == end:
+                    continue
+                if chunk[at] != key:
+                    if rows:
+                        yield scored(values, rows)
+                    key, values, rows = chunk[at], [], []
+                some = b.slice(at, end - at)
+                asks = some.filter(some.column("part").is_valid())
+                values += zip(asks.column("part").to_pylist(), asks.column("data").to_pylist(), strict=True)
+                if len(asks) < len(some):
+                    rows.append(some.filter(some.column("part").is_null()))
+        if rows:
+            yield scored(values, rows)
+
+    both = texts.unionByName(answers, allowMissingColumns=True)
+    n = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return both.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(run, schema)
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, docs.where(~held_out()))

@@ -163,6 +163,22 @@ def test_lm_against_definitions(spark, docs, monkeypatch):
             assert r["score"] == pytest.approx(sum(ppm.log10(s[i - 3 : i], s[i]) for i in range(3, len(s))), rel=1e-9)
 
 
+def test_lm_keeps_every_gram(spark, monkeypatch):
+    """A gram that occurs twice counts however large the rest is, with many parts and chunks."""
+    monkeypatch.setattr(lm_score, "GRAMS", 64, raising=False)
+    monkeypatch.setattr(lm_score, "PART", 1 << 12, raising=False)
+    rng = random.Random(8)
+    rare = prose(rng, 30)
+    data = [(d, prose(rng, 120)) for d in range(150)] + [(200, rare), (201, rare), (202, rare)]
+    training = spark.createDataFrame(data, "doc_id long, text string")
+    trie = lm_score.train(lm_score.count_all(training))[0]
+    texts = {d: b" ".join(words_of(t.encode())) for d, t in data}
+    grams = Counter(g for t in texts.values() for c in lm_score.codes([t])[0].tolist() for g in [c])
+    assert sorted(trie.levels[-1]["code"].tolist()) == sorted(g for g, n in grams.items() if n >= lm_score.LEAST)
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_documents(training, training).collect()}
+    assert got == {d: pytest.approx(trie.log10(lm_score.codes([t])[0]).sum(), rel=1e-9) for d, t in texts.items()}
+
+
 def test_lm_is_a_distribution(docs):
     trie = lm_score.train(lm_score.count_all(docs))[0]
     for context in (b"\n\n\n\n\n\n", b"d the ", b"zzzzzz"):
