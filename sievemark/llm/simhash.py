@@ -22,6 +22,9 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 #: The 64 bits are counted in so many equal parts; a tile holds fingerprints with equal counts.
 PARTS = 4
 TILE = 4096
+#: What near copies share (Jaccard, of shingles of WIDTH words). Of pairs that share just so much, the BANDS of ROWS
+#: minima each let 1 in 10,000 go unseen; of those that share 0.9, 1 in 10**9.
+WIDTH, SHARE, BANDS, ROWS = 5, 0.8, 24, 5
 
 
 def simhash(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -201,6 +204,89 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
+def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; a text of fewer words is one shingle of them all, one of none is empty."""
+    words = words_of(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends[:-1]]
+    last = ends[min(width, len(words)) - 1 :]
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[s : e - 1], SEED) for s, e in zip(starts, last, strict=False)], np.uint64))
+
+
+def _sets(docs: DataFrame, width: int, whole: bool) -> DataFrame:
+    """doc_id and content (a hash of the shingle set) of docs (doc_id, text), with their shingle set (whole) or its bands."""
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def bands(h):
+        if not len(h):
+            return []
+        least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+        for at in range(0, len(h), 1024):
+            x = h[at : at + 1024, None] * factors[0]
+            x ^= x >> np.uint64(32)
+            x *= factors[1]
+            least = np.minimum(least, x.min(axis=0))
+        rows = least.reshape(BANDS, ROWS)
+        return [xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)]
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
+            content = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            out = [(h if whole else np.array(bands(h), np.uint64)).view(np.int64) for h in sets]
+            cut = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content), lists], names=["doc_id", "content", "x"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, content long, x array<long>")
+
+
+def alike(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, share: float) -> DataFrame:
+    """Those of pairs (a, b) of reps' contents whose shingle sets share so much."""
+    asked = pairs.select(F.col("a").alias("content")).union(pairs.select(F.col("b").alias("content"))).distinct()
+    some = reps.join(asked, "content", "left_semi").select(F.col("id").alias("__id"), F.col("content").alias("__content"))
+    texts = docs.join(some.select("__id").distinct(), docs["doc_id"] == F.col("__id"), "left_semi").select("doc_id", "text")
+    sets = _sets(texts, width, whole=True)
+    sets = sets.join(some, (sets["doc_id"] == some["__id"]) & (sets["content"] == some["__content"]), "left_semi").dropDuplicates(["content"]).select("content", "x")
+    sets = stored(sets, "sets")
+    side = lambda c: sets.select(F.col("content").alias(c), F.col("x").alias(f"x{c}"))
+    common = F.size(F.array_intersect("xa", "xb"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", common)
+    return both.where(F.col("common") >= share * (F.size("xa") + F.size("xb") - F.col("common")) - 1e-9).select("a", "b")
+
+
+def keep_unlike(docs: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
+    """The rows of docs without those that aren't the first, by doc_id, of their component of texts whose shingles
+    have a Jaccard similarity of share or more. Rows that repeat a doc_id stay or go together; rows without doc_id stay.
+
+    Texts that share a band are candidates: first each with its band's first text, then, where a band still holds
+    several components, all pairs across these. Every link is verified on the shingles."""
+    prints = stored(_sets(docs.where("doc_id is not null").select("doc_id", "text"), width, whole=False), "bands")
+    reps = stored(prints.groupBy("content").agg(F.min("doc_id").alias("id"), F.any_value("x").alias("x")), "contents")
+    rows = reps.select("content", F.explode("x").alias("band"))
+    several = rows.groupBy("band").agg(F.min("content").alias("first"), F.count("*").alias("n")).where("n > 1")
+    rows = stored(rows.join(several, "band").select("band", "content", "first"), "members")
+    pairs = rows.where("content <> first").select(F.col("first").alias("a"), F.col("content").alias("b")).distinct()
+    links = stored(alike(docs, stored(pairs, "pairs"), reps, width, share), "links")
+    roots = components(links, "near")
+    rows = rows.join(roots, rows["content"] == roots["node"], "left").select("band", "content", F.coalesce("root", "content").alias("root"))
+    mixed = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    rows = stored(rows.join(mixed, "band", "left_semi"), "mixed")
+    left, right = (rows.select("band", F.col("content").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    across = left.join(right, "band").where("ra <> rb and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    links = links.union(alike(docs, stored(across, "across"), reps, width, share))
+    roots = components(links, "near")
+    ids = reps.join(roots, reps["content"] == roots["node"], "left").select("content", "id", F.coalesce("root", "content").alias("root"))
+    first = ids.groupBy("root").agg(F.min("id").alias("first"))
+    first = ids.join(first, "root").select("content", "first")
+    gone = prints.select("doc_id", "content").join(first, "content").where("doc_id <> first").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))

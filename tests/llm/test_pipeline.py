@@ -50,6 +50,36 @@ def test_stages(spark, tables):
     assert whole(corpus_pipeline.run(spark, folder)) == whole(packed)
 
 
+def test_near_copies_go(spark, tmp_path):
+    """Copies with a similarity of 0.8 to 0.95 go, and texts that are less alike stay."""
+    rng = random.Random(9)
+
+    def changed(text, n):
+        w = text.split()
+        for k in range(n):
+            w[(2 * k + 1) * len(w) // (2 * n)] = f"new{k}"
+        return " ".join(w)
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    def similar(a, b):
+        a, b = shingles(a), shingles(b)
+        return len(a & b) / len(a | b)
+
+    base = [prose(rng, 200) for _ in range(24)]
+    copies = {100 + i: changed(t, 1 + i % 4) for i, t in enumerate(base)}
+    assert all(0.8 <= similar(t, copies[100 + i]) <= 0.96 for i, t in enumerate(base))
+    other = {200 + i: changed(t, 10) for i, t in enumerate(base)}
+    assert all(similar(t, x[k]) < 0.8 for i, t in enumerate(base) for x, k in ((other, 200 + i),))
+    assert all(similar(copies[100 + i], other[200 + i]) < 0.8 for i in range(24))
+    rows = [*enumerate(base), *copies.items(), *other.items()]
+    docs = spark.createDataFrame([(d, t, "en", "src", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()}
+    assert kept == {*range(24), *other}
+
+
 def test_registry():
     assert [sum(k.startswith(f"op{n}_") for k in registry.queries()) for n in range(1, 11)] == [1] * 10
     assert set(registry.oracle_sql()) <= set(registry.queries()) and "pipeline" in entry.queries()
