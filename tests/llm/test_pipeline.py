@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from sievemark.llm import registry
+from sievemark.llm import registry, simhash
 
 from .conftest import prose
 
@@ -80,6 +80,12 @@ def test_near_copies_go(spark, tmp_path):
     assert kept == {*range(24), *other}
 
 
+def test_near_copies_odd(spark, odd, empty):
+    got = simhash.keep_unlike(odd)
+    assert got.columns == odd.columns and simhash.keep_unlike(empty).count() == 0
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == [(False, 2), (False, 9), (True, 0)]
+
+
 def test_registry():
     assert [sum(k.startswith(f"op{n}_") for k in registry.queries()) for n in range(1, 11)] == [1] * 10
     assert set(registry.oracle_sql()) <= set(registry.queries()) and "pipeline" in entry.queries()
