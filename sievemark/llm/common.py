@@ -38,12 +38,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return root
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read back: later stages survive lost
-    executors and nothing is computed twice. The files go when the JVM ends."""
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """df written as a Parquet table in the shared folder (a folder for each value of by) and read back: later stages
+    survive lost executors and nothing is computed twice. The files go when the JVM ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/sievemark-{uuid.uuid4().hex}-{label}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

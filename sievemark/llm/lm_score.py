@@ -6,45 +6,56 @@ used, without the symbols already refused (exclusion). The escape gets what the
 after its own symbols, and DISCOUNT of a count of each of these.
 
 Counts cover every training document, and every gram that occurs LEAST times is in the model, whatever the size of
-the corpus. Contexts that end with the same LOW bytes make up a part of the trie, and a part never leaves the
-executors: each chunk of texts sends its distinct codes to the parts and gets their probabilities back. Sent to all
-are grams of up to LOW bytes only, which depend on the alphabet and not on the corpus, and words of at least one in
-WORDS of all tokens. Rarer words are joined with their counts by a shuffle, where no word has more than one in WORDS
-of the rows.
+the corpus. No part of the trie ever meets another one:
+
+1. Each task goes through its texts in chunks. Of a chunk it keeps the texts (compressed) and one message to each
+   part of the trie: the chunk's distinct codes (a byte and its context) of that part, with how often training texts
+   hold them; words likewise, by hash. Contexts that end with the same LOW bytes make up a part.
+2. Parts sum the messages, one after the other, to their share of the trie.
+3. Parts read the messages once more, as questions, and answer with probabilities and counts of words.
+4. Answers meet their chunk's texts, which are added up symbol by symbol.
+
+Sent to all are only grams of up to LOW bytes, of which there can't be more than 2**24 (some 10,000 in practice). A
+task holds one chunk (CHUNK bytes of texts, or one longer text) or one part's distinct codes; messages are streamed.
 
 Texts are scored as lower-cased words joined by single spaces and an end, after an end. Words are compared by
 64-bit hashes.
 
 Edge cases: null text is empty text, which is one end token; of an empty or untrained table every byte has
-probability 1/256; rows that repeat are scored, and count, once each; rows without doc_id are training rows.
+probability 1/256; rows that repeat are scored, and count, once each; rows without doc_id are training rows; texts may
+be of any length and of any bytes, valid UTF-8 or not; only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
-from itertools import chain, repeat
-
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, words_of
+from .common import LOWER, stored, table
 
 ORDER = 6
-WORDS = 1 << 19
 #: Grams of up to so many bytes are sent to all; longer ones are in the part of the LOW bytes before their last.
 LOW = 3
-#: Bytes of training text for each part of the trie; distinct codes and bytes after which a chunk of texts ends.
-PART, CHUNK_CODES, CHUNK = 8 << 20, 1_500_000, 24 << 20
+#: Bytes of training text for each part of the trie; bytes of text after which a chunk ends; bytes handled at once.
+PART, CHUNK, PAGE = 8 << 20, 24 << 20, 1 << 20
 #: Longer grams that occur less often are left to the escape.
 LEAST = 2
 #: What each symbol of a context leaves to the escape.
 DISCOUNT = 0.5
-AT_ONCE, MEMORY = 1 << 20, 200_000
+#: Keys that are held unsorted, and questions that are answered at once.
+SOME = 1 << 22
 END = b"\n"
-GRAM, WORD, DOCS, PACKED = 0, 1, 2, 3
+GRAM, WORD, DOCS, PACKED, TEXT = 0, 1, 2, 3, 4
+
+#: Lower-cases A to Z and makes all white space spaces.
+PLAIN = bytes(32 if b == 32 or 9 <= b <= 13 else LOWER[b] for b in range(256))
+#: Words are polynomials of random numbers for bytes, modulo 2**64; the base is odd and has an inverse.
+BASE = 0x9E3779B97F4A7C15
+UNBASE = pow(BASE, -1, 1 << 64)
 
 
 def codes(streams: list[bytes], order: int = ORDER):
@@ -123,17 +134,141 @@ class Trie:
         return out
 
 
-def _streams(batch_texts):
-    """Whole texts of an Arrow column as words, some AT_ONCE bytes at a time."""
-    some, size = [], 0
-    for t in chain.from_iterable(batch_texts.slice(at, 500).to_pylist() for at in range(0, len(batch_texts), 500)):
-        some.append(words_of(t))
-        size += len(t or b"") + 1
-        if size >= AT_ONCE:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+def normal(texts: list[bytes]) -> np.ndarray:
+    """Bytes of the texts' words, joined by single spaces, with END after each text."""
+    if len(texts) == 1 and len(texts[0]) > PAGE:
+        return _normal_long(texts[0])
+    data = np.frombuffer(b"".join([x for t in texts for x in (t.translate(PLAIN), END)]), np.uint8)
+    gap = (data == 32) | (data == END[0])
+    data = data[(data != 32) | ~np.append(gap[1:], True)]  # of a run of spaces the last, if a word follows
+    first = np.append(True, data[:-1] == END[0]) if len(data) else np.zeros(0, bool)
+    return data[(data != 32) | ~first]
+
+
+def _normal_long(text: bytes) -> np.ndarray:
+    out: list[np.ndarray] = []
+    for at in range(0, len(text), PAGE):
+        data = np.frombuffer(text[at : at + PAGE].translate(PLAIN), np.uint8)
+        data = data[(data != 32) | ~np.append(data[1:] == 32, False)]
+        if data[0] == 32 and (not out or out[-1][-1] == 32):
+            data = data[1:]
+        if len(data):
+            out.append(data)
+    if out and out[-1][-1] == 32:
+        out[-1] = out[-1][:-1]
+    return np.concatenate([*out, np.frombuffer(END, np.uint8)])
+
+
+def page_codes(page: np.ndarray, order: int = ORDER):
+    """Codes of the symbols of normal texts, some PAGE at a time."""
+    ends = np.flatnonzero(page == END[0])
+    starts = np.append(0, ends[:-1] + 1)
+    lead = int.from_bytes(END * 8, "big")
+    for at in range(0, len(page), PAGE):
+        n = min(PAGE, len(page) - at)
+        data = page[max(0, at - order) : at + n]
+        data = np.concatenate([np.full(n + order - len(data), END[0], np.uint8), data]).astype(np.uint64)
+        code = np.zeros(n, np.uint64)
+        for j in range(order + 1):
+            code <<= np.uint64(8)
+            code |= data[j : j + n]
+        some = slice(np.searchsorted(starts, at - order), np.searchsorted(starts, at + n))
+        for j in range(order):  # before a text there are ends, not the text before it
+            where = starts[some] + j
+            where = where[(where <= ends[some]) & (where >= at) & (where < at + n)] - at
+            own = (1 << 8 * (j + 1)) - 1
+            code[where] = code[where] & np.uint64(own) | np.uint64(lead & ~own & ((1 << 8 * (order + 1)) - 1))
+        yield code
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+class Hashes:
+    """Hashes of the words of normal texts."""
+
+    def __init__(self):
+        self.symbols = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def of_page(self, page: np.ndarray):
+        """Hash of every word, and the place where it ends, some PAGE bytes at a time."""
+        if len(self.up) < min(len(page), PAGE):
+            self.up, self.down = powers(BASE, PAGE), powers(UNBASE, PAGE)
+        begun, size = np.uint64(0), 0  # the word that the bytes so far have not ended
+        for at in range(0, len(page), PAGE):
+            data = page[at : at + PAGE]
+            gaps = np.flatnonzero((data == 32) | (data == END[0]))
+            value = self.symbols[data]
+            value *= self.up[: len(data)]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
+            starts = np.append(0, gaps + 1)
+            stops = np.append(gaps, len(data))
+            value = sums[stops] - sums[starts]
+            value *= self.down[np.minimum(starts, PAGE - 1)]
+            sizes = stops - starts
+            value[0] = begun + value[0] * np.uint64(pow(BASE, size, 1 << 64))
+            sizes[0] += size
+            begun, size = value[-1], int(sizes[-1])
+            value, sizes = value[:-1], sizes[:-1]
+            real = sizes > 0
+            value = value[real]
+            value ^= value >> np.uint64(32)
+            value *= np.uint64(0xD6E8FEB86659FD93)
+            yield value, gaps[real] + at
+
+
+class Sums:
+    """Sorted distinct keys with sums of their counts, which grow as keys come in."""
+
+    def __init__(self):
+        self.key, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.raw: list = []
+        self.size = 0
+
+    def add(self, key: np.ndarray, n: np.ndarray):
+        """key need not be sorted or distinct."""
+        self.raw.append((key, n))
+        self.size += len(key)
+        if self.size > SOME:
+            self.close()
+
+    def close(self) -> Sums:
+        if self.raw:
+            key, n = (np.concatenate(x) for x in zip(*self.raw, strict=True))
+            self.raw, self.size = [], 0
+            self.merge(*merged([(key, n)]))
+        return self
+
+    def merge(self, key: np.ndarray, n: np.ndarray):
+        """key is sorted and distinct."""
+        at = np.searchsorted(self.key, key)
+        there = np.zeros(len(key), bool)
+        inside = at < len(self.key)
+        there[inside] = self.key[at[inside]] == key[inside]
+        self.n[at[there]] += n[there]
+        self.key = np.insert(self.key, at[~there], key[~there])
+        self.n = np.insert(self.n, at[~there], n[~there])
+
+
+class Marked(Sums):
+    """Sums of keys below 2**63 whose count is 1 or 0: sorts faster, as the count is in the key."""
+
+    def add(self, key: np.ndarray, one: np.ndarray):
+        super().add(key << np.uint64(1) | one.astype(np.uint64), None)
+
+    def close(self) -> Sums:
+        if self.raw:
+            key = np.concatenate([k for k, _ in self.raw])
+            self.raw, self.size = [], 0
+            key.sort()
+            start = np.flatnonzero(np.concatenate(([True], key[1:] >> np.uint64(1) != key[:-1] >> np.uint64(1))))
+            ones = np.add.reduceat(key & np.uint64(1), start).astype(np.int64)
+            self.merge(key[start] >> np.uint64(1), ones)
+        return self
 
 
 def held_out() -> Column:
@@ -167,11 +302,6 @@ def owners(code: np.ndarray, parts: int) -> np.ndarray:
     return receivers(code >> np.uint64(8) & np.uint64((1 << 8 * LOW) - 1), parts)
 
 
-def parts_of(docs: DataFrame) -> int:
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    return max(1, min(1 << 20, size // PART))
-
-
 def unpacked(data: bytes):
     """Codes, counts, and how often each context occurs, of a PACKED row."""
     n, contexts = np.frombuffer(data, "<i8", 2)
@@ -179,81 +309,180 @@ def unpacked(data: bytes):
     return _numbers(data[16:], "u8", n), _numbers(data[ends:], "i8", n), _numbers(data[ends + 8 * n :], "i8", contexts)
 
 
-def count_all(docs: DataFrame, order: int = ORDER, parts: int | None = None) -> DataFrame:
-    """(part, kind, length, key, n, data): counts of words by hash (WORD) and documents (DOCS), partial sums for grams
-    of up to LOW bytes (GRAM), and for each longer length the part's grams that occur LEAST times (PACKED).
+def _shrunk(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
-    Each task packs its counts by receiver. Grams are dealt out by the LOW bytes before their last, so that a receiver
-    has all there is to know about the longer grams with such a context."""
-    parts = parts or parts_of(docs)
 
-    def rows(kind, key, n):
-        by = owners(key, parts) if kind == GRAM else receivers(key, parts)
-        sort = np.argsort(by, kind="stable")
-        cut = np.searchsorted(by[sort], np.arange(parts + 1))
-        who = [p for p in range(parts) if cut[p] < cut[p + 1]]
-        data = [_planes(key[sort[cut[p] : cut[p + 1]]]) + _planes(n[sort[cut[p] : cut[p + 1]]].astype(np.uint32)) for p in who]
-        return pa.RecordBatch.from_arrays([pa.array(who, pa.int32()), pa.array([kind] * len(who), pa.int32()), pa.array(data, pa.binary())], names=["part", "kind", "data"])
+def _grown(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
-    def count(batches):
-        grams, held, words, number = [], 0, {}, 0
 
-        def said():
-            return rows(WORD, *merged([(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), np.fromiter(words.values(), np.int64, len(words)))]))
+def _message(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys, by their differences, and counts."""
+    return _shrunk(_planes(np.diff(key, prepend=np.uint64(0))) + _planes(n.astype(np.uint32)))
 
-        for b in batches:
-            for some in _streams(b.column(0)):
-                number += len(some)
-                for w in chain.from_iterable(some):
-                    words[w] = words.get(w, 0) + 1
-                code = np.sort(codes([b" ".join(w) for w in some], order)[0])
-                start = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-                grams.append((code[start], np.diff(np.append(start, len(code)))))
-                held += len(start)
-                if held > 1_000_000:
-                    grams = [merged(grams)]
-                    held = len(grams[0][0])
-                    if held > 600_000:
-                        yield rows(GRAM, *grams.pop())
-                        held = 0
-                if len(words) > MEMORY:
-                    yield said()
-                    words.clear()
-        if grams:
-            yield rows(GRAM, *merged(grams))
-        if words:
-            yield said()
+
+def _keys(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_numbers(data, "u8", n))
+
+
+def _dealt(by: np.ndarray, parts: int):
+    """(part, indices of its items, in their order) for every part that has items."""
+    sort = np.argsort(by.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
+    cut = np.searchsorted(by[sort], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cut)).tolist():
+        yield p, sort[cut[p] : cut[p + 1]]
+
+
+SENT = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), ("ids", pa.list_(pa.int64()))])
+
+
+def messages(rows: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
+    """(chunk, kind, part, n, data, ids) of rows (doc_id, text, asks, trains): what each chunk of texts tells and asks each
+    part (GRAM, WORD), its pages of texts that ask (TEXT), and how many texts train (DOCS)."""
+
+    def run(batches):
+        hashes, chunk = Hashes(), TaskContext.get().partitionId() << 36
+        grams, words, size, number = Marked(), Sums(), 0, 0
+        out, out_size = [], 0
+
+        def row(kind, part, n, data, ids=None):
+            nonlocal out_size
+            out.append({"chunk": chunk, "kind": kind, "part": part, "n": n, "data": data, "ids": ids})
+            out_size += len(data)
+
+        def told():
+            for kind, sums in ((GRAM, grams), (WORD, words)):
+                sums.close()
+                by = owners(sums.key, parts) if kind == GRAM else receivers(sums.key, parts)
+                for p, some in _dealt(by, parts):
+                    row(kind, p, len(some), _message(sums.key[some], sums.n[some]))
+
+        def read(texts, ids, asks, trains):
+            page = normal(texts)
+            ends = np.flatnonzero(page == END[0])
+            at = 0
+            for code in page_codes(page, order):
+                one = np.ones(len(code), bool) if all(trains) else np.array(trains)[np.searchsorted(ends, np.arange(at, at + len(code)))]
+                grams.add(code, one)
+                at += len(code)
+            for h, where in hashes.of_page(page):
+                words.add(h, np.array(trains, np.int64)[np.searchsorted(ends, where)])
+            if asks:
+                row(TEXT, None, len(ids), _shrunk(page.tobytes()), ids)
+            return len(page)
+
+        def flush():
+            nonlocal out, out_size
+            batch = pa.RecordBatch.from_pylist(out, schema=SENT)
+            out, out_size = [], 0
+            return batch
+
+        for batch in _pages(batches):
+            size += read(*batch)
+            number += sum(batch[3])
+            if size > CHUNK:
+                told()
+                chunk, grams, words, size = chunk + 1, Marked(), Sums(), 0
+            if out_size > PAGE:
+                yield flush()
+        if size:
+            told()
         if number:
-            yield rows(DOCS, np.zeros(1, np.uint64), np.array([number]))
-
-    def add(part: pa.Table) -> pa.Table:
-        by: dict = {}
-        for kind, data in zip(part.column("kind").to_pylist(), part.column("data").to_pylist(), strict=True):
-            n = len(data) // 12
-            by.setdefault(kind, []).append((_numbers(data, "u8", n), _numbers(data[8 * n :], "u4", n)))
-        whose, out, packed = part.column("part")[0].as_py(), [], []
-        for kind, some in by.items():
-            key, n = merged(some)
-            if kind != GRAM:
-                out.append((kind, 0, key, n))
-                continue
-            for length in range(order + 1, 0, -1):
-                if length <= order:
-                    key, n = merged([(key & np.uint64((1 << 8 * length) - 1), n)])
-                if length <= LOW:
-                    out.append((kind, length, key, n))
-                else:
-                    packed.append((length, _packed(key, n, length)))
-        size = [len(x[2]) for x in out]
-        column = lambda at, more: [*np.repeat([x[at] for x in out], size).tolist(), *more]
-        none = np.zeros(len(packed), np.int64)
-        return pa.table({
-            "part": pa.array([whose] * (sum(size) + len(packed)), pa.int32()), "kind": pa.array(column(0, [PACKED] * len(packed)), pa.int32()), "length": pa.array(column(1, [x[0] for x in packed]), pa.int32()),
-            "key": pa.array(np.concatenate([*[x[2].view(np.int64) for x in out], none])), "n": pa.array(np.concatenate([*[x[3] for x in out], none])), "data": pa.array([*[None] * sum(size), *[x[1] for x in packed]], pa.binary()),
-        })
+            row(DOCS, 0, number, b"")
+        yield flush()
+
+    return rows.select("doc_id", "text", "asks", "trains").mapInArrow(run, "chunk long, kind int, part int, n long, data binary, ids array<long>")
+
+
+def _pages(batches):
+    """(texts, ids, whether they ask, which train): some PAGE bytes of texts, or one longer text."""
+    texts, ids, trains, size, asking = [], [], [], 0, None
+    for b in batches:
+        for k in range(b.num_rows):
+            key, text, asks, train = (c[k].as_py() for c in b.columns)
+            text = text or b""
+            if texts and (size + len(text) > PAGE or asks != asking):
+                yield texts, ids, asking, trains
+                texts, ids, trains, size = [], [], [], 0
+            asking = asks
+            texts.append(text)
+            ids.append(key)
+            trains.append(train)
+            size += len(text) + 1
+    if texts:
+        yield texts, ids, asking, trains
+
+
+def _by_part(df: DataFrame, key: str, *then: str) -> DataFrame:
+    """df by a number, evenly over the partitions and in order."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.col(key).cast("long")
+    number = F.shiftright(number, 36) + number.bitwiseAND(F.lit((1 << 36) - 1))  # a chunk's task, and its place in it
+    return df.repartitionById(n, F.pmod(number, F.lit(n)).cast("int")).sortWithinPartitions(key, *then)
+
+
+COUNTED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("length", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+
+
+def counts_of(told: DataFrame, order: int = ORDER) -> DataFrame:
+    """(part, kind, length, key, n, data) of messages(): for each part a row with its number of tokens (n) and distinct
+    words (key) (WORD), its sums of grams of up to LOW bytes (GRAM), for each longer length the grams that occur LEAST
+    times, and for length 0 its words (PACKED); and the number of documents (DOCS)."""
+
+    def rows(part, grams, words, number):
+        out = []
+        key, n = grams.close().key, grams.n
+        key, n = key[n > 0], n[n > 0]
+        for length in range(order + 1, 0, -1) if len(key) else ():
+            if length <= order:
+                key, n = merged([(key & np.uint64((1 << 8 * length) - 1), n)])
+            if length <= LOW:
+                out += [(GRAM, length, k, c, None) for k, c in zip(key.view(np.int64).tolist(), n.tolist(), strict=True)]
+            else:
+                out.append((PACKED, length, 0, 0, _packed(key, n, length)))
+        key, n = words.close().key, words.n
+        key, n = key[n > 0], n[n > 0]
+        if len(key):
+            out += [(WORD, 0, len(key), int(n.sum()), None), (PACKED, 0, 0, len(key), _planes(key) + _planes(n))]
+        if number:
+            out.append((DOCS, 0, 0, number, None))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int32()), *(pa.array(c, f.type) for c, f in zip(columns, list(COUNTED)[1:], strict=True))], schema=COUNTED)
 
-    texts = docs.select(F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(count, "part int, kind int, data binary").groupBy("part").applyInArrow(add, "part int, kind int, length int, key long, n long, data binary")
+    def run(batches):
+        key, grams, words, number = None, Sums(), Sums(), 0
+        for b in batches:
+            for k in range(b.num_rows):
+                part, kind, n, data = (c[k].as_py() for c in b.columns)
+                if part != key:
+                    if key is not None:
+                        yield rows(key, grams, words, number)
+                    key, grams, words, number = part, Sums(), Sums(), 0
+                if kind == DOCS:
+                    number += n
+                    continue
+                data = _grown(data)
+                (grams if kind == GRAM else words).add(_keys(data, n), _numbers(data[8 * n :], "u4", n).astype(np.int64))
+        if key is not None:
+            yield rows(key, grams, words, number)
+
+    told = told.where(F.col("kind") != TEXT).select("part", "kind", "n", "data")
+    return _by_part(told, "part").mapInArrow(run, "part int, kind int, length int, key long, n long, data binary")
+
+
+def parts_of(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return max(1, min(1 << 20, size // PART))
+
+
+def _rows(docs: DataFrame, asks: bool, trains: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.lit(asks).alias("asks"), F.coalesce(trains, F.lit(False)).alias("trains"))
+
+
+def count_all(docs: DataFrame, order: int = ORDER, parts: int | None = None) -> DataFrame:
+    """counts_of() all docs."""
+    return counts_of(messages(_rows(docs, False, F.lit(True)), parts or parts_of(docs), order), order)
 
 
 def _packed(key: np.ndarray, n: np.ndarray, length: int) -> bytes:
@@ -291,181 +520,179 @@ def trie_of(low: list[tuple], packed: dict[int, list[bytes]], symbols: int, orde
 
 def train(counts: DataFrame, order: int = ORDER):
     """The whole trie in one place, for small tables, and what totals() gives."""
-    often, tokens, distinct, ends, symbols = totals(counts)
+    tokens, distinct, ends, symbols = totals(counts)
     packed: dict = {}
-    for r in counts.where(F.col("kind") == PACKED).select("length", "data").collect():
+    for r in counts.where((F.col("kind") == PACKED) & (F.col("length") > 0)).select("length", "data").collect():
         packed.setdefault(r["length"], []).append(bytes(r["data"]))
-    return trie_of(low_grams(counts, order), packed, symbols, order), often, tokens, distinct, ends
+    return trie_of(low_grams(counts, order), packed, symbols, order), tokens, distinct, ends
 
 
 def totals(counts: DataFrame):
-    """Hashes and counts of frequent words, and the totals, from the table of counts."""
-    sums = {(r["kind"], r["length"]): r for r in counts.where(F.col("kind") != PACKED).groupBy("kind", "length").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
-    of = lambda kind, length, what: int(sums[kind, length][what]) if (kind, length) in sums else 0
-    symbols, ends = of(GRAM, 1, "n"), of(DOCS, 0, "n")
-    tokens, distinct = of(WORD, 0, "n") + ends, of(WORD, 0, "distinct") + (ends > 0)
-    often = counts.where((F.col("kind") == WORD) & (F.col("n") >= seldom_below(tokens))).select("key", "n").toArrow()  # at most WORDS rows
-    key, n = often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()
-    sort = np.argsort(key)
-    return (key[sort], n[sort]), tokens, distinct, ends, symbols
-
-
-def seldom_below(tokens: int) -> int:
-    return max(1, -(-tokens // WORDS))
-
-
-def score_documents(docs: DataFrame, training: DataFrame, order: int = ORDER) -> DataFrame:
-    """docs' doc_id with held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    parts = parts_of(training)
-    counts = stored(count_all(training, order, parts), "counts")
-    often, tokens, distinct, ends, symbols = totals(counts)
-    whole = tokens + 0.5 * (distinct + 1)
-    sent = docs.sparkSession.sparkContext.broadcast(often)
+    """Tokens, distinct tokens, ends among them, and symbols."""
+    of_one = F.col("kind").isin(WORD, DOCS) | ((F.col("kind") == GRAM) & (F.col("length") == 1))
+    sums = {r["kind"]: r for r in counts.where(of_one).groupBy("kind").agg(F.sum("n").alias("n"), F.sum("key").alias("keys")).collect()}  # three rows
+    of = lambda kind, what="n": int(sums[kind][what]) if kind in sums else 0
+    ends = of(DOCS)
+    return of(WORD) + ends, of(WORD, "keys") + (ends > 0), ends, of(GRAM)
+
+
+def score_documents(docs: DataFrame, training: DataFrame | Column, order: int = ORDER) -> DataFrame:
+    """docs' doc_id with held_out, n_tokens, n_known, train_tokens, base_score and score. training: a table of its own, or
+    a condition on docs, which are then read once."""
+    own = isinstance(training, Column)
+    rows = _rows(docs, True, training) if own else _rows(docs, True, F.lit(False)).union(_rows(training, False, F.lit(True)))
+    parts = parts_of(docs.where(training) if own else training)
+    sent = stored(messages(rows, parts, order), "messages", by="kind")
+    counts = stored(counts_of(sent, order), "counts")
+    tokens, distinct, ends, symbols = totals(counts)
+    found = _sums(sent.where(F.col("kind") == TEXT), _answers(counts, sent, low_grams(counts, order), symbols, order), parts, order, tokens, distinct, ends)
+    return found.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _answers(counts: DataFrame, sent: DataFrame, low: list[tuple], symbols: int, order: int) -> DataFrame:
+    """(chunk, kind, part, data): for each message log10 of the probabilities of its codes, or the counts of its words."""
+    shared = counts.sparkSession.sparkContext.broadcast(low)
+
+    class Known:
+        """Probabilities of the codes of a part, each worked out once."""
+
+        def __init__(self, trie):
+            self.trie, self.key, self.value = trie, np.zeros(0, np.uint64), np.zeros(0)
+
+        def __call__(self, keys: list[np.ndarray]):
+            every = np.unique(np.concatenate(keys))
+            at, there = Trie.find(self.key, every)
+            new = every[~there]
+            if len(new):
+                at = np.searchsorted(self.key, new)
+                self.key, self.value = np.insert(self.key, at, new), np.insert(self.value, at, self.trie.log10(new))
+            for key in keys:
+                yield _shrunk(_planes(self.value[np.searchsorted(self.key, key)].view(np.uint64)))
 
     def run(batches):
-        """Texts (part null) with what their words give, and the distinct codes of each chunk by part."""
-        often, often_n = sent.value
-        at_word, hashes, counted = {}, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        row = TaskContext.get().partitionId() << 36
-        chunk, codes_, held, size = row, [], 0, 0
-
-        def said():
-            code = np.unique(np.concatenate(codes_))
-            by = owners(code, parts)
-            sort = np.argsort(by, kind="stable")
-            cut = np.searchsorted(by[sort], np.arange(parts + 1))
-            who = [p for p in range(parts) if cut[p] < cut[p + 1]]
-            return pa.RecordBatch.from_pylist([{"chunk": chunk, "part": p, "data": _planes(code[sort[cut[p] : cut[p + 1]]])} for p in who], schema=shape)
+        key, packed, known, words, asked, size = None, {}, None, None, [], 0
 
-        for b in batches:
-            ids = iter(b.column(0).to_pylist())
-            for some in _streams(b.column(1)):
-                if len(at_word) > MEMORY:
-                    at_word, hashes, counted = {}, hashes[:0], counted[:0]
-                sizes = np.array([len(w) for w in some])
-                words = list(chain.from_iterable(some))
-                at = np.fromiter(map(at_word.get, words, repeat(-1)), np.int64, len(words))
-                if len(new := np.flatnonzero(at < 0)):
-                    missing = [words[i] for i in new.tolist()]
-                    fresh = list(dict.fromkeys(missing))
-                    h = np.fromiter(map(xxhash.xxh64_intdigest, fresh), np.uint64, len(fresh))
-                    where, hit = Trie.find(often, h)
-                    at_word.update(zip(fresh, range(len(hashes), len(hashes) + len(fresh)), strict=True))
-                    hashes = np.concatenate([hashes, h])
-                    counted = np.concatenate([counted, np.where(hit, often_n[where] if len(often_n) else 0, 0)])
-                    at[new] = [at_word[w] for w in missing]
-                c = counted[at]
-                owner = np.repeat(np.arange(len(some)), sizes)
-                known = np.bincount(owner, c > 0, len(some)).astype(np.int64) + (ends > 0)
-                base = np.bincount(owner, np.where(c > 0, np.log10((c + 0.5) / whole), 0), len(some)) + np.log10((ends + 0.5) / whole)
-                rare = hashes[at[c == 0]].view(np.int64)
-                cut = np.concatenate(([0], np.cumsum(np.bincount(owner, c == 0, len(some)).astype(np.int64))))
-                texts = [b" ".join(w) for w in some]
-                codes_.append(np.unique(codes(texts, order)[0]))
-                held += len(codes_[-1])
-                size += sum(map(len, texts))
-                n = len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([chunk] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(texts, pa.binary()), pa.array(np.arange(row, row + n)), pa.array([next(ids) for _ in range(n)], pa.int64()),
-                        pa.array(sizes + 1), pa.array(known), pa.array(base), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(rare)),
-                    ],
-                    schema=shape,
-                )
-                row += n
-                if held > CHUNK_CODES:
-                    codes_ = [np.unique(np.concatenate(codes_))]
-                    held = len(codes_[0])
-                if held > CHUNK_CODES * 2 // 3 or size > CHUNK:
-                    yield said()
-                    chunk, codes_, held, size = row, [], 0, 0
-        if codes_:
-            yield said()
-
-    shape = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("data", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.int64()))])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    asked = stored(texts.mapInArrow(run, "chunk long, part int, data binary, row long, doc_id long, n_tokens long, known long, base double, rare array<long>"), "codes")
-    answers = _answers(counts, asked.where("part is not null"), low_grams(counts, order), symbols, order)
-    found = stored(_sums(asked.where("part is null"), answers, parts, order), "scores")
-    seldom = counts.where((F.col("kind") == WORD) & (F.col("n") < seldom_below(tokens))).select("key", "n")
-    rare = found.select("row", F.explode("rare").alias("key")).join(seldom, "key", "left")
-    n = F.coalesce("n", F.lit(0))
-    rare = rare.groupBy("row").agg(F.sum(F.log10((n + 0.5) / whole)).alias("more"), F.count_if(n > 0).alias("also"))
-    out = found.drop("rare").join(rare, "row", "left")
-    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
-
-
-def _answers(counts: DataFrame, asked: DataFrame, low: list[tuple], symbols: int, order: int) -> DataFrame:
-    """(chunk, part, data): log10 of the probability of every code asked for, in the order of the codes."""
-    sent = counts.sparkSession.sparkContext.broadcast(low)
+        def answers():
+            out = [{"chunk": chunk, "kind": GRAM, "part": key, "data": data} for (chunk, _), data in zip(asked, known([k for _, k in asked]), strict=True)]
+            asked.clear()
+            return pa.RecordBatch.from_pylist(out, schema=shape)
 
-    def run(batches):
-        key, packed, trie = None, {}, None
         for b in batches:
-            for part, chunk, length, data in zip(*(b.column(c).to_pylist() for c in ("part", "chunk", "length", "data")), strict=True):
+            for k in range(b.num_rows):
+                part, role, chunk, kind, n, data = (c[k].as_py() for c in b.columns)
                 if part != key:
-                    key, packed, trie = part, {}, None
-                if length:
-                    packed.setdefault(length, []).append(data)
-                    continue
-                if trie is None:
-                    trie, packed = trie_of(sent.value, packed, symbols, order), {}
-                code = _numbers(data, "u8", len(data) // 8)
-                yield pa.RecordBatch.from_pylist([{"chunk": chunk, "part": part, "data": trie.log10(code).tobytes()}], schema=shape)
-
-    shape = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
-    grams = counts.where(F.col("kind") == PACKED).select("part", F.lit(-1).cast("long").alias("chunk"), "length", "data")
-    both = grams.union(asked.select("part", "chunk", F.lit(0).alias("length"), "data"))
-    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.repartition(n, "part").sortWithinPartitions("part", "chunk").mapInArrow(run, "chunk long, part int, data binary")
-
-
-def _sums(texts: DataFrame, answers: DataFrame, parts: int, order: int) -> DataFrame:
-    """texts without their text and with their score; a chunk's answers come before its texts."""
-    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<long>"
-
-    def scored(values, rows):
-        texts = pa.concat_batches(rows)
-        some = texts.column("data").to_pylist()
-        ends = np.cumsum([len(t) + 1 for t in some])
-        slices = np.searchsorted(ends, np.arange(AT_ONCE, ends[-1] + AT_ONCE, AT_ONCE), "right").tolist()
-        slices = [(a, b) for a, b in zip([0, *slices], [*slices, len(some)], strict=True) if a < b]
-        code = np.unique(np.concatenate([np.unique(codes(some[a:b], order)[0]) for a, b in slices]))
-        value = np.empty(len(code))
-        value[np.argsort(owners(code, parts), kind="stable")] = np.concatenate([np.frombuffer(v) for _, v in sorted(values)])
-        score = []
-        for a, b in slices:
-            mine, starts = codes(some[a:b], order)
-            kinds, which = np.unique(mine, return_inverse=True)
-            score.append(np.add.reduceat(value[np.searchsorted(code, kinds)][which], starts))
-        out = {c: texts.column(c) for c in texts.schema.names} | {"score": pa.array(np.concatenate(score))}
-        return pa.RecordBatch.from_pydict({c: out[c] for c in ("row", "doc_id", "n_tokens", "known", "base", "score", "rare")})
+                    if asked:
+                        yield answers()
+                    key, packed, known, words, size = part, {}, None, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0
+                if role == 0 and kind == 0:
+                    words = _numbers(data, "u8", n), _numbers(data[8 * n :], "i8", n)
+                elif role == 0:
+                    packed.setdefault(kind, []).append(data)
+                elif kind == WORD:
+                    at, there = Trie.find(words[0], _keys(_grown(data), n))
+                    found = np.where(there, words[1][at] if len(words[1]) else 0, 0)
+                    yield pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": WORD, "part": part, "data": _shrunk(_planes(found))}], schema=shape)
+                else:
+                    if known is None:
+                        known, packed = Known(trie_of(shared.value, packed, symbols, order)), {}
+                    asked.append((chunk, _keys(_grown(data), n)))
+                    size += n
+                    if size > SOME // 4:
+                        yield answers()
+                        size = 0
+        if asked:
+            yield answers()
+
+    shape = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
+    model = counts.where(F.col("kind") == PACKED).select("part", F.lit(0).alias("role"), F.lit(0).cast("long").alias("chunk"), F.col("length").alias("kind"), "n", "data")
+    asks = sent.where(F.col("kind").isin(GRAM, WORD)).select("part", F.lit(1).alias("role"), "chunk", "kind", "n", "data")
+    return _by_part(model.union(asks), "part", "role").mapInArrow(run, "chunk long, kind int, part int, data binary")
+
+
+class Table:
+    """Values of sorted distinct keys, found through a table of places by hash; keys whose place another took are searched."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self.key, self.value = key, value
+        self.shift = np.uint64(64 - max(4, int(len(key)).bit_length() + 2))
+        self.at = np.zeros(1 << 64 - int(self.shift), np.int32)
+        place = self.place(key)
+        self.at[place] = np.arange(len(key), dtype=np.int32)
+        self.rest = np.flatnonzero(self.at[place] != np.arange(len(key)))
+        self.rest_key = key[self.rest]
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return key * np.uint64(0x9E3779B97F4A7C15) >> self.shift
+
+    def __getitem__(self, key: np.ndarray) -> np.ndarray:
+        at = self.at[self.place(key)]
+        lost = np.flatnonzero(self.key[at] != key)
+        at[lost] = self.rest[np.searchsorted(self.rest_key, key[lost])]
+        return self.value[at]
+
+
+def _sums(texts: DataFrame, answers: DataFrame, parts: int, order: int, tokens: int, distinct: int, ends: int) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of texts that ask, from their chunks' pages and answers."""
+    whole = tokens + 0.5 * (distinct + 1)
+    fields = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+    def tables(pages, answers, hashes):
+        grams, words = Marked(), Sums()
+        for page, _ in pages:
+            for code in page_codes(page, order):
+                grams.add(code, np.zeros(len(code), np.uint64))
+            for h, _ in hashes.of_page(page):
+                words.add(h, np.zeros(len(h), np.int64))
+        out = []
+        for kind, key in ((GRAM, grams.close().key), (WORD, words.close().key)):
+            by = owners(key, parts) if kind == GRAM else receivers(key, parts)
+            value = np.zeros(len(key), np.float64 if kind == GRAM else np.int64)
+            for p, some in _dealt(by, parts):
+                found = _numbers(_grown(answers.pop((kind, p))), "u8", len(some))
+                value[some] = found.view(np.float64) if kind == GRAM else found
+            out.append((key, value))
+        (code, value), (word, n) = out
+        return Table(code, value), Table(word, np.arange(len(word))), np.where(n > 0, np.log10((n + 0.5) / whole), np.log10(0.5 / whole)), n > 0
+
+    def scored(pages, answers, hashes):
+        grams, words, cost, known = tables(pages, answers, hashes)
+        for page, ids in pages:
+            stops = np.flatnonzero(page == END[0])
+            score, base = np.zeros(len(ids)), np.full(len(ids), np.log10((ends + 0.5) / whole))
+            n_tokens, n_known = np.ones(len(ids), np.int64), np.full(len(ids), int(ends > 0))
+            at = 0
+            for code in page_codes(page, order):
+                first, last = np.searchsorted(stops, [at, at + len(code) - 1])
+                starts = np.append(0, stops[first:last] + 1 - at)
+                score[first : last + 1] += np.add.reduceat(grams[code], starts)
+                at += len(code)
+            for h, where in hashes.of_page(page):
+                if len(h):
+                    which, owner = words[h], np.searchsorted(stops, where)
+                    n_tokens += np.bincount(owner, minlength=len(ids))
+                    n_known += np.bincount(owner, known[which], len(ids)).astype(np.int64)
+                    base += np.bincount(owner, cost[which], len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, (n_tokens, n_known, base, score))], names=[f.split()[0] for f in fields.split(", ")])
 
     def run(batches):
-        key, values, rows = None, [], []
+        hashes, key, pages, answers = Hashes(), None, [], {}
         for b in batches:
-            chunk, part = b.column("chunk").to_numpy(), b.column("part")
-            cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
-            for at, end in zip(cuts, cuts[1:], strict=False):
-                if at == end:
-                    continue
-                if chunk[at] != key:
-                    if rows:
-                        yield scored(values, rows)
-                    key, values, rows = chunk[at], [], []
-                some = b.slice(at, end - at)
-                asks = some.filter(some.column("part").is_valid())
-                values += zip(asks.column("part").to_pylist(), asks.column("data").to_pylist(), strict=True)
-                if len(asks) < len(some):
-                    rows.append(some.filter(some.column("part").is_null()))
-        if rows:
-            yield scored(values, rows)
-
-    both = texts.unionByName(answers, allowMissingColumns=True)
-    n = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return both.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(run, schema)
+            for k in range(b.num_rows):
+                chunk, kind, part, data, ids = (c[k].as_py() for c in b.columns)
+                if chunk != key:
+                    if pages:
+                        yield from scored(pages, answers, hashes)
+                    key, pages, answers = chunk, [], {}
+                if kind == TEXT:
+                    pages.append((np.frombuffer(_grown(data), np.uint8), ids))
+                else:
+                    answers[kind, part] = data
+        if pages:
+            yield from scored(pages, answers, hashes)
+
+    both = texts.select("chunk", "kind", "part", "data", "ids").unionByName(answers, allowMissingColumns=True)
+    return _by_part(both, "chunk").mapInArrow(run, fields)
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score_documents(docs, docs.where(~held_out()))
+    return score_documents(table(spark, sf_dir, "documents"), ~held_out())

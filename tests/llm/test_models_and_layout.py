@@ -144,8 +144,7 @@ class SlowPPM:
         return out - math.log10(256 - len(refused))
 
 
-def test_lm_against_definitions(spark, docs, monkeypatch):
-    monkeypatch.setattr(lm_score, "WORDS", 40)
+def test_lm_against_definitions(spark, docs):
     data = corpus()
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in data}
     training = [(t or "").encode() for d, t in data if not held[d]]
