@@ -35,29 +35,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, stored, table
+from .common import stored, table
+from .streams import END, PAGE, Hashes, normal
 
 ORDER = 6
 #: Grams of up to so many bytes are sent to all; longer ones are in the part of the LOW bytes before their last.
 LOW = 3
-#: Bytes of training text for each part of the trie; bytes of text after which a chunk ends; bytes handled at once.
-PART, CHUNK, PAGE = 8 << 20, 24 << 20, 1 << 20
+#: Bytes of training text for each part of the trie; bytes of text after which a chunk ends.
+PART, CHUNK = 8 << 20, 24 << 20
 #: Longer grams that occur less often are left to the escape.
 LEAST = 2
 #: What each symbol of a context leaves to the escape.
 DISCOUNT = 0.5
 #: Keys that are held unsorted, and questions that are answered at once.
 SOME = 1 << 22
-END = b"\n"
 GRAM, WORD, DOCS, PACKED, TEXT = 0, 1, 2, 3, 4
 
-#: Lower-cases A to Z and makes all white space spaces.
-PLAIN = bytes(32 if b == 32 or 9 <= b <= 13 else LOWER[b] for b in range(256))
-#: Words are polynomials of random numbers for bytes, modulo 2**64; the base is odd and has an inverse.
-BASE = 0x9E3779B97F4A7C15
-UNBASE = pow(BASE, -1, 1 << 64)
-
-
 def codes(streams: list[bytes], order: int = ORDER):
     """Codes of the last order + 1 bytes at every symbol of texts, and where each text's symbols begin."""
     lead = END * order
@@ -134,31 +127,6 @@ class Trie:
         return out
 
 
-def normal(texts: list[bytes]) -> np.ndarray:
-    """Bytes of the texts' words, joined by single spaces, with END after each text."""
-    if len(texts) == 1 and len(texts[0]) > PAGE:
-        return _normal_long(texts[0])
-    data = np.frombuffer(b"".join([x for t in texts for x in (t.translate(PLAIN), END)]), np.uint8)
-    gap = (data == 32) | (data == END[0])
-    data = data[(data != 32) | ~np.append(gap[1:], True)]  # of a run of spaces the last, if a word follows
-    first = np.append(True, data[:-1] == END[0]) if len(data) else np.zeros(0, bool)
-    return data[(data != 32) | ~first]
-
-
-def _normal_long(text: bytes) -> np.ndarray:
-    out: list[np.ndarray] = []
-    for at in range(0, len(text), PAGE):
-        data = np.frombuffer(text[at : at + PAGE].translate(PLAIN), np.uint8)
-        data = data[(data != 32) | ~np.append(data[1:] == 32, False)]
-        if data[0] == 32 and (not out or out[-1][-1] == 32):
-            data = data[1:]
-        if len(data):
-            out.append(data)
-    if out and out[-1][-1] == 32:
-        out[-1] = out[-1][:-1]
-    return np.concatenate([*out, np.frombuffer(END, np.uint8)])
-
-
 def page_codes(page: np.ndarray, order: int = ORDER):
     """Codes of the symbols of normal texts, some PAGE at a time."""
     ends = np.flatnonzero(page == END[0])
@@ -181,46 +149,6 @@ def page_codes(page: np.ndarray, order: int = ORDER):
         yield code
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out)
-
-
-class Hashes:
-    """Hashes of the words of normal texts."""
-
-    def __init__(self):
-        self.symbols = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    def of_page(self, page: np.ndarray):
-        """Hash of every word, and the place where it ends, some PAGE bytes at a time."""
-        if len(self.up) < min(len(page), PAGE):
-            self.up, self.down = powers(BASE, PAGE), powers(UNBASE, PAGE)
-        begun, size = np.uint64(0), 0  # the word that the bytes so far have not ended
-        for at in range(0, len(page), PAGE):
-            data = page[at : at + PAGE]
-            gaps = np.flatnonzero((data == 32) | (data == END[0]))
-            value = self.symbols[data]
-            value *= self.up[: len(data)]
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
-            starts = np.append(0, gaps + 1)
-            stops = np.append(gaps, len(data))
-            value = sums[stops] - sums[starts]
-            value *= self.down[np.minimum(starts, PAGE - 1)]
-            sizes = stops - starts
-            value[0] = begun + value[0] * np.uint64(pow(BASE, size, 1 << 64))
-            sizes[0] += size
-            begun, size = value[-1], int(sizes[-1])
-            value, sizes = value[:-1], sizes[:-1]
-            real = sizes > 0
-            value = value[real]
-            value ^= value >> np.uint64(32)
-            value *= np.uint64(0xD6E8FEB86659FD93)
-            yield value, gaps[real] + at
-
-
 class Sums:
     """Sorted distinct keys with sums of their counts, which grow as keys come in."""
 

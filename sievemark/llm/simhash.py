@@ -17,14 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, stored, table, unused, words_of
+from .streams import END, PAGE, Hashes, normal, powers
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: The 64 bits are counted in so many equal parts; a tile holds fingerprints with equal counts.
 PARTS = 4
 TILE = 4096
-#: What near copies share (Jaccard, of shingles of WIDTH words). Of pairs that share just so much, the BANDS of ROWS
-#: minima each let 1 in 10,000 go unseen; of those that share 0.9, 1 in 10**9.
-WIDTH, SHARE, BANDS, ROWS = 5, 0.8, 24, 5
+#: What near copies share (Jaccard, of shingles of WIDTH words).
+WIDTH, SHARE = 5, 0.8
+#: Texts that share just so much differ in some 39 of BITS bits (deviation 6; 48 for texts of five shingles) and in 19 of
+#: the first 128, so at most 1 in 100,000 is beyond these radii; unrelated ones differ in 128 (deviation 8).
+BITS, RADIUS_WIDE, RADIUS_FIRST = 256, 76, 46
+TILE_WIDE = 8192
 
 
 def simhash(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -80,6 +84,26 @@ def _steps(radius: int) -> list[list[int]]:
     return out
 
 
+def spanning(u: np.ndarray, v: np.ndarray):
+    """The same components with at most one link a node."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    keep = root != np.arange(len(nodes))
+    return nodes[keep], nodes[root[keep]]
+
+
 def _compare(radius: int):
     def links(a, ia, b, ib, same):
         """For each tile pair: one link per fingerprint and group that it joins, not one per pair."""
@@ -101,25 +125,6 @@ def _compare(radius: int):
                 left, right = [u], [v]
         return spanning(np.concatenate(left), np.concatenate(right)) if left else (ia[:0], ib[:0])
 
-    def spanning(u, v):
-        """The same components with at most one link a node."""
-        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        x, y = at[: len(u)], at[len(u) :]
-        root = np.arange(len(nodes))
-        while True:
-            low = np.minimum(root[x], root[y])
-            new = root.copy()
-            np.minimum.at(new, x, low)
-            np.minimum.at(new, y, low)
-            np.minimum.at(new, root[x], low)
-            np.minimum.at(new, root[y], low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        keep = root != np.arange(len(nodes))
-        return nodes[keep], nodes[root[keep]]
-
     def run(batches):
         home = key = None
         for b in batches:
@@ -204,53 +209,200 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
-def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; a text of fewer words is one shingle of them all, one of none is empty."""
-    words = words_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[:-1]]
-    last = ends[min(width, len(words)) - 1 :]
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[s : e - 1], SEED) for s, e in zip(starts, last, strict=False)], np.uint64))
-
-
-def _sets(docs: DataFrame, width: int, whole: bool) -> DataFrame:
-    """doc_id and content (a hash of the shingle set) of docs (doc_id, text), with their shingle set (whole) or its bands."""
-    factors = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def bands(h):
-        if not len(h):
-            return []
-        least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-        for at in range(0, len(h), 1024):
-            x = h[at : at + 1024, None] * factors[0]
-            x ^= x >> np.uint64(32)
-            x *= factors[1]
-            least = np.minimum(least, x.min(axis=0))
-        rows = least.reshape(BANDS, ROWS)
-        return [xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)]
+class Shingles:
+    """Distinct shingle hashes of texts, and their fingerprints of BITS bits."""
+
+    def __init__(self, width: int = WIDTH):
+        self.width, self.words = width, Hashes()
+        self.factors = powers(0xD1342543DE82EF95, width + 1)
+        self.steps = np.arange(1, BITS // 64 + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+
+    def sets(self, texts: list[bytes]):
+        """For each text its distinct shingle hashes, sorted: a text of fewer words is one shingle of them all, one of none has none."""
+        page = normal(texts)
+        found = list(self.words.of_page(page))
+        h, where = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+        stops = np.searchsorted(where, np.flatnonzero(page == END[0]), "right")
+        del page, found, where
+        joined = np.zeros(max(0, len(h) - self.width + 1), np.uint64)
+        for k in range(self.width):
+            joined += h[k : k + len(joined)] * self.factors[k + 1]
+        joined ^= joined >> np.uint64(29)
+        joined *= np.uint64(0xBF58476D1CE4E5B9)
+        for first, stop in zip(np.append(0, stops[:-1]).tolist(), stops.tolist(), strict=True):
+            if stop - first >= self.width:
+                yield np.unique(joined[first : stop - self.width + 1])
+            else:
+                some = h[first:stop]
+                yield np.sum(some * self.factors[: len(some)] + np.uint64(len(some)), keepdims=True)[: len(some)]
+
+    def fingerprint(self, h: np.ndarray) -> np.ndarray:
+        """BITS / 64 numbers: a bit is 1 if over half of the shingles' mixed hashes have it."""
+        counts = np.zeros(BITS, np.int64)
+        for at in range(0, len(h), 255):  # so that counts of a block fit a byte
+            x = h[at : at + 255] + self.steps
+            x ^= x >> np.uint64(30)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(27)
+            x *= np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            bits = np.unpackbits(np.ascontiguousarray(x.T).view(np.uint8), axis=1)
+            counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+        return np.packbits(2 * counts > len(h)).view(np.uint64)
+
+
+def _batches(b: pa.RecordBatch):
+    """(rows, texts) of (doc_id, text): some PAGE bytes of texts, or one longer text."""
+    first, texts, size = 0, [], 0
+    for k in range(b.num_rows):
+        text = b.column(1)[k].as_py() or b""
+        if texts and size + len(text) > PAGE:
+            yield slice(first, k), texts
+            first, texts, size = k, [], 0
+        texts.append(text)
+        size += len(text) + 1
+    if texts:
+        yield slice(first, b.num_rows), texts
+
+
+FP = [f"f{k}" for k in range(BITS // 64)]
+
+
+def wide_prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, content (a hash of the set of shingles), size of the set, and f0, f1...: the bits of its fingerprint."""
+
+    def run(batches):
+        shingles = Shingles(width)
+        for b in batches:
+            for rows, texts in _batches(b):
+                content, size, prints = [], [], []
+                for h in shingles.sets(texts):
+                    content.append(xxhash.xxh64_intdigest(h, SEED))
+                    size.append(len(h))
+                    prints.append(shingles.fingerprint(h))
+                prints = np.array(prints).view(np.int64)
+                ids = b.column(0).slice(rows.start, rows.stop - rows.start)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(content, np.uint64).view(np.int64)), pa.array(size, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in prints.T)], names=["doc_id", "content", "size", *FP])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, content long, size long, " + ", ".join(f"{c} long" for c in FP))
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, content and x, the set of shingles, of docs (doc_id, text)."""
 
     def run(batches):
+        shingles = Shingles(width)
         for b in batches:
-            sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
-            content = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-            out = [(h if whole else np.array(bands(h), np.uint64)).view(np.int64) for h in sets]
-            cut = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content), lists], names=["doc_id", "content", "x"])
+            for rows, texts in _batches(b):
+                sets = list(shingles.sets(texts))
+                content = np.array([xxhash.xxh64_intdigest(h, SEED) for h in sets], np.uint64).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(rows.start, len(texts)), pa.array(content), lists], names=["doc_id", "content", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return texts.mapInArrow(run, "doc_id long, content long, x array<long>")
 
 
+def _compare_wide(radius: int, first_radius: int, share: float, across: bool):
+    words = BITS // 64
+
+    def far(a, b) -> bool:
+        """Whether the population counts of two tiles' fingerprints differ beyond the radius, word by word."""
+        gap = 0
+        for x, y in zip(a, b, strict=True):
+            x, y = np.bitwise_count(x).astype(int), np.bitwise_count(y).astype(int)
+            gap += max(0, x.min() - y.max(), y.min() - x.max())
+        return gap > radius
+
+    def links(a, b, same):
+        """Of two tiles (numbers, sizes, contents, roots) what is near; a spanning set of it, or all across roots."""
+        left, right, held = [], [], 0
+        if far(a[0], b[0]):
+            return
+        rows = max(1, (1 << 18) // max(1, len(b[1])))
+        for at in range(0, len(a[1]), rows):
+            begin = at if same else 0
+            apart = np.bitwise_count(a[0][0][at : at + rows, None] ^ b[0][0][None, begin:])
+            apart += np.bitwise_count(a[0][1][at : at + rows, None] ^ b[0][1][None, begin:])
+            x, y = np.nonzero(apart <= first_radius)
+            x, y = x + at, y + begin
+            if same:
+                x, y = x[x < y], y[x < y]
+            whole = sum(np.bitwise_count(a[0][w][x] ^ b[0][w][y]).astype(np.int64) for w in range(words))
+            least, most = np.minimum(a[1][x], b[1][y]), np.maximum(a[1][x], b[1][y])
+            keep = (whole <= radius) & (least >= share * most - 1e-9)
+            if across:
+                keep &= a[3][x] != b[3][y]
+            if keep.any():
+                left.append(a[2][x[keep]])
+                right.append(b[2][y[keep]])
+                held += len(left[-1])
+            if held > 4 * (len(a[1]) + len(b[1])):
+                u, v = np.concatenate(left), np.concatenate(right)
+                if across:
+                    yield u, v
+                    left, right, held = [], [], 0
+                else:
+                    u, v = spanning(u, v)
+                    left, right, held = [u], [v], len(u)
+        if held:
+            u, v = np.concatenate(left), np.concatenate(right)
+            yield (u, v) if across else spanning(u, v)
+
+    def run(batches):
+        home = key = None
+        for b in batches:
+            lists = [b.column(c) for c in (*FP, "sizes", "contents", "roots")]
+            for k in range(b.num_rows):
+                cell, salt, role = (b.column(c)[k].as_py() for c in ("cell", "salt", "role"))
+                columns = [c[k].values.to_numpy() for c in lists]
+                tile = [c.view(np.uint64) for c in columns[:words]], *columns[words:]
+                if role == 0:
+                    home, key = ([c.copy() for c in tile[0]], *(c.copy() for c in tile[1:])), (cell, salt)
+                if key == (cell, salt):
+                    for u, v in links(home, tile, role == 0):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+
+    return run
+
+
+def wide_links(prints: DataFrame, share: float, across: bool, label: str) -> DataFrame:
+    """Pairs (a, b) of contents whose fingerprints differ in RADIUS_WIDE bits at most and whose sizes fit a similarity of
+    share; of each pair of tiles a spanning set, or (across) all pairs with different roots.
+
+    A tile is a set of up to TILE_WIDE fingerprints of texts of a size class. Classes are a quarter of the factor 1 / share wide, so a
+    tile meets those of its own class and of four below."""
+    steps = 4
+    cell = F.floor(F.round(F.log(F.col("size").cast("double")) * (steps / -np.log(share)), 6)).cast("int")
+    cells = prints.withColumn("cell", cell)
+    kinds = stored(cells.groupBy("cell").agg(F.ceil(F.count("*") / TILE_WIDE).cast("int").alias("salts")), "kinds")
+    columns = {f"{c}": c for c in FP} | {"sizes": "size", "contents": "content", "roots": "root"}
+    tiles = (
+        cells.join(F.broadcast(kinds), "cell")  # a class for each quarter of a step of size: some hundreds
+        .withColumn("salt", F.pmod(F.xxhash64("content", F.lit(7)), F.col("salts")).cast("int"))
+        .groupBy("cell", "salt").agg(F.collect_list(F.struct(*columns.values())).alias("x"))
+        .select("cell", "salt", *(F.col(f"x.{c}").alias(name) for name, c in columns.items()))
+    )
+    tiles = stored(tiles, label)
+    guests = (
+        tiles.withColumnsRenamed({"salt": "from", "cell": "own"}).withColumn("cell", F.explode(F.sequence(F.col("own") - steps, F.col("own"))))
+        .join(F.broadcast(kinds), "cell")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        .where("cell < own or salt < from")
+        .select("cell", "salt", F.lit(1).alias("role"), *columns)
+    )
+    meet = tiles.select("cell", "salt", F.lit(0).alias("role"), *columns).union(guests)
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return meet.repartition(n, "cell", "salt").sortWithinPartitions("cell", "salt", "role").mapInArrow(_compare_wide(RADIUS_WIDE, RADIUS_FIRST, share, across), "a long, b long")
+
+
 def alike(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, share: float) -> DataFrame:
     """Those of pairs (a, b) of reps' contents whose shingle sets share so much."""
     asked = pairs.select(F.col("a").alias("content")).union(pairs.select(F.col("b").alias("content"))).distinct()
     some = reps.join(asked, "content", "left_semi").select(F.col("id").alias("__id"), F.col("content").alias("__content"))
     texts = docs.join(some.select("__id").distinct(), docs["doc_id"] == F.col("__id"), "left_semi").select("doc_id", "text")
-    sets = _sets(texts, width, whole=True)
+    sets = _sets(texts, width)
     sets = sets.join(some, (sets["doc_id"] == some["__id"]) & (sets["content"] == some["__content"]), "left_semi").dropDuplicates(["content"]).select("content", "x")
     sets = stored(sets, "sets")
     side = lambda c: sets.select(F.col("content").alias(c), F.col("x").alias(f"x{c}"))
@@ -259,28 +411,36 @@ def alike(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, share:
     return both.where(F.col("common") >= share * (F.size("xa") + F.size("xb") - F.col("common")) - 1e-9).select("a", "b")
 
 
+def _rooted(reps: DataFrame, roots: DataFrame, out: str) -> DataFrame:
+    """reps with the least content that theirs is connected with."""
+    return reps.join(roots.withColumnsRenamed({"node": "__node", "root": "__root"}), F.col("content") == F.col("__node"), "left").withColumn(out, F.coalesce("__root", "content")).drop("__node", "__root")
+
+
 def keep_unlike(docs: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
     """The rows of docs without those that aren't the first, by doc_id, of their component of texts whose shingles
-    have a Jaccard similarity of share or more. Rows that repeat a doc_id stay or go together; rows without doc_id stay.
-
-    Texts that share a band are candidates: first each with its band's first text, then, where a band still holds
-    several components, all pairs across these. Every link is verified on the shingles."""
-    prints = stored(_sets(docs.where("doc_id is not null").select("doc_id", "text"), width, whole=False), "bands")
-    reps = stored(prints.groupBy("content").agg(F.min("doc_id").alias("id"), F.any_value("x").alias("x")), "contents")
-    rows = reps.select("content", F.explode("x").alias("band"))
-    several = rows.groupBy("band").agg(F.min("content").alias("first"), F.count("*").alias("n")).where("n > 1")
-    rows = stored(rows.join(several, "band").select("band", "content", "first"), "members")
-    pairs = rows.where("content <> first").select(F.col("first").alias("a"), F.col("content").alias("b")).distinct()
-    links = stored(alike(docs, stored(pairs, "pairs"), reps, width, share), "links")
-    roots = components(links, "near")
-    rows = rows.join(roots, rows["content"] == roots["node"], "left").select("band", "content", F.coalesce("root", "content").alias("root"))
-    mixed = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    rows = stored(rows.join(mixed, "band", "left_semi"), "mixed")
-    left, right = (rows.select("band", F.col("content").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    across = left.join(right, "band").where("ra <> rb and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.union(alike(docs, stored(across, "across"), reps, width, share))
-    roots = components(links, "near")
-    ids = reps.join(roots, reps["content"] == roots["node"], "left").select("content", "id", F.coalesce("root", "content").alias("root"))
+    have a Jaccard similarity of share or more.
+
+    Candidates are texts whose fingerprints of BITS bits are near, by tiles, and every link is verified on the shingles: first
+    a spanning set of each pair of tiles; then, where what candidates connect is not connected by verified links, all
+    candidates across the components.
+
+    Edge cases: rows that repeat a doc_id stay or go together; rows without doc_id stay; null, empty and blank texts are
+    copies of one another; equal texts are one content, so ties go to the smallest doc_id; an empty table gives an empty
+    result; all columns are kept, whatever their names."""
+    prints = stored(wide_prints(docs.where("doc_id is not null").select("doc_id", "text"), width), "prints")
+    reps = prints.groupBy("content").agg(F.min("doc_id").alias("id"), F.any_value("size").alias("size"), *(F.any_value(c).alias(c) for c in FP))
+    reps = stored(reps.withColumn("root", F.col("content")), "contents")
+    some = reps.where("size > 0")
+    near = stored(wide_links(some, share, False, "tiles"), "near").distinct()
+    links = stored(alike(docs, near, reps, width, share), "links")
+    rooted = _rooted(_rooted(some.drop("root"), components(links, "sure"), "root"), components(near, "near"), "maybe")
+    rooted = stored(rooted, "rooted")
+    mixed = rooted.groupBy("maybe").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("maybe")
+    mixed = stored(rooted.join(mixed, "maybe", "left_semi").drop("maybe"), "mixed")
+    if not mixed.isEmpty():
+        rest = stored(wide_links(mixed, share, True, "again").distinct().join(near, ["a", "b"], "left_anti"), "across")
+        links = stored(links.union(alike(docs, rest, reps, width, share)), "links")
+    ids = _rooted(reps.select("content", "id"), components(links, "whole"), "root")
     first = ids.groupBy("root").agg(F.min("id").alias("first"))
     first = ids.join(first, "root").select("content", "first")
     gone = prints.select("doc_id", "content").join(first, "content").where("doc_id <> first").select(F.col("doc_id").alias("__gone")).distinct()
