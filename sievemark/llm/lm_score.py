@@ -48,7 +48,7 @@ LEAST = 2
 #: What each symbol of a context leaves to the escape.
 DISCOUNT = 0.5
 #: Keys that are held unsorted, and questions that are answered at once.
-SOME = 1 << 22
+SOME = 1 << 20
 GRAM, WORD, DOCS, PACKED, TEXT = 0, 1, 2, 3, 4
 
 def codes(streams: list[bytes], order: int = ORDER):
@@ -193,7 +193,7 @@ class Marked(Sums):
             key = np.concatenate([k for k, _ in self.raw])
             self.raw, self.size = [], 0
             key.sort()
-            start = np.flatnonzero(np.concatenate(([True], key[1:] >> np.uint64(1) != key[:-1] >> np.uint64(1))))
+            start = np.flatnonzero(np.append(True, (key[1:] ^ key[:-1]) > 1))
             ones = np.add.reduceat(key & np.uint64(1), start).astype(np.int64)
             self.merge(key[start] >> np.uint64(1), ones)
         return self
@@ -237,8 +237,8 @@ def unpacked(data: bytes):
     return _numbers(data[16:], "u8", n), _numbers(data[ends:], "i8", n), _numbers(data[ends + 8 * n :], "i8", contexts)
 
 
-def _shrunk(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def _shrunk(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level).compress(data)
 
 
 def _grown(data: bytes) -> bytes:
@@ -254,6 +254,17 @@ def _keys(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(_numbers(data, "u8", n))
 
 
+def _answer(value: np.ndarray) -> bytes:
+    """Numbers of 8 bytes, of which many are equal."""
+    kinds, which = np.unique(value, return_inverse=True)
+    return len(kinds).to_bytes(8, "little") + _shrunk(_planes(kinds.view(np.uint64)) + _planes(which.astype(np.uint32)))
+
+
+def _answered(data: bytes, n: int) -> np.ndarray:
+    kinds, data = int.from_bytes(data[:8], "little"), _grown(data[8:])
+    return _numbers(data, "u8", kinds)[_numbers(data[8 * kinds :], "u4", n)]
+
+
 def _dealt(by: np.ndarray, parts: int):
     """(part, indices of its items, in their order) for every part that has items."""
     sort = np.argsort(by.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
@@ -297,7 +308,7 @@ def messages(rows: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
             for h, where in hashes.of_page(page):
                 words.add(h, np.array(trains, np.int64)[np.searchsorted(ends, where)])
             if asks:
-                row(TEXT, None, len(ids), _shrunk(page.tobytes()), ids)
+                row(TEXT, None, len(ids), _shrunk(page.tobytes(), 3), ids)
             return len(page)
 
         def flush():
@@ -495,7 +506,7 @@ def _answers(counts: DataFrame, sent: DataFrame, low: list[tuple], symbols: int,
                 at = np.searchsorted(self.key, new)
                 self.key, self.value = np.insert(self.key, at, new), np.insert(self.value, at, self.trie.log10(new))
             for key in keys:
-                yield _shrunk(_planes(self.value[np.searchsorted(self.key, key)].view(np.uint64)))
+                yield _answer(self.value[np.searchsorted(self.key, key)])
 
     def run(batches):
         key, packed, known, words, asked, size = None, {}, None, None, [], 0
@@ -519,13 +530,13 @@ def _answers(counts: DataFrame, sent: DataFrame, low: list[tuple], symbols: int,
                 elif kind == WORD:
                     at, there = Trie.find(words[0], _keys(_grown(data), n))
                     found = np.where(there, words[1][at] if len(words[1]) else 0, 0)
-                    yield pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": WORD, "part": part, "data": _shrunk(_planes(found))}], schema=shape)
+                    yield pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": WORD, "part": part, "data": _answer(found)}], schema=shape)
                 else:
                     if known is None:
                         known, packed = Known(trie_of(shared.value, packed, symbols, order)), {}
                     asked.append((chunk, _keys(_grown(data), n)))
                     size += n
-                    if size > SOME // 4:
+                    if size > SOME:
                         yield answers()
                         size = 0
         if asked:
@@ -576,7 +587,7 @@ def _sums(texts: DataFrame, answers: DataFrame, parts: int, order: int, tokens:
             by = owners(key, parts) if kind == GRAM else receivers(key, parts)
             value = np.zeros(len(key), np.float64 if kind == GRAM else np.int64)
             for p, some in _dealt(by, parts):
-                found = _numbers(_grown(answers.pop((kind, p))), "u8", len(some))
+                found = _answered(answers.pop((kind, p)), len(some))
                 value[some] = found.view(np.float64) if kind == GRAM else found
             out.append((key, value))
         (code, value), (word, n) = out
