@@ -45,3 +45,15 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     """JSON text of string fields with sorted keys and blanks after separators, byte for byte."""
     parts = [F.concat(F.lit(f'"{k}": '), F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2)) for k, v in sorted(fields.items())]
     return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def without_suffix(text: Column, suffix: str) -> Column:
+    return F.when(F.endswith(text, F.lit(suffix)), F.left(text, F.length(text) - len(suffix))).otherwise(text)
+
+
+def list_literal(text: Column) -> Column:
+    """Strings of a list in Python's notation, in single or double quotes with backslash escapes; null if it is none."""
+    one = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+    found = F.regexp_extract_all(text, F.lit(one), F.lit(0))
+    plain = lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1")
+    return F.when(F.rlike(text, F.lit(rf"^\[\s*(?:(?:{one})(?:\s*,\s*(?:{one}))*)?\s*\]$")), F.transform(found, plain))

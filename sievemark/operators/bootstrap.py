@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio
@@ -34,6 +34,11 @@ def _tabled(spark: SparkSession, rows) -> DataFrame:
     return spark.createDataFrame(found, "rep int, ord int, times int")
 
 
+def numbered(parts: DataFrame, group: str) -> DataFrame:
+    """(ord, num, den) of a row a group, groups in their order."""
+    return parts.select((F.row_number().over(Window.orderBy(group)) - 1).alias("ord"), F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den"))
+
+
 def interval(contributions: DataFrame, draws: DataFrame, reps: int, linear: bool = False) -> DataFrame:
     """One row (low, high, defined) from contributions (ord, num, den): 2.5 and 97.5 % of the repetitions' ratios.
 

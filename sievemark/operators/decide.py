@@ -35,10 +35,7 @@ def summarise_blocks(labelled: DataFrame, *keep: str) -> DataFrame:
     return out.withColumns({"best_p": F.col("u0.p_yes"), "margin": margin}).drop("top2")
 
 
-def decide(blocks: DataFrame, method: str, tau: Column | float | None = None, delta: Column | float | None = None) -> DataFrame:
-    """blocks with method, status (select, defer, model_failure), selected, outcome and top1.
-
-    Thresholds are inclusive. top1 is whether the ungated best is compatible; null for B1, which ranks nothing."""
+def _decision(method: str, tau: Column | float | None, delta: Column | float | None) -> dict[str, Column]:
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     if method in ("S1", "S2") and tau is None or method == "S2" and delta is None:
@@ -49,9 +46,23 @@ def decide(blocks: DataFrame, method: str, tau: Column | float | None = None, de
         if delta is not None:
             accept["S2"] = accept["S1"] & (F.col("margin") >= delta)
     pick = F.col({"B0": "b0", "B1": "b1"}.get(method, "u0"))
-    status = F.when(F.col("fault").isNotNull(), "model_failure").when(accept[method], "select").otherwise("defer")
-    out = blocks.withColumns({"method": F.lit(method), "status": status, "pick": pick})
-    chosen = F.col("status") == "select"
-    outcome = F.when(F.col("status") == "model_failure", "failure").when(~chosen, "defer").when(F.col("pick.label") == "compatible", "correct").otherwise("wrong")
-    top1 = F.lit(None).cast("boolean") if method == "B1" else F.col("has_compatible") & F.col("fault").isNull() & (F.col("pick.label") == "compatible")
-    return out.withColumns({"selected": F.when(chosen, F.col("pick.cand_id")), "outcome": outcome, "top1": top1}).drop("pick")
+    valid, right = F.col("fault").isNull(), pick["label"] == "compatible"
+    chosen = valid & accept[method]
+    return {
+        "method": F.lit(method), "status": F.when(~valid, "model_failure").when(chosen, "select").otherwise("defer"), "selected": F.when(chosen, pick["cand_id"]),
+        "outcome": F.when(~valid, "failure").when(~chosen, "defer").when(right, "correct").otherwise("wrong"),
+        "top1": F.lit(None).cast("boolean") if method == "B1" else F.col("has_compatible") & valid & right,
+    }
+
+
+def decide(blocks: DataFrame, method: str, tau: Column | float | None = None, delta: Column | float | None = None) -> DataFrame:
+    """blocks with method, status (select, defer, model_failure), selected, outcome and top1.
+
+    Thresholds are inclusive. top1 is whether the ungated best is compatible; null for B1, which ranks nothing."""
+    return blocks.withColumns(_decision(method, tau, delta))
+
+
+def decide_all(blocks: DataFrame, tau: Column | float, delta: Column | float, *keep: str) -> DataFrame:
+    """The kept columns of blocks and what decide() adds, for every method: blocks are read once."""
+    each = [F.struct(*(c.alias(k) for k, c in _decision(m, tau, delta).items())) for m in METHODS]
+    return blocks.select(*keep, F.explode(F.array(*each)).alias("d")).select(*keep, "d.*")

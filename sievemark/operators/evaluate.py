@@ -6,12 +6,13 @@ are worked out on that small table and never shuffle rows again.
 
 from __future__ import annotations
 
-from functools import reduce
+from math import isfinite
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio
+from .decide import decide_all
 
 #: Names of the reported counts, and of the ratios with their two counts.
 COUNTS = ("n", "n_present", "n_absent", "selected", "correct", "wrong", "deferred", "failures", "present_selected", "absent_selected", "top1_correct")
@@ -38,27 +39,25 @@ def cells(decided: DataFrame) -> DataFrame:
 
 def all_methods(blocks: DataFrame, tau: float, delta: float) -> DataFrame:
     """Cells of all methods from one pass over blocks."""
-    from .decide import METHODS, decide
-
-    parts = [decide(blocks, m, tau, delta).select("method", "family", "tier", "regime", "outcome", "top1", "has_compatible") for m in METHODS]
-    return cells(reduce(DataFrame.unionByName, parts))
+    return cells(decide_all(blocks, tau, delta, "family", "tier", "regime", "has_compatible"))
 
 
 def with_weights(cell: DataFrame, *by: str, regime_weights: dict[str, float] | None = None, weighting: str = "family") -> DataFrame:
     """Cells with weight: each family of a slice (by) counts alike, so do its regimes, so do a regime's rows."""
-    if weighting not in ("family", "query"):
-        raise ValueError("weighting is family or query")
-    if any(not 0 <= w < float("inf") for w in (regime_weights or {}).values()):
-        raise ValueError("regime weights are finite and not negative")
+    if weighting == "query" or weighting == "family":
+        unfit = {k: x for k, x in (regime_weights or {}).items() if not (isfinite(x) and x >= 0)}
+    else:
+        raise ValueError(f"no such weighting: {weighting}")
+    if unfit:
+        raise ValueError(f"weights of regimes must be numbers from 0 up: {unfit}")
     w = F.lit(1.0)
     if regime_weights:
         w = F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for kv in regime_weights.items() for x in kv]), lambda k, _: k == F.col("regime"))), F.lit(0)), F.lit(1.0))
     if weighting == "query":
         return cell.withColumn("weight", w)
-    regimes = cell.groupBy(*by, "family").agg(F.count_distinct("regime").alias("regimes"))
-    sizes = cell.groupBy(*by, "family", "regime").agg(F.sum("n").alias("rows"))
-    out = cell.join(regimes, [*by, "family"]).join(sizes, [*by, "family", "regime"])
-    return out.withColumn("weight", w / (F.col("regimes") * F.col("rows"))).drop("regimes", "rows")
+    regimes = F.size(F.collect_set("regime").over(Window.partitionBy(*by, "family")))  # of few cells
+    rows = F.sum("n").over(Window.partitionBy(*by, "family", "regime"))
+    return cell.withColumn("weight", w / (regimes * rows))
 
 
 def report(cell: DataFrame, *by: str, digits: int = 9, **kw) -> DataFrame:

@@ -40,6 +40,12 @@ def joined_or_fail(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
     return out.where(F.when(F.col("__found"), F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))).drop("__found")
 
 
+def without_partner(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
+    """One row: how many rows of left find no partner (n_rows), and how many distinct keys these have (n_pairs)."""
+    gone = left.join(right.select(*key).distinct(), [*key], "left_anti").groupBy(*key).agg(F.count("*").alias("n"))
+    return gone.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_pairs"))
+
+
 def complete_groups(left: DataFrame, right: DataFrame, group: str, *key: str) -> DataFrame:
     """Groups of left all of whose rows find a partner."""
     marked = right.select(*key).distinct().withColumn("__found", F.lit(1))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import is_finite, ratio
+from .calibrate import ranged
 
 #: Reporting cap, tolerance of a step, and the margin bins with their names.
 CAP, STEP_TOLERANCE = -2.0, 1e-12
@@ -69,18 +70,28 @@ def bins(prepared: DataFrame) -> DataFrame:
     """Per split and margin bin; margins are null where censored, as they are bounds there."""
     known = F.when(F.col("censored") == 0, F.col("margin_mm"))
     label = lambda x: F.count_if(F.col("label") == x).alias(f"n_{x}")
-    return prepared.groupBy("split", bin_name().alias("margin_bin")).agg(
+    out = prepared.groupBy("split", bin_name().alias("margin_bin")).agg(
         F.count("*").alias("n"), F.count_distinct("family").alias("n_families"), F.count_distinct("peg_id").alias("n_pegs"), *map(label, ("compatible", "incompatible", "ambiguous")),
         F.sum("censored").alias("n_censored"), F.round(F.avg(known), 9).alias("mean_margin"), F.min(known).alias("min_margin"), F.max(known).alias("max_margin"),
-        F.min("p_yes").alias("p_min"), *[F.round(F.percentile("p_yes", q), 9).alias(n) for q, n in ((0.25, "p_q25"), (0.5, "p_median"), (0.75, "p_q75"))], F.max("p_yes").alias("p_max"),
+        F.min("p_yes").alias("p_min"), F.percentile("p_yes", [0.25, 0.5, 0.75]).alias("__q"), F.max("p_yes").alias("p_max"),
         F.sum("accept_tau").alias("accepted"), F.round(F.avg("accept_tau"), 9).alias("accept_rate"), F.sum("image_fits").alias("image_fits"), F.round(F.avg("image_fits"), 9).alias("image_rate"),
     )
+    quartiles = {n: F.round(F.get("__q", F.lit(i)), 9) for i, n in enumerate(("p_q25", "p_median", "p_q75"))}
+    return out.withColumns(quartiles).drop("__q")
 
 
-def auroc(rows: DataFrame, by: str, score: str, positive) -> DataFrame:
-    """Area under the ROC curve per group, ties one half; null with one class only. Ranks are of distinct scores."""
+def auroc(rows: DataFrame, by: str, score: str, positive, large: bool = False) -> DataFrame:
+    """Area under the ROC curve per group, ties one half; null with one class only. Ranks are of distinct scores. large: groups
+    may have any number of scores, of which only those of a range are ordered together (else: those of a group)."""
     at = rows.groupBy(by, score).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = lambda order, *part: F.coalesce(F.sum("neg").over(Window.partitionBy(by, *part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if large:
+        at = ranged(at, score)
+        starts = at.groupBy(by, "bucket").agg(F.sum("neg").alias("neg")).select(by, "bucket", before("bucket").alias("start"))
+        at = at.join(starts, [by, "bucket"])
+        below = before(score, "bucket") + F.col("start")
+    else:
+        below = before(score)
     wins = at.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
     out = wins.groupBy(by).agg(F.sum("wins").alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return out.select(by, ratio(F.col("w"), F.col("p") * F.col("n")).alias("auroc"))

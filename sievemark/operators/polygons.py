@@ -9,10 +9,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GRID, CLEARANCE, BAND, ARC = 0.1, 0.3, 0.05, 128
+#: Fixed values, in millimetres: lattice, clearance, tolerance, largest interference told apart, gap of a loose fit; steps of a circle.
+GRID, CLEARANCE, BAND, CAP, LOOSE, ARC = 0.1, 0.3, 0.05, 2.0, 0.6, 128
 
 
 def ring(points: list[tuple[Column, Column]]) -> Column:
@@ -138,6 +139,9 @@ def profiles(parts: DataFrame) -> DataFrame:
 
 # --- rasters ---
 
+#: Points up to which all edges are taken at once.
+FEW = 4096
+
 
 def lattice(pts: np.ndarray, pad: float = 0.0):
     lo, hi = np.floor((pts.min(axis=0) - pad) / GRID), np.ceil((pts.max(axis=0) + pad) / GRID)
@@ -147,6 +151,13 @@ def lattice(pts: np.ndarray, pad: float = 0.0):
 def inside(pts: np.ndarray, hole: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Even-odd test of points against a ring with a round hole."""
     odd = np.zeros(x.shape, bool)
+    if x.size <= FEW:
+        (ax, ay), (bx, by) = pts.T[:, :, None], np.roll(pts, -1, axis=0).T[:, :, None]
+        x_, y_ = x.ravel()[None], y.ravel()[None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            hits = ((ay > y_) != (by > y_)) & (x_ < (bx - ax) * (y_ - ay) / (by - ay) + ax)
+        odd = (np.count_nonzero(hits, axis=0) % 2 == 1).reshape(x.shape)
+        return odd & (x * x + y * y >= hole * hole) if hole else odd
     for (ax, ay), (bx, by) in zip(pts, np.roll(pts, -1, axis=0), strict=True):
         if ay != by:
             odd ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
@@ -155,6 +166,12 @@ def inside(pts: np.ndarray, hole: float, x: np.ndarray, y: np.ndarray) -> np.nda
 
 def edge_distance(pts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     out = np.full(x.shape, np.inf)
+    if x.size <= FEW:
+        ax, ay = pts.T[:, :, None]
+        dx, dy = (np.roll(pts, -1, axis=0) - pts).T[:, :, None]
+        px, py = x.ravel()[None] - ax, y.ravel()[None] - ay
+        t = np.clip((px * dx + py * dy) / np.maximum(dx * dx + dy * dy, 1e-18), 0, 1)
+        return np.sqrt(((px - t * dx) ** 2 + (py - t * dy) ** 2).min(axis=0)).reshape(x.shape)
     for (ax, ay), (bx, by) in zip(pts, np.roll(pts, -1, axis=0), strict=True):
         dx, dy = bx - ax, by - ay
         t = np.clip(((x - ax) * dx + (y - ay) * dy) / max(dx * dx + dy * dy, 1e-18), 0, 1)
@@ -212,6 +229,168 @@ def shift_fits(profiled: DataFrame) -> DataFrame:
     return profiled.groupBy("family").applyInPandas(family, "peg_id string, socket_id string, fits boolean")
 
 
+# --- fits of all pairs ---
+
+
+def offset_ring(pts: np.ndarray, by: float) -> np.ndarray:
+    """Ring at a distance outside a counter-clockwise ring: arcs around its corners, mitres in its notches."""
+    if _twice_area(pts) < 0:
+        pts = pts[::-1]
+    step = np.roll(pts, -1, axis=0) - pts
+    pts, step = pts[np.hypot(*step.T) > 1e-12], step[np.hypot(*step.T) > 1e-12]
+    unit = step / np.hypot(*step.T)[:, None]
+    normal = np.c_[unit[:, 1], -unit[:, 0]]
+    out = []
+    for p, before, after in zip(pts, np.roll(normal, 1, axis=0), normal, strict=True):
+        turn = math.atan2(before[0] * after[1] - before[1] * after[0], before @ after)
+        if turn < -1e-9:
+            out.append((p + by * (before + after) / (1 + before @ after))[None])
+        else:
+            a = math.atan2(before[1], before[0])
+            out.append(p + by * _polar(1.0, np.linspace(a, a + turn, 1 + max(1, math.ceil(turn / (2 * math.pi) * ARC)))))
+    return np.concatenate(out)
+
+
+def _twice_area(pts: np.ndarray) -> float:
+    nxt = np.roll(pts, -1, axis=0)
+    return float((pts[:, 0] * nxt[:, 1] - nxt[:, 0] * pts[:, 1]).sum())
+
+
+def bore_of(pts: np.ndarray, hole: float, clearance: float = CLEARANCE) -> tuple[np.ndarray, float]:
+    """The nominal bore of a part, its centroid in the origin, and the radius of the pin in a part's hole."""
+    grown_ = offset_ring(pts, clearance)
+    return grown_ - area_centre(grown_)[0], max(0.0, hole - clearance) if hole else 0.0
+
+
+def dense(pts: np.ndarray, step: float = GRID) -> np.ndarray:
+    """Points along a ring, corners included."""
+    nxt = np.roll(pts, -1, axis=0)
+    n = np.maximum(1, np.ceil(np.hypot(*(nxt - pts).T) / step).astype(int))
+    at = np.repeat(np.arange(len(pts)), n)
+    t = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) / n[at]
+    return pts[at] + t[:, None] * (nxt - pts)[at]
+
+
+def signed(pts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Distance of points to a ring, negative inside."""
+    x, y = at.T
+    away = edge_distance(pts, x, y)
+    return np.where(inside(pts, 0.0, x, y), -away, away)
+
+
+def fit_of(peg: np.ndarray, hole: float, bore: np.ndarray, pin: float) -> tuple[float, bool]:
+    """Signed margin of a peg as it lies (at least -CAP, and -CAP at once if the boxes tell), and whether it is contained."""
+    over = max(float((bore.min(axis=0) - peg.min(axis=0)).max()), float((peg.max(axis=0) - bore.max(axis=0)).max()))
+    if over >= CAP:
+        return -CAP, False
+    edge = dense(peg, 2 * GRID)
+    out = float(signed(bore, edge).max())
+    centre = np.zeros((1, 2))
+    room = (hole if hole else max(0.0, float(signed(peg, centre)[0]))) - pin if pin else math.inf  # between the part and the pin
+    if out <= 0 and room >= 0:  # also from the bore's corners, where they point at the part
+        return min(-out, room, float(edge_distance(peg, *bore.T).min())), True
+    return max(-CAP, -max(out, -room)), False
+
+
+def largest_gap(peg: np.ndarray, bore: np.ndarray) -> float:
+    """Distance from the peg of the bore's farthest point."""
+    return float(np.maximum(signed(peg, dense(bore)), 0).max())
+
+
+def inner_radius(pts: np.ndarray, hole: float) -> float:
+    """Radius of the largest circle inside, within a grid step: by distances of lattice points, then of finer ones."""
+    x, y = (g.ravel() for g in lattice(pts))
+    some = inside(pts, hole, x, y)
+    x, y = x[some], y[some]
+    if not len(x):
+        return 0.0
+    for step in (GRID / 5, GRID / 25, None):
+        depth = edge_distance(pts, x, y)
+        if hole:
+            depth = np.minimum(depth, np.hypot(x, y) - hole)
+        k = int(depth.argmax())
+        if step:
+            near = np.arange(-6, 7) * step
+            x, y = (g.ravel() for g in np.meshgrid(x[k] + near, y[k] + near))
+    return float(depth[k])
+
+
+class Socket:
+    """A bore with what all pegs need of it."""
+
+    def __init__(self, pts: np.ndarray, hole: float):
+        self.ring, self.pin = bore_of(pts, hole)
+        self._region = None
+
+    def region(self):
+        """The bore grown by the tolerance and a grid step, as (size, area, inner radius, raster of what is outside)."""
+        if self._region is None:
+            by = BAND + GRID
+            ring, pin = offset_ring(self.ring, by), max(0.0, self.pin - by)
+            free = inside(ring, pin, *lattice(ring, 2 * GRID))
+            self._region = np.ptp(ring, axis=0), abs(_twice_area(ring)) / 2 - math.pi * pin**2, inner_radius(ring, pin), 1.0 - free
+        return self._region
+
+    def shifted(self, turns: list[np.ndarray], hole: float, area: float, radius: float) -> bool:
+        """Whether some turn may fit after a shift. Area, box and inner radius rule most pegs out."""
+        size, most, inner, outside = self.region()
+        if area > most or radius > inner + 0.02:
+            return False
+        return any((np.ptp(t, axis=0) <= size).all() and fits_shifted(inside(t, hole, *lattice(t)).astype(float), outside) for t in turns)
+
+    def label(self, turns: list[np.ndarray], hole: float, area: float, radius: float) -> dict:
+        fits = [fit_of(t, hole, self.ring, self.pin) for t in turns]
+        contained = any(c for _, c in fits)
+        margins = [m if c or not contained else -math.inf for m, c in fits]
+        k = int(np.argmax(margins))  # of equal ones the smaller turn
+        out = {"label": "incompatible", "reason": "", "margin": margins[k], "turn": 90 * k, "max_gap": None, "loose": False}
+        if margins[k] >= BAND:
+            gap = min(largest_gap(t, self.ring) for t, m in zip(turns, margins, strict=True) if m >= BAND)
+            return out | {"label": "compatible", "max_gap": gap, "loose": gap > LOOSE}
+        if margins[k] >= -BAND:
+            return out | {"label": "ambiguous", "reason": "boundary"}
+        return out | ({"label": "ambiguous", "reason": "off_centre"} if self.shifted(turns, hole, area, radius) else {})
+
+
+def quarter_turns(pts: np.ndarray) -> list[np.ndarray]:
+    return [pts, pts[:, ::-1] * [-1, 1], -pts, pts[:, ::-1] * [1, -1]]
+
+
+MATRIX = "peg_id string, socket_id string, label string, reason string, margin double, turn int, max_gap double, loose boolean"
+
+
+def label_matrix(profiled: DataFrame, block: int = 16) -> DataFrame:
+    """Label of every peg in the bore of every part, of its own family or another.
+
+    All pairs are the result, so they are made: pegs in rows of up to `block`, each of which meets every socket once by an
+    equi-join on the block's number. What a socket needs for all pegs of a block is worked out once."""
+    pegs = profiled.select(F.pmod(F.xxhash64("part_id"), F.lit(1 << 20)).alias("h"), F.struct("part_id", "ring", "hole").alias("peg"))
+    number = F.floor((F.row_number().over(Window.orderBy("h", "peg.part_id")) - 1) / block).alias("block")  # ids and rings of a catalogue
+    blocks = pegs.select("peg", number).groupBy("block").agg(F.collect_list("peg").alias("pegs"))
+    sockets = profiled.join(F.broadcast(blocks.agg(F.max("block").alias("last"))))  # one row
+    sockets = sockets.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).select("block", "part_id", "ring", "hole")
+
+    def run(batches):
+        socket, shapes = {}, {}
+        for b in batches:
+            rows = []
+            for sid, ring_, hole, pegs_ in zip(b.part_id, b.ring, b.hole, b.pegs, strict=True):
+                if sid not in socket:
+                    socket = {sid: Socket(_points(ring_), hole)}
+                for p in pegs_:
+                    if p["part_id"] not in shapes:
+                        if len(shapes) > 4096:
+                            shapes.clear()
+                        pts = _points(p["ring"])
+                        shapes[p["part_id"]] = quarter_turns(pts), p["hole"], area_centre(pts)[1] - math.pi * p["hole"] ** 2, inner_radius(pts, p["hole"])
+                    rows.append({"peg_id": p["part_id"], "socket_id": sid} | socket[sid].label(*shapes[p["part_id"]]))
+            out = pd.DataFrame(rows, columns=[f.split()[0] for f in MATRIX.split(", ")])
+            yield out.astype({"max_gap": float})
+
+    n = int(profiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sockets.join(blocks, "block").repartition(n, "part_id").sortWithinPartitions("part_id").mapInPandas(run, MATRIX)
+
+
 # --- masks of images ---
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scores
 from ..operators import keyed
 from ..sources import adapters as A
 from ..sources import generators, records
 from . import query
 
 
-@query("log_load")
+@query("log_load", A.SQL + "SELECT key, answer, p_yes, config FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) = 1")
 def log_load(spark, sf_dir):
     """A JSON-lines log written from the documents and read back with its checks."""
     rows = A.log(spark, sf_dir)
@@ -25,10 +26,19 @@ def manifest_check(spark, sf_dir):
     return keyed.manifest_faults(docs.where("path % 10 <> 3"), expected)
 
 
-@query("identity_check", "SELECT doc_id FROM documents WHERE n_chars <> length(text)")
+_IDENTITY = "'{\"answer\": \"' || lang || '\", \"config\": \"' || source || '\"}'"
+
+
+@query("identity_check", f"SELECT doc_id, CASE WHEN doc_id % 97 = 5 THEN 'key' ELSE 'n_chars' END AS fault FROM documents WHERE doc_id % 97 = 5 AND sha256({_IDENTITY}) <> sha256('') OR doc_id % 89 = 7 AND n_chars + 1 <> length(text) AND doc_id % 97 <> 5")
 def identity_check(spark, sf_dir):
-    """Rows whose stored field does not follow from their content: none may be."""
-    return A.read(spark, sf_dir, "documents").where(F.col("n_chars") != F.length("text")).select("doc_id")
+    """Rows whose stored key or length does not follow from their content, in a log of which some rows were altered."""
+    key = F.sha2(scores.canonical_json({"answer": F.col("lang"), "config": F.col("source")}), 256)
+    stored = A.read(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source", "text", F.when(F.col("doc_id") % 97 == 5, F.sha2(F.lit(""), 256)).otherwise(key).alias("key"),
+        F.when(F.col("doc_id") % 89 == 7, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n_chars"),
+    )
+    fault = F.when(F.col("key") != key, "key").when(F.col("n_chars") != F.length("text"), "n_chars")
+    return stored.select("doc_id", fault.alias("fault")).where("fault is not null")
 
 
 @query("reverify", "SELECT l_orderkey AS block_id, l_linenumber AS position FROM lineitem JOIN part ON l_partkey = p_partkey WHERE abs(l_extendedprice - l_quantity * p_retailprice) > 1e-4")
@@ -39,17 +49,37 @@ def reverify(spark, sf_dir):
     return wrong.select(F.col("l_orderkey").alias("block_id"), F.col("l_linenumber").alias("position"))
 
 
-@query("record_validate")
+@query("record_validate", "SELECT * FROM (VALUES ('test', 'not fitted on the calibration split'), ('less', 'counts do not sum to n'), ('zero', 'counts are not positive integers'), ('tau', 'S1.tau is not in [0, 1]'), ('delta', 'S2.delta is not in [0, 1]'), ('none', 'n is missing')) v(record, fault)")
 def record_validate(spark, sf_dir):
-    """Faults of a calibration record made from this data: none may be."""
+    """Faults of a calibration record made from this data (none), and of altered ones."""
     from .decisions import fitted_s1
 
     counts = {r["split"]: r["count"] for r in A.blocks(spark, sf_dir).groupBy("split").count().collect()}
-    record = {"split": "calib", "n": sum(counts.values()), "counts": counts, "thresholds": {"S1": {"tau": fitted_s1(spark, sf_dir)}}}
-    return spark.createDataFrame([(x,) for x in records.record_faults(record)], "fault string")
+    tau = fitted_s1(spark, sf_dir).first()["tau"]
+    good = {"split": "calib", "n": sum(counts.values()), "counts": counts, "thresholds": {"S1": {"tau": tau}, "S2": {"tau": tau, "delta": 0.05}}}
+    altered = {
+        "good": good, "test": good | {"split": "test"}, "less": good | {"n": good["n"] - 1}, "zero": good | {"counts": counts | {"dev": 0}},
+        "tau": good | {"thresholds": {"S1": {"tau": 1.5}}}, "delta": good | {"thresholds": {"S2": {"tau": tau}}}, "none": {k: v for k, v in good.items() if k != "n"},
+    }
+    return spark.createDataFrame([(k, x) for k, r in altered.items() for x in records.record_faults(r)], "record string, fault string")
+
+
+@query("run_records", "SELECT * FROM (VALUES ('arm', 'quant differs'), ('arm', 'seed is unknown'), ('arm', 'views is missing'), ('pass', 'thresholds differ from the frozen ones'), ('pass', 'a.csv changed'), ('pass', 'b.csv is gone'), ('pass', 'c.csv appeared')) v(record, fault)")
+def run_records(spark, sf_dir):
+    """Faults of a run's record against its settings, and of the record of a pass against thresholds and inputs."""
+    arm = records.arm_faults({"quant": "int8", "prompt": "paper", "seed": 1}, {"quant": "nf4", "prompt": "paper", "views": ["top"]})
+    made = {"split": "test", "n": 5, "thresholds": {"S1": {"tau": 0.5}}, "inputs": {"a.csv": "1", "b.csv": "2"}}
+    told = records.test_pass_faults(made, {"S1": {"tau": 0.6}}, {"a.csv": "9", "c.csv": "3"})
+    return spark.createDataFrame([("arm", x) for x in arm] + [("pass", x) for x in told], "record string, fault string")
+
+
+#: The families of each split under the fixed seed.
+SPLITS = {
+    "dev": "ellipse dshape cross tube", "calib": "square rect tee ell notched trapezoid gear", "test": "circle obround polygon double_d star keyed chamfered",
+}
 
 
-@query("splits")
+@query("splits", "SELECT unnest(string_split(f, ' ')) AS family, split FROM (VALUES " + ", ".join(f"('{s}', '{f}')" for s, f in SPLITS.items()) + ") v(split, f)")
 def splits(spark, sf_dir):
     return spark.createDataFrame(sorted(generators.family_splits(generators.SIZES).items()), "family string, split string")
 

@@ -155,8 +155,9 @@ def calibration_blocks(spark, sf_dir) -> DataFrame:
     return block_table(spark, sf_dir).where("split = 'calib'")
 
 
-def fitted_s1(spark, sf_dir) -> float:
-    return calibrate.s1_threshold(calibration_blocks(spark, sf_dir)).first()["tau"]
+def fitted_s1(spark, sf_dir) -> DataFrame:
+    """One row: tau."""
+    return calibrate.s1_threshold(calibration_blocks(spark, sf_dir))
 
 
 @query("s1_calibrate", A.SQL + FAULT + _CALIB + "SELECT tau FROM s1")
@@ -185,7 +186,8 @@ def s2_calibrate(spark, sf_dir):
 @query("apply_frozen", A.SQL + FAULT + _CALIB + ", b2 AS (SELECT b.*, tau FROM b, s1 WHERE split = 'test'), d AS (SELECT *, 'S1' AS method, CASE WHEN bad THEN 'failure' WHEN best_p < tau THEN 'defer' WHEN u0_label = 'compatible' THEN 'correct' ELSE 'wrong' END AS outcome, present AND NOT bad AND u0_label = 'compatible' AS top1 FROM b2) " + _report_sql("d", "method"))
 def apply_frozen(spark, sf_dir):
     test = block_table(spark, sf_dir).where("split = 'test'")
-    return evaluate.report(evaluate.cells(decide(test, "S1", fitted_s1(spark, sf_dir))), "method")
+    test = test.join(F.broadcast(fitted_s1(spark, sf_dir)))  # one row
+    return evaluate.report(evaluate.cells(decide(test, "S1", F.col("tau"))), "method")
 
 
 @query("risk_coverage", A.SQL + FAULT + _CALIB + """, q AS (SELECT p AS tau FROM p UNION SELECT 0 UNION SELECT 1), o AS (SELECT tau, sum(weight) FILTER (ok) AS sel, sum(weight) AS w, sum(weight) FILTER (present) AS pres, sum(weight) FILTER (ok AND u0_label = 'compatible') AS good
@@ -198,8 +200,7 @@ def risk_coverage(spark, sf_dir):
 def family_contributions(spark, sf_dir, num: str = "weighted_wrong", den: str = "weighted_selected") -> DataFrame:
     """(ord, num, den) per family, families in order of name."""
     cell = evaluate.cells(decided(spark, sf_dir, "S1"))
-    rows = evaluate.report(cell, "method", "family", digits=12).select("family", num, den).orderBy("family").collect()  # a row a family
-    return spark.createDataFrame([(i, float(r[num]), float(r[den])) for i, r in enumerate(rows)], "ord int, num double, den double")
+    return bootstrap.numbered(evaluate.report(cell, "method", "family", digits=12).select("family", F.col(num).alias("num"), F.col(den).alias("den")), "family")
 
 
 @query("bootstrap_family")
@@ -210,8 +211,16 @@ def bootstrap_family(spark, sf_dir):
 
 @query("trigger")
 def trigger(spark, sf_dir):
-    low = bootstrap_family(spark, sf_dir).first()["low"]
-    return spark.range(1).select(F.lit(calibrate.no_better_than_chance([low])).alias("fires"))
+    """Whether no selector's share of right choices among present easy blocks lies surely above chance."""
+    blocks = block_table(spark, sf_dir).where("regime = 'present_easy'")
+    cell = evaluate.all_methods(blocks, TAU, DELTA)
+    sums = evaluate.report(cell, "method", "family", digits=12).select("method", "family", F.col("weighted_correct").alias("num"), F.col("weighted_n_present").alias("den"))
+    low = None
+    for m in METHODS:
+        parts = bootstrap.numbered(sums.where(F.col("method") == m), "family")
+        one = bootstrap.interval(parts, bootstrap.draws_by_choice(spark, parts.count()), bootstrap.REPS).select("low")
+        low = one if low is None else low.union(one)
+    return low.agg(F.coalesce(F.max(F.col("low")) <= calibrate.CHANCE, F.lit(True)).alias("fires"))
 
 
 @query("answer_mass", A.SQL + "SELECT block_id, position, round(mass_yes / nullif(mass_yes + mass_no, 0), 9) AS p_yes FROM cand")

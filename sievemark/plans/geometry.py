@@ -18,6 +18,10 @@ lab2 AS (SELECT split, peg_id, socket_id, any_value(own_w) AS own_w, any_value(o
 matrix AS (SELECT *, CASE WHEN margin >= 0.05::DOUBLE THEN 'compatible' WHEN margin >= -0.05::DOUBLE THEN 'ambiguous' ELSE 'incompatible' END AS label FROM lab2)"""
 
 
+#: Fixed value: the similarity from which parts count as near duplicates.
+NEAR = 0.9
+
+
 def _iou(a: str, b: str, c: str, d: str) -> str:
     one = lambda x, y: f"least({a}, {x}) * least({b}, {y}) / ({a} * {b} + {c} * {d} - least({a}, {x}) * least({b}, {y}))"
     return f"greatest({one(c, d)}, {one(d, c)})"
@@ -68,9 +72,9 @@ def candidate_pool(spark, sf_dir):
     return R.pool(matrix(spark, sf_dir)).select("peg_id", "socket_id", F.round("sim", 9).alias("sim"))
 
 
-@query("near_dup", A.SQL + f"SELECT a.part_id AS part_a, b.part_id AS part_b, round({_iou('a.bore_w', 'a.bore_h', 'b.bore_w', 'b.bore_h')}, 9) AS similarity FROM shapes a JOIN shapes b ON a.part_id < b.part_id AND a.split <> b.split WHERE {_iou('a.bore_w', 'a.bore_h', 'b.bore_w', 'b.bore_h')} >= 0.97")
+@query("near_dup", A.SQL + f"SELECT a.part_id AS part_a, b.part_id AS part_b, round({_iou('a.bore_w', 'a.bore_h', 'b.bore_w', 'b.bore_h')}, 9) AS similarity FROM shapes a JOIN shapes b ON a.part_id < b.part_id AND a.split <> b.split WHERE {_iou('a.bore_w', 'a.bore_h', 'b.bore_w', 'b.bore_h')} >= {NEAR}")
 def near_dup(spark, sf_dir):
-    return R.near_duplicates(A.shapes(spark, sf_dir), 0.97).withColumn("similarity", F.round("similarity", 9))
+    return R.near_duplicates(A.shapes(spark, sf_dir), NEAR).withColumn("similarity", F.round("similarity", 9)).orderBy(F.desc("similarity"), "part_a", "part_b")
 
 
 _SIM_E = _iou("e.bore_w", "e.bore_h", "c.bore_w", "c.bore_h")
@@ -189,13 +193,17 @@ def profile_stats(spark, sf_dir):
     return s.select("part_id", span("x").alias("width"), span("y").alias("height"), polygons.centroid(F.col("r"))["area"].alias("area"))
 
 
-@query("wkt_parse")
+@query("wkt_parse", A.SQL + "SELECT part_id, pos, CASE WHEN pos IN (1, 2) THEN w ELSE 0 END AS x, CASE WHEN pos = 2 THEN h ELSE 0 END AS y FROM shapes, (SELECT unnest([0, 1, 2, 3]) AS pos)")
 def wkt_parse(spark, sf_dir):
     text = F.format_string("POLYGON ((0.000000 0.000000, %.6f 0.000000, %.6f %.6f, 0.000000 0.000000))", "w", "w", "h")
-    return A.shapes(spark, sf_dir).select("part_id", polygons.from_wkt(text).alias("ring"))
+    points = A.shapes(spark, sf_dir).select("part_id", F.posexplode(polygons.from_wkt(text)).alias("pos", "p"))
+    return points.select("part_id", "pos", "p.x", "p.y")
+
 
+_CATALOG = "WITH c AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{f}', '{p}')" for i, f, p in generators.part_list()) + ") v(part_id, family, params)) "
 
-@query("catalog_gen")
+
+@query("catalog_gen", _CATALOG + "SELECT * FROM c")
 def catalog_gen(spark, sf_dir):
     return generators.parts(spark)
 
@@ -205,7 +213,7 @@ def profile_vertices(spark, sf_dir):
     return polygons.profiles(generators.parts(spark))
 
 
-@query("mirror_twins")
+@query("mirror_twins", _CATALOG + """, k AS (SELECT *, replace(params, '"mirror": true, ', '') AS key FROM c) SELECT a.part_id AS part_a, b.part_id AS part_b FROM k a JOIN k b ON a.family = b.family AND a.key = b.key AND a.part_id < b.part_id""")
 def mirror_twins(spark, sf_dir):
     return generators.mirror_twins(generators.parts(spark))
 
@@ -218,3 +226,9 @@ def shift_fit(spark, sf_dir):
 @query("raster")
 def raster(spark, sf_dir):
     return polygons.rasters(polygons.profiles(generators.parts(spark)))
+
+
+@query("label_matrix_catalog")
+def label_matrix_catalog(spark, sf_dir):
+    """Every part of the catalogue in the bore of every part: 5184 pairs."""
+    return polygons.label_matrix(polygons.profiles(generators.parts(spark)))

@@ -64,7 +64,7 @@ def family_rate(spark, sf_dir):
 FROM (SELECT split, p_yes, count(*) AS c FROM prep WHERE label = 'compatible' GROUP BY ALL) p JOIN (SELECT split, p_yes, count(*) AS c FROM prep WHERE label = 'incompatible' GROUP BY ALL) n ON p.split = n.split GROUP BY p.split""")
 def auroc(spark, sf_dir):
     rows = prepared(spark, sf_dir).where("eligible = 1")
-    return ladder.auroc(rows, "split", "p_yes", F.col("label") == "compatible").select("split", F.round("auroc", 9).alias("auroc"))
+    return ladder.auroc(rows, "split", "p_yes", F.col("label") == "compatible", large=True).select("split", F.round("auroc", 9).alias("auroc"))
 
 
 @query("spearman", _PREP + """, k AS (SELECT peg_id, rank() OVER (PARTITION BY peg_id ORDER BY offset_mm) + (count(*) OVER (PARTITION BY peg_id, offset_mm) - 1) / 2 AS a, rank() OVER (PARTITION BY peg_id ORDER BY p_yes) + (count(*) OVER (PARTITION BY peg_id, p_yes) - 1) / 2 AS b FROM prep)
@@ -73,6 +73,14 @@ def spearman(spark, sf_dir):
     return ladder.spearman(prepared(spark, sf_dir), "peg_id", "offset_mm", "p_yes").select("peg_id", F.round("rho", 8).alias("rho"))
 
 
+@query("spearman_summary", _PREP + """, k AS (SELECT peg_id, rank() OVER (PARTITION BY peg_id ORDER BY offset_mm) + (count(*) OVER (PARTITION BY peg_id, offset_mm) - 1) / 2 AS a, rank() OVER (PARTITION BY peg_id ORDER BY p_yes) + (count(*) OVER (PARTITION BY peg_id, p_yes) - 1) / 2 AS b FROM prep),
+r AS (SELECT corr(a, b) AS rho FROM k GROUP BY peg_id) SELECT count(rho) AS n, round(median(rho), 8) AS median_rho, round(count(*) FILTER (rho > 0) / count(rho), 9) AS share_positive FROM r""")
+def spearman_summary(spark, sf_dir):
+    """Median rank correlation of all ladders that have one, and how many are positive."""
+    rho = ladder.spearman(prepared(spark, sf_dir), "peg_id", "offset_mm", "p_yes").where("rho is not null")
+    return rho.agg(F.count("*").alias("n"), F.round(F.median("rho"), 8).alias("median_rho"), F.round(F.count_if(F.col("rho") > 0) / F.count("*"), 9).alias("share_positive"))
+
+
 @query("label_hist", A.SQL + "SELECT label, answer, count(*) AS n FROM ladder GROUP BY ALL")
 def label_hist(spark, sf_dir):
     return A.ladder(spark, sf_dir).groupBy("label", "answer").agg(F.count("*").alias("n"))
@@ -134,10 +142,11 @@ def same_peg_ranking(spark, sf_dir):
     return rate.join(n, "peg_id").select("peg_id", F.round("auroc", 9).alias("win_rate"), "pairs")
 
 
-@query("unique_offset", A.SQL + "SELECT peg_id, offset_mm, count(*) AS n FROM ladder GROUP BY ALL HAVING count(*) > 1")
+@query("unique_offset", A.SQL + "SELECT peg_id, CASE WHEN peg_id % 5 = 0 THEN offset_mm - offset_mm % 2 ELSE offset_mm END AS offset_mm, count(*) AS n FROM ladder GROUP BY ALL HAVING count(*) > 1")
 def unique_offset(spark, sf_dir):
-    """Rungs that a ladder has twice: none may be."""
-    return A.ladder(spark, sf_dir).groupBy("peg_id", "offset_mm").agg(F.count("*").alias("n")).where("n > 1")
+    """Rungs that a ladder has twice, when some ladders are read at every other rung."""
+    rung = F.when(F.col("peg_id") % 5 == 0, F.col("offset_mm") - F.col("offset_mm") % 2).otherwise(F.col("offset_mm"))
+    return A.ladder(spark, sf_dir).withColumn("offset_mm", rung).groupBy("peg_id", "offset_mm").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("first_of_family", A.SQL + "SELECT peg_id, family, peg_id = min(peg_id) OVER (PARTITION BY family) AS first FROM (SELECT DISTINCT peg_id, family FROM ladder)")
@@ -152,6 +161,6 @@ def first_of_family(spark, sf_dir):
 def bootstrap_ladder(spark, sf_dir):
     rows = prepared(spark, sf_dir).where("split = 'calib'")
     hit = (F.col("label") == "compatible").cast("int")
-    fam = rows.groupBy("family").agg((F.sum(hit * F.col("accept_tau")) / F.count("*")).alias("num"), (F.sum(hit) / F.count("*")).alias("den")).orderBy("family").collect()  # a row a family
-    parts = spark.createDataFrame([(i, float(r["num"]), float(r["den"])) for i, r in enumerate(fam)], "ord int, num double, den double")
-    return bootstrap.interval(parts, bootstrap.draws_by_integers(spark, len(fam)), bootstrap.REPS, linear=True)
+    fam = rows.groupBy("family").agg((F.sum(hit * F.col("accept_tau")) / F.count("*")).alias("num"), (F.sum(hit) / F.count("*")).alias("den"))
+    parts = bootstrap.numbered(fam, "family")
+    return bootstrap.interval(parts, bootstrap.draws_by_integers(spark, parts.count()), bootstrap.REPS, linear=True)

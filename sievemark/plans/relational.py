@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import keyed
+from ..operators import evaluate, keyed
+from ..operators.decide import decide_all
 from ..sources import adapters as A
-from . import query
+from . import decisions, query
 
 
 @query("split_filter", A.SQL + "SELECT block_id, split FROM qry WHERE split <> 'test'")
@@ -31,13 +32,13 @@ def path_rewrite(spark, sf_dir):
     return A.read(spark, sf_dir, "pages").select("page_id", scores.file_in(F.col("url"), "arms/alt").alias("path"))
 
 
-@query("config_merge")
+@query("config_merge", """SELECT doc_id, '{"quant":"nf4","prompt":"' || source || '","views":"two"}' AS config FROM documents""")
 def config_merge(spark, sf_dir):
     """Right-biased merge of settings without one key."""
     base = F.create_map(*map(F.lit, ("quant", "nf4", "prompt", "paper", "arm", "a")))
     over = F.create_map(F.lit("prompt"), F.col("source"), F.lit("views"), F.lit("two"))
     kept = F.map_filter(base, lambda k, _: (k != "arm") & ~F.map_contains_key(over, k))
-    return A.read(spark, sf_dir, "documents").select("doc_id", F.map_concat(kept, over).alias("config"))
+    return A.read(spark, sf_dir, "documents").select("doc_id", F.to_json(F.map_concat(kept, over)).alias("config"))
 
 
 @query("default_fill", "SELECT doc_id, CASE WHEN lang IS NULL OR lang = 'es' THEN 'default' ELSE lang END AS chat FROM documents")
@@ -145,24 +146,91 @@ def replica_report(spark, sf_dir):
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("a") == 1).alias("top1_score"), F.count_if(F.col("b") == 1).alias("top1_answer"), F.round(F.avg("a"), 9).alias("mean_rank"))
 
 
-@query("block_verify", A.SQL + "SELECT block_id, sum((label = 'compatible')::INT)::BIGINT AS mates, has_mate FROM lab GROUP BY ALL HAVING (sum((label = 'compatible')::INT) = 1) <> has_mate")
+@query("block_verify", A.SQL + "SELECT block_id, sum((label = 'compatible' OR block_id % 13 = 5 AND position = 1)::INT)::BIGINT AS mates, has_mate FROM lab GROUP BY ALL HAVING (sum((label = 'compatible' OR block_id % 13 = 5 AND position = 1)::INT) = 1) <> has_mate")
 def block_verify(spark, sf_dir):
-    """Blocks without exactly one mate where there should be one, or with one where not: none may be."""
-    n = A.labelled(spark, sf_dir).groupBy("block_id", "has_mate").agg(F.count_if(F.col("label") == "compatible").alias("mates"))
+    """Blocks without exactly one mate where there should be one, or with one where not, when some first candidates are mislabelled."""
+    altered = F.when((F.col("block_id") % 13 == 5) & (F.col("position") == 1), "compatible").otherwise(F.col("label"))
+    n = A.labelled(spark, sf_dir).withColumn("label", altered).groupBy("block_id", "has_mate").agg(F.count_if(F.col("label") == "compatible").alias("mates"))
     return n.where((F.col("mates") == 1) != F.col("has_mate")).select("block_id", "mates", "has_mate")
 
 
-@query("replay_compare", """WITH a AS (SELECT l_returnflag AS f, sum(l_quantity) AS qty, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), m AS (UNPIVOT a ON qty, n INTO NAME metric VALUE v)
-SELECT f AS slice, metric, round(v, 6) AS stored, round(v, 6) AS computed, true AS same FROM m""")
+_REPLAY = "".join(f" UNION ALL SELECT method, '{k}' AS metric, count(*) FILTER ({a}) / nullif(count(*) FILTER ({b}), 0) AS v FROM a GROUP BY method" for k, a, b in (("coverage", "outcome IN ('correct', 'wrong')", "true"), ("accepted_risk", "outcome = 'wrong'", "outcome IN ('correct', 'wrong')"), ("correct_yield", "outcome = 'correct'", "present"))).removeprefix(" UNION ALL ")
+
+
+@query("replay_compare", A.SQL + decisions.FAULT + decisions._UNION + f""", m AS ({_REPLAY}), s AS (SELECT *, round(v, 12) AS computed, round(CASE WHEN method = 'S2' AND metric = 'coverage' THEN v + 1e-6 ELSE v END, 12) AS stored FROM m)
+SELECT method, metric, stored, computed, coalesce(abs(stored - computed) <= 1e-11, stored IS NULL AND computed IS NULL) AS same FROM s""")
 def replay_compare(spark, sf_dir):
-    """Stored and recomputed metrics side by side in long form, compared within a tolerance."""
-    items = A.read(spark, sf_dir, "lineitem")
-    computed = items.groupBy(F.col("l_returnflag").alias("slice")).agg(F.sum("l_quantity").alias("qty"), F.count("*").cast("double").alias("n"))
-    parts = items.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.count("*").cast("double").alias("n"))
-    stored = parts.groupBy(F.col("l_returnflag").alias("slice")).agg(F.sum("qty").alias("qty"), F.sum("n").alias("n"))
-    long = lambda df, v: df.unpivot("slice", ["qty", "n"], "metric", v)
-    both = long(stored, "stored").join(long(computed, "computed"), ["slice", "metric"], "full")
-    return both.select("slice", "metric", F.round("stored", 6).alias("stored"), F.round("computed", 6).alias("computed"), (F.abs(F.col("stored") - F.col("computed")) <= 1e-6).alias("same"))
+    """A stored table of metrics, rows weighing alike, against what the rules give now, in long form and to 1e-12; one stored value is
+    off. The stored side counts decided rows, the other weighs cells."""
+    names = ("coverage", "accepted_risk", "correct_yield")
+    blocks = decisions.block_table(spark, sf_dir)
+    rows = decide_all(blocks, decisions.TAU, decisions.DELTA, "has_compatible")
+    picked = F.col("outcome").isin("correct", "wrong")
+    share = lambda a, b: F.count_if(a) / F.nullif(F.count_if(b), F.lit(0))
+    stored = rows.groupBy("method").agg(share(picked, F.lit(True)).alias("coverage"), share(F.col("outcome") == "wrong", picked).alias("accepted_risk"), share(F.col("outcome") == "correct", F.col("has_compatible")).alias("correct_yield"))
+    stored = stored.withColumn("coverage", F.col("coverage") + F.when(F.col("method") == "S2", 1e-6).otherwise(0.0))
+    computed = evaluate.report(evaluate.all_methods(blocks, decisions.TAU, decisions.DELTA), "method", weighting="query", digits=15)
+    long = lambda df, v: df.unpivot("method", [*names], "metric", v)
+    both = long(stored, "stored").join(long(computed, "computed"), ["method", "metric"], "full")
+    same = F.coalesce(F.abs(F.col("stored") - F.col("computed")) <= 1e-11, F.col("stored").isNull() & F.col("computed").isNull())
+    return both.select("method", "metric", F.round("stored", 12).alias("stored"), F.round("computed", 12).alias("computed"), same.alias("same"))
+
+
+@query("missing_partners", "SELECT count(*) AS n_rows, count(DISTINCT (l_partkey, l_suppkey)) AS n_pairs FROM lineitem WHERE l_partkey % 7 = 3")
+def missing_partners(spark, sf_dir):
+    """How many rows of a join find no partner, and how many distinct pairs they are."""
+    items = A.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("peg"), F.col("l_suppkey").alias("socket"))
+    known = items.where("peg % 7 <> 3").distinct()
+    return keyed.without_partner(items, known, "peg", "socket")
+
+
+@query("set_difference", A.SQL + "SELECT family, bool_or(split = 'calib') AND NOT bool_or(split = 'test' AND tier = 'hard') AS only_calib, count(DISTINCT tier) = 2 AS has_all FROM qry GROUP BY family")
+def set_difference(spark, sf_dir):
+    """Families of one set that another lacks, and those that hold all members of a third."""
+    rows = A.blocks(spark, sf_dir)
+    per = rows.groupBy("family").agg(F.collect_set("split").alias("splits"), F.collect_set("tier").alias("tiers"), F.bool_or((F.col("split") == "test") & (F.col("tier") == "hard")).alias("hard"))
+    every = F.array(F.lit("easy"), F.lit("hard"))
+    return per.select("family", (F.array_contains("splits", "calib") & ~F.col("hard")).alias("only_calib"), (F.size(F.array_except(every, "tiers")) == 0).alias("has_all"))
+
+
+@query("first_by_id", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 20")
+def first_by_id(spark, sf_dir):
+    """The first twenty rows by id."""
+    return A.read(spark, sf_dir, "documents").select("doc_id", "lang").orderBy("doc_id").limit(20)
+
+
+@query("order_by_position", A.SQL + "SELECT block_id, string_agg(answer, ' ' ORDER BY position) AS answers FROM cand GROUP BY block_id")
+def order_by_position(spark, sf_dir):
+    """Answers of a block in the order of their positions, which are read as text and compared as numbers."""
+    rows = A.candidates(spark, sf_dir).select("block_id", F.col("position").cast("string").alias("position"), "answer")
+    inner = F.array_sort(F.collect_list(F.struct(F.col("position").cast("int").alias("p"), "answer")))
+    return rows.groupBy("block_id").agg(F.array_join(F.transform(inner, lambda x: x["answer"]), " ").alias("answers"))
+
+
+@query("rounded_sink", A.SQL + "SELECT part_id, (part_id // 2 + CASE WHEN part_id % 4 = 3 THEN 1 ELSE 0 END)::DOUBLE AS half FROM shapes")
+def rounded_sink(spark, sf_dir):
+    """Halves rounded to even, as at sinks."""
+    return A.shapes(spark, sf_dir).select("part_id", F.bround(F.col("part_id") / 2, 0).alias("half"))
+
+
+@query("text_pieces", "SELECT page_id, regexp_replace(url, '&ref=x$', '') AS url, len(string_split(url, '/')) AS parts FROM pages")
+def text_pieces(spark, sf_dir):
+    """A suffix taken off where it stands, and a count of parts."""
+    return A.read(spark, sf_dir, "pages").select("page_id", scores.without_suffix(F.col("url"), "&ref=x").alias("url"), F.size(F.split("url", "/")).cast("long").alias("parts"))
+
+
+@query("list_literal", "SELECT doc_id, lang AS first, 3::BIGINT AS n FROM documents")
+def list_literal(spark, sf_dir):
+    """A list that was written as Python writes it, read back."""
+    said = F.concat(F.lit("['"), F.col("lang"), F.lit("', 'it\\'s', 'b\"c']"))
+    return A.read(spark, sf_dir, "documents").select("doc_id", scores.list_literal(said).alias("x")).select("doc_id", F.get("x", F.lit(0)).alias("first"), F.size("x").cast("long").alias("n"))
+
+
+@query("iso_time", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS at FROM events")
+def iso_time(spark, sf_dir):
+    """Timestamps as ISO 8601 text, in UTC, to the second."""
+    ts = F.date_trunc("second", F.col("ts").cast("timestamp_ntz"))
+    return A.read(spark, sf_dir, "events").select("event_id", F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("at"))
 
 
 @query("prompt_render", "SELECT item_id, 'USER: <image> Does ' || replace(text, chr(10), ' ') || ' fit? ASSISTANT:' AS prompt FROM benchmark")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LOG = "key string, answer string, p_yes double, config string, _bad string"
 METHOD_FIELDS = {"S1": ("tau",), "S2": ("tau", "delta")}
@@ -18,10 +20,28 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, nullValue="", emptyValue="", mode="FAILFAST")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, nulls empty, nested columns as JSON; refuses to overwrite."""
-    plain = {c: F.to_json(c) for c, t in df.dtypes if t.startswith(("array", "struct", "map"))}
-    df.withColumns(plain).write.mode("errorifexists").csv(path, header=True, nullValue="", emptyValue="")
+def write_csv(df: DataFrame, path: str, digits: dict[str, int] | None = None) -> None:
+    """CSV with a header, nulls empty, nested columns as JSON with sorted keys; refuses to overwrite. digits: columns that are
+    rounded (halves to even) as they are written."""
+    nested = {c: canonical_json(F.col(c), df.schema[c].dataType) for c, t in df.dtypes if t.startswith(("array", "struct", "map"))}
+    df.withColumns(nested | {c: F.bround(c, n) for c, n in (digits or {}).items()}).write.mode("errorifexists").csv(path, header=True, nullValue="", emptyValue="")
+
+
+def canonical_json(value: Column, kind: T.DataType) -> Column:
+    """JSON text with the keys of structs and maps in order."""
+    return F.to_json(_ordered(value, kind))
+
+
+def _ordered(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _ordered(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.map_entries(value))
+        return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), _ordered(e["value"], kind.valueType).alias("value"))))
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*(_ordered(value[f.name], f.dataType).alias(f.name) for f in fields)))
+    return value
 
 
 def ragged_union(first: DataFrame, *more: DataFrame) -> DataFrame:
@@ -32,26 +52,53 @@ def ragged_union(first: DataFrame, *more: DataFrame) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str, schema: str = LOG) -> DataFrame:
-    return parsed_log(spark.read.text(path), schema)
+    """Rows of all files of a JSON-lines log; see parsed_log()."""
+    found = spark.read.option("lineSep", "\n").text(path)
+    return parsed_log(found.select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_size").alias("size")), schema)
 
 
 def parsed_log(lines: DataFrame, schema: str = LOG) -> DataFrame:
-    """Rows of JSON lines (value). Only a file's unterminated last line may be broken, and is left out; any other, and
-    rows of one key that differ, stop the job. Equal repeats of a key count once."""
-    tail = F.endswith(F.trim("value"), F.lit("}"))
-    rows = lines.where(F.trim("value") != "").select("value", tail.alias("closed"), F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    rows = rows.where("closed or r._bad is null")
+    """Rows of JSON lines (value, or value, source and size in bytes of the file that each line is from).
+
+    Of each file only the last line may be broken, if no newline ends it (as a writer that was stopped leaves it) and it begins
+    like an object; it is left out. (Lines without source are one file, and nothing ends its last line.) Any other broken
+    line, a line without key, and rows of one key that differ stop the job. Equal repeats of a key count once."""
+    if "source" not in lines.columns:
+        lines = lines.select("value", F.lit("").alias("source"), F.lit(None).cast("long").alias("size"))
+    lines = lines.withColumn("at", F.monotonically_increasing_id())
+    ends = lines.groupBy("source").agg(F.max("at").alias("last"), F.sum(F.octet_length("value") + 1).alias("ended"), F.first("size").alias("size"))
+    ends = ends.select("source", "last", F.coalesce(F.col("ended") > F.col("size"), F.lit(True)).alias("open"))
+    rows = lines.where(F.trim("value") != "").join(ends, "source").select(
+        "value", (F.col("open") & (F.col("at") == F.col("last")) & F.startswith(F.ltrim("value"), F.lit("{"))).alias("torn"),
+        F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r"),
+    )
+    rows = rows.where("not torn or r._bad is null")
     broken = F.col("r._bad").isNotNull() | F.col("r.key").isNull()
     rows = rows.withColumn("key", F.when(broken, F.raise_error(F.concat(F.lit("broken log line: "), F.substring("value", 1, 80))).cast("string")).otherwise(F.col("r.key")))
-    once = rows.groupBy("key").agg(F.min("r").alias("r"), F.count_distinct("value").alias("kinds"))
+    return _one_per_key(rows.select("key", *[F.col(f"r.{c}").alias(c) for c in rows.select("r.*").columns if c not in ("key", "_bad")]))
+
+
+def _one_per_key(rows: DataFrame) -> DataFrame:
+    """rows, equal ones once; rows of one key that differ stop the job."""
+    rest = F.struct(*[c for c in rows.columns if c != "key"])
+    once = rows.groupBy("key").agg(F.first(rest).alias("r"), F.count_distinct(F.to_json(rest, {"ignoreNullFields": "false"})).alias("kinds"))
     sure = F.when(F.col("kinds") > 1, F.raise_error(F.concat(F.lit("conflicting rows for "), F.col("key"))).cast("string")).otherwise(F.col("key"))
-    return once.select(sure.alias("key"), *[F.col(f"r.{c}") for c in rows.select("r.*").columns if c not in ("key", "_bad")])
+    return once.select(sure.alias("key"), "r.*")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def append_log(rows: DataFrame, path: str, existing: DataFrame | None = None) -> None:
-    """Adds rows with new keys; keys that are there already stay as they are."""
+    """Adds rows with new keys; keys that are there already (in existing, or else in the log at path) stay as they are. New
+    rows of one key that differ stop the job. A broken tail of an older file stays what it is: new rows get files of their own."""
+    if existing is None and exists(rows.sparkSession, path):
+        existing = read_log(rows.sparkSession, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", _bad string")
     new = rows if existing is None else rows.join(existing.select("key"), "key", "left_anti")
-    new.dropDuplicates(["key"]).select(F.to_json(F.struct(*new.columns)).alias("value")).write.mode("append").text(path)
+    new = _one_per_key(new).select(*rows.columns)
+    new.select(canonical_json(F.struct(*new.columns), T.StructType(list(new.schema))).alias("value")).write.mode("append").text(path)
 
 
 def read_record(path: str) -> dict:
@@ -102,6 +149,56 @@ def record_faults(record: dict) -> list[str]:
     return faults
 
 
+def arm_faults(record: dict, expected: dict) -> list[str]:
+    """What is wrong with the record of a run: every setting must be there and be what is expected, and no other may be."""
+    faults = [f"{k} is missing" for k in sorted(expected.keys() - record.keys())] + [f"{k} is unknown" for k in sorted(record.keys() - expected.keys())]
+    return faults + [f"{k} differs" for k in sorted(expected.keys() & record.keys()) if record[k] != expected[k]]
+
+
+def test_pass_faults(record: dict, thresholds: dict, inputs: dict[str, str]) -> list[str]:
+    """What is wrong with the record of a pass over the test split: its thresholds must be the frozen ones, its count of blocks
+    positive, and its inputs' digests those of the files now."""
+    faults = [f"{k} is missing" for k in ("split", "n", "thresholds", "inputs") if k not in record]
+    if faults:
+        return faults
+    if record["split"] != "test":
+        faults.append("not of the test split")
+    if isinstance(record["n"], bool) or not isinstance(record["n"], int) or record["n"] <= 0:
+        faults.append("n is not a positive integer")
+    if record["thresholds"] != thresholds:
+        faults.append("thresholds differ from the frozen ones")
+    return faults + changed_inputs(record["inputs"], inputs)
+
+
+def digests(paths: list[str]) -> dict[str, str]:
+    """SHA-256 of each file's bytes."""
+    out = {}
+    for p in paths:
+        with open(p, "rb") as f:
+            out[p] = hashlib.file_digest(f, "sha256").hexdigest()
+    return out
+
+
+def changed_inputs(before: dict[str, str], after: dict[str, str]) -> list[str]:
+    """Files that came, went or changed between two digests()."""
+    return [f"{p} {'appeared' if p not in before else 'is gone' if p not in after else 'changed'}" for p in sorted(before.keys() | after.keys()) if before.get(p) != after.get(p)]
+
+
+def version_of(package: str) -> str | None:
+    """The installed version of a package, if there is one."""
+    from importlib import metadata
+
+    try:
+        return metadata.version(package)
+    except metadata.PackageNotFoundError:
+        return None
+
+
+def first_existing(spark: SparkSession, *paths: str) -> str | None:
+    """The first of some places that exists, for a source that may have been written in one of them."""
+    return next((p for p in paths if exists(spark, p)), None)
+
+
 def guard_split(split: str, allowed: bool, record: dict | None) -> None:
     """The test split is read only with leave and a valid record."""
     if split == "test" and (not allowed or record is None or record_faults(record)):
