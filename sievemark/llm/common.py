@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +32,11 @@ def unused(columns: list[str], name: str) -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; where none is configured, a temporary one if there is one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="sievemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -47,7 +51,24 @@ def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = where
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a stored() table that nothing reads any more."""
+    spark = df.sparkSession
+    df._stored_at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(df._stored_at, True)
+
+
+def shipped(spark: SparkSession, model) -> Broadcast:
+    """A bounded model for all executors, pickled by value: they need not have this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def received(sent: Broadcast):
+    return pickle.loads(sent.value)
 
 
 def total(df: DataFrame, expr) -> int:
@@ -70,7 +91,8 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         least = large.groupBy("node").agg(F.min("root").alias("m"))
         small = large.join(least, "node").select(F.explode(F.array(F.struct("root", "m"), F.struct(F.col("node").alias("root"), "m"))).alias("x"))
         small = small.select(F.col("x.root").alias("node"), F.col("x.m").alias("root")).where("node <> root").distinct()
-        now = stored(small, label)
+        before, now = now, stored(small, label)
+        discard(before)
         state = now.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("node", "root"), F.lit(1 << 40))).alias("h")).first()
         if state == seen:
             return now

@@ -6,7 +6,10 @@ text or a word may be of any length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 from .common import LOWER
 
@@ -20,6 +23,36 @@ BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
 
 
+def groups(column: pa.Array, size: int = PAGE) -> Iterator[list[bytes]]:
+    """Texts of a binary column in order (null: empty), some size bytes at a time, or one longer text."""
+    some: list[bytes] = []
+    held = 0
+    for x in column:
+        text = x.as_py() or b""
+        if some and held + len(text) > size:
+            yield some
+            some, held = [], 0
+        some.append(text)
+        held += len(text) + 1
+    if some:
+        yield some
+
+
+def spans(text: bytes, size: int = PAGE) -> Iterator[bytes]:
+    """The text cut at white space, some size bytes at a time; a longer word stays whole."""
+    at = 0
+    while len(text) - at > size:
+        stop = max(text.rfind(b" ", at, at + size), text.rfind(b"\n", at, at + size))
+        if stop <= at:
+            found = [x for x in (text.find(b" ", at + size), text.find(b"\n", at + size)) if x >= 0]
+            if not found:
+                break
+            stop = min(found)
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
+
+
 def normal(texts: list[bytes]) -> np.ndarray:
     """Bytes of the texts' words, joined by single spaces, with END after each text."""
     if len(texts) == 1 and len(texts[0]) > PAGE:
@@ -62,7 +95,7 @@ class Hashes:
         """Hash of every word, and the place where it ends, some PAGE bytes at a time."""
         if len(self.up) < min(len(page), PAGE):
             self.up, self.down = powers(BASE, PAGE), powers(UNBASE, PAGE)
-        begun, size = np.uint64(0), 0  # the word that the bytes so far have not ended
+        begun, size = np.zeros(1, np.uint64), 0  # the word that the bytes so far have not ended
         for at in range(0, len(page), PAGE):
             data = page[at : at + PAGE]
             gaps = np.flatnonzero((data == 32) | (data == END[0]))
@@ -74,9 +107,10 @@ class Hashes:
             value = sums[stops] - sums[starts]
             value *= self.down[np.minimum(starts, PAGE - 1)]
             sizes = stops - starts
-            value[0] = begun + value[0] * np.uint64(pow(BASE, size, 1 << 64))
+            value[:1] *= np.uint64(pow(BASE, size, 1 << 64))
+            value[:1] += begun
             sizes[0] += size
-            begun, size = value[-1], int(sizes[-1])
+            begun, size = value[-1:], int(sizes[-1])
             value, sizes = value[:-1], sizes[:-1]
             real = sizes > 0
             value = value[real]
