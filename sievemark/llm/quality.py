@@ -2,13 +2,13 @@
 
 Filters over byte windows slide over the whole document; overlapping chunks of two blocks are max-pooled and
 the chunks' largest and mean responses give one probability. Training sees a bounded sample of labelled
-rows (PER_CLASS of each class, those with the smallest hash of doc_id); inference streams over every
+rows (PER_CLASS of each class, those with the smallest hash of doc_id, of at most LONGEST bytes); inference streams over every
 document, whole, in the tasks that read them: no shuffle.
 
 Edge cases: null text is empty text, which has a score like any other (that of the biases); a text may be of
 any length; repeated rows get equal scores; unlabelled, null-labelled and contradictory rows of labels teach
 nothing (of repeated labels the smallest counts); without rows of both classes all scores are the share of
-label 1 (0.5 if there is none); an empty table gives an empty result.
+label 1 (0.5 if there is none); an empty table gives an empty result; texts may hold any bytes; columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -18,17 +18,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, unused
+from .common import received, shipped, table, unused
+from .streams import groups
 
 #: Bound of the training sample: rows of each class.
 PER_CLASS = 1500
+#: Longer texts are not learned from.
+LONGEST = 1 << 18
 WIDTH, STRIDE, FILTERS, BLOCK = 8, 4, 16, 256
 EPOCHS, BATCH, RATE, SEED = 20, 64, 0.02, 7
 #: Share of label-1 rows of which a short run of words is learned as well, and its most words: so that a short
 #: text is not taken for a poor one. (Parts of label-0 texts may be good, so these are learned whole only.)
 FRAGMENTS, FRAGMENT = 0.15, 24
-#: Bytes that are scored at once.
-AT_ONCE = 1 << 20
+#: Bytes of texts that are laid out at once (or one longer text), and blocks that are convolved at once.
+AT_ONCE, BLOCKS = 1 << 20, 1024
 
 
 def lay_out(texts: list[bytes]):
@@ -81,9 +84,18 @@ class ByteNet:
         return 1 / (1 + np.exp(-np.clip(feats @ self.out + self.shift, -30, 30))), feats, z, top, nxt, data, first, blocks
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        if not self.trained:
+        """What forward() gives, with the convolutions of some BLOCKS blocks at a time."""
+        if not self.trained or not texts:
             return np.full(len(texts), 1 / (1 + np.exp(-self.shift)))
-        return np.round(self.forward(texts)[0].astype(np.float64), 6) if texts else np.zeros(0)
+        data, first, blocks = lay_out(texts)
+        last, top = first + blocks - 1, np.empty((int(blocks.sum()), FILTERS), np.float32)
+        for at in range(0, len(top), BLOCKS):
+            z = responses(data[at * BLOCK : (at + BLOCKS) * BLOCK + WIDTH], self.filters)
+            z[last[np.searchsorted(last, at) : np.searchsorted(last, at + len(z))] - at, BLOCK // STRIDE - (WIDTH - 1) // STRIDE :] = 0
+            top[at : at + BLOCKS] = np.maximum(z.max(axis=1) + self.bias, 0)
+        largest, mean, _ = pooled(top, first, blocks)
+        p = 1 / (1 + np.exp(-np.clip(np.concatenate([largest, mean], axis=1) @ self.out + self.shift, -30, 30)))
+        return np.round(p.astype(np.float64), 6)
 
     def gradients(self, texts: list[bytes], labels: np.ndarray):
         p, feats, z, top, nxt, data, first, blocks = self.forward(texts)
@@ -136,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Byt
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     by_hash = lambda q: known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     chosen = F.broadcast(by_hash(0).union(by_hash(1)))  # at most 2 * per_class rows
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(chosen, "doc_id")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).where(F.octet_length("text") <= LONGEST).join(chosen, "doc_id")
     rows = rows.select("doc_id", "quality", "text").orderBy("doc_id", "text").limit(2 * per_class).collect()
     y = np.array([r["quality"] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
@@ -155,26 +167,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Byt
 
 
 def with_score(docs: DataFrame, net: ByteNet, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with a double column: the probability of quality 1."""
+    """docs with a double column, the probability of quality 1; its name is out, or unused(out) if docs have that."""
+    out = unused(docs.columns, out)
     schema = docs.select("*", F.lit(0.0).alias(out)).schema
     own = unused(docs.columns, "text_bytes")
-    sent = docs.sparkSession.sparkContext.broadcast(net)  # some 130 kB
+    sent = shipped(docs.sparkSession, net)  # some 130 kB
 
     def run(batches):
-        model = sent.value
+        model = received(sent)
         for b in batches:
             at = b.schema.get_field_index(own)
-            texts = [t or b"" for t in b.column(at).to_pylist()]
-            found, some, size = [], [], 0
-            for t in texts:
-                some.append(t)
-                size += len(t) + BLOCK
-                if size >= AT_ONCE:
-                    found.append(model.scores(some))
-                    some, size = [], 0
-            found.append(model.scores(some))
+            found = [model.scores(some) for some in groups(b.column(at), AT_ONCE)]
             cols = [c for i, c in enumerate(b.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(found), pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate([*found, np.zeros(0)]), pa.float64())], names=schema.names)
 
     return docs.withColumn(own, F.col(text).cast("binary")).mapInArrow(run, schema)
 
