@@ -7,7 +7,8 @@ those with a value. BITS low bits of each bin are stored. Two fingerprints agree
 
 Edge cases: null, empty and blank texts have the fingerprint of zeros, and a likeness of 1 to each other and of 0 to
 all else; fewer words than a shingle make one shingle; equal texts have equal fingerprints wherever they
-stand; an empty table gives an empty result.
+stand; rows that share a doc_id, or have none, are documents of their own; a byte that is no UTF-8 counts as a code point; an empty
+table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, words_of
+from .streams import spans
 
 SHINGLE, BINS, BITS = 5, 256, 4
-#: Bytes of text a task sorts and reads at once.
-PART = 16 << 20
+#: Bytes of text in a range of documents, as long as there are no more than RANGES.
+PART, RANGES = 16 << 20, 4096
 ATTEMPTS = 2048
 MEMORY = 1 << 20
 
@@ -53,12 +55,15 @@ class Fingerprints:
 
     def values(self, text: bytes | None) -> np.ndarray | None:
         """Low-order bits of each bin; None for a text without words."""
-        words = words_of(text)
-        if not words:
+        found = []
+        for part in spans(text or b""):
+            words = words_of(part)
+            if len(self.hashes) > MEMORY:
+                self.hashes.clear()
+            found.append(np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words)))
+        h = np.concatenate(found)
+        if not len(h):
             return None
-        if len(self.hashes) > MEMORY:
-            self.hashes.clear()
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
         k = min(self.shingle, len(h))
         n = len(h) - k + 1
         s = h[:n] * self.weights[0]
@@ -119,12 +124,13 @@ def with_next(docs: DataFrame, run, schema: str, part: int = PART) -> DataFrame:
     the last document is followed by the first.
 
     Documents are dealt into ranges of doc_id, of which a copy of the first document also goes to the range before; the
-    text is shuffled once and no range grows with the input. The ranges' bounds are doc_ids of documents."""
+    text is shuffled once. The ranges' bounds, at most RANGES, are doc_ids of documents. A task sorts its range on disk if need be and
+    holds two texts of it. Rows that share a doc_id follow one another in the order of a hash of their texts."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     order = ["doc_id", "__hash"]
     keyed = docs.withColumn("__hash", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows"), F.min("doc_id").alias("least")).first()
-    n = max(1, min((size["n"] or 0) // part + 1, size["rows"]))
+    n = max(1, min((size["n"] or 0) // part + 1, size["rows"], RANGES))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"] if n > 1 else []
     cuts = sorted(set(cuts or []) - {size["least"]})
     head = keyed.orderBy(*order).select("text").first()
@@ -168,9 +174,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         for key, text, after in rows:
             text, after = text or b"", after or b""
             mine = known[1] if known[0] is not None and known[0] == text else f.values(text)
-            chars = text.decode()
+            chars = text.decode(errors="surrogateescape")
             cut = len(chars) // 4
-            edited = (chars[: len(chars) - cut] + after[: 4 * cut].decode(errors="ignore")[:cut]).encode()
+            edited = (chars[: len(chars) - cut] + after[: 4 * cut].decode(errors="surrogateescape")[:cut]).encode(errors="surrogateescape")
             changed, following = f.values(edited), f.values(after)
             known = (after, following)
             out.append((key, len(chars), hashlib.sha256(edited).hexdigest(), f.packed(mine), f.packed(changed), f.likeness(mine, changed), f.likeness(mine, following)))
