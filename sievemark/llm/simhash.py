@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, stored, table, unused, words_of
-from .streams import END, PAGE, Hashes, normal, powers
+from .streams import END, Hashes, groups, normal, powers, spans
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: The 64 bits are counted in so many equal parts; a tile holds fingerprints with equal counts.
@@ -33,33 +33,34 @@ TILE_WIDE = 8192
 
 def simhash(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64-bit fingerprint: a bit is 1 if it is set in over half of the shingles' XXH64 values."""
-    words = words_of(text)
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[:-1]]
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(joined, seed)
-    hashes = [digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=False)]
-    h = np.array(hashes, np.uint64)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(h), 4096):
-        bits = np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
+    digest, counts, n, before = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+    for part in spans(text or b""):
+        words = before + words_of(part)
+        if len(words) >= shingle:
+            joined = b" ".join(words)
+            ends = list(accumulate(len(w) + 1 for w in words))
+            starts = [0, *ends[:-1]]
+            h = np.array([digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64)
+            for at in range(0, len(h), 4096):
+                bits = np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                counts += bits.sum(axis=0, dtype=np.uint32)
+            n += len(h)
+        before = words[max(0, len(words) - shingle + 1) :]
+    if not n:
+        return digest(b" ".join(before), seed) if before else 0
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "simhash") -> DataFrame:
-    """docs with a long column that holds the fingerprint's bits."""
+    """docs with a long column that holds the fingerprint's bits; its name is out, or unused(out) if docs have that."""
+    out = unused(docs.columns, out)
     schema = docs.select("*", F.lit(0).cast("long").alias(out)).schema
     own = unused(docs.columns, "text_bytes")
 
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index(own)
-            prints = np.array([simhash(t) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
+            prints = np.array([simhash(t.as_py()) for t in b.column(at)], np.uint64).view(np.int64)
             cols = [c for i, c in enumerate(b.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(prints)], names=schema.names)
 
@@ -251,20 +252,6 @@ class Shingles:
         return np.packbits(2 * counts > len(h)).view(np.uint64)
 
 
-def _batches(b: pa.RecordBatch):
-    """(rows, texts) of (doc_id, text): some PAGE bytes of texts, or one longer text."""
-    first, texts, size = 0, [], 0
-    for k in range(b.num_rows):
-        text = b.column(1)[k].as_py() or b""
-        if texts and size + len(text) > PAGE:
-            yield slice(first, k), texts
-            first, texts, size = k, [], 0
-        texts.append(text)
-        size += len(text) + 1
-    if texts:
-        yield slice(first, b.num_rows), texts
-
-
 FP = [f"f{k}" for k in range(BITS // 64)]
 
 
@@ -274,14 +261,16 @@ def wide_prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches):
         shingles = Shingles(width)
         for b in batches:
-            for rows, texts in _batches(b):
+            at = 0
+            for texts in groups(b.column(1)):
                 content, size, prints = [], [], []
                 for h in shingles.sets(texts):
                     content.append(xxhash.xxh64_intdigest(h, SEED))
                     size.append(len(h))
                     prints.append(shingles.fingerprint(h))
                 prints = np.array(prints).view(np.int64)
-                ids = b.column(0).slice(rows.start, rows.stop - rows.start)
+                ids = b.column(0).slice(at, len(texts))
+                at += len(texts)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(content, np.uint64).view(np.int64)), pa.array(size, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in prints.T)], names=["doc_id", "content", "size", *FP])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -294,11 +283,13 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         shingles = Shingles(width)
         for b in batches:
-            for rows, texts in _batches(b):
+            at = 0
+            for texts in groups(b.column(1)):
                 sets = list(shingles.sets(texts))
                 content = np.array([xxhash.xxh64_intdigest(h, SEED) for h in sets], np.uint64).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(rows.start, len(texts)), pa.array(content), lists], names=["doc_id", "content", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(content), lists], names=["doc_id", "content", "x"])
+                at += len(texts)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return texts.mapInArrow(run, "doc_id long, content long, x array<long>")
