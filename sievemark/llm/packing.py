@@ -7,8 +7,8 @@ rows move between tasks, so there is no shuffle and no group to be skewed; at mo
 block of up to BLOCK pieces stays short.
 
 Edge cases: null text is empty text (its only token is the end token); empty table, empty result; very
-long texts are cut into full sequences; repeated rows are packed once each; a null doc_id is carried along;
-only doc_id and text are read, other columns don't matter.
+long texts are cut into full sequences, and are encoded in spans between blanks; repeated rows are packed once each; a null
+doc_id is carried along; ties go to the earlier piece; only doc_id and text are read, other columns don't matter.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, table
+from .streams import PAGE, groups, spans
 
 LENGTH, SEGMENTS, END = 2048, 256, 1
 BLOCK = 1024
@@ -133,6 +134,13 @@ class WordTokens:
                 memory.clear()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text; bytes that are no UTF-8 count as U+FFFD."""
+        if len(texts) == 1 and len(texts[0]) > PAGE:  # blanks end a token
+            return [np.concatenate([self.encode_whole([part])[0] for part in spans(texts[0])])]
+        return self.encode_whole(texts)
+
+    def encode_whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        texts = [t if t.isascii() else t.decode(errors="replace").encode() for t in texts]
         # a special token's name may stand in a text, and must not arise from lower-casing
         latin = [self.latin and b"<|" not in t and (t.isascii() or not FOREIGN.search(t.decode())) for t in texts]
         fast = iter(self.bare.encode([PIECES.findall(t.translate(LOWER)) for t, ok in zip(texts, latin, strict=True) if ok]) if any(latin) else ())
@@ -229,11 +237,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, segme
 
         def rows():
             for b in batches:
-                for at in range(0, b.num_rows, 200):
-                    ids, texts, shares = (c.to_pylist() for c in b.slice(at, 200).columns)
-                    for key, got, share in zip(ids, words.encode([t or b"" for t in texts]), shares, strict=True):
+                keys = zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)
+                for texts in groups(b.column(1)):
+                    for got in words.encode(texts):
+                        key, share = next(keys)
                         got = np.append(got, np.uint32(end))
-                        yield key, got, int(np.ceil(len(got) * share))
+                        yield key, got, int(np.ceil(len(got) * min(max(share, 0.0), 1.0)))
 
         out = []
         for key, start, ids, size, seq, offset in pack_rows(rows(), length, segments, loss_limit or length, task << 36):
