@@ -420,7 +420,7 @@ def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with repeated windows cut out of text (and n_chars, if there, counted again); same columns."""
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column is called like an internal one
     out = dedup_windows(docs.toDF(*own.values()), own["doc_id"], own["text"], window, whole_chars=True)
-    text = F.when(F.col("__sd_bytes") > F.col("__sd_removed"), F.decode("__sd_kept", "UTF-8")).otherwise(F.lit(""))
+    text = F.when(F.col("__sd_bytes") > F.col("__sd_removed"), F.col("__sd_kept").cast("string")).otherwise(F.lit(""))
     out = out.withColumn(own["text"], text)
     if "n_chars" in own:
         out = out.withColumn(own["n_chars"], F.length(own["text"]).cast(docs.schema["n_chars"].dataType))
