@@ -20,20 +20,28 @@ def rungs(spark, rows):
 
 
 def test_bins_keep_censored_rows_and_hide_their_margins(spark):
-    p = ladder.prepare(rungs(spark, [(1, -2, 0.5, "incompatible"), (2, -1.99, 0.4, "incompatible"), (3, 0.08, 0.9, "compatible")]), 0.5)
+    """Two rungs at the cap, two just above it: all are counted, and only the latter have a margin."""
+    p = ladder.prepare(rungs(spark, [(5, ladder.CAP, 0.2, "incompatible"), (6, ladder.CAP, 0.6, "incompatible"), (7, -1.5, 0.3, "incompatible"), (8, -1.25, 0.1, "incompatible")]), 0.55)
     got = {r["margin_bin"]: r for r in ladder.bins(p).collect()}
-    assert sum(r["n"] for r in got.values()) == 3 and got[ladder.CENSORED]["mean_margin"] is None and got[ladder.CENSORED]["accepted"] == 1
+    capped, rest = got[ladder.CENSORED], got["(-2,-1)"]
+    assert (capped["n"], capped["mean_margin"], capped["min_margin"], capped["accepted"]) == (2, None, None, 1)
+    assert (rest["n"], rest["mean_margin"], rest["p_median"], rest["accepted"]) == (2, -1.375, 0.2, 0)
 
 
 def test_transitions(spark):
-    p = ladder.prepare(rungs(spark, [(-1.2, -2, 0.9, "incompatible"), (-0.6, -1, 0.6, "incompatible"), (-0.3, -0.4, 0.8, "incompatible"), (0.1, 0.08, 0.7, "compatible")]), 0.75)
-    r = ladder.responses(p).first()
-    assert (r["transitions"], r["unresolved"], r["rise"], r["fall"], r["response"]) == (3, 1, 1, 1, "multiple_observed_transitions")
+    """Gate 0.4: closed, open, open, closed, open, which are three changes. The step from a censored margin and that between
+    equal margins are unresolved; of the two others the gate falls in one and rises in one."""
+    rows = [(0, ladder.CAP, 0.3, "incompatible"), (1, -1.1, 0.45, "incompatible"), (2, -1.1, 0.5, "incompatible"), (3, -0.2, 0.1, "incompatible"), (4, 0.2, 0.95, "compatible")]
+    r = ladder.responses(ladder.prepare(rungs(spark, rows), 0.4)).first()
+    assert (r["transitions"], r["unresolved"], r["rise"], r["fall"]) == (3, 2, 1, 1)
 
 
 def test_family_rate(spark):
-    rows = [(i, 0.1, 0.9, "compatible", 1) for i in range(3)] + [(3, 0.0, 0.9, "ambiguous", 1), (4, 0.1, 0.1, "compatible", 2)]
-    assert ladder.family_rate(ladder.prepare(rungs(spark, rows), 0.5), "compatible").first()["balanced_rate"] == pytest.approx(0.75 / 1.75)
+    """Family 1: of four rows two are compatible, one of them accepted. Family 2: both of two are, both accepted. Balanced, that is
+    (1/4 + 2/2) of (2/4 + 2/2)."""
+    rows = [(0, 0.1, 0.8, "compatible", 1), (1, 0.1, 0.3, "compatible", 1), (2, -0.3, 0.2, "incompatible", 1), (3, 0.0, 0.8, "ambiguous", 1), (4, 0.2, 0.6, "compatible", 2), (5, 0.2, 0.7, "compatible", 2)]
+    r = ladder.family_rate(ladder.prepare(rungs(spark, rows), 0.6), "compatible").first()
+    assert (r["raw_rate"], r["balanced_rate"]) == (0.75, pytest.approx((1 / 4 + 2 / 2) / (2 / 4 + 2 / 2)))
 
 
 @pytest.mark.parametrize("bad", [(0, 0.1, math.nan, "compatible"), (0, -3, 0.5, "incompatible"), (0, 0, 1.5, "compatible"), (0, 0, 0.5, "other")])
@@ -104,6 +112,64 @@ def test_shifted_fit():
     assert polygons.fits_shifted(peg, outside) and not polygons.fits_shifted(np.ones((130, 130)), outside)
 
 
+def box(w, h, x=0.0, y=0.0):
+    return np.array([[-w / 2, -h / 2], [w / 2, -h / 2], [w / 2, h / 2], [-w / 2, h / 2]], float) + [x, y]
+
+
+def label_of(peg, socket, hole=0.0, peg_hole=0.0):
+    return polygons.Socket(socket, hole).label(polygons.quarter_turns(peg), peg_hole, polygons.area_centre(peg)[1], polygons.inner_radius(peg, peg_hole))
+
+
+def test_offsets():
+    """A grown box has straight sides, round corners; a notch gets sharper."""
+    grown = polygons.offset_ring(box(10, 6), 0.3)
+    assert polygons.area_centre(grown)[1] == pytest.approx(60 + 2 * 0.3 * 16 + math.pi * 0.09, rel=1e-4)
+    ell = np.array([[0, 0], [6, 0], [6, 2], [2, 2], [2, 6], [0, 6]], float)
+    assert np.hypot(*(polygons.offset_ring(ell, 0.5) - [2.5, 2.5]).T).min() < 1e-9
+    assert polygons.inner_radius(box(10, 6), 0.0) == pytest.approx(3, abs=0.02)
+
+
+@pytest.mark.parametrize("peg, socket", [((10, 6), (10, 6)), ((10, 6), (6, 10)), ((9.5, 6), (10, 6)), ((11, 6), (10, 6)), ((10.7, 7), (10, 6)), ((14.2, 6), (10, 6)), ((3, 3), (10, 6))])
+def test_fits_agree_with_closed_forms(peg, socket):
+    """Boxes: clearance 0.3 on every side of the socket, best of a quarter turn."""
+
+    def margin(w, h):
+        dx, dy = (socket[0] + 0.6 - w) / 2, (socket[1] + 0.6 - h) / 2
+        return min(dx, dy) if min(dx, dy) >= 0 else -min(2.0, math.hypot(max(-dx, 0), max(-dy, 0)))
+
+    got, want = label_of(box(*peg), box(*socket)), max(margin(*peg), margin(*peg[::-1]))
+    assert got["margin"] == pytest.approx(want, abs=0.02)
+    assert got["label"] == ("compatible" if want >= 0.05 else "ambiguous" if want >= -0.05 else "incompatible")
+    if got["label"] == "compatible":
+        turned = peg if margin(*peg) >= margin(*peg[::-1]) else peg[::-1]
+        gaps = [math.hypot((socket[0] - t[0]) / 2, (socket[1] - t[1]) / 2) + 0.3 for t in (turned, turned[::-1]) if margin(*t) >= 0.05]
+        assert got["max_gap"] == pytest.approx(min(gaps), abs=0.02)
+
+
+def test_fits_of_round_and_odd_shapes():
+    ring = lambda d: polygons.outline("circle", {"d": d})[0]
+    assert label_of(ring(10), ring(10))["margin"] == pytest.approx(0.3, abs=0.01)
+    assert label_of(ring(14), ring(14), hole=3.0)["margin"] == -2.0  # a solid part on a pin
+    own = label_of(ring(14), ring(14), hole=3.0, peg_hole=3.0)
+    assert own["label"] == "compatible" and own["margin"] == pytest.approx(0.3, abs=0.01)
+    tee, _ = polygons.outline("tee", {"w": 20, "h": 16, "t": 6})
+    small = box(5, 5)
+    beside = label_of(np.array([[0, 0], [9, 0], [9, 5.6], [0, 5.6]], float) - [4.5, 2.8], tee)
+    assert label_of(small, tee)["label"] == "compatible" and beside["reason"] in ("off_centre", "")
+    slot = np.array([[-8, -3], [8, -3], [8, 3], [2, 3], [2, 9], [-8, 9]], float)
+    slot = slot - polygons.area_centre(slot)[0]
+    assert label_of(box(9, 11), slot)["reason"] == "off_centre" and label_of(box(12, 11), slot)["label"] == "incompatible"
+
+
+def test_label_matrix(spark):
+    some = [p for p in generators.part_list() if p[1] in ("square", "tube", "circle")]
+    profiled = polygons.profiles(spark.createDataFrame(some, "part_id string, family string, params string"))
+    got = {(r["peg_id"], r["socket_id"]): r for r in polygons.label_matrix(profiled, block=4).collect()}
+    assert len(got) == len(some) ** 2 and all(got[i, i]["label"] == "compatible" and not got[i, i]["loose"] for i, _, _ in some)
+    assert got["circle_01", "square_01"]["label"] == "compatible" and got["square_02", "circle_02"]["label"] == "incompatible"
+    assert got["circle_02", "tube_01"]["label"] == "incompatible" and got["tube_01", "circle_03"]["loose"]
+
+
 def test_masks():
     opening, peg, poking = np.zeros((40, 40), bool), np.zeros((40, 40), bool), np.zeros((40, 40), bool)
     opening[10:30, 10:30] = True
@@ -136,12 +202,34 @@ def test_log_reading(spark):
             records.parsed_log(lines(spark, row, bad)).collect()
 
 
+def test_only_the_torn_end_of_a_file_is_left_out(spark, tmp_path):
+    line = lambda k: json.dumps({"key": k, "answer": "yes", "p_yes": 0.5, "config": "c"})
+    torn = '{"key": "stopped", "answ'
+
+    def read(**files):
+        folder = tmp_path / str(len(list(tmp_path.iterdir())))
+        folder.mkdir()
+        for name, text in files.items():
+            (folder / f"{name}.jsonl").write_text(text)
+        return sorted(r["key"] for r in records.read_log(spark, str(folder)).collect())
+
+    assert read(one=f"{line('a')}\n{line('b')}\n{torn}", two=f"{line('c')}\n") == ["a", "b", "c"]
+    assert read(one=f"{line('a')}\r\n\n{line('b')}") == ["a", "b"]  # whole, though nothing ends it
+    for text in (f"{line('a')}\n{torn}\n{line('c')}\n", f"{line('a')}\n{torn}\n", f"{line('a')}\nno object"):
+        with pytest.raises(Exception):
+            read(one=text, two=line("d"))
+
+
 def test_append_keeps_what_is_there(spark, tmp_path):
     path = str(tmp_path / "log")
     make = lambda *kv: spark.createDataFrame([(k, "yes", p, "c") for k, p in kv], "key string, answer string, p_yes double, config string")
     records.append_log(make(("k1", 0.7)), path)
     records.append_log(make(("k1", 0.1), ("k2", 0.4)), path, records.read_log(spark, path))
     assert {r["key"]: r["p_yes"] for r in records.read_log(spark, path).collect()} == {"k1": 0.7, "k2": 0.4}
+    records.append_log(make(("k2", 0.9), ("k3", 0.2), ("k3", 0.2)), path)  # looks at the log itself
+    assert {r["key"]: r["p_yes"] for r in records.read_log(spark, path).collect()} == {"k1": 0.7, "k2": 0.4, "k3": 0.2}
+    with pytest.raises(Exception):
+        records.append_log(make(("k4", 0.1), ("k4", 0.2)), path)
 
 
 def test_streamed_log(spark, tmp_path):
