@@ -1,8 +1,9 @@
 """Sharding by a K-d tree: a node is split at the weighted median of its widest dimension until the leaves
 have the target bytes.
 
-Dimensions are numbers that a row has of itself; ties are broken by a hash of the text, so that equal texts stand
-together and share a shard. Groups of equal texts that would unbalance a cut (HEAVY of a leaf or more, so at most
+Dimensions are metadata: language and source as places in the alphabet, the text's bytes on a logarithmic scale, bytes a code point
+(script) and share of blanks (length of words). Where copies of a text differ in language or source, the least counts for all
+of them; ties are broken by a hash of the text. So equal texts stand together and share a shard. Groups of equal texts that would unbalance a cut (HEAVY of a leaf or more, so at most
 1/HEAVY times the leaves) are placed first, each whole into the leaf with most room; medians are then weighted by
 the room left below. Only a group that no leaf can hold is cut, by a hash of doc_id. Medians are found by rounds of
 weighted histograms over a shrinking range, for all nodes of a level at once: a round sends the driver at most BINS
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, total
 
 SHARDS = 16
 #: Bits of a dimension's value and of the hash behind it, and bins of a histogram.
@@ -89,8 +90,7 @@ def _cuts(points: DataFrame, nodes: dict[int, dict], dims: list[str], leaf: floa
 
 def kd_shards(points: DataFrame, dims: list[str], shards: int) -> DataFrame:
     """points (size, group, tie, dims as longs) with shard: 0 to shards - 1, of nearly equal size each."""
-    total = points.agg(F.sum("size").alias("n")).first()["n"] or 0
-    leaf = max(1.0, total / shards)
+    leaf = max(1.0, total(points, F.col("size")) / shards)
     groups = points.groupBy("group").agg(F.sum("size").alias("n")).where(F.col("n").between(HEAVY * leaf, leaf))
     room = [leaf] * shards
     home = []
@@ -152,23 +152,39 @@ def with_slots(placed: DataFrame, *order: str) -> DataFrame:
     return out.withColumn("slot", (F.col("slot") + F.coalesce("first", F.lit(0))).cast("long")).drop("run", "first")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of all documents; dimensions: bytes of the text, bytes a code point
-    (script), and share of blanks (length of words)."""
+def _place(name: str) -> Column:
+    """Where a name stands in the alphabet, from 0 to 1, by its first four characters."""
+    letter = lambda i: F.greatest(F.lit(0), F.least(F.lit(27), F.ascii(F.substring(F.lower(F.coalesce(name, F.lit(""))), i, 1)) - 96))
+    return sum((letter(i) / 28.0**i for i in range(2, 5)), letter(1) / 28.0)
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, target: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of all documents, in so many shards, or in as many as have about target bytes each. docs
+    may have lang and source, which are dimensions then."""
     text = F.coalesce("text", F.lit(""))
     chars = F.greatest(F.length(text), F.lit(1))
     scaled = lambda x: F.least(F.greatest(F.floor(x * (1 << VALUE)), F.lit(0)), F.lit((1 << VALUE) - 1)).cast("long")
     spread = F.shiftrightunsigned(F.xxhash64(text, F.lit(11)), 64 - HASH)
-    key = lambda x: F.shiftleft(scaled(x), HASH) + spread
+    key = lambda x: F.shiftleft(F.coalesce(scaled(x), F.lit(0).cast("long")), HASH) + spread
     size = (F.octet_length(text) + 1).cast("long")
     blanks = chars - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    named = [c for c in ("lang", "source") if c in docs.columns]
     points = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"),
         F.xxhash64(text, F.lit(13)).alias("group"), F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(12)), 64 - HASH).alias("tie"),
         key(F.log2(size) / 40).alias("length"), key((F.octet_length(text) / chars - 1) / 3).alias("script"), key(blanks / chars).alias("blanks"),
+        *(key(_place(c)).alias(f"at_{c}") for c in named),
     )
     points = stored(points, "points")
-    placed = stored(kd_shards(points, ["length", "script", "blanks"], shards).select("doc_id", "size", "text_crc32", "tie", "shard"), "shards")
+    shards = shards_for(total(points, F.col("size")), target) if target else shards
+    if named:
+        low, high = ([f(f"at_{c}").alias(f"{n}_{c}") for c in named] for n, f in (("low", F.min), ("high", F.max)))
+        torn = " or ".join(f"low_{c} < high_{c}" for c in named)
+        least = points.groupBy("group").agg(*low, *high).where(torn).select("group", *(f"low_{c}" for c in named))
+        points = points.join(least, "group", "left").withColumns({f"at_{c}": F.coalesce(f"low_{c}", f"at_{c}") for c in named}).drop(*(f"low_{c}" for c in named))
+        points = stored(points, "groups")
+    dims = [*(f"at_{c}" for c in named), "length", "script", "blanks"]
+    placed = stored(kd_shards(points, dims, shards).select("doc_id", "size", "text_crc32", "tie", "shard"), "shards")
     return with_slots(placed, "tie", "doc_id", "text_crc32").drop("tie")
 
 
