@@ -47,6 +47,27 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 
 
+#: Spellings of the two answers.
+ANSWERS = {"yes": ("Yes", "yes", "YES", " Yes", " yes", " YES"), "no": ("No", "no", "NO", " No", " no", " NO")}
+
+
+def single_tokens(encode, answers: dict[str, tuple[str, ...]] = ANSWERS) -> dict[str, list[int]]:
+    """Ids of the spellings that encode() makes one token of, for each answer; no id may stand for two answers."""
+    found = {name: sorted({ids[0] for x in spelt if len(ids := list(encode(x))) == 1}) for name, spelt in answers.items()}
+    every = [i for ids in found.values() for i in ids]
+    if len(every) != len(set(every)):
+        raise ValueError("a token stands for two answers")
+    return found
+
+
+def token_class(top: Column, tokens: dict[str, list[int]]) -> Column:
+    """The answer that a token id stands for, or other."""
+    out = F
+    for name, ids in tokens.items():
+        out = out.when(top.isin(*ids), name)
+    return out.otherwise("other")
+
+
 def without_suffix(text: Column, suffix: str) -> Column:
     return F.when(F.endswith(text, F.lit(suffix)), F.left(text, F.length(text) - len(suffix))).otherwise(text)
 

@@ -233,7 +233,7 @@ def shift_fits(profiled: DataFrame) -> DataFrame:
 
 
 def offset_ring(pts: np.ndarray, by: float) -> np.ndarray:
-    """Ring at a distance outside a counter-clockwise ring: arcs around its corners, mitres in its notches."""
+    """Ring at a distance outside a ring: arcs around its corners, mitres in its notches. Inside it (by < 0): the other way round."""
     if _twice_area(pts) < 0:
         pts = pts[::-1]
     step = np.roll(pts, -1, axis=0) - pts
@@ -243,11 +243,11 @@ def offset_ring(pts: np.ndarray, by: float) -> np.ndarray:
     out = []
     for p, before, after in zip(pts, np.roll(normal, 1, axis=0), normal, strict=True):
         turn = math.atan2(before[0] * after[1] - before[1] * after[0], before @ after)
-        if turn < -1e-9:
+        if turn * by < 0 and abs(turn) > 1e-9:
             out.append((p + by * (before + after) / (1 + before @ after))[None])
         else:
             a = math.atan2(before[1], before[0])
-            out.append(p + by * _polar(1.0, np.linspace(a, a + turn, 1 + max(1, math.ceil(turn / (2 * math.pi) * ARC)))))
+            out.append(p + by * _polar(1.0, np.linspace(a, a + turn, 1 + max(1, math.ceil(abs(turn) / (2 * math.pi) * ARC)))))
     return np.concatenate(out)
 
 
@@ -391,9 +391,36 @@ def label_matrix(profiled: DataFrame, block: int = 16) -> DataFrame:
     return sockets.join(blocks, "block").repartition(n, "part_id").sortWithinPartitions("part_id").mapInPandas(run, MATRIX)
 
 
+def turned_differs(pts: np.ndarray) -> bool:
+    """Whether a quarter turn changes an outline."""
+    return bool(np.abs(signed(pts, quarter_turns(pts)[1])).max() > 1e-3)
+
+
 # --- masks of images ---
 
 
+def stitched(tiles: np.ndarray) -> np.ndarray:
+    """One RGB image of bytes from a base image and 2 x 2 tiles, as (5, 3, height, width) with values from -1 to 1."""
+    if tiles.shape[0] != 5:
+        raise ValueError(f"a base image and four tiles are needed, not {tiles.shape[0]} images")
+    rows = np.rint(255 * np.clip((tiles[1:] + 1) / 2, 0, 1)).astype(np.uint8).transpose(0, 2, 3, 1)
+    n, h, w, c = rows.shape
+    return rows.reshape(2, 2, h, w, c).transpose(0, 2, 1, 3, 4).reshape(2 * h, 2 * w, c)
+
+
+def render_faults(image: np.ndarray, below: float, area: float, mm_per_pixel: float, border: int = 250, tolerance: float = 0.04) -> list[str]:
+    """What is wrong with the picture of a part: its frame must be light, and what is darker than below must have the part's area."""
+    faults = []
+    frame = np.ones(image.shape[:2], bool)
+    frame[1:-1, 1:-1] = False
+    if image[frame].min() < border:
+        faults.append("the part touches the frame")
+    seen = float((image.astype(float).mean(axis=2) < below).sum()) * mm_per_pixel**2
+    if abs(seen - area) > tolerance * area:
+        faults.append(f"area {seen:.1f} instead of {area:.1f}")
+    return faults
+
+
 def luma_masks(image: np.ndarray, peg_below: float = 197, opening_below: float = 88) -> tuple[np.ndarray, np.ndarray]:
     """Peg and opening in an RGB image, by mean brightness."""
     light = image.astype(float).mean(axis=2)

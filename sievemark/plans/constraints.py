@@ -94,10 +94,30 @@ def shuffle(spark, sf_dir):
 
 @query("panel")
 def panel(spark, sf_dir):
-    groups: dict[str, list[str]] = {}
-    for part, family, _ in generators.part_list():
-        groups.setdefault(family, []).append(part)
-    return spark.createDataFrame(generators.panel(groups, 3, generators.SPLIT_SEED), "category string, part_id string")
+    """The pilot panel of the development families: five categories, each pair with its label and margin."""
+    import json
+
+    from ..operators import polygons as P
+
+    split = generators.family_splits(generators.SIZES)
+    dev = [p for p in generators.part_list() if split[p[1]] == "dev"]  # some fourteen parts
+    profiled = P.profiles(spark.createDataFrame(dev, "part_id string, family string, params string"))
+    found = {(r["peg_id"], r["socket_id"]): (r["label"], r["margin"]) for r in P.label_matrix(profiled).collect()}  # a row a pair of them
+    outlines = {i: P.outline(f, json.loads(p)) for i, f, p in dev}
+    symmetric = {i for i, (pts, hole) in outlines.items() if not P.turned_differs(P.bore_of(pts, hole)[0])}
+    ids, rows = [i for i, _, _ in dev], []
+    for category, peg, socket in generators.panel(ids, found, {i: f for i, f, _ in dev}, symmetric, -P.CAP):
+        if category == "shrunk":
+            pts, hole = outlines[peg]
+            by = float(socket.rsplit("_c", 1)[1])
+            ring = P.offset_ring(pts, by)
+            ring, pin = ring - P.area_centre(ring)[0], max(0.0, hole - by) if hole else 0.0
+            margin = max(P.fit_of(t, hole, ring, pin)[0] for t in P.quarter_turns(pts))
+            label = "compatible" if margin >= P.BAND else "ambiguous" if margin >= -P.BAND else "incompatible"
+        else:
+            label, margin = found[peg, peg if category == "rotated" else socket]
+        rows.append((category, peg, socket, label, float(margin)))
+    return spark.createDataFrame(rows, "category string, peg_id string, socket string, label string, margin double")
 
 
 @query("mask_margin")

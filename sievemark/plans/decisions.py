@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import bootstrap, calibrate, evaluate
+from ..operators import bootstrap, calibrate, evaluate, ladder
 from ..operators.decide import METHODS, composite_order, decide, summarise_blocks, with_fault
 from ..sources import adapters as A
 from . import query
@@ -227,3 +227,33 @@ def trigger(spark, sf_dir):
 def answer_mass(spark, sf_dir):
     share = scores.yes_share(F.col("mass_yes"), F.col("mass_no"))
     return A.candidates(spark, sf_dir).select("block_id", F.col("position").cast("long").alias("position"), F.round(share, 9).alias("p_yes"))
+
+
+_REGIMES = ("present_easy", "present_hard", "absent_easy", "absent_hard")
+_RIGHT = "((answer = 'yes') = (label = 'compatible'))"
+
+
+@query("config_report", A.SQL + f""", a AS (SELECT family, count(*) AS n, count(*) FILTER (answer = 'other') AS failures, round(min(mass_yes + mass_no), 9) AS min_mass, round(avg((answer = 'yes')::INT), 9) AS yes_rate, round(avg({_RIGHT}::INT), 9) AS acc,
+ {", ".join(f"round(avg({_RIGHT}::INT) FILTER (regime = '{r}'), 9) AS acc_{r}" for r in _REGIMES)}, round(avg(p_yes) FILTER (label = 'compatible'), 9) AS mean_p_compat, round(avg(p_yes) FILTER (label = 'incompatible'), 9) AS mean_p_incompat, round(avg(price), 6) AS cost, max(price) AS most FROM lab GROUP BY family),
+d AS (SELECT family, p_yes, count(*) FILTER (label = 'compatible') AS pos, count(*) FILTER (label = 'incompatible') AS neg FROM lab GROUP BY ALL),
+u AS (SELECT x.family, round(sum(CASE WHEN x.p_yes > y.p_yes THEN x.pos * y.neg WHEN x.p_yes = y.p_yes THEN x.pos * y.neg / 2 ELSE 0 END) / sum(x.pos * y.neg), 9) AS auroc FROM d x JOIN d y ON x.family = y.family GROUP BY x.family),
+k AS (SELECT c.family, round(avg(CASE WHEN c.p_yes > i.p_yes THEN 1 WHEN c.p_yes = i.p_yes THEN 0.5 ELSE 0 END), 9) AS rank FROM lab c JOIN lab i ON c.block_id = i.block_id AND c.label = 'compatible' AND i.label = 'incompatible' GROUP BY c.family)
+SELECT a.*, auroc, rank FROM a LEFT JOIN u USING (family) LEFT JOIN k USING (family)""")
+def config_report(spark, sf_dir):
+    """One row per configuration: size, failures, accuracy in all and by category, ranking, means by class, cost."""
+    rows = A.labelled(spark, sf_dir)
+    good = F.col("label") == "compatible"
+    right = ((F.col("answer") == "yes") == good).cast("int")
+    part = lambda c, x: F.avg(F.when(c, x))
+    sums = rows.groupBy("family").agg(
+        F.count("*").alias("n"), F.count_if(F.col("answer") == "other").alias("failures"), F.min(F.col("mass_yes") + F.col("mass_no")).alias("min_mass"), F.avg((F.col("answer") == "yes").cast("int")).alias("yes_rate"),
+        F.avg(right).alias("acc"), *(part(F.col("regime") == r, right).alias(f"acc_{r}") for r in _REGIMES), part(good, F.col("p_yes")).alias("mean_p_compat"),
+        part(~good, F.col("p_yes")).alias("mean_p_incompat"), F.round(F.avg("price"), 6).alias("cost"), F.max("price").alias("most"),
+    )
+    area = ladder.auroc(rows, "family", "p_yes", good, large=True)
+    pairs = rows.groupBy("block_id").agg(F.first("family").alias("family"), (F.count_if(good) * F.count_if(~good)).alias("pairs")).where("pairs > 0")
+    each = pairs.join(ladder.auroc(rows, "block_id", "p_yes", good), "block_id")
+    rank = each.groupBy("family").agg((F.sum(F.col("auroc") * F.col("pairs")) / F.sum("pairs")).alias("rank"))
+    out = sums.join(area, "family", "left").join(rank, "family", "left")
+    rounded = ("min_mass", "yes_rate", "acc", *(f"acc_{r}" for r in _REGIMES), "mean_p_compat", "mean_p_incompat", "auroc", "rank")
+    return out.withColumns({c: F.round(c, 9) for c in rounded})

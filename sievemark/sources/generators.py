@@ -83,10 +83,23 @@ def shuffled(items: list, seed: str | int) -> list:
     return order
 
 
-def panel(groups: dict[str, list[str]], size: int, seed: int) -> list[tuple[str, str]]:
-    """(group, id): up to size members of each group, drawn without repetition from the sorted ids."""
+#: Seed of the panel, most hard negatives, parts with shrunk bores and by how much these are offset.
+PANEL_SEED, HARD, SHRUNK, OFFSETS = 20260924, 12, 4, (-0.3, -1.0)
+
+
+def panel(ids: list[str], margins: dict[tuple[str, str], tuple[str, float]], family: dict[str, str], symmetric: set[str], least: float, seed: int = PANEL_SEED) -> list[tuple[str, str, str]]:
+    """(category, peg, socket) of a pilot panel from parts in order and the (label, margin) of each peg and socket.
+
+    nominal: every part in its own bore. rotated: in its own bore a quarter turned, unless that is the same. clear_neg: in one
+    drawn of the bores that it misses by the most that is told apart (least). hard_neg: a draw of pairs of a family that
+    do not fit but are nearer. shrunk: a draw of parts, in their bores at each of OFFSETS."""
     rng = random.Random(seed)
-    return [(g, x) for g, ids in groups.items() for x in sorted(rng.sample(sorted(ids), min(size, len(ids))))]
+    out = [("nominal", p, p) for p in ids] + [("rotated", p, f"{p}_rot90") for p in ids if p not in symmetric]
+    for p in ids:
+        out.append(("clear_neg", p, rng.choice([q for q in ids if q != p and margins[p, q][1] <= least])))
+    near = [(p, q) for p in ids for q in ids if p != q and family[p] == family[q] and margins[p, q][0] == "incompatible" and margins[p, q][1] > least]
+    out += [("hard_neg", *pair) for pair in rng.sample(near, min(HARD, len(near)))]
+    return out + [("shrunk", p, f"{p}_c{by:+.1f}") for p in rng.sample(ids, SHRUNK) for by in OFFSETS]
 
 
 def mirror_twins(parts_: DataFrame) -> DataFrame:

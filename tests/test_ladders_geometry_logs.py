@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sievemark.functions import scores
 from sievemark.operators import keyed, ladder, polygons
 from sievemark.operators import rectangles as R
 from sievemark.sources import generators, records
@@ -275,3 +276,41 @@ def test_joins_that_must_be_complete(spark):
         keyed.joined_or_fail(a, b, "k").collect()
     assert keyed.joined_or_fail(a.where("k = 1"), b, "k").count() == 1
     assert {(r["path"], r["fault"]) for r in keyed.manifest_faults(spark.createDataFrame([("a", "1"), ("b", "2")], "path string, digest string"), spark.createDataFrame([("a", "9"), ("c", "3")], "path string, digest string")).collect()} == {("a", "changed"), ("b", "unexpected"), ("c", "missing")}
+
+
+def test_stitched_tiles_and_renders():
+    tiles = np.stack([np.full((3, 2, 3), v) for v in (0.0, -1.0, -0.5, 0.5, 2.0)])
+    whole = polygons.stitched(tiles)
+    assert whole.shape == (4, 6, 3) and [int(whole[y, x, 0]) for y, x in ((0, 0), (0, 5), (3, 0), (3, 5))] == [0, 64, 191, 255]
+    with pytest.raises(ValueError):
+        polygons.stitched(tiles[:4])
+    image = np.full((50, 50, 3), 255, np.uint8)
+    image[10:30, 10:35] = 40
+    assert polygons.render_faults(image, 88, 500 * 0.01, 0.1) == [] and len(polygons.render_faults(image, 88, 450 * 0.01, 0.1)) == 1
+    image[0, 7] = 40
+    assert polygons.render_faults(image, 88, 501 * 0.01, 0.1) == ["the part touches the frame"]
+
+
+def test_answer_tokens(spark):
+    known = {"Yes": [5], "yes": [6], "YES": [7, 8], "No": [9], " No": [9], "no": [10, 11]}
+    assert scores.single_tokens(lambda x: known.get(x, [1, 2])) == {"yes": [5, 6], "no": [9]}
+    with pytest.raises(ValueError):
+        scores.single_tokens(lambda x: [3])
+    got = spark.createDataFrame([(5,), (9,), (1,)], "top int").select(scores.token_class(F.col("top"), {"yes": [5, 6], "no": [9]}).alias("a")).collect()
+    assert [r["a"] for r in got] == ["yes", "no", "other"]
+
+
+def test_record_checks(tmp_path):
+    for name in "ab":
+        (tmp_path / name).write_text(name)
+    before = records.digests([str(tmp_path / "a"), str(tmp_path / "b")])
+    (tmp_path / "b").write_text("c")
+    assert records.changed_inputs(before, records.digests([str(tmp_path / "a"), str(tmp_path / "b")])) == [f"{tmp_path / 'b'} changed"]
+    assert records.version_of("pyspark") and records.version_of("no-such-package") is None
+
+
+def test_nested_csv_has_sorted_keys(spark, tmp_path):
+    df = spark.createDataFrame([(1, {"z": 1, "b": 2}, (2.5, 1))], "k int, m map<string,int>, s struct<y:double,a:int>").withColumn("half", F.lit(0.125))
+    records.write_csv(df, str(tmp_path / "t"), {"half": 2})
+    r = records.read_csv(spark, str(tmp_path / "t"), "k int, m string, s string, half double").first()
+    assert (json.loads(r["m"]), r["m"][:4], r["s"], r["half"]) == ({"b": 2, "z": 1}, '{"b"', '{"a":1,"y":2.5}', 0.12)
