@@ -336,16 +336,20 @@ class Socket:
         size, most, inner, outside = self.region()
         if area > most or radius > inner + 0.02:
             return False
-        return any((np.ptp(t, axis=0) <= size).all() and fits_shifted(inside(t, hole, *lattice(t)).astype(float), outside) for t in turns)
-
-    def label(self, turns: list[np.ndarray], hole: float, area: float, radius: float) -> dict:
-        fits = [fit_of(t, hole, self.ring, self.pin) for t in turns]
+        return any(t is not None and (np.ptp(t, axis=0) <= size).all() and fits_shifted(inside(t, hole, *lattice(t)).astype(float), outside) for t in turns)
+
+    def label(self, turns: list[np.ndarray], hole: float, area: float, radius: float, alike: list[int] | None = None) -> dict:
+        """alike: equal_turns() of turns, if known."""
+        alike = alike or equal_turns(turns)
+        fits = [fit_of(turns[i], hole, self.ring, self.pin) if i == k else None for k, i in enumerate(alike)]
+        fits = [fits[i] for i in alike]
+        turns = [t if i == k else None for k, (t, i) in enumerate(zip(turns, alike, strict=True))]
         contained = any(c for _, c in fits)
         margins = [m if c or not contained else -math.inf for m, c in fits]
         k = int(np.argmax(margins))  # of equal ones the smaller turn
         out = {"label": "incompatible", "reason": "", "margin": margins[k], "turn": 90 * k, "max_gap": None, "loose": False}
         if margins[k] >= BAND:
-            gap = min(largest_gap(t, self.ring) for t, m in zip(turns, margins, strict=True) if m >= BAND)
+            gap = min(largest_gap(t, self.ring) for t, m in zip(turns, margins, strict=True) if t is not None and m >= BAND)
             return out | {"label": "compatible", "max_gap": gap, "loose": gap > LOOSE}
         if margins[k] >= -BAND:
             return out | {"label": "ambiguous", "reason": "boundary"}
@@ -382,7 +386,8 @@ def label_matrix(profiled: DataFrame, block: int = 16) -> DataFrame:
                         if len(shapes) > 4096:
                             shapes.clear()
                         pts = _points(p["ring"])
-                        shapes[p["part_id"]] = quarter_turns(pts), p["hole"], area_centre(pts)[1] - math.pi * p["hole"] ** 2, inner_radius(pts, p["hole"])
+                        turns = quarter_turns(pts)
+                        shapes[p["part_id"]] = turns, p["hole"], area_centre(pts)[1] - math.pi * p["hole"] ** 2, inner_radius(pts, p["hole"]), equal_turns(turns)
                     rows.append({"peg_id": p["part_id"], "socket_id": sid} | socket[sid].label(*shapes[p["part_id"]]))
             out = pd.DataFrame(rows, columns=[f.split()[0] for f in MATRIX.split(", ")])
             yield out.astype({"max_gap": float})
@@ -391,6 +396,12 @@ def label_matrix(profiled: DataFrame, block: int = 16) -> DataFrame:
     return sockets.join(blocks, "block").repartition(n, "part_id").sortWithinPartitions("part_id").mapInPandas(run, MATRIX)
 
 
+def equal_turns(turns: list[np.ndarray]) -> list[int]:
+    """For each turn the first that looks the same."""
+    same = lambda a, b: np.abs(signed(a, b)).max() <= 1e-6
+    return [next(i for i in range(k + 1) if i == k or same(turns[i], turns[k])) for k in range(4)]
+
+
 def turned_differs(pts: np.ndarray) -> bool:
     """Whether a quarter turn changes an outline."""
     return bool(np.abs(signed(pts, quarter_turns(pts)[1])).max() > 1e-3)
