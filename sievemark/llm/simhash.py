@@ -28,7 +28,8 @@ WIDTH, SHARE = 5, 0.8
 #: Texts that share just so much differ in some 39 of BITS bits (deviation 6; 48 for texts of five shingles) and in 19 of
 #: the first 128, so at most 1 in 100,000 is beyond these radii; unrelated ones differ in 128 (deviation 8).
 BITS, RADIUS_WIDE, RADIUS_FIRST = 256, 76, 46
-TILE_WIDE = 8192
+#: Fingerprints in a tile; of tiles that bring their shingles, most texts and most shingles.
+TILE_WIDE, TILE_ROWS, TILE_SETS = 8192, 1024, 1 << 19
 
 
 def simhash(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -295,72 +296,111 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, content long, x array<long>")
 
 
-def _compare_wide(radius: int, first_radius: int, share: float, across: bool):
-    words = BITS // 64
-
-    def far(a, b) -> bool:
-        """Whether the population counts of two tiles' fingerprints differ beyond the radius, word by word."""
-        gap = 0
-        for x, y in zip(a, b, strict=True):
-            x, y = np.bitwise_count(x).astype(int), np.bitwise_count(y).astype(int)
-            gap += max(0, x.min() - y.max(), y.min() - x.max())
-        return gap > radius
-
+def _near(a, b, at: int, rows: int, begin: int, share: float):
+    """Of two tiles (fingerprints, sizes, ...) the rows from `at` on of one and from begin on of the other that are candidates."""
+    words = range(BITS // 64)
+    apart = np.bitwise_count(a[0][0][at : at + rows, None] ^ b[0][0][None, begin:])
+    apart += np.bitwise_count(a[0][1][at : at + rows, None] ^ b[0][1][None, begin:])
+    x, y = np.nonzero(apart <= RADIUS_FIRST)
+    x, y = x + at, y + begin
+    whole = sum(np.bitwise_count(a[0][w][x] ^ b[0][w][y]).astype(np.int64) for w in words)
+    least, most = np.minimum(a[1][x], b[1][y]), np.maximum(a[1][x], b[1][y])
+    keep = (whole <= RADIUS_WIDE) & (least >= share * most - 1e-9)
+    return x[keep], y[keep]
+
+
+def _far(a, b) -> bool:
+    """Whether the population counts of two tiles' fingerprints differ beyond the radius, word by word."""
+    gap = 0
+    for x, y in zip(a, b, strict=True):
+        x, y = np.bitwise_count(x).astype(int), np.bitwise_count(y).astype(int)
+        gap += max(0, x.min() - y.max(), y.min() - x.max())
+    return gap > RADIUS_WIDE
+
+
+def _tiles(batches, names: tuple[str, ...], links):
+    """Hands each home tile (role 0) and then its guests to links(home, guest, same), and yields what that finds."""
+    words, home, key = len(FP), None, None
+    for b in batches:
+        lists = [b.column(c) for c in (*FP, *names)]
+        for k in range(b.num_rows):
+            at = tuple(b.column(c)[k].as_py() for c in ("cell", "salt", "role"))
+            columns = [c[k].values for c in lists]
+            tile = [c.to_numpy().view(np.uint64) for c in columns[:words]], *(c.to_numpy() if c.type == pa.int64() else c for c in columns[words:])
+            if at[2] == 0:
+                home, key = tile, at[:2]
+            if key == at[:2] and not _far(home[0], tile[0]):
+                u, v = links(home, tile, at[2] == 0)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+
+
+def _candidates(share: float):
     def links(a, b, same):
-        """Of two tiles (numbers, sizes, contents, roots) what is near; a spanning set of it, or all across roots."""
+        """A spanning set of the candidates."""
         left, right, held = [], [], 0
-        if far(a[0], b[0]):
-            return
         rows = max(1, (1 << 18) // max(1, len(b[1])))
         for at in range(0, len(a[1]), rows):
-            begin = at if same else 0
-            apart = np.bitwise_count(a[0][0][at : at + rows, None] ^ b[0][0][None, begin:])
-            apart += np.bitwise_count(a[0][1][at : at + rows, None] ^ b[0][1][None, begin:])
-            x, y = np.nonzero(apart <= first_radius)
-            x, y = x + at, y + begin
+            x, y = _near(a, b, at, rows, at if same else 0, share)
             if same:
                 x, y = x[x < y], y[x < y]
-            whole = sum(np.bitwise_count(a[0][w][x] ^ b[0][w][y]).astype(np.int64) for w in range(words))
-            least, most = np.minimum(a[1][x], b[1][y]), np.maximum(a[1][x], b[1][y])
-            keep = (whole <= radius) & (least >= share * most - 1e-9)
-            if across:
-                keep &= a[3][x] != b[3][y]
-            if keep.any():
-                left.append(a[2][x[keep]])
-                right.append(b[2][y[keep]])
-                held += len(left[-1])
+            left.append(a[2][x])
+            right.append(b[2][y])
+            held += len(x)
             if held > 4 * (len(a[1]) + len(b[1])):
-                u, v = np.concatenate(left), np.concatenate(right)
-                if across:
-                    yield u, v
-                    left, right, held = [], [], 0
-                else:
-                    u, v = spanning(u, v)
-                    left, right, held = [u], [v], len(u)
-        if held:
-            u, v = np.concatenate(left), np.concatenate(right)
-            yield (u, v) if across else spanning(u, v)
+                u, v = spanning(np.concatenate(left), np.concatenate(right))
+                left, right, held = [u], [v], len(u)
+        return spanning(np.concatenate(left), np.concatenate(right))
 
-    def run(batches):
-        home = key = None
-        for b in batches:
-            lists = [b.column(c) for c in (*FP, "sizes", "contents", "roots")]
-            for k in range(b.num_rows):
-                cell, salt, role = (b.column(c)[k].as_py() for c in ("cell", "salt", "role"))
-                columns = [c[k].values.to_numpy() for c in lists]
-                tile = [c.view(np.uint64) for c in columns[:words]], *columns[words:]
-                if role == 0:
-                    home, key = ([c.copy() for c in tile[0]], *(c.copy() for c in tile[1:])), (cell, salt)
-                if key == (cell, salt):
-                    for u, v in links(home, tile, role == 0):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+    return lambda batches: _tiles(batches, ("sizes", "contents"), links)
+
+
+def _verified(share: float):
+    def links(a, b, same):
+        """Links of candidates that are alike, as far as they connect components that nothing has connected yet."""
+        roots = np.unique(np.concatenate([a[3], b[3]]), return_inverse=True)[1]
+        ra, rb = roots[: len(a[3])], roots[len(a[3]) :]
+        ends, shingles = b[4].offsets.to_numpy().astype(np.int64), b[4].values.to_numpy().view(np.uint64)
+        own_ends, own = a[4].offsets.to_numpy().astype(np.int64), a[4].values.to_numpy().view(np.uint64)
+        u, v = [], []
+        for i in range(len(a[1])):
+            _, y = _near(a, b, i, 1, i + 1 if same else 0, share)
+            y = y[rb[y] != ra[i]]
+            if not len(y):
+                continue
+            mine = own[own_ends[i] : own_ends[i + 1]]
+            sizes = b[1][y]
+            stop = np.cumsum(sizes)
+            every = shingles[np.repeat(ends[y] - stop + sizes, sizes) + np.arange(stop[-1])]
+            at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+            common = np.add.reduceat((mine[at] == every).astype(np.int64), stop - sizes)
+            for j in y[common >= share * (len(mine) + sizes - common) - 1e-9].tolist():
+                if ra[i] != rb[j]:
+                    old, new = rb[j], ra[i]
+                    roots[roots == old] = new  # ra and rb are views
+                    u.append(a[2][i])
+                    v.append(b[2][j])
+        return np.array(u, np.int64), np.array(v, np.int64)
+
+    return lambda batches: _tiles(batches, ("sizes", "contents", "roots", "sets"), links)
+
+
+def _met(tiles: DataFrame, guests: DataFrame, columns: list[str], compare) -> DataFrame:
+    """Links (a, b) from tiles (cell, salt) and the guests of each."""
+    meet = tiles.select("cell", "salt", F.lit(0).alias("role"), *columns).union(guests.select("cell", "salt", F.lit(1).alias("role"), *columns))
+    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return meet.repartition(n, "cell", "salt").sortWithinPartitions("cell", "salt", "role").mapInArrow(compare, "a long, b long")
 
-    return run
 
+def _collected(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Tiles of rows (cell, salt, ...): a list of each column."""
+    lists = rows.groupBy("cell", "salt").agg(F.collect_list(F.struct(*columns.values())).alias("x"))
+    return lists.select("cell", "salt", *(F.col(f"x.{c}").alias(name) for name, c in columns.items()))
 
-def wide_links(prints: DataFrame, share: float, across: bool, label: str) -> DataFrame:
+
+def wide_links(prints: DataFrame, share: float = SHARE) -> DataFrame:
     """Pairs (a, b) of contents whose fingerprints differ in RADIUS_WIDE bits at most and whose sizes fit a similarity of
-    share; of each pair of tiles a spanning set, or (across) all pairs with different roots.
+    share: of each pair of tiles a spanning set.
 
     A tile is a set of up to TILE_WIDE fingerprints of texts of a size class. Classes are a quarter of the factor 1 / share wide, so a
     tile meets those of its own class and of four below."""
@@ -368,34 +408,43 @@ def wide_links(prints: DataFrame, share: float, across: bool, label: str) -> Dat
     cell = F.floor(F.round(F.log(F.col("size").cast("double")) * (steps / -np.log(share)), 6)).cast("int")
     cells = prints.withColumn("cell", cell)
     kinds = stored(cells.groupBy("cell").agg(F.ceil(F.count("*") / TILE_WIDE).cast("int").alias("salts")), "kinds")
-    columns = {f"{c}": c for c in FP} | {"sizes": "size", "contents": "content", "roots": "root"}
-    tiles = (
-        cells.join(F.broadcast(kinds), "cell")  # a class for each quarter of a step of size: some hundreds
-        .withColumn("salt", F.pmod(F.xxhash64("content", F.lit(7)), F.col("salts")).cast("int"))
-        .groupBy("cell", "salt").agg(F.collect_list(F.struct(*columns.values())).alias("x"))
-        .select("cell", "salt", *(F.col(f"x.{c}").alias(name) for name, c in columns.items()))
-    )
-    tiles = stored(tiles, label)
+    columns = {c: c for c in FP} | {"sizes": "size", "contents": "content"}
+    dealt = cells.join(F.broadcast(kinds), "cell")  # a class for each quarter of a step of size: some hundreds
+    tiles = stored(_collected(dealt.withColumn("salt", F.pmod(F.xxhash64("content", F.lit(7)), F.col("salts")).cast("int")), columns), "tiles")
     guests = (
         tiles.withColumnsRenamed({"salt": "from", "cell": "own"}).withColumn("cell", F.explode(F.sequence(F.col("own") - steps, F.col("own"))))
         .join(F.broadcast(kinds), "cell")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         .where("cell < own or salt < from")
-        .select("cell", "salt", F.lit(1).alias("role"), *columns)
     )
-    meet = tiles.select("cell", "salt", F.lit(0).alias("role"), *columns).union(guests)
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return meet.repartition(n, "cell", "salt").sortWithinPartitions("cell", "salt", "role").mapInArrow(_compare_wide(RADIUS_WIDE, RADIUS_FIRST, share, across), "a long, b long")
+    return _met(tiles, guests, list(columns), _candidates(share))
+
+
+def links_within(rows: DataFrame, share: float = SHARE) -> DataFrame:
+    """Links (a, b) between contents of rows (cell, content, size, root, x, fingerprint) of a cell that are alike and whose roots
+    differ; of each pair of tiles those that connect. Candidates are compared where their tiles meet, so none but these is a row.
+
+    A tile is a part of a cell, with up to TILE_SETS shingles or TILE_ROWS texts (one text at least)."""
+    sizes = rows.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("size") / TILE_SETS)).cast("int").alias("salts"))
+    columns = {c: c for c in FP} | {"sizes": "size", "contents": "content", "roots": "root", "sets": "x"}
+    dealt = rows.join(sizes, "cell").withColumn("salt", F.pmod(F.xxhash64("content", F.lit(7)), F.col("salts")).cast("int"))
+    tiles = stored(_collected(dealt, columns), "parts")
+    met = tiles.join(sizes, "cell").withColumnRenamed("salt", "from").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).where("salt < from")
+    return _met(tiles, met, list(columns), _verified(share))
+
+
+def sets_of(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """content and x, the set of shingles, of reps (content, id), from the texts of docs."""
+    some = reps.select(F.col("id").alias("__id"), F.col("content").alias("__content"))
+    texts = docs.join(some.select("__id").distinct(), docs["doc_id"] == F.col("__id"), "left_semi").select("doc_id", "text")
+    sets = _sets(texts, width)
+    return sets.join(some, (sets["doc_id"] == some["__id"]) & (sets["content"] == some["__content"]), "left_semi").dropDuplicates(["content"]).select("content", "x")
 
 
 def alike(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, share: float) -> DataFrame:
     """Those of pairs (a, b) of reps' contents whose shingle sets share so much."""
     asked = pairs.select(F.col("a").alias("content")).union(pairs.select(F.col("b").alias("content"))).distinct()
-    some = reps.join(asked, "content", "left_semi").select(F.col("id").alias("__id"), F.col("content").alias("__content"))
-    texts = docs.join(some.select("__id").distinct(), docs["doc_id"] == F.col("__id"), "left_semi").select("doc_id", "text")
-    sets = _sets(texts, width)
-    sets = sets.join(some, (sets["doc_id"] == some["__id"]) & (sets["content"] == some["__content"]), "left_semi").dropDuplicates(["content"]).select("content", "x")
-    sets = stored(sets, "sets")
+    sets = stored(sets_of(docs, reps.join(asked, "content", "left_semi"), width), "sets")
     side = lambda c: sets.select(F.col("content").alias(c), F.col("x").alias(f"x{c}"))
     common = F.size(F.array_intersect("xa", "xb"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", common)
@@ -413,25 +462,26 @@ def keep_unlike(docs: DataFrame, width: int = WIDTH, share: float = SHARE) -> Da
 
     Candidates are texts whose fingerprints of BITS bits are near, by tiles, and every link is verified on the shingles: first
     a spanning set of each pair of tiles; then, where what candidates connect is not connected by verified links, all
-    candidates across the components.
+    candidates across components, in tiles that bring their shingles along.
 
     Edge cases: rows that repeat a doc_id stay or go together; rows without doc_id stay; null, empty and blank texts are
     copies of one another; equal texts are one content, so ties go to the smallest doc_id; an empty table gives an empty
     result; all columns are kept, whatever their names."""
     prints = stored(wide_prints(docs.where("doc_id is not null").select("doc_id", "text"), width), "prints")
     reps = prints.groupBy("content").agg(F.min("doc_id").alias("id"), F.any_value("size").alias("size"), *(F.any_value(c).alias(c) for c in FP))
-    reps = stored(reps.withColumn("root", F.col("content")), "contents")
+    reps = stored(reps, "contents")
     some = reps.where("size > 0")
-    near = stored(wide_links(some, share, False, "tiles"), "near").distinct()
+    near = stored(wide_links(some, share).distinct(), "near")
     links = stored(alike(docs, near, reps, width, share), "links")
-    rooted = _rooted(_rooted(some.drop("root"), components(links, "sure"), "root"), components(near, "near"), "maybe")
-    rooted = stored(rooted, "rooted")
-    mixed = rooted.groupBy("maybe").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("maybe")
-    mixed = stored(rooted.join(mixed, "maybe", "left_semi").drop("maybe"), "mixed")
-    if not mixed.isEmpty():
-        rest = stored(wide_links(mixed, share, True, "again").distinct().join(near, ["a", "b"], "left_anti"), "across")
-        links = stored(links.union(alike(docs, rest, reps, width, share)), "links")
-    ids = _rooted(reps.select("content", "id"), components(links, "whole"), "root")
+    roots = components(links, "sure")
+    if links.count() < near.count():  # some candidates are not alike: others may connect what these did
+        rooted = stored(_rooted(_rooted(some, roots, "root"), components(near, "near"), "cell"), "rooted")
+        mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
+        mixed = stored(rooted.join(mixed, "cell", "left_semi"), "mixed")
+        if not mixed.isEmpty():
+            more = stored(links_within(mixed.join(sets_of(docs, mixed, width), "content"), share), "more")
+            roots = components(links.union(more), "whole")
+    ids = _rooted(reps.select("content", "id"), roots, "root")
     first = ids.groupBy("root").agg(F.min("id").alias("first"))
     first = ids.join(first, "root").select("content", "first")
     gone = prints.select("doc_id", "content").join(first, "content").where("doc_id <> first").select(F.col("doc_id").alias("__gone")).distinct()
