@@ -47,6 +47,8 @@ PART, CHUNK = 8 << 20, 24 << 20
 LEAST = 2
 #: What each symbol of a context leaves to the escape.
 DISCOUNT = 0.5
+#: Logarithms of probabilities travel as multiples of 1 / FINE.
+FINE = float(1 << 32)
 #: Keys that are held unsorted, and questions that are answered at once.
 SOME = 1 << 20
 GRAM, WORD, DOCS, PACKED, TEXT = 0, 1, 2, 3, 4
@@ -254,17 +256,6 @@ def _keys(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(_numbers(data, "u8", n))
 
 
-def _answer(value: np.ndarray) -> bytes:
-    """Numbers of 8 bytes, of which many are equal."""
-    kinds, which = np.unique(value, return_inverse=True)
-    return len(kinds).to_bytes(8, "little") + _shrunk(_planes(kinds.view(np.uint64)) + _planes(which.astype(np.uint32)))
-
-
-def _answered(data: bytes, n: int) -> np.ndarray:
-    kinds, data = int.from_bytes(data[:8], "little"), _grown(data[8:])
-    return _numbers(data, "u8", kinds)[_numbers(data[8 * kinds :], "u4", n)]
-
-
 def _dealt(by: np.ndarray, parts: int):
     """(part, indices of its items, in their order) for every part that has items."""
     sort = np.argsort(by.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
@@ -496,7 +487,7 @@ def _answers(counts: DataFrame, sent: DataFrame, low: list[tuple], symbols: int,
         """Probabilities of the codes of a part, each worked out once."""
 
         def __init__(self, trie):
-            self.trie, self.key, self.value = trie, np.zeros(0, np.uint64), np.zeros(0)
+            self.trie, self.key, self.value = trie, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
         def __call__(self, keys: list[np.ndarray]):
             every = np.unique(np.concatenate(keys))
@@ -504,9 +495,9 @@ def _answers(counts: DataFrame, sent: DataFrame, low: list[tuple], symbols: int,
             new = every[~there]
             if len(new):
                 at = np.searchsorted(self.key, new)
-                self.key, self.value = np.insert(self.key, at, new), np.insert(self.value, at, self.trie.log10(new))
+                self.key, self.value = np.insert(self.key, at, new), np.insert(self.value, at, np.rint(self.trie.log10(new) * -FINE).astype(np.uint64))
             for key in keys:
-                yield _answer(self.value[np.searchsorted(self.key, key)])
+                yield _shrunk(_planes(self.value[np.searchsorted(self.key, key)]))
 
     def run(batches):
         key, packed, known, words, asked, size = None, {}, None, None, [], 0
@@ -530,7 +521,7 @@ def _answers(counts: DataFrame, sent: DataFrame, low: list[tuple], symbols: int,
                 elif kind == WORD:
                     at, there = Trie.find(words[0], _keys(_grown(data), n))
                     found = np.where(there, words[1][at] if len(words[1]) else 0, 0)
-                    yield pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": WORD, "part": part, "data": _answer(found)}], schema=shape)
+                    yield pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": WORD, "part": part, "data": _shrunk(_planes(found.astype(np.uint64)))}], schema=shape)
                 else:
                     if known is None:
                         known, packed = Known(trie_of(shared.value, packed, symbols, order)), {}
@@ -587,8 +578,8 @@ def _sums(texts: DataFrame, answers: DataFrame, parts: int, order: int, tokens:
             by = owners(key, parts) if kind == GRAM else receivers(key, parts)
             value = np.zeros(len(key), np.float64 if kind == GRAM else np.int64)
             for p, some in _dealt(by, parts):
-                found = _answered(answers.pop((kind, p)), len(some))
-                value[some] = found.view(np.float64) if kind == GRAM else found
+                found = _numbers(_grown(answers.pop((kind, p))), "u8", len(some))
+                value[some] = found / -FINE if kind == GRAM else found
             out.append((key, value))
         (code, value), (word, n) = out
         return Table(code, value), Table(word, np.arange(len(word))), np.where(n > 0, np.log10((n + 0.5) / whole), np.log10(0.5 / whole)), n > 0
