@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Lower-cases A to Z and nothing else.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: A key that more than one row in so many has is hot.
+HOT = 1000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -75,6 +77,17 @@ def total(df: DataFrame, expr) -> int:
     return int(df.agg(F.sum(expr).alias("n")).first()["n"] or 0)
 
 
+def looked_up(rows: DataFrame, values: DataFrame, on: str, weight: str, rows_total: int) -> DataFrame:
+    """rows left-joined with values, which have each key once and in weight how many of the rows_total rows have it.
+
+    Keys of more than one row in HOT, so fewer than HOT keys, are broadcast and their rows stay where they are; the others
+    are shuffled, with at most one row in HOT a key. Both are read twice, so they should be stored tables; no key is null."""
+    often = F.broadcast(values.where(F.col(weight) > rows_total // HOT))
+    near = rows.join(often, on)
+    rest = rows.join(often.select(on), on, "left_anti").join(values.where(F.col(weight) <= rows_total // HOT), on, "left")
+    return near.unionByName(rest)
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node it is connected with.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprints, language, license_scan, lm_score, packing, quality, sharding, simhash, suffix_dedup
+from . import decontam, exact_dedup, filter_audit, fingerprints, language, license_scan, lm_score, packing, prefix_trie, quality, sharding, simhash, suffix_dedup
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_packing": packing.op9_packing,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_license_scan": license_scan.ORACLE, "op7_decontamination": decontam.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE}
+    return {
+        "op2_license_scan": license_scan.ORACLE,
+        "op7_decontamination": decontam.ORACLE,
+        "op10_suffix_dedup": suffix_dedup.ORACLE,
+        "op11_prefix_trie": prefix_trie.ORACLE,
+        "op12_exact_dedup": exact_dedup.ORACLE,
+        "op13_filter_audit": filter_audit.ORACLE,
+    }
