@@ -57,3 +57,18 @@ def manifest_faults(actual: DataFrame, expected: DataFrame, path: str = "path",
     a, e = actual.select(path, F.col(digest).alias("have")), expected.select(path, F.col(digest).alias("want"))
     fault = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "unexpected").when(F.col("have") != F.col("want"), "changed")
     return a.join(e, path, "full").select(path, fault.alias("fault")).where("fault is not null")
+
+
+#: A key that more than one row in so many has is hot.
+HOT = 1000
+
+
+def looked_up(rows: DataFrame, values: DataFrame, on: str | list[str], weight: str, total: int) -> DataFrame:
+    """rows left-joined with values, which have each key once and in weight how many of the total rows have it.
+
+    Keys of more than one row in HOT, so fewer than HOT keys, are broadcast and their rows stay where they are; the others
+    are shuffled, with at most one row in HOT a key. Both are read twice; no key is null."""
+    often = F.broadcast(values.where(F.col(weight) > total // HOT))
+    near = rows.join(often, on)
+    rest = rows.join(often.select(on), on, "left_anti").join(values.where(F.col(weight) <= total // HOT), on, "left")
+    return near.unionByName(rest)

@@ -4,7 +4,7 @@ All functions take and return columns; a peg is (w, h), a bore (bore_w, bore_h),
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values, in millimetres and shares.
@@ -14,30 +14,38 @@ MAX_PAIR_SIMILARITY, MIN_HARD, MIN_GAP = 0.8, 0.6, 0.15
 REGIMES = ("present_easy", "present_hard", "absent_easy", "absent_hard")
 
 
-def margin(w: Column, h: Column, bw: Column, bh: Column) -> Column:
-    """Least clearance a side if contained; else minus how far the bore must grow, at most CAP."""
-    dx, dy = (bw - w) / 2, (bh - h) / 2
-    need = F.hypot(F.greatest(-dx, F.lit(0.0)), F.greatest(-dy, F.lit(0.0)))
-    return F.when((dx >= 0) & (dy >= 0), F.least(dx, dy)).otherwise(-F.least(need, F.lit(CAP)))
+def margin(w: Column, h: Column, bw: Column, bh: Column, r: Column | float = 0.0) -> Column:
+    """Least clearance a side if contained; else minus how far the bore must grow, at most CAP.
 
+    A bore that is an outline grown by r has arcs of that radius for corners; one that is shrunk has sharp ones (r = 0). The
+    margin is the distance of the peg's corner to the bore's edge, negative outside. Null if a size is."""
+    r = r if isinstance(r, Column) else F.lit(float(r))
+    qx, qy = r - (bw - w) / 2, r - (bh - h) / 2
+    beyond = F.hypot(F.greatest(qx, F.lit(0.0)), F.greatest(qy, F.lit(0.0)))
+    clear = r - (beyond + F.least(F.greatest(qx, qy), F.lit(0.0)))
+    return F.when((qx + qy).isNotNull(), F.greatest(F.lit(-CAP), clear))  # greatest() and least() leave nulls out
 
-def gap(w: Column, h: Column, bw: Column, bh: Column) -> Column:
-    """Distance from the bore's corner to the peg."""
-    return F.hypot((bw - w) / 2, (bh - h) / 2)
 
+def gap(w: Column, h: Column, bw: Column, bh: Column, r: Column | float = 0.0) -> Column:
+    """Distance from the peg to the point of the bore that is farthest from it, which is on an arc or where an arc begins."""
+    r = r if isinstance(r, Column) else F.lit(float(r))
+    ux, uy = (bw - w) / 2 - r, (bh - h) / 2 - r
+    far = r + F.hypot(F.greatest(ux, F.lit(0.0)), F.greatest(uy, F.lit(0.0)))
+    return F.when((ux < 0) & (uy < 0), F.greatest(ux, uy) + r).otherwise(far)
 
-def measures(w: Column, h: Column, bw: Column, bh: Column) -> Column:
+
+def measures(w: Column, h: Column, bw: Column, bh: Column, r: Column | float = 0.0) -> Column:
     """Margin and gap as the peg lies and after a quarter turn."""
-    return F.struct(margin(w, h, bw, bh).alias("flat"), margin(h, w, bw, bh).alias("turned"), gap(w, h, bw, bh).alias("flat_gap"), gap(h, w, bw, bh).alias("turned_gap"))
+    return F.struct(margin(w, h, bw, bh, r).alias("flat"), margin(h, w, bw, bh, r).alias("turned"), gap(w, h, bw, bh, r).alias("flat_gap"), gap(h, w, bw, bh, r).alias("turned_gap"))
 
 
 def label_columns(m: Column) -> dict[str, Column]:
-    """From measures: margin at the best turn (ties: the smaller), turn, label, reason, max_gap and loose."""
+    """From measures: margin at the best turn (ties: the smaller), turn, label (null without sizes), reason, max_gap and loose."""
     flat, turned = m["flat"], m["turned"]
     any_fit = (flat >= 0) | (turned >= 0)
     usable = lambda x: F.when(any_fit & (x < 0), float("-inf")).otherwise(x)
     best = F.greatest(flat, turned)  # a turn that fits exceeds all that don't
-    label = F.when(best >= BAND, "compatible").when(best >= -BAND, "ambiguous").otherwise("incompatible")
+    label = F.when(best >= BAND, "compatible").when(best >= -BAND, "ambiguous").when(best.isNotNull(), "incompatible")
     widest = F.least(F.when(flat >= BAND, m["flat_gap"]), F.when(turned >= BAND, m["turned_gap"]))
     return {
         "margin": best, "turn": F.when(usable(flat) >= usable(turned), 0).otherwise(90), "label": label, "reason": F.when(label == "ambiguous", "boundary").otherwise(""),
@@ -55,105 +63,24 @@ def similarity(w1: Column, h1: Column, w2: Column, h2: Column) -> Column:
     return F.greatest(iou(w2, h2), iou(h2, w2))
 
 
-def pairs(shapes: DataFrame, *by: str) -> DataFrame:
-    """All pegs with all sockets of the same group, by an equi-join (groups are catalogues of bounded size)."""
-    left = shapes.select(*by, F.col("part_id").alias("peg_id"), "w", "h", F.col("bore_w").alias("own_w"), F.col("bore_h").alias("own_h"))
-    right = shapes.select(*by, F.col("part_id").alias("socket_id"), "bore_w", "bore_h")
-    return left.join(right, [*by])
-
-
-def labelled(rows: DataFrame, w: Column, h: Column, bw: Column, bh: Column) -> DataFrame:
+def labelled(rows: DataFrame, w: Column, h: Column, bw: Column, bh: Column, r: Column | float = 0.0) -> DataFrame:
     """rows with the label columns. Measures are made as rows of a generator, once each: filters on labels are not
     moved below it, where each would work them out again."""
-    out = rows.select("*", F.explode_outer(F.array(measures(w, h, bw, bh))).alias("__m"))
+    out = rows.select("*", F.explode_outer(F.array(measures(w, h, bw, bh, r))).alias("__m"))
     return out.withColumns(label_columns(F.col("__m"))).drop("__m")
 
 
-def label_matrix(shapes: DataFrame, *by: str) -> DataFrame:
-    return labelled(pairs(shapes, *by), *map(F.col, ("w", "h", "bore_w", "bore_h")))
-
-
-def near_duplicates(shapes: DataFrame, least: float) -> DataFrame:
-    """Pairs of different groups (split) with similarity >= least.
-
-    Such shapes have areas within the factor 1/least and sides likewise, so they meet in equal or neighbouring
-    logarithmic classes of their longer and shorter sides: an equi-join instead of all pairs."""
-    step = F.log(F.lit(1 / least))
-    longer, shorter = F.greatest("bore_w", "bore_h"), F.least("bore_w", "bore_h")
-    rows = shapes.select("part_id", "split", "bore_w", "bore_h", F.floor(F.log(longer) / step).alias("a"), F.floor(F.log(shorter) / step).alias("b"))
-    near = [-1, 0, 1]
-    moved = rows.withColumn("da", F.explode(F.array(*map(F.lit, near)))).withColumn("db", F.explode(F.array(*map(F.lit, near))))
-    moved = moved.select("part_id", "split", "bore_w", "bore_h", (F.col("a") + F.col("da")).alias("a"), (F.col("b") + F.col("db")).alias("b"))
-    x, y = rows.alias("x"), moved.alias("y")
-    met = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b")) & (F.col("x.part_id") < F.col("y.part_id")) & (F.col("x.split") != F.col("y.split")))
-    sim = similarity(F.col("x.bore_w"), F.col("x.bore_h"), F.col("y.bore_w"), F.col("y.bore_h"))
-    return met.select(F.col("x.part_id").alias("part_a"), F.col("y.part_id").alias("part_b"), sim.alias("similarity")).where(F.col("similarity") >= least)
-
-
-def pool(matrix: DataFrame) -> DataFrame:
-    """Incompatible sockets of other parts, with their likeness to the peg's own bore."""
-    sim = similarity(*map(F.col, ("own_w", "own_h", "bore_w", "bore_h")))
-    return matrix.where("peg_id <> socket_id and label = 'incompatible'").withColumn("sim", sim)
-
-
-def pick_easy(pool_: DataFrame) -> DataFrame:
-    """(peg_id, easy): three sockets, the least similar first, none too like one chosen before; fewer if there are none.
-
-    Three aggregations, each the least of what the earlier choices leave."""
-    rows = pool_.select("peg_id", F.struct("sim", "socket_id", "bore_w", "bore_h", "margin").alias("x"))
-    apart = lambda c: similarity(F.col(f"{c}.bore_w"), F.col(f"{c}.bore_h"), F.col("x.bore_w"), F.col("x.bore_h")) <= MAX_PAIR_SIMILARITY
-    later = lambda c: F.struct("x.sim", "x.socket_id") > F.struct(f"{c}.sim", f"{c}.socket_id")
-    first = rows.groupBy("peg_id").agg(F.min("x").alias("a"))
-    second = rows.join(first, "peg_id").where(later("a") & apart("a")).groupBy("peg_id").agg(F.min("x").alias("b"), F.first("a").alias("a"))
-    third = rows.join(second, "peg_id").where(later("b") & apart("a") & apart("b")).groupBy("peg_id").agg(F.min("x").alias("c"))
-    chosen = first.join(second.select("peg_id", "b"), "peg_id", "left").join(third, "peg_id", "left")
-    return chosen.select("peg_id", F.array_compact(F.array("a", "b", "c")).alias("easy"))
-
-
-def pick_hard(pool_: DataFrame) -> DataFrame:
-    """(peg_id, hard_id, hard_sim, hard_kind): the likest socket, or a shrunk copy of the own bore if at least as like."""
-    shrunk = similarity(F.col("own_w"), F.col("own_h"), F.col("own_w") - 1.6, F.col("own_h") - 1.6)
-    best = pool_.groupBy("peg_id").agg(F.max_by(F.struct("socket_id", "sim"), F.struct("sim", "socket_id")).alias("c"), F.first(shrunk).alias("s"))
-    made = F.col("s") >= F.col("c.sim")
-    return best.select("peg_id", F.when(~made, F.col("c.socket_id")).alias("hard_id"), F.when(made, F.col("s")).otherwise(F.col("c.sim")).alias("hard_sim"), F.when(made, "constructed").otherwise("catalog").alias("hard_kind"))
-
-
 def first_rung(shapes: DataFrame, shrinks: tuple[float, ...]) -> DataFrame:
     """(part_id, shrink): the first of a list of shrinks at which the own peg no longer fits."""
     rung = F.posexplode(F.array(*map(F.lit, shrinks)))
     rows = shapes.select("part_id", "w", "h", "bore_w", "bore_h", rung.alias("pos", "shrink"))
-    rows = labelled(rows, F.col("w"), F.col("h"), F.col("bore_w") - F.col("shrink"), F.col("bore_h") - F.col("shrink"))
+    corner = F.greatest(F.lit(CLEARANCE) - F.col("shrink") / 2, F.lit(0.0))
+    rows = labelled(rows, F.col("w"), F.col("h"), F.col("bore_w") - F.col("shrink"), F.col("bore_h") - F.col("shrink"), corner)
     return rows.where("label = 'incompatible'").groupBy("part_id").agg(F.min_by("shrink", "pos").alias("shrink"))
 
 
-def eligibility(shapes: DataFrame, *by: str) -> DataFrame:
-    """One row per part: eligible, and else the first reason why not."""
-    matrix = label_matrix(shapes, *by)
-    own = matrix.where("peg_id = socket_id").select("peg_id", F.col("label").alias("own"))
-    p = pool(matrix)
-    size = p.groupBy("peg_id").agg(F.count("*").alias("n_pool"))
-    out = own.join(size, "peg_id", "left").join(pick_easy(p), "peg_id", "left").join(pick_hard(p), "peg_id", "left")
-    n_easy = F.coalesce(F.size("easy"), F.lit(0))
-    easy_max = F.when(n_easy == 3, F.array_max(F.transform("easy", lambda e: e["sim"])))
-    reason = (
-        F.when(F.col("own") != "compatible", "own socket").when(n_easy < 3, "fewer than 3 distinct").when(F.col("hard_sim").isNull(), "no hard candidate")
-        .when(F.col("hard_sim") < MIN_HARD, "hard too unlike").when(F.col("hard_sim") - easy_max < MIN_GAP, "tiers not separate").otherwise("")
-    )
-    return out.select("peg_id", F.coalesce("n_pool", F.lit(0)).alias("n_pool"), n_easy.cast("long").alias("n_easy"), easy_max.alias("easy_max"), "hard_sim", reason.alias("reason"), (reason == "").cast("int").alias("eligible"))
-
-
 def regimes(chosen: DataFrame) -> DataFrame:
     """Four blocks of three per part from columns mate, hard, e1, e2, e3: one row per (block, slot)."""
     sets = {"present_easy": ("mate", "e1", "e2"), "present_hard": ("mate", "hard", "e2"), "absent_easy": ("e3", "e1", "e2"), "absent_hard": ("e3", "hard", "e2")}
     rows = [F.struct(F.lit(r).alias("regime"), F.lit(i).alias("slot"), F.lit(c).alias("role"), F.col(c).alias("cand")) for r, cs in sets.items() for i, c in enumerate(cs)]
     return chosen.select("peg_id", F.explode(F.array(*rows)).alias("x")).select("peg_id", "x.*")
-
-
-def counts_per_peg(matrix: DataFrame, shapes: DataFrame, split: str) -> DataFrame:
-    """Compatible sockets of other parts per peg, pegs without any included; least, upper median and most per split."""
-    found = matrix.where("peg_id <> socket_id and label = 'compatible'").groupBy("peg_id").agg(F.count("*").alias("n"))
-    every = shapes.select(F.col("part_id").alias("peg_id"), split).join(found, "peg_id", "left").na.fill({"n": 0})
-    rank = Window.partitionBy(split).orderBy("n", "peg_id")
-    size = F.count("*").over(Window.partitionBy(split))
-    rows = every.withColumn("upper", F.when(F.row_number().over(rank) - 1 == F.floor(size / 2), F.col("n")))
-    return rows.groupBy(split).agg(F.min("n").alias("least"), F.max("upper").alias("median"), F.max("n").alias("most"))

@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import classes as C
 from ..operators import polygons
 from ..operators import rectangles as R
 from ..sources import adapters as A
 from ..sources import generators
 from . import query
 
-_PAIRS = A.SQL + """, q AS (SELECT p.split, p.part_id AS peg_id, s.part_id AS socket_id, p.w, p.h, p.bore_w AS own_w, p.bore_h AS own_h, s.bore_w, s.bore_h FROM shapes p JOIN shapes s ON p.split = s.split),
+#: Margin and gap of a turn: the peg's corner against the bore's, an arc of the clearance's radius.
+_MG = "greatest(-2, 0.3::DOUBLE - (sqrt(greatest(0.3::DOUBLE - dx, 0) ** 2 + greatest(0.3::DOUBLE - dy, 0) ** 2) + least(greatest(0.3::DOUBLE - dx, 0.3::DOUBLE - dy), 0)))"
+_GAP = "CASE WHEN dx < 0.3::DOUBLE AND dy < 0.3::DOUBLE THEN greatest(dx, dy) ELSE 0.3::DOUBLE + sqrt(greatest(dx - 0.3::DOUBLE, 0) ** 2 + greatest(dy - 0.3::DOUBLE, 0) ** 2) END"
+_PAIRS = A.SQL + f""", q AS (SELECT p.split, p.part_id AS peg_id, s.part_id AS socket_id, p.w, p.h, p.bore_w AS own_w, p.bore_h AS own_h, s.bore_w, s.bore_h FROM shapes p JOIN shapes s ON p.split = s.split),
 turns AS (SELECT *, t AS turn, (bore_w - CASE t WHEN 0 THEN w ELSE h END) / 2 AS dx, (bore_h - CASE t WHEN 0 THEN h ELSE w END) / 2 AS dy FROM q, (SELECT unnest([0, 90]) AS t)),
-m AS (SELECT *, CASE WHEN dx >= 0 AND dy >= 0 THEN least(dx, dy) ELSE -least(2, sqrt(greatest(-dx, 0) ** 2 + greatest(-dy, 0) ** 2)) END AS mg, sqrt(dx * dx + dy * dy) AS gap FROM turns),
+m AS (SELECT *, {_MG} AS mg, {_GAP} AS gap FROM turns),
 lab2 AS (SELECT split, peg_id, socket_id, any_value(own_w) AS own_w, any_value(own_h) AS own_h, any_value(bore_w) AS bore_w, any_value(bore_h) AS bore_h, max(mg) AS margin, min(turn) FILTER (mg = best) AS turn, min(gap) FILTER (mg >= 0.05::DOUBLE) AS max_gap
  FROM (SELECT *, max(mg) OVER (PARTITION BY peg_id, socket_id) AS best FROM m) GROUP BY ALL),
-matrix AS (SELECT *, CASE WHEN margin >= 0.05::DOUBLE THEN 'compatible' WHEN margin >= -0.05::DOUBLE THEN 'ambiguous' ELSE 'incompatible' END AS label FROM lab2)"""
+matrix AS (SELECT *, CASE WHEN margin >= 0.05::DOUBLE THEN 'compatible' WHEN margin >= -0.05::DOUBLE THEN 'ambiguous' ELSE 'incompatible' END AS label FROM lab2),
+cls AS (SELECT part_id, min(part_id) OVER (PARTITION BY w, h, bore_w, bore_h) AS shape, split FROM shapes),
+byshape AS (SELECT p.shape AS peg_shape, s.shape AS socket_shape, count(*) AS n_pairs, count(*) FILTER (peg_id = socket_id) AS n_same, any_value(margin) AS margin, any_value(label) AS label, any_value(turn) AS turn, any_value(max_gap) AS max_gap,
+ any_value(own_w) AS own_w, any_value(own_h) AS own_h, any_value(bore_w) AS bore_w, any_value(bore_h) AS bore_h FROM matrix JOIN cls p ON p.part_id = peg_id JOIN cls s ON s.part_id = socket_id GROUP BY ALL)"""
 
 
 #: Fixed value: the similarity from which parts count as near duplicates.
@@ -31,50 +38,74 @@ _POOL = _PAIRS + f", pool AS (SELECT *, {_iou('own_w', 'own_h', 'bore_w', 'bore_
 
 
 def matrix(spark, sf_dir):
-    return R.label_matrix(A.shapes(spark, sf_dir), "split")
+    return C.label_matrix(A.shapes(spark, sf_dir), "split")
 
 
-@query("label_matrix", _PAIRS + "SELECT peg_id, socket_id, label, CASE WHEN label = 'ambiguous' THEN 'boundary' ELSE '' END AS reason, round(margin, 9) AS margin, (coalesce(max_gap, 0) > 0.6::DOUBLE)::INTEGER AS loose FROM matrix")
+@query("shape_classes", A.SQL + "SELECT part_id, split, min(part_id) OVER (PARTITION BY w, h, bore_w, bore_h) AS shape, min(part_id) OVER (PARTITION BY split, w, h, bore_w, bore_h) AS class_id FROM shapes")
+def shape_classes(spark, sf_dir):
+    """Membership of parts in the shapes that pairs are given for, and in the shapes of their catalogue."""
+    s = A.shapes(spark, sf_dir)
+    whole = C.members(s, C.shape_classes(s)).withColumnRenamed("class_id", "shape")
+    return C.members(s, C.shape_classes(s, "split"), "split").join(whole, "part_id").select("part_id", "split", "shape", "class_id")
+
+
+@query("label_matrix", _PAIRS + "SELECT peg_shape, socket_shape, n_pairs, label, CASE WHEN label = 'ambiguous' THEN 'boundary' ELSE '' END AS reason, round(margin, 9) AS margin, (coalesce(max_gap, 0) > 0.6::DOUBLE)::INTEGER AS loose FROM byshape")
 def label_matrix(spark, sf_dir):
-    return matrix(spark, sf_dir).select("peg_id", "socket_id", "label", "reason", F.round("margin", 9).alias("margin"), "loose")
+    """Every peg in every socket of its split, by shapes: shape_classes has their members."""
+    return matrix(spark, sf_dir).select("peg_shape", "socket_shape", "n_pairs", "label", "reason", F.round("margin", 9).alias("margin"), "loose")
 
 
 @query("fit_margin", A.SQL + "SELECT part_id, round(CASE WHEN bore_h - 1 < h THEN -least(2, sqrt(greatest(w - bore_w + 1, 0) ** 2 / 4 + (h - bore_h + 1) ** 2 / 4)) ELSE 0 END, 9) AS margin FROM shapes")
 def fit_margin(spark, sf_dir):
-    """Own peg in its own bore shrunk by 1: no turn considered."""
+    """Own peg in its own bore shrunk by 1, so with sharp corners: no turn considered."""
     m = R.margin(F.col("w"), F.col("h"), F.col("bore_w") - 1, F.col("bore_h") - 1)
     return A.shapes(spark, sf_dir).select("part_id", F.round(m, 9).alias("margin"))
 
 
-@query("best_turn", _PAIRS + "SELECT peg_id, socket_id, turn FROM matrix")
+@query("best_turn", _PAIRS + "SELECT peg_shape, socket_shape, turn FROM byshape")
 def best_turn(spark, sf_dir):
-    return matrix(spark, sf_dir).select("peg_id", "socket_id", "turn")
+    return matrix(spark, sf_dir).select("peg_shape", "socket_shape", "turn")
 
 
 @query("pair_label", _PAIRS + "SELECT label, count(*) AS n, count(*) FILTER (margin = -2) AS capped FROM matrix GROUP BY label")
 def pair_label(spark, sf_dir):
-    return matrix(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("margin") == -2).alias("capped"))
+    """How many pairs of parts have each label."""
+    return matrix(spark, sf_dir).groupBy("label").agg(F.sum("n_pairs").alias("n"), F.sum(F.when(F.col("margin") == -2, F.col("n_pairs")).otherwise(0)).alias("capped"))
 
 
-@query("loose_flag", _PAIRS + "SELECT peg_id, socket_id, round(max_gap, 9) AS max_gap FROM matrix WHERE label = 'compatible'")
+@query("loose_flag", _PAIRS + "SELECT peg_shape, socket_shape, round(max_gap, 9) AS max_gap FROM byshape WHERE label = 'compatible'")
 def loose_flag(spark, sf_dir):
-    return matrix(spark, sf_dir).where("label = 'compatible'").select("peg_id", "socket_id", F.round("max_gap", 9).alias("max_gap"))
+    return matrix(spark, sf_dir).where("label = 'compatible'").select("peg_shape", "socket_shape", F.round("max_gap", 9).alias("max_gap"))
 
 
-@query("similarity", _PAIRS + f"SELECT peg_id, socket_id, round({_iou('own_w', 'own_h', 'bore_w', 'bore_h')}, 9) AS sim FROM matrix")
+@query("similarity", _PAIRS + f"SELECT peg_shape, socket_shape, round({_iou('own_w', 'own_h', 'bore_w', 'bore_h')}, 9) AS sim FROM byshape")
 def similarity(spark, sf_dir):
     s = R.similarity(*map(F.col, ("own_w", "own_h", "bore_w", "bore_h")))
-    return R.pairs(A.shapes(spark, sf_dir), "split").select("peg_id", "socket_id", F.round(s, 9).alias("sim"))
+    return C.class_pairs(A.shapes(spark, sf_dir), "split").select("peg_shape", "socket_shape", F.round(s, 9).alias("sim"))
 
 
-@query("candidate_pool", _POOL + "SELECT peg_id, socket_id, round(sim, 9) AS sim FROM pool")
+@query("candidate_pool", _PAIRS + f"SELECT peg_shape, socket_shape, n_pairs - n_same AS n_pairs, round({_iou('own_w', 'own_h', 'bore_w', 'bore_h')}, 9) AS sim FROM byshape WHERE label = 'incompatible' AND n_pairs > n_same")
 def candidate_pool(spark, sf_dir):
-    return R.pool(matrix(spark, sf_dir)).select("peg_id", "socket_id", F.round("sim", 9).alias("sim"))
+    """Sockets of other parts that don't take a peg, by shapes, with how many pairs of parts that is."""
+    out = matrix(spark, sf_dir).where("label = 'incompatible' and n_pairs > n_same")
+    return out.select("peg_shape", "socket_shape", (F.col("n_pairs") - F.col("n_same")).alias("n_pairs"), F.round("sim", 9).alias("sim"))
+
 
+_NEAR = A.SQL + f""", b AS (SELECT part_id, split, bore_w, bore_h, min(part_id) OVER (PARTITION BY bore_w, bore_h) AS shape FROM shapes),
+near AS (SELECT a.part_id AS part_a, b.part_id AS part_b, a.shape AS x, b.shape AS y, {_iou('a.bore_w', 'a.bore_h', 'b.bore_w', 'b.bore_h')} AS sim FROM b a JOIN b ON a.part_id < b.part_id AND a.split <> b.split WHERE {_iou('a.bore_w', 'a.bore_h', 'b.bore_w', 'b.bore_h')} >= {NEAR})"""
 
-@query("near_dup", A.SQL + f"SELECT a.part_id AS part_a, b.part_id AS part_b, round({_iou('a.bore_w', 'a.bore_h', 'b.bore_w', 'b.bore_h')}, 9) AS similarity FROM shapes a JOIN shapes b ON a.part_id < b.part_id AND a.split <> b.split WHERE {_iou('a.bore_w', 'a.bore_h', 'b.bore_w', 'b.bore_h')} >= {NEAR}")
+
+@query("near_dup", _NEAR + "SELECT least(x, y) AS shape_a, greatest(x, y) AS shape_b, round(any_value(sim), 9) AS similarity, count(*) AS n_pairs FROM near GROUP BY ALL")
 def near_dup(spark, sf_dir):
-    return R.near_duplicates(A.shapes(spark, sf_dir), NEAR).withColumn("similarity", F.round("similarity", 9)).orderBy(F.desc("similarity"), "part_a", "part_b")
+    """Shapes of openings that are alike across splits, the likest first, with how many pairs of parts have them; near_dup_links has the members."""
+    near = C.near_classes(A.shapes(spark, sf_dir), "split", NEAR)
+    return near.withColumn("similarity", F.round("similarity", 9)).orderBy(F.desc("similarity"), "shape_a", "shape_b")
+
+
+@query("near_dup_links", _NEAR + ", e AS (SELECT part_a AS part_id FROM near UNION ALL SELECT part_b FROM near) SELECT b.part_id, any_value(shape) AS shape, count(e.part_id) AS n_links FROM b LEFT JOIN e USING (part_id) GROUP BY b.part_id")
+def near_dup_links(spark, sf_dir):
+    """Every part with its opening's shape and its number of near duplicates in other splits."""
+    return C.near_links(A.shapes(spark, sf_dir), "split", NEAR)
 
 
 _SIM_E = _iou("e.bore_w", "e.bore_h", "c.bore_w", "c.bore_h")
@@ -84,15 +115,23 @@ r3 AS (SELECT c.* FROM pool c JOIN r1 e USING (peg_id) JOIN r2 f ON f.peg_id = c
 easy AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)"""
 
 
-def easy_rows(spark, sf_dir):
-    picked = R.pick_easy(R.pool(matrix(spark, sf_dir)))
-    by_id = F.array_sort(F.transform("easy", lambda e: F.struct(e["socket_id"].alias("socket_id"), e["sim"].alias("sim"))))
-    return picked.select("peg_id", F.posexplode(by_id).alias("pos", "e"))
+def _to_parts(spark, sf_dir, by_class):
+    """Rows of classes for each of their parts, as peg_id."""
+    s = A.shapes(spark, sf_dir)
+    own = C.members(s, C.shape_classes(s, "split"), "split").select(F.col("part_id").alias("peg_id"), "class_id")
+    return own.join(by_class, "class_id").drop("class_id")
+
+
+def _easy(spark, sf_dir):
+    """(class_id, s): the sockets picked for a class, by id."""
+    picked = C.pick_easy(C.pegs(A.shapes(spark, sf_dir), "split"), "split")
+    return picked.select("class_id", F.array_sort(F.transform("easy", lambda e: e["socket_id"])).alias("s"))
 
 
 @query("pick_easy", _EASY + "SELECT peg_id, 'E' || row_number() OVER (PARTITION BY peg_id ORDER BY socket_id) AS role, socket_id FROM easy")
 def pick_easy(spark, sf_dir):
-    return easy_rows(spark, sf_dir).select("peg_id", F.concat(F.lit("E"), (F.col("pos") + 1).cast("string")).alias("role"), F.col("e.socket_id").alias("socket_id"))
+    rows = _to_parts(spark, sf_dir, _easy(spark, sf_dir)).select("peg_id", F.posexplode("s").alias("pos", "socket_id"))
+    return rows.select("peg_id", F.concat(F.lit("E"), (F.col("pos") + 1).cast("string")).alias("role"), "socket_id")
 
 
 _HARD = ", best AS (SELECT peg_id, socket_id, sim, " + _iou("own_w", "own_h", "(own_w - 1.6)", "(own_h - 1.6)") + " AS made FROM pool QUALIFY row_number() OVER (PARTITION BY peg_id ORDER BY sim DESC, socket_id DESC) = 1), hard AS (SELECT peg_id, CASE WHEN made < sim THEN socket_id END AS hard_id, greatest(made, sim) AS hard_sim, CASE WHEN made < sim THEN 'catalog' ELSE 'constructed' END AS hard_kind FROM best)"
@@ -100,7 +139,8 @@ _HARD = ", best AS (SELECT peg_id, socket_id, sim, " + _iou("own_w", "own_h", "(
 
 @query("pick_hard", _POOL + _HARD + "SELECT peg_id, hard_id, round(hard_sim, 9) AS hard_sim, hard_kind FROM hard")
 def pick_hard(spark, sf_dir):
-    return R.pick_hard(R.pool(matrix(spark, sf_dir))).withColumn("hard_sim", F.round("hard_sim", 9))
+    found = C.pick_hard(C.pegs(A.shapes(spark, sf_dir), "split"), "split").where("hard_sim is not null")
+    return _to_parts(spark, sf_dir, found).select("peg_id", "hard_id", F.round("hard_sim", 9).alias("hard_sim"), "hard_kind")
 
 
 @query("eligibility", _EASY + _HARD + """, e AS (SELECT peg_id, count(*) AS n_easy, CASE WHEN count(*) = 3 THEN max(sim) END AS easy_max FROM easy GROUP BY peg_id), np AS (SELECT peg_id, count(*) AS n_pool FROM pool GROUP BY peg_id),
@@ -108,7 +148,9 @@ x AS (SELECT o.peg_id, o.label, coalesce(n_pool, 0) AS n_pool, coalesce(n_easy,
 SELECT peg_id, n_pool, n_easy, round(easy_max, 9) AS easy_max, round(hard_sim, 9) AS hard_sim, CASE WHEN label <> 'compatible' THEN 'own socket' WHEN n_easy < 3 THEN 'fewer than 3 distinct' WHEN hard_sim IS NULL THEN 'no hard candidate' WHEN hard_sim < 0.6 THEN 'hard too unlike' WHEN hard_sim - easy_max < 0.15 THEN 'tiers not separate' ELSE '' END AS reason,
  (label = 'compatible' AND n_easy = 3 AND hard_sim >= 0.6 AND hard_sim - easy_max >= 0.15)::INTEGER AS eligible FROM x""")
 def eligibility(spark, sf_dir):
-    return R.eligibility(A.shapes(spark, sf_dir), "split").withColumns({c: F.round(c, 9) for c in ("easy_max", "hard_sim")})
+    pegs = C.pegs(A.shapes(spark, sf_dir), "split")
+    out = C.eligibility(C.pick_easy(pegs, "split"), C.pick_hard(pegs, "split"), pegs)
+    return _to_parts(spark, sf_dir, out).withColumns({c: F.round(c, 9) for c in ("easy_max", "hard_sim")})
 
 
 _CHOSEN = ", ce AS (SELECT peg_id, list(socket_id ORDER BY socket_id) AS s FROM easy GROUP BY peg_id HAVING count(*) = 3)"
@@ -117,36 +159,40 @@ _CHOSEN = ", ce AS (SELECT peg_id, list(socket_id ORDER BY socket_id) AS s FROM
 @query("regimes_unpivot", _EASY + _HARD + _CHOSEN + """SELECT peg_id, regime, slot, role, CASE role WHEN 'mate' THEN peg_id WHEN 'hard' THEN coalesce(hard_id, -peg_id) WHEN 'e1' THEN s[1] WHEN 'e2' THEN s[2] ELSE s[3] END AS cand FROM ce JOIN hard USING (peg_id),
  (VALUES ('present_easy', 0, 'mate'), ('present_easy', 1, 'e1'), ('present_easy', 2, 'e2'), ('present_hard', 0, 'mate'), ('present_hard', 1, 'hard'), ('present_hard', 2, 'e2'), ('absent_easy', 0, 'e3'), ('absent_easy', 1, 'e1'), ('absent_easy', 2, 'e2'), ('absent_hard', 0, 'e3'), ('absent_hard', 1, 'hard'), ('absent_hard', 2, 'e2')) v(regime, slot, role)""")
 def regimes_unpivot(spark, sf_dir):
-    p = R.pool(matrix(spark, sf_dir))
-    easy = R.pick_easy(p).where(F.size("easy") == 3).select("peg_id", F.array_sort(F.transform("easy", lambda e: e["socket_id"])).alias("s"))
-    chosen = easy.join(R.pick_hard(p), "peg_id").select("peg_id", F.col("peg_id").alias("mate"), F.coalesce("hard_id", -F.col("peg_id")).alias("hard"), *[F.get("s", F.lit(i)).alias(f"e{i + 1}") for i in range(3)])
+    pegs = C.pegs(A.shapes(spark, sf_dir), "split")
+    found = _easy(spark, sf_dir).where(F.size("s") == 3).join(C.pick_hard(pegs, "split"), "class_id").where("hard_sim is not null")
+    chosen = _to_parts(spark, sf_dir, found).select("peg_id", F.col("peg_id").alias("mate"), F.coalesce("hard_id", -F.col("peg_id")).alias("hard"), *[F.get("s", F.lit(i)).alias(f"e{i + 1}") for i in range(3)])
     return R.regimes(chosen)
 
 
 @query("compat_per_peg", _PAIRS + ", n AS (SELECT s.split, s.part_id, count(x.socket_id) AS n FROM shapes s LEFT JOIN matrix x ON x.peg_id = s.part_id AND x.socket_id <> x.peg_id AND x.label = 'compatible' GROUP BY ALL) SELECT split, min(n) AS least, list_sort(list(n))[len(list(n)) // 2 + 1] AS median, max(n) AS most FROM n GROUP BY split")
 def compat_per_peg(spark, sf_dir):
-    return R.counts_per_peg(matrix(spark, sf_dir), A.shapes(spark, sf_dir), "split")
+    return C.spread(C.compatible_counts(C.pegs(A.shapes(spark, sf_dir), "split"), "split"), "split")
+
+
+def _margin(w: str, h: str, bw: str, bh: str, r: str) -> str:
+    """Best margin over turns in a bore whose corners have the radius r, as SQL."""
 
+    def one(x, y):
+        qx, qy = f"({r} - ({bw} - {x}) / 2)", f"({r} - ({bh} - {y}) / 2)"
+        return f"greatest(-2, {r} - (sqrt(greatest({qx}, 0) ** 2 + greatest({qy}, 0) ** 2) + least(greatest({qx}, {qy}), 0)))"
 
-def _margin(w: str, h: str, bw: str, bh: str) -> str:
-    """Best margin over turns, as SQL."""
-    one = lambda x, y: f"(CASE WHEN {bw} >= {x} AND {bh} >= {y} THEN least({bw} - {x}, {bh} - {y}) / 2 ELSE -least(2, sqrt(power(greatest({x} - {bw}, 0) / 2, 2) + power(greatest({y} - {bh}, 0) / 2, 2))) END)"
     return f"greatest({one(w, h)}, {one(h, w)})"
 
 
-@query("first_rung", A.SQL + f", s AS (SELECT part_id, s, {_margin('w', 'h', '(bore_w - s)', '(bore_h - s)')} AS m FROM shapes, (SELECT unnest([0.3, 0.5, 0.7, 0.9, 1.2])::DOUBLE AS s)) SELECT part_id, min(s) AS shrink FROM s WHERE m < -0.05::DOUBLE GROUP BY part_id")
+@query("first_rung", A.SQL + f", s AS (SELECT part_id, s, {_margin('w', 'h', '(bore_w - s)', '(bore_h - s)', 'greatest(0.3::DOUBLE - s / 2, 0)')} AS m FROM shapes, (SELECT unnest([0.3, 0.5, 0.7, 0.9, 1.2])::DOUBLE AS s)) SELECT part_id, min(s) AS shrink FROM s WHERE m < -0.05::DOUBLE GROUP BY part_id")
 def first_rung(spark, sf_dir):
     """The first shrink of the bore at which the own peg is surely too large, whichever way it is turned."""
     return R.first_rung(A.shapes(spark, sf_dir), (0.3, 0.5, 0.7, 0.9, 1.2))
 
 
-@query("aperture_ladder", A.SQL + f""", o AS (SELECT part_id, w, h, unnest([-1.2, -0.6, -0.3, 0.1, 0.3, 0.6, 1.2])::DOUBLE AS o FROM shapes), m AS (SELECT *, {_margin('w', 'h', '(w + 2 * o)', '(h + 2 * o)')} AS m FROM o)
+@query("aperture_ladder", A.SQL + f""", o AS (SELECT part_id, w, h, unnest([-1.2, -0.6, -0.3, 0.1, 0.3, 0.6, 1.2])::DOUBLE AS o FROM shapes), m AS (SELECT *, {_margin('w', 'h', '(w + 2 * o)', '(h + 2 * o)', 'greatest(o, 0)')} AS m FROM o)
 SELECT part_id, o AS offset_mm, CASE WHEN m >= 0.05::DOUBLE THEN 'compatible' WHEN m >= -0.05::DOUBLE THEN 'ambiguous' ELSE 'incompatible' END AS label, round(m, 6) AS margin FROM m""")
 def aperture_ladder(spark, sf_dir):
     """Seven bores per peg, from too tight to wide."""
     rows = A.shapes(spark, sf_dir).withColumn("offset_mm", F.explode(F.array(*map(F.lit, (-1.2, -0.6, -0.3, 0.1, 0.3, 0.6, 1.2)))))
     grown = lambda c: F.col(c) + 2 * F.col("offset_mm")
-    out = R.labelled(rows, F.col("w"), F.col("h"), grown("w"), grown("h"))
+    out = R.labelled(rows, F.col("w"), F.col("h"), grown("w"), grown("h"), F.greatest(F.col("offset_mm"), F.lit(0.0)))
     return out.select("part_id", "offset_mm", "label", F.round("margin", 6).alias("margin"))
 
 

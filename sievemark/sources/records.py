@@ -57,19 +57,26 @@ def read_log(spark: SparkSession, path: str, schema: str = LOG) -> DataFrame:
     return parsed_log(found.select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_size").alias("size")), schema)
 
 
+def _unfinished(line: Column) -> Column:
+    """Whether a line begins an object and opens more braces, outside of strings, than it closes."""
+    bare = F.regexp_replace(line, r'"(\\.|[^"\\])*("|\\?$)', "")
+    return F.startswith(F.ltrim(line), F.lit("{")) & (F.regexp_count(bare, F.lit(r"\{")) > F.regexp_count(bare, F.lit(r"\}")))
+
+
 def parsed_log(lines: DataFrame, schema: str = LOG) -> DataFrame:
     """Rows of JSON lines (value, or value, source and size in bytes of the file that each line is from).
 
-    Of each file only the last line may be broken, if no newline ends it (as a writer that was stopped leaves it) and it begins
-    like an object; it is left out. (Lines without source are one file, and nothing ends its last line.) Any other broken
-    line, a line without key, and rows of one key that differ stop the job. Equal repeats of a key count once."""
+    Of each file only the last line may be torn, as a writer that was stopped leaves it: no newline ends it, and it begins an
+    object that it doesn't finish; it is left out. (Lines without source are one file, and nothing ends its last line.) Any other
+    broken line, a finished last one included, a line without key, and rows of one key that differ stop the job. Equal repeats
+    of a key count once."""
     if "source" not in lines.columns:
         lines = lines.select("value", F.lit("").alias("source"), F.lit(None).cast("long").alias("size"))
     lines = lines.withColumn("at", F.monotonically_increasing_id())
     ends = lines.groupBy("source").agg(F.max("at").alias("last"), F.sum(F.octet_length("value") + 1).alias("ended"), F.first("size").alias("size"))
     ends = ends.select("source", "last", F.coalesce(F.col("ended") > F.col("size"), F.lit(True)).alias("open"))
     rows = lines.where(F.trim("value") != "").join(ends, "source").select(
-        "value", (F.col("open") & (F.col("at") == F.col("last")) & F.startswith(F.ltrim("value"), F.lit("{"))).alias("torn"),
+        "value", (F.col("open") & (F.col("at") == F.col("last")) & _unfinished(F.col("value"))).alias("torn"),
         F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r"),
     )
     rows = rows.where("not torn or r._bad is null")

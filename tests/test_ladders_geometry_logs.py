@@ -1,5 +1,6 @@
 """Ladders, closed-form and raster geometry, logs and records."""
 
+import collections
 import json
 import math
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions import scores
 from sievemark.operators import keyed, ladder, polygons
+from sievemark.operators import classes as C
 from sievemark.operators import rectangles as R
 from sievemark.sources import generators, records
 from sievemark.streaming import log_ingest
@@ -81,16 +83,89 @@ def test_similarity_ignores_turns_not_size(spark):
     assert [r[0] for r in df.select(R.similarity(*map(F.col, df.columns))).collect()] == [1.0, 0.25]
 
 
-def test_near_duplicates_find_all(spark):
-    rng = np.random.default_rng(3)
-    rows = [(i, f"s{i % 3}", float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(5, 9, (120, 2)))]
-    got = {(r["part_a"], r["part_b"]) for r in R.near_duplicates(spark.createDataFrame(rows, "part_id int, split string, bore_w double, bore_h double"), 0.9).collect()}
-
-    def sim(p, q):
-        iou = lambda a, b: min(p[2], a) * min(p[3], b) / (p[2] * p[3] + a * b - min(p[2], a) * min(p[3], b))
-        return max(iou(q[2], q[3]), iou(q[3], q[2]))
-
-    assert got == {(p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and p[1] != q[1] and sim(p, q) >= 0.9}
+def shapes_of(spark, n, seed, groups=3, low=2, high=14):
+    """Parts of few sizes, so that some share a shape, with bores that are theirs grown by the clearance."""
+    rng = np.random.default_rng(seed)
+    sizes = [(float(a), float(b)) for a, b in rng.integers(low, high, (n, 2)) + rng.integers(0, 2, (n, 1)) / 4]
+    rows = [(i, f"s{i % groups if i % 5 else 0}", w, h, w + 0.6, h + 0.6) for i, (w, h) in enumerate(sizes)]
+    return rows, spark.createDataFrame(rows, "part_id long, split string, w double, h double, bore_w double, bore_h double")
+
+
+def iou(p, q):
+    """Of the openings of two rows."""
+    one = lambda a, b: min(p[4], a) * min(p[5], b) / (p[4] * p[5] + a * b - min(p[4], a) * min(p[5], b))
+    return max(one(q[4], q[5]), one(q[5], q[4]))
+
+
+def best_margin(p, q):
+    """Of a row's peg in another's bore: distance of the corner to a box with corners of radius 0.3."""
+
+    def turn(w, h):
+        x, y = 0.3 - (q[4] - w) / 2, 0.3 - (q[5] - h) / 2
+        return max(-2.0, 0.3 - math.hypot(max(x, 0), max(y, 0)) - min(max(x, y), 0))
+
+    return max(turn(p[2], p[3]), turn(p[3], p[2]))
+
+
+def test_near_classes_and_links_find_all(spark):
+    rows, df = shapes_of(spark, 120, 3, low=5, high=9)
+    by_id = {r[0]: r for r in rows}
+    pairs = [(p, q) for p in rows for q in rows if p[0] < q[0] and p[1] != q[1] and iou(p, q) >= 0.9]
+    shape = lambda r: min(x[0] for x in rows if x[4:] == r[4:])
+    want = collections.Counter(tuple(sorted((shape(p), shape(q)))) for p, q in pairs)
+    got = C.near_classes(df, "split", 0.9).collect()
+    assert {(r["shape_a"], r["shape_b"]): r["n_pairs"] for r in got} == want and len(got) < len(pairs)
+    assert all(r["similarity"] == pytest.approx(iou(by_id[r["shape_a"]], by_id[r["shape_b"]])) for r in got)
+    links = collections.Counter(x[0] for pair in pairs for x in pair)
+    assert {r["part_id"]: (r["shape"], r["n_links"]) for r in C.near_links(df, "split", 0.9).collect()} == {r[0]: (shape(r), links[r[0]]) for r in rows}
+
+
+def test_pairs_by_shape_stand_for_all_pairs(spark):
+    rows, df = shapes_of(spark, 80, 4, high=6)
+    shape = lambda r: min(x[0] for x in rows if x[2:] == r[2:])
+    want = collections.Counter((shape(p), shape(q)) for p in rows for q in rows if p[1] == q[1])
+    got = C.label_matrix(df, "split").collect()
+    assert {(r["peg_shape"], r["socket_shape"]): r["n_pairs"] for r in got} == want
+    assert sum(r["n_same"] for r in got) == len(rows)
+    by_id = {r[0]: r for r in rows}
+    for r in got:
+        p, q = by_id[r["peg_shape"]], by_id[r["socket_shape"]]
+        assert r["margin"] == pytest.approx(best_margin(p, q)) and r["sim"] == pytest.approx(iou(p, q))
+    assert {(r["part_id"], r["class_id"]) for r in C.members(df, C.shape_classes(df)).collect()} == {(r[0], shape(r)) for r in rows}
+
+
+@pytest.mark.parametrize("n, seed, high", [(150, 5, 14), (60, 6, 40), (40, 7, 4), (1, 8, 9)])
+def test_searches_by_grid_equal_all_pairs(spark, n, seed, high):
+    """Odd rows: a part that its own socket refuses, and one without a size."""
+    rows, _ = shapes_of(spark, n, seed, high=high)
+    rows.append((1000, "s0", 9.0, 9.0, 5.0, 5.0))
+    df = spark.createDataFrame([*rows, (1001, "s1", None, 2.0, 2.6, 2.6)], "part_id long, split string, w double, h double, bore_w double, bore_h double")
+    pegs = C.pegs(df, "split")
+    easy = {r["class_id"]: [e["socket_id"] for e in r["easy"]] for r in C.pick_easy(pegs, "split").collect()}
+    hard = {r["class_id"]: r for r in C.pick_hard(pegs, "split").collect()}
+    fits = {r["class_id"]: r for r in C.compatible_counts(pegs, "split").collect()}
+    member = {r["part_id"]: r["class_id"] for r in C.members(df, C.shape_classes(df, "split"), "split").collect()}
+    assert set(member) == {r[0] for r in rows}
+    for p in rows:
+        others = [q for q in rows if q[1] == p[1] and q[0] != p[0]]
+        assert fits[member[p[0]]]["found"] == sum(best_margin(p, q) >= 0.05 for q in others)
+        if best_margin(p, p) < 0.05:
+            assert member[p[0]] not in easy and member[p[0]] not in hard
+            continue
+        pool = sorted((iou(p, q), q[0], q) for q in others if best_margin(p, q) < -0.05)
+        chosen = []
+        for _, _, q in pool:
+            if len(chosen) < 3 and all(iou(c, q) <= 0.8 for c in chosen):
+                chosen.append(q)
+        assert easy[member[p[0]]] == [q[0] for q in chosen]
+        got = hard[member[p[0]]]
+        assert got["n_pool"] == len(pool)
+        made = max(iou(p, (0, 0, 0, 0, p[4] - 1.6, p[5] - 1.6)), 0)
+        if pool:
+            best = max(pool)
+            assert got["hard_sim"] == pytest.approx(max(best[0], made)) and got["hard_id"] == (best[1] if best[0] > made else None)
+        else:
+            assert got["hard_sim"] is None
 
 
 def test_catalogue_outlines():
@@ -132,11 +207,11 @@ def test_offsets():
 
 @pytest.mark.parametrize("peg, socket", [((10, 6), (10, 6)), ((10, 6), (6, 10)), ((9.5, 6), (10, 6)), ((11, 6), (10, 6)), ((10.7, 7), (10, 6)), ((14.2, 6), (10, 6)), ((3, 3), (10, 6))])
 def test_fits_agree_with_closed_forms(peg, socket):
-    """Boxes: clearance 0.3 on every side of the socket, best of a quarter turn."""
+    """Boxes: clearance 0.3 on every side of the socket, with round corners; best of a quarter turn."""
 
     def margin(w, h):
-        dx, dy = (socket[0] + 0.6 - w) / 2, (socket[1] + 0.6 - h) / 2
-        return min(dx, dy) if min(dx, dy) >= 0 else -min(2.0, math.hypot(max(-dx, 0), max(-dy, 0)))
+        x, y = (w - socket[0]) / 2, (h - socket[1]) / 2  # from the centre of the rounded corner
+        return max(-2.0, 0.3 - math.hypot(max(x, 0), max(y, 0)) - min(max(x, y), 0))
 
     got, want = label_of(box(*peg), box(*socket)), max(margin(*peg), margin(*peg[::-1]))
     assert got["margin"] == pytest.approx(want, abs=0.02)
