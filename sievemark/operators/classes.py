@@ -9,6 +9,8 @@ sizes are doubles; parts without a size have no class.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,24 +112,41 @@ def _iou_bounds(w: Column, h: Column, c: Column) -> tuple[Column, Column]:
     return F.greatest(flat[0], turned[0]) - SLACK, F.greatest(flat[1], turned[1]) + SLACK
 
 
-def pegs(shapes: DataFrame, by: str) -> DataFrame:
-    """Classes with cells, an array of their group's cells: bounds of the sockets in it and of the margin (least, most) that the peg has in
-    these. The array's length is bounded by the range of sizes."""
-    classes = _place(shape_classes(shapes, by))
-    cell = classes.groupBy(by, "cell").agg(F.min("longer").alias("x0"), F.max("longer").alias("x1"), F.min("shorter").alias("y0"), F.max("shorter").alias("y1"), F.sum("n").alias("n"), F.count("*").alias("n_classes"))
-    cells = cell.groupBy(by).agg(F.collect_list(F.struct("cell", "x0", "x1", "y0", "y1", "n")).alias("cells"), F.sum("n_classes").alias("weight"))
-    out = looked_up(classes, cells, by, "weight", classes.count()).drop("weight")
-    w, h = F.col("w"), F.col("h")
-    bounded = lambda c: F.struct(c["cell"].alias("cell"), c["x0"].alias("x0"), c["x1"].alias("x1"), c["y0"].alias("y0"), c["y1"].alias("y1"), c["n"].alias("n"), _best_margin(w, h, c["x0"], c["y0"]).alias("least"), _best_margin(w, h, c["x1"], c["y1"]).alias("most"))
-    return out.withColumn("cells", F.transform("cells", bounded)).withColumn("own", _best_margin(w, h, F.col("bore_w"), F.col("bore_h")))
+@dataclass(frozen=True)
+class Grid:
+    """classes: (by, sizes, class_id, last, n, cell, own, the margin in the own socket); cells: (by, cells), the cells of a group with
+    the bounds of the sockets in them. An array's length is bounded by the range of sizes."""
+
+    by: str
+    classes: DataFrame
+    cells: DataFrame
+
+
+def grid(shapes: DataFrame, by: str) -> Grid:
+    classes = _place(shape_classes(shapes, by)).withColumn("own", _best_margin(F.col("w"), F.col("h"), F.col("bore_w"), F.col("bore_h")))
+    cell = classes.groupBy(by, "cell").agg(F.min("longer").alias("x0"), F.max("longer").alias("x1"), F.min("shorter").alias("y0"), F.max("shorter").alias("y1"), F.sum("n").alias("n"))
+    return Grid(by, classes.drop("longer", "shorter"), cell.groupBy(by).agg(F.collect_list(F.struct("cell", "x0", "x1", "y0", "y1", "n")).alias("cells")))
+
+
+def _bounded(rows: DataFrame, g: Grid, **more) -> DataFrame:
+    """rows of pegs with cells: for each cell of their group the margin (least, most) that the peg has in its sockets, how like their own
+    bore these are (low, high), and what else is to be known of a cell. (A few hot groups are split by the adaptive join.)"""
+    w, h, bw, bh = (F.col(c) for c in SIZES)
+
+    def about(c):
+        low, high = _iou_bounds(bw, bh, c)
+        margins = _best_margin(w, h, c["x0"], c["y0"]).alias("least"), _best_margin(w, h, c["x1"], c["y1"]).alias("most")
+        return F.struct(c["cell"].alias("cell"), c["n"].alias("n"), *margins, low.alias("low"), high.alias("high"), *(f(c).alias(k) for k, f in more.items()))
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # these few rows are much work each
+    return rows.repartition(n, "class_id").join(g.cells, g.by).withColumn("cells", F.transform("cells", about))
 
 
-def _opened(rows: DataFrame, classes: DataFrame, by: str, keep) -> DataFrame:
+def _opened(rows: DataFrame, g: Grid, keep) -> DataFrame:
     """A row for each socket class x of the cells that keep() leaves to a peg class (none: one without a socket), with its label columns."""
-    sockets = _place(classes).select(by, "cell", F.struct("class_id", "last", "n", "bore_w", "bore_h").alias("x"))
-    some = rows.withColumn("cell", F.explode_outer(F.transform(F.filter("cells", keep), lambda c: c["cell"])))
-    met = some.join(sockets, [by, "cell"], "left")
-    return R.labelled(met, F.col("w"), F.col("h"), F.col("x.bore_w"), F.col("x.bore_h"), R.CLEARANCE)
+    sockets = g.classes.select(g.by, "cell", F.struct("class_id", "last", "n", "bore_w", "bore_h").alias("x"))
+    some = rows.withColumn("in", F.explode_outer(F.filter("cells", keep))).drop("cells").withColumn("cell", F.col("in.cell"))
+    return R.labelled(some.join(sockets, [g.by, "cell"], "left"), F.col("w"), F.col("h"), F.col("x.bore_w"), F.col("x.bore_h"), R.CLEARANCE)
 
 
 def _refused(c: Column) -> Column:
@@ -139,60 +158,57 @@ def _open_to(c: Column) -> Column:
     return c["least"] < -R.BAND + SLACK
 
 
-def pick_easy(pegs_: DataFrame, by: str) -> DataFrame:
-    """pegs_ with easy, up to three incompatible sockets (sim, socket_id, sizes) of the group: the least similar first, none
-    too like one chosen before. Classes whose own socket doesn't take them get none."""
-    classes = pegs_.select(by, *SIZES, "class_id", "last", "n")
-    rows = pegs_.where(F.col("own") >= R.BAND).withColumn("easy", F.array().cast("array<struct<sim:double,socket_id:long,bore_w:double,bore_h:double>>"))
-    rows = rows.select(by, "class_id", *SIZES, "cells", "easy")
-    for _ in range(3):
-        like = lambda c: _iou_bounds(F.col("bore_w"), F.col("bore_h"), c)
-        to_chosen = lambda c, k: F.transform("easy", lambda e: _iou_bounds(e["bore_w"], e["bore_h"], c)[k])
-        sure = lambda c: _refused(c) & F.forall(to_chosen(c, 1), lambda x: x <= R.MAX_PAIR_SIMILARITY)
-        enough = F.coalesce(F.array_min(F.transform(F.filter("cells", sure), lambda c: like(c)[1])), F.lit(2.0))
-        bounded = rows.withColumn("enough", enough)
-        met = _opened(bounded, classes, by, lambda c: _open_to(c) & (like(c)[0] <= F.col("enough")) & F.forall(to_chosen(c, 0), lambda x: x <= R.MAX_PAIR_SIMILARITY))
-        x = F.struct(R.similarity(F.col("bore_w"), F.col("bore_h"), F.col("x.bore_w"), F.col("x.bore_h")).alias("sim"), F.col("x.class_id").cast("long").alias("socket_id"), F.col("x.bore_w"), F.col("x.bore_h"))
+def pick_easy(g: Grid) -> DataFrame:
+    """(by, class_id, sizes, easy): up to three incompatible sockets (sim, socket_id, sizes) of the group, the least similar first, none
+    too like one chosen before. Classes whose own socket doesn't take them get none.
+
+    A cell whose sockets are surely incompatible and surely apart from those chosen says how similar the next one is at most, and
+    only cells that may hold one as little similar are opened."""
+    rows = g.classes.where(F.col("own") >= R.BAND).select(g.by, "class_id", *SIZES, F.array().cast("array<struct<sim:double,socket_id:long,bore_w:double,bore_h:double>>").alias("easy"))
+    to_chosen = lambda c, k: F.array_max(F.transform("easy", lambda e: _iou_bounds(e["bore_w"], e["bore_h"], c)[k]))
+    for turn in range(3):
+        near = {"apart_low": lambda c: to_chosen(c, 0), "apart_high": lambda c: to_chosen(c, 1)} if turn else {"apart_low": lambda c: F.lit(0.0), "apart_high": lambda c: F.lit(0.0)}
+        sure = F.filter("cells", lambda c: _refused(c) & (c["apart_high"] <= R.MAX_PAIR_SIMILARITY))
+        enough = F.coalesce(F.array_min(F.transform(sure, lambda c: c["high"])), F.lit(2.0))
+        bounded = _bounded(rows, g, **near).withColumn("enough", enough)
+        met = _opened(bounded, g, lambda c: _open_to(c) & (c["low"] <= F.col("enough")) & (c["apart_low"] <= R.MAX_PAIR_SIMILARITY))
+        sim = R.similarity(F.col("bore_w"), F.col("bore_h"), F.col("x.bore_w"), F.col("x.bore_h"))
+        x = F.struct(sim.alias("sim"), F.col("x.class_id").cast("long").alias("socket_id"), F.col("x.bore_w"), F.col("x.bore_h"))
         apart = F.forall("easy", lambda e: R.similarity(e["bore_w"], e["bore_h"], F.col("x.bore_w"), F.col("x.bore_h")) <= R.MAX_PAIR_SIMILARITY)
-        fits = (F.col("label") == "incompatible") & apart
-        first = [F.first(c).alias(c) for c in (*SIZES, "cells", "easy")]
-        found = met.groupBy(by, "class_id").agg(*first, F.min(F.when(fits, x)).alias("next"))
-        rows = found.withColumn("easy", F.when(F.col("next").isNotNull(), F.array_append("easy", F.col("next"))).otherwise(F.col("easy"))).drop("next")
-    return rows.drop("cells")
+        found = met.groupBy(g.by, "class_id", *SIZES, "easy").agg(F.min(F.when((F.col("label") == "incompatible") & apart, x)).alias("next"))
+        more = F.when(F.col("next").isNotNull(), F.array_append("easy", F.col("next"))).otherwise(F.col("easy"))
+        rows = found.select(g.by, "class_id", *SIZES, more.alias("easy"))
+    return rows
 
 
-def pick_hard(pegs_: DataFrame, by: str) -> DataFrame:
+def pick_hard(g: Grid) -> DataFrame:
     """(class_id, n_pool, hard_id, hard_sim, hard_kind): how many parts have an incompatible socket, the likest of these
     (ties: the last), or a shrunk copy of the own bore if at least as like."""
-    classes = pegs_.select(by, *SIZES, "class_id", "last", "n")
-    rows = pegs_.where(F.col("own") >= R.BAND).select(by, "class_id", *SIZES, "cells")
-    like = lambda c: _iou_bounds(F.col("bore_w"), F.col("bore_h"), c)
+    rows = g.classes.where(F.col("own") >= R.BAND).select(g.by, "class_id", *SIZES)
     sure = F.filter("cells", _refused)
-    rows = rows.withColumns({"enough": F.coalesce(F.array_max(F.transform(sure, lambda c: like(c)[0])), F.lit(-1.0)), "counted": F.aggregate(sure, F.lit(0).cast("long"), lambda a, c: a + c["n"])})
-    met = _opened(rows, classes, by, lambda c: _open_to(c) & (~_refused(c) | (like(c)[1] >= F.col("enough"))))
+    known = {"enough": F.coalesce(F.array_max(F.transform(sure, lambda c: c["low"])), F.lit(-1.0)), "counted": F.aggregate(sure, F.lit(0).cast("long"), lambda a, c: a + c["n"])}
+    met = _opened(_bounded(rows, g).withColumns(known), g, lambda c: _open_to(c) & (~_refused(c) | (c["high"] >= F.col("enough"))))
     out = F.col("label") == "incompatible"
     sim = R.similarity(F.col("bore_w"), F.col("bore_h"), F.col("x.bore_w"), F.col("x.bore_h"))
-    within = F.exists("cells", lambda c: (c["cell"] == F.col("cell")) & _refused(c))  # counted before
-    best = met.groupBy("class_id").agg(
-        F.first("counted").alias("counted"), F.sum(F.when(out & ~within, F.col("x.n")).otherwise(0)).alias("more"), F.max(F.when(out, F.struct(sim.alias("sim"), F.col("x.last").alias("last")))).alias("c"),
-        F.first(R.similarity(F.col("bore_w"), F.col("bore_h"), F.col("bore_w") - 1.6, F.col("bore_h") - 1.6)).alias("s"),
+    best = met.groupBy("class_id", *SIZES, "counted").agg(
+        F.sum(F.when(out & ~_refused(F.col("in")), F.col("x.n")).otherwise(0)).alias("more"), F.max(F.when(out, F.struct(sim.alias("sim"), F.col("x.last").alias("last")))).alias("c"),
     )
-    made = F.col("s") >= F.col("c.sim")
+    s = R.similarity(F.col("bore_w"), F.col("bore_h"), F.col("bore_w") - 1.6, F.col("bore_h") - 1.6)
+    made = s >= F.col("c.sim")
     none = F.col("c").isNull()
     return best.select(
         "class_id", (F.col("counted") + F.col("more")).alias("n_pool"), F.when(~made, F.col("c.last")).alias("hard_id"),
-        F.when(~none, F.when(made, F.col("s")).otherwise(F.col("c.sim"))).alias("hard_sim"), F.when(~none, F.when(made, "constructed").otherwise("catalog")).alias("hard_kind"),
+        F.when(~none, F.when(made, s).otherwise(F.col("c.sim"))).alias("hard_sim"), F.when(~none, F.when(made, "constructed").otherwise("catalog")).alias("hard_kind"),
     )
 
 
-def compatible_counts(pegs_: DataFrame, by: str) -> DataFrame:
+def compatible_counts(g: Grid) -> DataFrame:
     """(by, class_id, n, found): how many sockets of other parts of the group each class fits into."""
-    classes = pegs_.select(by, *SIZES, "class_id", "last", "n")
     takes = F.filter("cells", lambda c: c["least"] >= R.BAND + SLACK)
-    rows = pegs_.select(by, "class_id", "n", "own", *SIZES, "cells", F.aggregate(takes, F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("counted"))
-    met = _opened(rows, classes, by, lambda c: (c["least"] < R.BAND + SLACK) & (c["most"] >= R.BAND - SLACK))
-    found = met.groupBy(by, "class_id").agg(F.first("n").alias("n"), F.first("counted").alias("counted"), F.sum(F.when(F.col("label") == "compatible", F.col("x.n")).otherwise(0)).alias("more"), F.first(F.col("own") >= R.BAND).cast("long").alias("itself"))
-    return found.select(by, "class_id", "n", (F.col("counted") + F.col("more") - F.col("itself")).alias("found"))
+    rows = _bounded(g.classes.select(g.by, "class_id", "n", "own", *SIZES), g).withColumn("counted", F.aggregate(takes, F.lit(0).cast("long"), lambda a, c: a + c["n"]))
+    met = _opened(rows, g, lambda c: (c["least"] < R.BAND + SLACK) & (c["most"] >= R.BAND - SLACK))
+    found = met.groupBy(g.by, "class_id", "n", "own", "counted").agg(F.sum(F.when(F.col("label") == "compatible", F.col("x.n")).otherwise(0)).alias("more"))
+    return found.select(g.by, "class_id", "n", (F.col("counted") + F.col("more") - (F.col("own") >= R.BAND).cast("long")).alias("found"))
 
 
 def spread(counts: DataFrame, by: str) -> DataFrame:
@@ -205,9 +221,9 @@ def spread(counts: DataFrame, by: str) -> DataFrame:
     return level.groupBy(by).agg(F.min("found").alias("least"), F.min(middle).alias("median"), F.max("found").alias("most"))
 
 
-def eligibility(easy: DataFrame, hard: DataFrame, pegs_: DataFrame) -> DataFrame:
+def eligibility(g: Grid) -> DataFrame:
     """One row per class: eligible, and else the first reason why not."""
-    out = pegs_.select("class_id", "own").join(easy.select("class_id", "easy"), "class_id", "left").join(hard, "class_id", "left")
+    out = g.classes.select("class_id", "own").join(pick_easy(g).select("class_id", "easy"), "class_id", "left").join(pick_hard(g), "class_id", "left")
     n_easy = F.coalesce(F.size("easy"), F.lit(0))
     easy_max = F.when(n_easy == 3, F.array_max(F.transform("easy", lambda e: e["sim"])))
     reason = (

@@ -124,7 +124,7 @@ def _to_parts(spark, sf_dir, by_class):
 
 def _easy(spark, sf_dir):
     """(class_id, s): the sockets picked for a class, by id."""
-    picked = C.pick_easy(C.pegs(A.shapes(spark, sf_dir), "split"), "split")
+    picked = C.pick_easy(C.grid(A.shapes(spark, sf_dir), "split"))
     return picked.select("class_id", F.array_sort(F.transform("easy", lambda e: e["socket_id"])).alias("s"))
 
 
@@ -139,7 +139,7 @@ _HARD = ", best AS (SELECT peg_id, socket_id, sim, " + _iou("own_w", "own_h", "(
 
 @query("pick_hard", _POOL + _HARD + "SELECT peg_id, hard_id, round(hard_sim, 9) AS hard_sim, hard_kind FROM hard")
 def pick_hard(spark, sf_dir):
-    found = C.pick_hard(C.pegs(A.shapes(spark, sf_dir), "split"), "split").where("hard_sim is not null")
+    found = C.pick_hard(C.grid(A.shapes(spark, sf_dir), "split")).where("hard_sim is not null")
     return _to_parts(spark, sf_dir, found).select("peg_id", "hard_id", F.round("hard_sim", 9).alias("hard_sim"), "hard_kind")
 
 
@@ -148,8 +148,7 @@ x AS (SELECT o.peg_id, o.label, coalesce(n_pool, 0) AS n_pool, coalesce(n_easy,
 SELECT peg_id, n_pool, n_easy, round(easy_max, 9) AS easy_max, round(hard_sim, 9) AS hard_sim, CASE WHEN label <> 'compatible' THEN 'own socket' WHEN n_easy < 3 THEN 'fewer than 3 distinct' WHEN hard_sim IS NULL THEN 'no hard candidate' WHEN hard_sim < 0.6 THEN 'hard too unlike' WHEN hard_sim - easy_max < 0.15 THEN 'tiers not separate' ELSE '' END AS reason,
  (label = 'compatible' AND n_easy = 3 AND hard_sim >= 0.6 AND hard_sim - easy_max >= 0.15)::INTEGER AS eligible FROM x""")
 def eligibility(spark, sf_dir):
-    pegs = C.pegs(A.shapes(spark, sf_dir), "split")
-    out = C.eligibility(C.pick_easy(pegs, "split"), C.pick_hard(pegs, "split"), pegs)
+    out = C.eligibility(C.grid(A.shapes(spark, sf_dir), "split"))
     return _to_parts(spark, sf_dir, out).withColumns({c: F.round(c, 9) for c in ("easy_max", "hard_sim")})
 
 
@@ -159,15 +158,14 @@ _CHOSEN = ", ce AS (SELECT peg_id, list(socket_id ORDER BY socket_id) AS s FROM
 @query("regimes_unpivot", _EASY + _HARD + _CHOSEN + """SELECT peg_id, regime, slot, role, CASE role WHEN 'mate' THEN peg_id WHEN 'hard' THEN coalesce(hard_id, -peg_id) WHEN 'e1' THEN s[1] WHEN 'e2' THEN s[2] ELSE s[3] END AS cand FROM ce JOIN hard USING (peg_id),
  (VALUES ('present_easy', 0, 'mate'), ('present_easy', 1, 'e1'), ('present_easy', 2, 'e2'), ('present_hard', 0, 'mate'), ('present_hard', 1, 'hard'), ('present_hard', 2, 'e2'), ('absent_easy', 0, 'e3'), ('absent_easy', 1, 'e1'), ('absent_easy', 2, 'e2'), ('absent_hard', 0, 'e3'), ('absent_hard', 1, 'hard'), ('absent_hard', 2, 'e2')) v(regime, slot, role)""")
 def regimes_unpivot(spark, sf_dir):
-    pegs = C.pegs(A.shapes(spark, sf_dir), "split")
-    found = _easy(spark, sf_dir).where(F.size("s") == 3).join(C.pick_hard(pegs, "split"), "class_id").where("hard_sim is not null")
+    found = _easy(spark, sf_dir).where(F.size("s") == 3).join(C.pick_hard(C.grid(A.shapes(spark, sf_dir), "split")), "class_id").where("hard_sim is not null")
     chosen = _to_parts(spark, sf_dir, found).select("peg_id", F.col("peg_id").alias("mate"), F.coalesce("hard_id", -F.col("peg_id")).alias("hard"), *[F.get("s", F.lit(i)).alias(f"e{i + 1}") for i in range(3)])
     return R.regimes(chosen)
 
 
 @query("compat_per_peg", _PAIRS + ", n AS (SELECT s.split, s.part_id, count(x.socket_id) AS n FROM shapes s LEFT JOIN matrix x ON x.peg_id = s.part_id AND x.socket_id <> x.peg_id AND x.label = 'compatible' GROUP BY ALL) SELECT split, min(n) AS least, list_sort(list(n))[len(list(n)) // 2 + 1] AS median, max(n) AS most FROM n GROUP BY split")
 def compat_per_peg(spark, sf_dir):
-    return C.spread(C.compatible_counts(C.pegs(A.shapes(spark, sf_dir), "split"), "split"), "split")
+    return C.spread(C.compatible_counts(C.grid(A.shapes(spark, sf_dir), "split")), "split")
 
 
 def _margin(w: str, h: str, bw: str, bh: str, r: str) -> str:

@@ -140,10 +140,10 @@ def test_searches_by_grid_equal_all_pairs(spark, n, seed, high):
     rows, _ = shapes_of(spark, n, seed, high=high)
     rows.append((1000, "s0", 9.0, 9.0, 5.0, 5.0))
     df = spark.createDataFrame([*rows, (1001, "s1", None, 2.0, 2.6, 2.6)], "part_id long, split string, w double, h double, bore_w double, bore_h double")
-    pegs = C.pegs(df, "split")
-    easy = {r["class_id"]: [e["socket_id"] for e in r["easy"]] for r in C.pick_easy(pegs, "split").collect()}
-    hard = {r["class_id"]: r for r in C.pick_hard(pegs, "split").collect()}
-    fits = {r["class_id"]: r for r in C.compatible_counts(pegs, "split").collect()}
+    grid = C.grid(df, "split")
+    easy = {r["class_id"]: [e["socket_id"] for e in r["easy"]] for r in C.pick_easy(grid).collect()}
+    hard = {r["class_id"]: r for r in C.pick_hard(grid).collect()}
+    fits = {r["class_id"]: r for r in C.compatible_counts(grid).collect()}
     member = {r["part_id"]: r["class_id"] for r in C.members(df, C.shape_classes(df, "split"), "split").collect()}
     assert set(member) == {r[0] for r in rows}
     for p in rows:
