@@ -5,15 +5,17 @@ longer hold a repeat across documents leave after each pass:
 
 1. First digit: GRAM bytes. Only suffixes that start at the smallest gram hash of some window take part, as
    two equal windows have that gram at the same place (winnowing). Grams of one document leave.
-2. All that stands around a gram at once: grams whose surroundings are the same wherever they occur need no
-   further digit, as all their windows are equal (surroundings are compared by a 64-bit hash beside the gram's).
+2. All that stands around a gram at once: grams whose surroundings are the same wherever they occur need no further
+   digit, as all their windows are equal. Surroundings are compared byte by byte within a bucket, and by BLAKE2b digests of
+   128 bits across buckets.
 3. Remaining digits of the other windows, 8 bytes each. Windows that are still equal after the last digit
    are the repeated windows.
 
 Text is shuffled by document bucket once and that exchange is used by all passes; what moves between passes
 are packed arrays of hashes and of the bytes around grams with mixed surroundings, reduced per bucket
-before they move. A window found in any number of documents is one entry per bucket. Gram hashes travel
-with as many bytes as make chance meetings rare at the corpus' size; these cost time, not correctness.
+before they move. A window found in any number of documents is one entry per bucket. Gram hashes travel with as many bytes
+as make chance meetings rare at the corpus' size; these, and the number by which surroundings are put in order, cost time,
+not correctness.
 
 Edge cases: null text is empty text; texts shorter than the window lose nothing; rows that share a doc_id never
 make each other repeats; a null doc_id counts as smaller than all others; an empty table gives an empty
@@ -22,6 +24,7 @@ result; all other columns are kept (by cleaned() whatever their names; dedup_win
 
 from __future__ import annotations
 
+from hashlib import blake2b
 from types import SimpleNamespace
 
 import numpy as np
@@ -41,8 +44,8 @@ WIDE = 2000
 NO_ID = -(1 << 63)
 
 
-def make_kernels(window: int = WINDOW, gram: int = GRAM, hash_bytes: int = 8):
-    """The numpy kernels for one window length, as a namespace of functions."""
+def make_kernels(window: int = WINDOW, gram: int = GRAM, hash_bytes: int = 8, sort_key=None):
+    """The numpy kernels for one window length, as a namespace of functions. sort_key: see dedup_windows()."""
     reach = window - gram  # a window has reach + 1 grams
     side = reach + gram + reach  # bytes around a gram that its windows cover
     record = np.dtype([("h", "u8"), ("d", "i8"), ("t", "u4"), ("p", "i4"), ("b", "i4"), ("lo", "u1"), ("hi", "u1"), ("x", "u1", (side,))])
@@ -103,18 +106,25 @@ def make_kernels(window: int = WINDOW, gram: int = GRAM, hash_bytes: int = 8):
         return out
 
     def ordered(rec: np.ndarray):
-        """A bucket's records by gram, surroundings and document; their keys, starts of equal ones, and whether
-        a record's document is not the first that has it."""
-        key = as_key(rec)
-        order = np.lexsort((rec["d"], key, rec["h"]))
-        rec, key = rec[order], key[order]
+        """A bucket's records by gram, surroundings and document; starts of equal ones, and whether a record's
+        document is not the first that has it. (Equal ones that others part are as good as different ones.)"""
+        rec = rec[np.lexsort((rec["d"], as_key(rec), rec["h"]))]
         new = np.ones(len(rec), bool)
-        new[1:] = (rec["h"][1:] != rec["h"][:-1]) | (key[1:] != key[:-1])
+        new[1:] = (rec["h"][1:] != rec["h"][:-1]) | (rec["lo"][1:] != rec["lo"][:-1]) | (rec["hi"][1:] != rec["hi"][:-1]) | (rec["x"][1:] != rec["x"][:-1]).any(axis=1)
         start = np.flatnonzero(new)
-        return rec, key, start, rec["d"] > rec["d"][start][np.cumsum(new) - 1]
+        return rec, start, rec["d"] > rec["d"][start][np.cumsum(new) - 1]
+
+    def digests(rec):
+        """Two numbers for the bytes and range of each record, from a cryptographic hash."""
+        whole = np.concatenate((rec["lo"][:, None], rec["hi"][:, None], rec["x"]), axis=1).tobytes()
+        width = side + 2
+        found = b"".join(blake2b(whole[at : at + width], digest_size=16).digest() for at in range(0, len(whole), width))
+        return np.frombuffer(found, "<u8").reshape(-1, 2)
 
     def as_key(rec):
-        """A number for the bytes and range of a record; equal records have equal numbers."""
+        """A number to put surroundings in order by; equal records have equal numbers, others rarely."""
+        if sort_key:
+            return sort_key(rec)
         h = rec["lo"].astype(np.uint64) * np.uint64(256) + rec["hi"]
         wide = np.zeros((len(rec), -(-side // 8) * 8), np.uint8)
         wide[:, :side] = rec["x"]
@@ -199,13 +209,14 @@ def make_kernels(window: int = WINDOW, gram: int = GRAM, hash_bytes: int = 8):
         out["e"] = far[np.append(start[1:], len(s)) - 1] & 0xFFFFFFFF
         return out
 
-    return SimpleNamespace(record=record, text_anchors=text_anchors, records=records, ordered=ordered, repeats=repeats, spans=spans, merged=merged, anchors=anchors, radix_groups=radix_groups)
+    return SimpleNamespace(record=record, text_anchors=text_anchors, records=records, ordered=ordered, digests=digests, repeats=repeats, spans=spans, merged=merged, anchors=anchors, radix_groups=radix_groups)
 
 
-def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, whole_chars: bool = False) -> DataFrame:
+def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, whole_chars: bool = False, sort_key=None) -> DataFrame:
     """docs with __sd_kept (binary, what stays of the text), __sd_bytes, __sd_removed and __sd_spans (long).
 
-    whole_chars: keep every code point of which not all bytes are to go, so that what stays is UTF-8."""
+    whole_chars: keep every code point of which not all bytes are to go, so that what stays is UTF-8. sort_key: numbers for
+    records, equal for equal ones, by which they are put in order (None: a hash); any gives the same result."""
     spark = docs.sparkSession
     gram = min(GRAM, max(1, window * GRAM // WINDOW))
     size = total(docs, F.octet_length(text))
@@ -219,9 +230,12 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     packed = "__sd_bucket int, __sd_data binary"
 
     def rows_of(bucket_table: pa.Table):
+        """Ids, texts and places of a bucket's rows in their order by both, whichever order they come in; the bucket."""
         ids = bucket_table.column("__sd_id").to_numpy()
         texts = bucket_table.column("__sd_text").to_pylist()
-        return ids, texts, bucket_table.column("__sd_bucket")[0].as_py()
+        place = np.empty(len(ids), np.int64)
+        place[sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))] = np.arange(len(ids))
+        return ids, texts, place, bucket_table.column("__sd_bucket")[0].as_py()
 
     def out(pairs):
         at, data = zip(*pairs, strict=True) if pairs else ((), ())
@@ -238,7 +252,7 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         return [(int(by[a]), head + values[a:b].tobytes()) for a, b in zip(cut, [*cut[1:], len(by)], strict=True)]
 
     short = np.dtype([("h", "u1", (hash_bytes,)), ("m", "u1")])
-    entry = np.dtype([("h", "u1", (hash_bytes,)), ("c", "<u8"), ("d", "<i8"), ("m", "u1")])
+    entry = np.dtype([("h", "u1", (hash_bytes,)), ("c", "<u8", (2,)), ("d", "<i8"), ("m", "u1")])
     answer = np.dtype([("h", "u1", (hash_bytes,)), ("d", "<i8"), ("m", "u1")])
 
     def put(kind, h, **fields):
@@ -263,20 +277,20 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     def of_grams(part, wanted):
         """A bucket's records whose gram is among those wanted (sorted)."""
-        k = make_kernels(window, gram, hash_bytes)
-        ids, texts, bucket = rows_of(part)
+        k = make_kernels(window, gram, hash_bytes, sort_key)
+        ids, texts, place, bucket = rows_of(part)
         rec = [np.zeros(0, k.record)]
         for i, data, found in k.text_anchors(texts):
             at = np.minimum(np.searchsorted(wanted, found[3]), len(wanted) - 1)
             keep = wanted[at] == found[3]
             if keep.any():
-                rec.append(k.records(i, data, found, keep, ids[i], xxhash.xxh32_intdigest(texts[i]), bucket))
+                rec.append(k.records(i, data, found, keep, ids[i], place[i], bucket))
         return k, bucket, np.concatenate(rec)
 
     def first_digit(part: pa.Table) -> pa.Table:
         """Per bucket: each gram, marked if two documents have it."""
-        k = make_kernels(window, gram, hash_bytes)
-        ids, texts, bucket = rows_of(part)
+        k = make_kernels(window, gram, hash_bytes, sort_key)
+        ids, texts, _, bucket = rows_of(part)
         seen_h, seen_d = [], []
         for i, _, (_, _, _, h) in k.text_anchors(texts):
             seen_h.append(h)
@@ -300,15 +314,15 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         return out(deal(put(short, h[keep]), b[keep]))
 
     def around(part: pa.Table, replies: pa.Table) -> pa.Table:
-        """For shared grams: hash of what stands around and the first document that has it, per bucket."""
+        """For shared grams: digest of what stands around and the first document that has it, per bucket."""
         if not part.num_rows or not replies.num_rows:
             return out([])
         k, bucket, rec = of_grams(part, np.sort(get(short, replies)[1]))
         if not len(rec):
             return out([])
-        rec, key, start, later = k.ordered(rec)
+        rec, start, later = k.ordered(rec)
         several = np.logical_or.reduceat(later, start)
-        return out(by_part(put(entry, rec["h"][start], c=key[start], d=rec["d"][start], m=several), rec["h"][start], bucket))
+        return out(by_part(put(entry, rec["h"][start], c=k.digests(rec[start]), d=rec["d"][start], m=several), rec["h"][start], bucket))
 
     def compared(part: pa.Table) -> pa.Table:
         """To buckets: the first document that has a gram if all surroundings are alike; else a request for them."""
@@ -317,7 +331,7 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         rows, h, b = rows[order], h[order], b[order]
         start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         n = np.diff(np.append(start, len(h)))
-        mixed = np.minimum.reduceat(rows["c"], start) != np.maximum.reduceat(rows["c"], start)
+        mixed = (np.minimum.reduceat(rows["c"], start) != np.maximum.reduceat(rows["c"], start)).any(axis=1)
         kind = np.repeat(np.where(mixed, np.where(n > WIDE, 2, 1), 0), n)
         least = np.repeat(np.minimum.reduceat(rows["d"], start), n)
         keep = (kind > 0) | (rows["d"] > least) | (rows["m"] > 0)
@@ -334,7 +348,7 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         k, bucket, rec = of_grams(part, grams)
         if not len(rec):
             return out([])
-        rec, _, _, later = k.ordered(rec)
+        rec, _, later = k.ordered(rec)
         about = known[np.searchsorted(grams, rec["h"])]
         gone = later | (about["m"] == 0) & (rec["d"] > about["d"])
         send = [rec[~gone & (about["m"] == 1)]]
@@ -356,7 +370,7 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     def last_digits(part: pa.Table) -> pa.Table:
         """Spans to remove, for each bucket."""
-        k = make_kernels(window, gram, hash_bytes)
+        k = make_kernels(window, gram, hash_bytes, sort_key)
         rec, pairs = [], []
         for data in part.column("__sd_data").to_pylist():
             if data[:1] == b"s":
@@ -366,8 +380,10 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         if rec:
             rec, who, lo, hi = k.repeats(np.concatenate(rec))
             if len(who):
-                bucket, cut = rec["b"][who], k.spans(rec[who], lo, hi)
-                pairs += [(int(b), k.merged(cut[bucket == b]).tobytes()) for b in np.unique(bucket)]
+                order = np.argsort(rec["b"][who], kind="stable")
+                bucket, cut = rec["b"][who][order], k.spans(rec[who], lo, hi)[order]
+                at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+                pairs += [(int(bucket[a]), k.merged(cut[a:b]).tobytes()) for a, b in zip(at, [*at[1:], len(bucket)], strict=True)]
         return out(pairs)
 
     names = docs.columns
@@ -382,10 +398,9 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             by = {(int(s["d"][a]), int(s["t"][a])): s[a:b] for a, b in zip(at, [*at[1:], len(s)], strict=True)}
         kept, sizes, removed, count = [], [], [], []
         if part.num_rows:
-            ids, texts, _ = rows_of(part)
-            touched = {d for d, _ in by}
-            for d, t in zip(ids.tolist(), texts, strict=True):
-                mine = by.get((d, xxhash.xxh32_intdigest(t))) if d in touched else None
+            ids, texts, place, _ = rows_of(part)
+            for d, t, p in zip(ids.tolist(), texts, place.tolist(), strict=True):
+                mine = by.get((d, p))
                 sizes.append(len(t))
                 if mine is None:
                     kept.append(t)
