@@ -7,7 +7,8 @@ compared, and only units that share a bigram with some template are compared at
 Units are lines and the whole text. A notice that is neither (one wrapped over lines, or amid a line or a longer text) is found by
 windows of as many words as the template has, wherever they start: of a template that no unit of a text matches, the best window
 (ties: the first) is compared. Windows that do not start with a bigram of the template are left out, as a later one is no
-worse; so are texts that hold less than t/(2-t) of the template's bigrams, as none of their windows can match.
+worse; so are texts and windows that hold less than t/(2-t) of the template's bigrams, as they cannot match. How many a window
+holds is told by the places of the template's bigrams in the text, which are looked for once.
 
 Everything is an expression over one row: no shuffle, no Python.
 
@@ -18,6 +19,7 @@ each; a null doc_id is carried along; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,11 +100,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     known = {k: t for k, t in sorted(templates.items()) if template_bigrams(t)}
     strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
     every = strings(sorted({b for t in known.values() for b in template_bigrams(t)}))
+    least = threshold / (2 - threshold)
     table_ = F.array(*[
-        F.struct(F.lit(k).alias("template"), strings(b).alias("bigrams"), F.lit(len(b)).alias("n"), F.lit(len(text_bigrams(t))).alias("length"))
+        F.struct(F.lit(k).alias("template"), strings(b).alias("bigrams"), F.lit(len(b)).alias("n"), F.lit(len(text_bigrams(t))).alias("length"), F.lit(math.ceil(least * len(b) - 1e-9)).alias("need"))
         for k, t, b in ((k, t, template_bigrams(t)) for k, t in known.items())
     ])
-    least = threshold / (2 - threshold)
 
     def unit(u: Column) -> Column:
         of = lambda g, d: F.struct(u["line"].alias("line"), g.alias("g"), d.alias("d"), F.array_intersect(d, every).alias("hits"))
@@ -120,9 +122,15 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
 
     def window(g: Column, t: Column) -> Column:
         dice = lambda w: _dice(F.size(F.array_intersect(w, t["bigrams"])), F.size(w), t["n"])
-        starts = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.array_contains(t["bigrams"], F.get(g, i)))
-        scores = F.transform(starts, lambda i: F.struct(_given(F.array_distinct(F.slice(g, i + 1, t["length"])), dice).alias("dice"), (-i).alias("minus")))
-        return _given(F.array_max(scores), lambda best: row(F.lit(WINDOW), -best["minus"], t, best["dice"]))
+        places = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.array_contains(t["bigrams"], F.get(g, i)))
+
+        def dense(p):
+            """Places that begin a window with as many hits as the threshold takes: by where the last of these is."""
+            order = F.when(F.size(p) >= t["need"], F.sequence(F.lit(0), F.size(p) - t["need"])).otherwise(F.array().cast("array<int>"))
+            return F.transform(F.filter(order, lambda j: F.get(p, j + t["need"] - 1) - F.get(p, j) < t["length"]), lambda j: F.get(p, j))
+
+        score = lambda i: F.struct(_given(F.array_distinct(F.slice(g, i + 1, t["length"])), dice).alias("dice"), (-i).alias("minus"))
+        return _given(F.array_max(F.transform(_given(places, dense), score)), lambda best: F.when(best.isNotNull(), row(F.lit(WINDOW), -best["minus"], t, best["dice"])))
 
     lines = docs.select("doc_id", "text", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     whole = F.array(F.struct(F.lit(WHOLE).alias("line"), F.col("text").alias("unit")))
