@@ -11,6 +11,7 @@ from math import isfinite
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_sums
 from ..functions.scores import ratio
 from .decide import decide_all
 
@@ -61,10 +62,12 @@ def with_weights(cell: DataFrame, *by: str, regime_weights: dict[str, float] | N
 
 
 def report(cell: DataFrame, *by: str, digits: int = 9, **kw) -> DataFrame:
-    """Raw counts, weighted counts and ratios of the latter for each slice; by must include method."""
+    """Raw counts, weighted counts and ratios of the latter for each slice; by must include method. Weights are summed
+    exactly, each as often as the cell counts it, and rounded once."""
     raw = [F.sum(c).cast("long").alias(c) for c in COUNTS]
-    weighted = [F.sum(F.col(c) * F.col("weight")).alias(f"weighted_{c}") for c in COUNTS]
-    out = with_weights(cell, *by, **kw).groupBy(*by).agg(F.count_distinct("family").alias("n_families"), *raw, *weighted)
+    cell = with_weights(cell, *by, **kw)
+    weighted = exact_sums(cell, [*by], {f"weighted_{c}": (F.col("weight"), F.col(c)) for c in COUNTS})
+    out = cell.groupBy(*by).agg(F.count_distinct("family").alias("n_families"), *raw).join(weighted, [*by])
     ratios = {k: ratio(F.col(f"weighted_{a}"), F.col(f"weighted_{b}")) for k, (a, b) in RATIOS.items()}
     out = out.withColumns(ratios)
     ranked = {c: F.when(F.col("method") != "B1", F.col(c)) for c in ("top1_correct", "weighted_top1_correct", "top1_present")}

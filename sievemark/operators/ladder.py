@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import is_finite, ratio
 from .calibrate import ranged
+from .quantiles import exact_quantiles
 
 #: Reporting cap, tolerance of a step, and the margin bins with their names.
 CAP, STEP_TOLERANCE = -2.0, 1e-12
@@ -70,14 +71,17 @@ def bins(prepared: DataFrame) -> DataFrame:
     """Per split and margin bin; margins are null where censored, as they are bounds there."""
     known = F.when(F.col("censored") == 0, F.col("margin_mm"))
     label = lambda x: F.count_if(F.col("label") == x).alias(f"n_{x}")
-    out = prepared.groupBy("split", bin_name().alias("margin_bin")).agg(
+    by = ["split", "margin_bin"]
+    prepared = prepared.withColumn("margin_bin", bin_name())
+    out = prepared.groupBy(*by).agg(
         F.count("*").alias("n"), F.count_distinct("family").alias("n_families"), F.count_distinct("peg_id").alias("n_pegs"), *map(label, ("compatible", "incompatible", "ambiguous")),
         F.sum("censored").alias("n_censored"), F.round(F.avg(known), 9).alias("mean_margin"), F.min(known).alias("min_margin"), F.max(known).alias("max_margin"),
-        F.min("p_yes").alias("p_min"), F.percentile("p_yes", [0.25, 0.5, 0.75]).alias("__q"), F.max("p_yes").alias("p_max"),
+        F.min("p_yes").alias("p_min"), F.max("p_yes").alias("p_max"),
         F.sum("accept_tau").alias("accepted"), F.round(F.avg("accept_tau"), 9).alias("accept_rate"), F.sum("image_fits").alias("image_fits"), F.round(F.avg("image_fits"), 9).alias("image_rate"),
     )
-    quartiles = {n: F.round(F.get("__q", F.lit(i)), 9) for i, n in enumerate(("p_q25", "p_median", "p_q75"))}
-    return out.withColumns(quartiles).drop("__q")
+    quartiles = exact_quantiles(prepared, by, "p_yes", [0.25, 0.5, 0.75])
+    names = {n: F.round(F.get("quantiles", F.lit(i)), 9) for i, n in enumerate(("p_q25", "p_median", "p_q75"))}
+    return out.join(quartiles, by).withColumns(names).drop("quantiles")
 
 
 def auroc(rows: DataFrame, by: str, score: str, positive, large: bool = False) -> DataFrame:

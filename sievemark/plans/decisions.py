@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..functions.exact import exact_sums
 from ..operators import bootstrap, calibrate, evaluate, ladder
 from ..operators.decide import METHODS, composite_order, decide, summarise_blocks, with_fault
 from ..sources import adapters as A
@@ -106,6 +107,13 @@ def top1(spark, sf_dir):
     return decide(one, "U0").select("block_id", "top1_b0", F.col("top1").alias("top1_u0"))
 
 
+@query("exact_mass", A.SQL + """, u AS (SELECT family, sum((mass_yes * 2 ** 58)::HUGEINT) AS s FROM lab GROUP BY family), b AS (SELECT *, (2 ** greatest(length(bin(s)) - 62, 0))::HUGEINT AS p FROM u)
+SELECT family, ((s // p)::BIGINT + ((s // p) % 2 = 0 AND s % p <> 0)::INTEGER)::DOUBLE * p::DOUBLE / 2 ** 58 AS mass FROM b""")
+def exact_mass(spark, sf_dir):
+    """Sum of each family's masses, exact until it is rounded once; as SQL, of whole numbers of 2**-58."""
+    return exact_sums(A.labelled(spark, sf_dir), ["family"], {"mass": F.col("mass_yes")})
+
+
 @query("family_weights", A.SQL + "SELECT block_id, round(1::DOUBLE / (count(*) OVER (PARTITION BY family, regime) * count(DISTINCT regime) OVER (PARTITION BY family)), 12) AS weight FROM qry")
 def family_weights(spark, sf_dir):
     return calibrate.block_weights(A.blocks(spark, sf_dir)).select("block_id", F.round("weight", 12).alias("weight"))

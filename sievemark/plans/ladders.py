@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, ladder
+from ..operators import bootstrap, ladder, quantiles
 from ..sources import adapters as A
 from . import query
 
@@ -54,6 +54,25 @@ def margin_bins(spark, sf_dir):
     return ladder.bins(prepared(spark, sf_dir))
 
 
+_BANDS = _PREP + """, e AS (SELECT family, list_distinct([quantile_cont(margin_mm, 0.1), quantile_cont(margin_mm, 0.5), quantile_cont(margin_mm, 0.9)]) AS p FROM prep WHERE split = 'calib' GROUP BY family)"""
+
+
+@query("margin_quantiles", _PREP + "SELECT family, round(quantile_cont(margin_mm, 0.025), 9) AS low, round(quantile_cont(margin_mm, 0.5), 9) AS median, round(quantile_cont(margin_mm, 0.975), 9) AS high FROM prep GROUP BY family")
+def margin_quantiles(spark, sf_dir):
+    """Quantiles of the margins of each family, exact."""
+    found = quantiles.exact_quantiles(prepared(spark, sf_dir), ["family"], "margin_mm", [0.025, 0.5, 0.975])
+    return found.select("family", *(F.round(F.get("quantiles", F.lit(k)), 9).alias(n) for k, n in enumerate(("low", "median", "high"))))
+
+
+@query("margin_bands", _BANDS + """, r AS (SELECT family, split, len(list_filter(p, lambda c: c <= margin_mm))::INTEGER AS band, p_yes FROM prep JOIN e USING (family)) SELECT family, split, band, count(*) AS n, max(p_yes) AS p_max FROM r GROUP BY ALL""")
+def margin_bands(spark, sf_dir):
+    """Rungs by the bands of their family's margins, whose edges are a table fitted on calib: a range join."""
+    rows = prepared(spark, sf_dir)
+    edges = quantiles.exact_quantiles(rows.where("split = 'calib'"), ["family"], "margin_mm", [0.1, 0.5, 0.9])
+    met = quantiles.in_ranges(rows.select("family", "split", "margin_mm", "p_yes"), "margin_mm", quantiles.bands(edges, ["family"], "quantiles"), ["family"])
+    return met.groupBy("family", "split", "band").agg(F.count("*").alias("n"), F.max("p_yes").alias("p_max"))
+
+
 @query("family_rate", _PREP + """, f AS (SELECT split, family, count(*) AS rows_, count(*) FILTER (label = 'compatible') AS n, coalesce(sum(accept_tau) FILTER (label = 'compatible'), 0)::BIGINT AS hits FROM prep GROUP BY ALL)
 SELECT split, sum(hits)::BIGINT AS accepted, sum(n)::BIGINT AS n, round(sum(hits) / sum(n), 9) AS raw_rate, round(sum(hits / rows_) / sum(n / rows_), 9) AS balanced_rate, count(*) AS n_families FROM f GROUP BY split""")
 def family_rate(spark, sf_dir):
