@@ -1,6 +1,7 @@
 """SimHash, suffix windows, decontamination and licences against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -225,3 +226,75 @@ def test_licences_against_all_pairs(spark, docs):
 
 def test_words():
     assert words_of("A\tb\x0bC\x1cd É ".encode()) == [b"a", b"b", b"c\x1cd", "É".encode()] and words_of(None) == []
+
+
+def alike_numbers():
+    """Two texts of 72 bytes that share bytes 8 to 63 and that multiply-and-add over words of 8 bytes takes for one."""
+    odd, top = 0x9E3779B97F4A7C15, 1 << 64
+    rng = np.random.default_rng(4)
+    shared = bytes(rng.integers(97, 123, 56).astype(np.uint8))
+    word = lambda b: int.from_bytes(b, "little")
+
+    def after(first):
+        h = 0
+        for w in (first, *(shared[i : i + 8] for i in range(0, 56, 8))):
+            h = ((h ^ (h >> 29)) * odd + word(w)) % top
+        return (h ^ (h >> 29)) * odd % top
+
+    one, last = b"abcdefgh", b"ijklmnop"
+    for _ in range(200_000):
+        two = bytes(rng.integers(32, 127, 8).astype(np.uint8))
+        end = ((after(one) + word(last) - after(two)) % top).to_bytes(8, "little")
+        if two != one and all(32 <= c < 127 for c in end):
+            return one + shared + last, two + shared + end
+    raise AssertionError("none found")
+
+
+@pytest.mark.parametrize("sort_key", [None, "same", "few"])
+def test_suffix_whatever_the_numbers(spark, monkeypatch, sort_key):
+    """Surroundings are told apart by what they are, whatever the numbers by which they are put in order."""
+    key = {None: None, "same": lambda rec: np.zeros(len(rec), np.uint64), "few": lambda rec: rec["x"][:, 0].astype(np.uint64) % 3}[sort_key]
+    rng = np.random.default_rng(6)
+    letters = lambda n: bytes(rng.integers(97, 101, n).astype(np.uint8))
+    shared = [letters(56), letters(70), letters(140)]
+    texts = [(k, b) for k, b in enumerate(alike_numbers())]
+    for d in range(2, 60):
+        texts.append((d, letters(int(rng.integers(0, 30))) + shared[d % 3][int(rng.integers(0, 5)) :] + letters(int(rng.integers(0, 30))) + shared[(d + 1) % 3]))
+    df = spark.createDataFrame([(d, t.decode()) for d, t in texts], "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 600)  # many buckets
+    got = {r["doc_id"]: r["__sd_removed"] for r in suffix_dedup.dedup_windows(df, sort_key=key).collect()}
+    assert got == {d: x[1] for d, x in slow_windows([(d, t.decode()) for d, t in texts]).items()} and got[1] == 56
+
+
+def test_suffix_rows_of_one_id(spark):
+    """Rows that share a doc_id keep their own texts, and what goes from each is its own."""
+    text = prose(random.Random(3), 40)
+    rows_ = [(7, text), (7, "x " + text + " y"), (7, text), (9, text + " tail of another kind"), (9, "a longer head " + text)]
+    got = rows(suffix_dedup.dedup_windows(spark.createDataFrame(rows_, "doc_id long, text string").repartition(1)).withColumn("kept", F.col("__sd_kept").cast("string")), "doc_id", "kept")
+    # the second text of 9 has a blank before the shared words that no text of 7 has, but "x " + text + " y" does
+    assert got == sorted([(7, text), (7, "x " + text + " y"), (7, text), (9, "tail of another kind"), (9, "a longer head")], key=str)
+
+
+def test_licence_windows_by_places(spark):
+    """The best window of every template, against all windows; among words of the licences themselves, too."""
+    rng = random.Random(2)
+    known = {k: license_scan.TEMPLATES[k] for k in ("apache-2.0", "mit-grant", "cc-by-4.0", "isc", "bsd-conditions")}
+    texts = []
+    for k in range(40):
+        notice = list(known.values())[k % 5].split()
+        for _ in range(k % 4):
+            notice[rng.randrange(len(notice))] = rng.choice(["other", "license", "copy"])
+        texts.append(" ".join([*prose(rng, rng.randrange(20)).split(), *notice, *prose(rng, rng.randrange(20)).split()]) + "\nnext line")
+    texts.append(" ".join(rng.choice(" ".join(known.values()).split()) for _ in range(400)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["template"]): (r["word"], round(r["dice"], 9)) for r in license_scan.scan(df, known).where(f"line = {license_scan.WINDOW}").collect()}
+    units = {(r["doc_id"], r["template"]) for r in license_scan.scan(df, known).where(f"line <> {license_scan.WINDOW}").collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        g = license_scan.text_bigrams(t)
+        for name, template in known.items():
+            b, size = set(license_scan.text_bigrams(template)), len(license_scan.text_bigrams(template))
+            best = max(((2 * len(w & b) / (len(w) + len(b)), -i) for i in range(len(g)) if g[i] in b for w in [set(g[i : i + size])]), default=(0, 0))
+            if best[0] >= license_scan.THRESHOLD and (d, name) not in units:
+                want[d, name] = (-best[1], round(best[0], 9))
+    assert got == want and len(want) > 10
