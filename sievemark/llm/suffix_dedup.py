@@ -6,8 +6,8 @@ longer hold a repeat across documents leave after each pass:
 1. First digit: GRAM bytes. Only suffixes that start at the smallest gram hash of some window take part, as
    two equal windows have that gram at the same place (winnowing). Grams of one document leave.
 2. All that stands around a gram at once: grams whose surroundings are the same wherever they occur need no further
-   digit, as all their windows are equal. Surroundings are compared byte by byte within a bucket, and by BLAKE2b digests of
-   128 bits across buckets.
+   digit, as all their windows are equal. Surroundings are compared byte by byte within a bucket, and across buckets by
+   BLAKE2b digests of 96 bits with a salt that is drawn for each run, so that no text can be made to meet another's.
 3. Remaining digits of the other windows, 8 bytes each. Windows that are still equal after the last digit
    are the repeated windows.
 
@@ -24,6 +24,7 @@ result; all other columns are kept (by cleaned() whatever their names; dedup_win
 
 from __future__ import annotations
 
+import secrets
 from hashlib import blake2b
 from types import SimpleNamespace
 
@@ -44,8 +45,8 @@ WIDE = 2000
 NO_ID = -(1 << 63)
 
 
-def make_kernels(window: int = WINDOW, gram: int = GRAM, hash_bytes: int = 8, sort_key=None):
-    """The numpy kernels for one window length, as a namespace of functions. sort_key: see dedup_windows()."""
+def make_kernels(window: int = WINDOW, gram: int = GRAM, hash_bytes: int = 8, sort_key=None, salt: bytes = b""):
+    """The numpy kernels for one window length, as a namespace of functions. sort_key: see dedup_windows(); salt: of digests."""
     reach = window - gram  # a window has reach + 1 grams
     side = reach + gram + reach  # bytes around a gram that its windows cover
     record = np.dtype([("h", "u8"), ("d", "i8"), ("t", "u4"), ("p", "i4"), ("b", "i4"), ("lo", "u1"), ("hi", "u1"), ("x", "u1", (side,))])
@@ -115,11 +116,11 @@ def make_kernels(window: int = WINDOW, gram: int = GRAM, hash_bytes: int = 8, so
         return rec, start, rec["d"] > rec["d"][start][np.cumsum(new) - 1]
 
     def digests(rec):
-        """Two numbers for the bytes and range of each record, from a cryptographic hash."""
+        """Three numbers for the bytes and range of each record, from a salted cryptographic hash."""
         whole = np.concatenate((rec["lo"][:, None], rec["hi"][:, None], rec["x"]), axis=1).tobytes()
         width = side + 2
-        found = b"".join(blake2b(whole[at : at + width], digest_size=16).digest() for at in range(0, len(whole), width))
-        return np.frombuffer(found, "<u8").reshape(-1, 2)
+        found = b"".join(blake2b(whole[at : at + width], digest_size=12, salt=salt).digest() for at in range(0, len(whole), width))
+        return np.frombuffer(found, "<u4").reshape(-1, 3)
 
     def as_key(rec):
         """A number to put surroundings in order by; equal records have equal numbers, others rarely."""
@@ -222,6 +223,7 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     size = total(docs, F.octet_length(text))
     parts = buckets = max(1, size // BUCKET)
     hash_bytes = min(8, (size.bit_length() + 10 + 7) // 8)
+    salt = secrets.token_bytes(16)
     dealt = docs.withColumns({
         "__sd_text": F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")),
         "__sd_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)),
@@ -252,7 +254,7 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         return [(int(by[a]), head + values[a:b].tobytes()) for a, b in zip(cut, [*cut[1:], len(by)], strict=True)]
 
     short = np.dtype([("h", "u1", (hash_bytes,)), ("m", "u1")])
-    entry = np.dtype([("h", "u1", (hash_bytes,)), ("c", "<u8", (2,)), ("d", "<i8"), ("m", "u1")])
+    entry = np.dtype([("h", "u1", (hash_bytes,)), ("c", "<u4", (3,)), ("d", "<i8"), ("m", "u1")])
     answer = np.dtype([("h", "u1", (hash_bytes,)), ("d", "<i8"), ("m", "u1")])
 
     def put(kind, h, **fields):
@@ -277,7 +279,7 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     def of_grams(part, wanted):
         """A bucket's records whose gram is among those wanted (sorted)."""
-        k = make_kernels(window, gram, hash_bytes, sort_key)
+        k = make_kernels(window, gram, hash_bytes, sort_key, salt)
         ids, texts, place, bucket = rows_of(part)
         rec = [np.zeros(0, k.record)]
         for i, data, found in k.text_anchors(texts):
@@ -289,7 +291,7 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     def first_digit(part: pa.Table) -> pa.Table:
         """Per bucket: each gram, marked if two documents have it."""
-        k = make_kernels(window, gram, hash_bytes, sort_key)
+        k = make_kernels(window, gram, hash_bytes, sort_key, salt)
         ids, texts, _, bucket = rows_of(part)
         seen_h, seen_d = [], []
         for i, _, (_, _, _, h) in k.text_anchors(texts):
@@ -370,7 +372,7 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     def last_digits(part: pa.Table) -> pa.Table:
         """Spans to remove, for each bucket."""
-        k = make_kernels(window, gram, hash_bytes, sort_key)
+        k = make_kernels(window, gram, hash_bytes, sort_key, salt)
         rec, pairs = [], []
         for data in part.column("__sd_data").to_pylist():
             if data[:1] == b"s":
