@@ -1,10 +1,13 @@
-"""Cluster bootstrap: groups are summed once, draws are a table, and each repetition is an aggregation."""
+"""Cluster bootstrap: groups are summed once, draws are made on executors, and each repetition is an aggregation."""
 
 from __future__ import annotations
 
+import pickle
 import random
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,23 +18,60 @@ REPS, SEED = 2000, 20260924
 LADDER_SEED = 20260923
 
 
+#: Repetitions that are replayed from one state of a generator.
+BLOCK = 100
+DRAWS = "rep int, ord int, times int"
+
+
 def draws_by_choice(spark: SparkSession, groups: int, reps: int = REPS, seed: int = SEED) -> DataFrame:
     """(rep, ord, times): how often each repetition draws each group, with the standard generator's choice()."""
     rng, order = random.Random(seed), range(groups)
-    return _tabled(spark, ([rng.choice(order) for _ in order] for _ in range(reps)))
+
+    def states():
+        for first in range(0, reps, BLOCK):
+            yield first, pickle.dumps(rng.getstate())
+            for _ in range(min(BLOCK, reps - first) * groups):
+                rng.choice(order)
+
+    def draw(state: bytes, n: int) -> list[list[int]]:
+        mine = random.Random()
+        mine.setstate(pickle.loads(state))
+        return [[mine.choice(range(groups)) for _ in range(groups)] for _ in range(n)]
+
+    return _replayed(spark, list(states()), draw, reps)
 
 
 def draws_by_integers(spark: SparkSession, groups: int, reps: int = REPS, seed: int = LADDER_SEED) -> DataFrame:
     """The same with numpy's integers()."""
-    return _tabled(spark, np.random.default_rng(seed).integers(0, groups, size=(reps, groups)).tolist())
+    rng = np.random.default_rng(seed)
+
+    def states():
+        for first in range(0, reps, BLOCK):
+            yield first, pickle.dumps(rng.bit_generator.state)
+            rng.integers(0, groups, size=(min(BLOCK, reps - first), groups))
+
+    def draw(state: bytes, n: int) -> list[list[int]]:
+        mine = np.random.default_rng()
+        mine.bit_generator.state = pickle.loads(state)
+        return mine.integers(0, groups, size=(n, groups)).tolist()
+
+    return _replayed(spark, list(states()), draw, reps)
+
+
+def _replayed(spark: SparkSession, states: list[tuple[int, bytes]], draw, reps: int) -> DataFrame:
+    """Draws of all blocks, made where they are summed: what the driver sends is a generator's state a block."""
+    block = BLOCK
 
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, state in zip(batch.column("first").to_pylist(), batch.column("state").to_pylist(), strict=True):
+                found = [(first + k, np.bincount(drawn)) for k, drawn in enumerate(draw(state, min(block, reps - first))) if drawn]
+                for rep, times in found:
+                    ords = np.flatnonzero(times)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ords), rep), pa.int32()), pa.array(ords, pa.int32()), pa.array(times[ords], pa.int32())], names=["rep", "ord", "times"])
 
-def _tabled(spark: SparkSession, rows) -> DataFrame:
-    found = []
-    for rep, drawn in enumerate(rows):
-        times = np.bincount(drawn)
-        found += [(rep, int(i), int(times[i])) for i in np.flatnonzero(times)]
-    return spark.createDataFrame(found, "rep int, ord int, times int")
+    sent = spark.createDataFrame(states, "first int, state binary").repartition(min(len(states), int(spark.conf.get("spark.sql.shuffle.partitions"))), "first")
+    return sent.mapInArrow(replay, DRAWS)
 
 
 def numbered(parts: DataFrame, group: str) -> DataFrame:

@@ -40,6 +40,29 @@ def joined_or_fail(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
     return out.where(F.when(F.col("__found"), F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))).drop("__found")
 
 
+def joined_complete(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
+    """Inner join in which every left row must find a partner; if any doesn't the job stops and says how many distinct keys are missing."""
+    missing = left.join(right.select(*key).distinct(), [*key], "left_anti").select(*key).distinct().agg(F.count("*")).scalar()
+    told = F.concat(missing.cast("string"), F.lit(" keys are missing"))
+    return left.join(right, [*key]).where(F.when(missing == 0, F.lit(True)).otherwise(F.raise_error(told).cast("boolean")))
+
+
+def resolved(rows: DataFrame, key: list[str], paths: str, manifest: DataFrame) -> DataFrame:
+    """(key, digests, unknown) of rows with unique keys and an array of paths: their digests in the manifest (path, digest), in
+    order, and the places, from 0, of those that it does not have. A path that very many rows name is looked up by broadcast."""
+    each = rows.select(*key, F.posexplode(paths).alias("place", "path"))
+    uses = each.groupBy("path").agg(F.count("*").alias("uses"))
+    known = manifest.groupBy("path").agg(F.min("digest").alias("digest")).join(uses, "path")
+    found = looked_up(each.where("path is not null"), known, "path", "uses", each.count()).select(*key, "place", "digest")
+    found = found.unionByName(each.where("path is null").select(*key, "place", F.lit(None).cast("string").alias("digest")))
+    lists = found.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("place", "digest"))).alias("x"))
+    digests = F.transform("x", lambda e: e["digest"])
+    unknown = F.transform(F.filter("x", lambda e: e["digest"].isNull()), lambda e: e["place"])
+    out = rows.select(*key).join(lists, key, "left")
+    none = F.array()
+    return out.select(*key, F.coalesce(digests, none.cast("array<string>")).alias("digests"), F.coalesce(unknown, none.cast("array<int>")).alias("unknown"))
+
+
 def without_partner(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
     """One row: how many rows of left find no partner (n_rows), and how many distinct keys these have (n_pairs)."""
     gone = left.join(right.select(*key).distinct(), [*key], "left_anti").groupBy(*key).agg(F.count("*").alias("n"))

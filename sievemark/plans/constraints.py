@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..operators import keyed
 from ..sources import adapters as A
-from ..sources import generators, records
+from ..sources import generators, keyed_log, records
+from ..sources.adapters import scratch
 from . import query
 
 
@@ -26,6 +27,36 @@ def manifest_check(spark, sf_dir):
     return keyed.manifest_faults(docs.where("path % 10 <> 3"), expected)
 
 
+@query("file_manifest")
+def file_manifest(spark, sf_dir):
+    """Size and SHA-256 of every Parquet file of the tables, made on executors."""
+    return keyed_log.file_manifest(spark, sf_dir, "*.parquet")
+
+
+@query("keyed_append", A.SQL + """, f AS (SELECT key, min(ord) AS ord FROM log WHERE ord % 100 <> 7 GROUP BY key), g AS (SELECT key, min(ord) AS ord FROM log WHERE ord % 100 < 9 GROUP BY key)
+SELECT 'kept' AS part, count(*) AS n, sum(ord)::BIGINT AS ords FROM f UNION ALL SELECT 'added', count(*), coalesce(sum(ord), 0)::BIGINT FROM g WHERE key NOT IN (SELECT key FROM f)""")
+def keyed_append(spark, sf_dir):
+    """A keyed table of the log's rows to which a second batch is added, most of which is there already: what was kept, what came."""
+    rows = A.log(spark, sf_dir).select("key", "ord")
+    once = lambda df: keyed.first_per_key(df, ["key"], ["ord"])
+    path = scratch(spark, "keyed")
+    first = keyed_log.append(once(rows.where("ord % 100 <> 7")), path, 0, 16)
+    added = keyed_log.append(once(rows.where("ord % 100 < 9")), path, 1, 16)
+    told = lambda df, part: df.agg(F.lit(part).alias("part"), F.count("*").alias("n"), F.coalesce(F.sum("ord"), F.lit(0)).alias("ords"))
+    return told(first, "kept").union(told(added, "added"))
+
+
+@query("replace_config", A.SQL + "SELECT config, key, CASE WHEN config IN ('src1', 'src2') THEN -ord ELSE ord END AS ord FROM log WHERE config <> 'src3'")
+def replace_config(spark, sf_dir):
+    """A table by configuration in which two configurations are replaced in place and one is emptied."""
+    rows = A.log(spark, sf_dir).select("config", "key", "ord")
+    path = scratch(spark, "configs")
+    rows.repartition("config").write.partitionBy("config").parquet(path)
+    again = rows.where(F.col("config").isin("src1", "src2")).withColumn("ord", -F.col("ord"))
+    keyed_log.replace_partitions(again, path, "config", ["src3"])
+    return spark.read.schema("key string, ord long, config string").parquet(path).select("config", "key", "ord")
+
+
 _IDENTITY = "'{\"answer\": \"' || lang || '\", \"config\": \"' || source || '\"}'"
 
 

@@ -50,7 +50,7 @@ def default_fill(spark, sf_dir):
 def join_scores(spark, sf_dir):
     items = A.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block_id"), F.col("l_linenumber").alias("position"))
     orders = A.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("block_id"), F.col("o_orderpriority").alias("label"), F.col("o_totalprice").alias("score"))
-    return keyed.joined_or_fail(items, orders, "block_id")
+    return keyed.joined_complete(items, orders, "block_id")
 
 
 @query("join_content_key", A.SQL + "SELECT a.ord, sha256('{\"answer\": \"' || a.answer || '\", \"config\": \"' || a.config || '\"}') AS key, count(*) AS partners FROM log a JOIN log b ON a.answer = b.answer AND a.config = b.config GROUP BY a.ord, a.answer, a.config")
@@ -61,6 +61,25 @@ def join_content_key(spark, sf_dir):
     return rows.join(rows.groupBy("key").agg(F.count("*").alias("partners")), "key").select("ord", "key", "partners")
 
 
+_IMAGES = """WITH img AS (SELECT doc_id AS path, sha256(coalesce(text, '')) AS digest FROM documents WHERE doc_id % 50 <> 7),
+r AS (SELECT l_orderkey AS block_id, l_linenumber AS position, min(l_returnflag) AS config, min([l_partkey % 40, l_suppkey % 60, l_partkey % 80, 3]) AS paths FROM lineitem GROUP BY ALL),
+e AS (SELECT block_id, position, config, unnest(paths) AS path, unnest(range(0, 4)) AS place FROM r),
+d AS (SELECT block_id, position, config, list(digest ORDER BY place) AS digests, coalesce(string_agg(place::VARCHAR, ',' ORDER BY place) FILTER (digest IS NULL), '') AS unknown FROM e LEFT JOIN img ON img.path = e.path GROUP BY ALL)
+"""
+
+
+@query("pair_key", _IMAGES + """SELECT block_id, position, unknown, CASE WHEN unknown = '' THEN sha256('{"config": "' || config || '", "image_sha": ["' || array_to_string(digests, '", "') || '"]}') END AS key FROM d""")
+def pair_key(spark, sf_dir):
+    """Content key over a row's identity and the digests of its four images, in order; without one where an image is unknown."""
+    images = A.read(spark, sf_dir, "documents").where("doc_id % 50 <> 7").select(F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    paths = F.array(F.col("l_partkey") % 40, F.col("l_suppkey") % 60, F.col("l_partkey") % 80, F.lit(3).cast("long"))
+    items = A.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("block_id"), F.col("l_linenumber").alias("position")).agg(F.min("l_returnflag").alias("config"), F.min(paths).alias("paths"))
+    found = items.select("block_id", "position", "config").join(keyed.resolved(items, ["block_id", "position"], "paths", images), ["block_id", "position"])
+    identity = F.concat(F.lit('{"config": "'), "config", F.lit('", "image_sha": ["'), F.array_join("digests", '", "'), F.lit('"]}'))
+    unknown = F.array_join(F.col("unknown").cast("array<string>"), ",")
+    return found.select("block_id", "position", unknown.alias("unknown"), F.when(unknown == "", F.sha2(identity, 256)).alias("key"))
+
+
 @query("complete_queries", "SELECT l_orderkey AS block_id FROM lineitem GROUP BY 1 HAVING bool_and(l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 5))")
 def complete_queries(spark, sf_dir):
     items = A.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block_id"), F.col("l_partkey").alias("part_id"))

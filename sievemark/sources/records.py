@@ -57,7 +57,7 @@ def read_log(spark: SparkSession, path: str, schema: str = LOG) -> DataFrame:
     return parsed_log(found.select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_size").alias("size")), schema)
 
 
-def _unfinished(line: Column) -> Column:
+def unfinished(line: Column) -> Column:
     """Whether a line begins an object and opens more braces, outside of strings, than it closes."""
     bare = F.regexp_replace(line, r'"(\\.|[^"\\])*("|\\?$)', "")
     return F.startswith(F.ltrim(line), F.lit("{")) & (F.regexp_count(bare, F.lit(r"\{")) > F.regexp_count(bare, F.lit(r"\}")))
@@ -76,7 +76,7 @@ def parsed_log(lines: DataFrame, schema: str = LOG) -> DataFrame:
     ends = lines.groupBy("source").agg(F.max("at").alias("last"), F.sum(F.octet_length("value") + 1).alias("ended"), F.first("size").alias("size"))
     ends = ends.select("source", "last", F.coalesce(F.col("ended") > F.col("size"), F.lit(True)).alias("open"))
     rows = lines.where(F.trim("value") != "").join(ends, "source").select(
-        "value", (F.col("open") & (F.col("at") == F.col("last")) & _unfinished(F.col("value"))).alias("torn"),
+        "value", (F.col("open") & (F.col("at") == F.col("last")) & unfinished(F.col("value"))).alias("torn"),
         F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r"),
     )
     rows = rows.where("not torn or r._bad is null")
