@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .overlap import mask_margins
+
 #: Fixed values, in millimetres: lattice, clearance, tolerance, largest interference told apart, gap of a loose fit; steps of a circle.
 GRID, CLEARANCE, BAND, CAP, LOOSE, ARC = 0.1, 0.3, 0.05, 2.0, 0.6, 128
 
@@ -452,17 +454,11 @@ def centred_mask(mask: np.ndarray) -> np.ndarray:
 
 def signed_margin(peg: np.ndarray, opening: np.ndarray) -> float:
     """Least distance in pixels from the peg to the outside if it is contained, else minus how deep it stands outside."""
-
-    def depth(points, targets):
-        t = np.argwhere(targets)
-        return np.array([np.sqrt(((t - p) ** 2).sum(axis=1).min()) for p in np.argwhere(points)])
-
-    out = peg & ~opening
-    return -float(depth(out, opening).max()) if out.any() else float(depth(peg, ~opening).min())
+    return mask_margins([peg], opening)[0]
 
 
 def best_turn_margin(peg: np.ndarray, opening: np.ndarray) -> tuple[float, int]:
     """Largest margin over quarter turns, and the smallest turn that has it."""
-    found = [signed_margin(np.rot90(peg, k), opening) for k in range(4)]
+    found = mask_margins([np.rot90(peg, k) for k in range(4)], opening)
     k = int(np.argmax(found))
     return found[k], 90 * k

@@ -151,23 +151,35 @@ def panel(spark, sf_dir):
     return spark.createDataFrame(rows, "category string, peg_id string, socket string, label string, margin double")
 
 
-@query("mask_margin")
+_MASK = """, a AS (SELECT w::INTEGER AS a, h::INTEGER AS b, (part_id % 7 - 3)::INTEGER AS change, count(*) AS n FROM shapes GROUP BY ALL),
+t AS (SELECT *, greatest(b + change, 0) - CASE turn WHEN 0 THEN a ELSE b END AS dx, greatest(a + change, 0) - CASE turn WHEN 0 THEN b ELSE a END AS dy FROM a, (SELECT unnest([0, 90]) AS turn)),
+m AS (SELECT *, CASE WHEN dx >= 0 AND dy >= 0 THEN least(dx, dy) + 1 ELSE -sqrt(greatest(-dx, 0) ** 2 + greatest(-dy, 0) ** 2) END AS margin FROM t)
+"""
+
+
+@query("mask_margin", A.SQL + _MASK + "SELECT a, b, change, any_value(n) AS n, round(max(margin), 9) AS margin_px, arg_min(turn, (-margin, turn))::INTEGER AS turn FROM m GROUP BY ALL")
 def mask_margin(spark, sf_dir):
-    """Each part's raster against its grown one."""
+    """Masks of parts, (2 a + 1) by (2 b + 1) pixels, in masks of openings that lie across and are larger or smaller by change: best margin and turn."""
     import numpy as np
-    import pandas as pd
 
     from ..operators import polygons as P
 
     def run(batches):
-        for b in batches:
-            out = []
-            for r, h in zip(b.ring, b.hole, strict=True):
-                pts = P._points(r) / 5  # two lattice points a millimetre
-                x, y = P.lattice(pts, 0.4)
-                peg = P.inside(pts, h / 5, x, y)
-                hole = np.hypot(x, y) < (h - P.CLEARANCE) / 5 if h else np.zeros(x.shape, bool)
-                out.append(P.signed_margin(peg, (P.inside(pts, 0.0, x, y) | (P.edge_distance(pts, x, y) <= P.CLEARANCE / 5)) & ~hole))
-            yield pd.DataFrame({"part_id": b.part_id, "margin_px": out})
-
-    return P.profiles(generators.parts(spark)).mapInPandas(run, "part_id string, margin_px double")
+        import pyarrow as pa
+
+        def box(half, i, j):
+            x = np.arange(-half, half + 1)
+            return (np.abs(x)[None, :] <= i) & (np.abs(x)[:, None] <= j)
+
+        for batch in batches:
+            rows = []
+            for a, b, change in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "change")), strict=True):
+                i, j = max(b + change, 0), max(a + change, 0)
+                half = max(a, b, i, j) + 1
+                rows.append(P.best_turn_margin(box(half, a, b), box(half, i, j)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int32())], names=[*batch.schema.names, "margin_px", "turn"])
+
+    shape = A.shapes(spark, sf_dir).groupBy(F.col("w").cast("int").alias("a"), F.col("h").cast("int").alias("b"), (F.col("part_id") % 7 - 3).cast("int").alias("change")).agg(F.count("*").alias("n"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = shape.repartition(n, "a", "b", "change").mapInArrow(run, "a int, b int, change int, n long, margin_px double, turn int")
+    return out.withColumn("margin_px", F.round("margin_px", 9))

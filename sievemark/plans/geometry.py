@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import classes as C
-from ..operators import polygons
+from ..operators import overlap, polygons
 from ..operators import rectangles as R
 from ..sources import adapters as A
 from ..sources import generators
@@ -194,6 +194,30 @@ def aperture_ladder(spark, sf_dir):
     return out.select("part_id", "offset_mm", "label", F.round("margin", 6).alias("margin"))
 
 
+_ELL = A.SQL + """, k AS (SELECT w, h, h + 1 AS w2, w AS h2, count(*) AS n FROM shapes GROUP BY ALL),
+one AS (SELECT *, unnest([[-w / 2, w / 2, -h / 2, 0], [-w / 2, 0, 0, h / 2]]) AS r FROM k),
+two AS (SELECT *, unnest([[-w2 / 2, w2 / 2, -h2 / 2, 0], [-w2 / 2, 0, 0, h2 / 2]]) AS q FROM one),
+t AS (SELECT w, h, w2, h2, n, r, turn, CASE turn WHEN 0 THEN q WHEN 1 THEN [-q[4], -q[3], q[1], q[2]] WHEN 2 THEN [-q[2], -q[1], -q[4], -q[3]] ELSE [q[3], q[4], -q[2], -q[1]] END AS q FROM two, (SELECT unnest([0, 1, 2, 3]) AS turn)),
+c AS (SELECT w, h, any_value(n) AS n, turn, 0.75::DOUBLE * (w * h + any_value(w2 * h2)) AS whole, sum(greatest(least(r[2], q[2]) - greatest(r[1], q[1]), 0) * greatest(least(r[4], q[4]) - greatest(r[3], q[3]), 0)) AS common FROM t GROUP BY w, h, turn)
+"""
+
+
+@query("outline_similarity", _ELL + "SELECT w, h, any_value(n) AS n, round(max(common / (whole - common)), 9) AS similarity FROM c GROUP BY w, h")
+def outline_similarity(spark, sf_dir):
+    """Angles made of parts (their box without a quarter of it) against others that lie across and are 1 longer, over quarter turns."""
+    rows = A.shapes(spark, sf_dir).groupBy("w", "h").agg(F.count("*").alias("n"))
+
+    def angle(w, h):
+        x, y = w / 2, h / 2
+        zero = F.lit(0.0)
+        return F.array(-x, -y, x, -y, x, zero, zero, zero, zero, y, -x, y)
+
+    pairs = rows.select("w", "h", "n", angle(F.col("w"), F.col("h")).alias("one"), angle(F.col("h") + 1, F.col("w")).alias("two"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = overlap.with_similarity(pairs.repartition(n, "w", "h"), "one", "two")
+    return out.select("w", "h", "n", F.round("similarity", 9).alias("similarity"))
+
+
 @query("has_quarter_symmetry", A.SQL + "SELECT part_id, w = h AS symmetric FROM shapes")
 def has_quarter_symmetry(spark, sf_dir):
     """Whether a quarter turn changes less than 0.001 of area."""
