@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -95,3 +95,14 @@ def looked_up(rows: DataFrame, values: DataFrame, on: str | list[str], weight: s
     near = rows.join(often, on)
     rest = rows.join(often.select(on), on, "left_anti").join(values.where(F.col(weight) <= total // HOT), on, "left")
     return near.unionByName(rest)
+
+
+def map_faults(record: Column, expected: Column) -> Column:
+    """What is wrong with a map of settings: every expected key must be there with the same value (null: any), and no other may be."""
+    told = lambda keys, what: F.transform(F.array_sort(keys), lambda k: F.concat(k, F.lit(what)))
+    both = F.array_intersect(F.map_keys(expected), F.map_keys(record))
+    differ = F.filter(both, lambda k: F.element_at(expected, k).isNotNull() & ~F.equal_null(F.element_at(record, k), F.element_at(expected, k)))
+    return F.concat(
+        told(F.array_except(F.map_keys(expected), F.map_keys(record)), " is missing"), told(F.array_except(F.map_keys(record), F.map_keys(expected)), " is unknown"),
+        told(differ, " differs"),
+    )

@@ -9,7 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .overlap import mask_margins
@@ -129,11 +129,14 @@ def area_centre(pts: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def profiles(parts: DataFrame) -> DataFrame:
-    """part_id, family, ring and hole of catalogue rows (part_id, family, params)."""
+    """part_id, family, ring and hole of catalogue rows (part_id, family, params, and scale if there)."""
+    scaled = "scale" in parts.columns
 
     def run(batches):
         for b in batches:
             made = [outline(f, json.loads(p)) for f, p in zip(b.family, b.params, strict=True)]
+            if scaled:
+                made = [(pts * k, hole * k) for (pts, hole), k in zip(made, b.scale, strict=True)]
             yield pd.DataFrame({"part_id": b.part_id, "family": b.family, "ring": [[{"x": float(x), "y": float(y)} for x, y in pts] for pts, _ in made], "hole": [h for _, h in made]})
 
     return parts.mapInPandas(run, "part_id string, family string, ring array<struct<x:double,y:double>>, hole double")
@@ -212,8 +215,8 @@ def rasters(profiled: DataFrame) -> DataFrame:
     return profiled.mapInPandas(run, "part_id string, points long, area double")
 
 
-def shift_fits(profiled: DataFrame) -> DataFrame:
-    """peg_id, socket_id, fits for all pairs of a family: does a quarter turn of the peg fit the socket after a shift?
+def shift_fits(profiled: DataFrame, by: str = "family") -> DataFrame:
+    """peg_id, socket_id, fits for all pairs of a family (or of an equal column by), a few outlines: does a quarter turn of the peg fit the socket after a shift?
 
     The socket is the part grown by its clearance, the tolerance and a grid step, so that no fit is missed. Its raster is
     made once and used for all pegs of its family."""
@@ -228,7 +231,8 @@ def shift_fits(profiled: DataFrame) -> DataFrame:
             rows += [(peg, socket, any(fits_shifted(m, outside) for m in masks)) for peg, masks in pegs.items()]
         return pd.DataFrame(rows, columns=["peg_id", "socket_id", "fits"])
 
-    return profiled.groupBy("family").applyInPandas(family, "peg_id string, socket_id string, fits boolean")
+    n = int(profiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, much work each
+    return profiled.repartition(n, by).groupBy(by).applyInPandas(family, "peg_id string, socket_id string, fits boolean")
 
 
 # --- fits of all pairs ---
@@ -366,36 +370,40 @@ MATRIX = "peg_id string, socket_id string, label string, reason string, margin d
 
 
 def label_matrix(profiled: DataFrame, block: int = 16) -> DataFrame:
-    """Label of every peg in the bore of every part, of its own family or another.
+    """Label of every peg in the bore of every part, of its own family or another. All pairs are the result, so they are made: pegs
+    lie in blocks by their number, of which each socket meets every one."""
+    blocks = max(1, profiled.count() // block)
+    pegs = profiled.select(F.pmod(F.xxhash64("part_id"), F.lit(blocks)).alias("b"), F.col("part_id").alias("peg_id"))
+    sockets = profiled.select(F.col("part_id").alias("socket_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
+    return label_pairs(sockets.join(pegs, "b").select("peg_id", "socket_id"), profiled)
 
-    All pairs are the result, so they are made: pegs in rows of up to `block`, each of which meets every socket once by an
-    equi-join on the block's number. What a socket needs for all pegs of a block is worked out once."""
-    pegs = profiled.select(F.pmod(F.xxhash64("part_id"), F.lit(1 << 20)).alias("h"), F.struct("part_id", "ring", "hole").alias("peg"))
-    number = F.floor((F.row_number().over(Window.orderBy("h", "peg.part_id")) - 1) / block).alias("block")  # ids and rings of a catalogue
-    blocks = pegs.select("peg", number).groupBy("block").agg(F.collect_list("peg").alias("pegs"))
-    sockets = profiled.join(F.broadcast(blocks.agg(F.max("block").alias("last"))))  # one row
-    sockets = sockets.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).select("block", "part_id", "ring", "hole")
+
+def label_pairs(pairs: DataFrame, profiled: DataFrame) -> DataFrame:
+    """Labels of distinct pairs (peg_id, socket_id) of outlines. What a socket needs for all of its pegs is worked out once a task."""
 
     def run(batches):
         socket, shapes = {}, {}
         for b in batches:
             rows = []
-            for sid, ring_, hole, pegs_ in zip(b.part_id, b.ring, b.hole, b.pegs, strict=True):
+            for pid, sid, peg, peg_hole, ring_, hole in zip(b.peg_id, b.socket_id, b.peg_ring, b.peg_hole, b.ring, b.hole, strict=True):
                 if sid not in socket:
                     socket = {sid: Socket(_points(ring_), hole)}
-                for p in pegs_:
-                    if p["part_id"] not in shapes:
-                        if len(shapes) > 4096:
-                            shapes.clear()
-                        pts = _points(p["ring"])
-                        turns = quarter_turns(pts)
-                        shapes[p["part_id"]] = turns, p["hole"], area_centre(pts)[1] - math.pi * p["hole"] ** 2, inner_radius(pts, p["hole"]), equal_turns(turns)
-                    rows.append({"peg_id": p["part_id"], "socket_id": sid} | socket[sid].label(*shapes[p["part_id"]]))
+                if pid not in shapes:
+                    if len(shapes) > 4096:
+                        shapes.clear()
+                    pts = _points(peg)
+                    turns = quarter_turns(pts)
+                    shapes[pid] = turns, peg_hole, area_centre(pts)[1] - math.pi * peg_hole**2, inner_radius(pts, peg_hole), equal_turns(turns)
+                rows.append({"peg_id": pid, "socket_id": sid} | socket[sid].label(*shapes[pid]))
             out = pd.DataFrame(rows, columns=[f.split()[0] for f in MATRIX.split(", ")])
             yield out.astype({"max_gap": float})
 
-    n = int(profiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sockets.join(blocks, "block").repartition(n, "part_id").sortWithinPartitions("part_id").mapInPandas(run, MATRIX)
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pegs = profiled.select(F.col("part_id").alias("peg_id"), F.col("ring").alias("peg_ring"), F.col("hole").alias("peg_hole"))
+    met = pairs.join(pegs, "peg_id").join(profiled.select(F.col("part_id").alias("socket_id"), "ring", "hole"), "socket_id")
+    # outlines of one size (what follows @ in an id) are paired, so tasks that hold few sizes make few pegs; few rows, much work each
+    dealt = met.repartitionByRange(n, F.substring_index("socket_id", "@", -1), "socket_id").sortWithinPartitions("socket_id")
+    return dealt.select("peg_id", "socket_id", "peg_ring", "peg_hole", "ring", "hole").mapInPandas(run, MATRIX)
 
 
 def equal_turns(turns: list[np.ndarray]) -> list[int]:

@@ -95,13 +95,20 @@ def record_validate(spark, sf_dir):
     return spark.createDataFrame([(k, x) for k, r in altered.items() for x in records.record_faults(r)], "record string, fault string")
 
 
-@query("run_records", "SELECT * FROM (VALUES ('arm', 'quant differs'), ('arm', 'seed is unknown'), ('arm', 'views is missing'), ('pass', 'thresholds differ from the frozen ones'), ('pass', 'a.csv changed'), ('pass', 'b.csv is gone'), ('pass', 'c.csv appeared')) v(record, fault)")
+_RUNS = """WITH r AS (SELECT source, count(*) AS n, min(lang) AS lang, sum(n_chars)::BIGINT AS chars, CAST(regexp_extract(source, '[0-9]+', 0) AS INTEGER) % 5 AS k FROM documents GROUP BY source),
+f AS (SELECT source, unnest(CASE k WHEN 0 THEN [] WHEN 1 THEN ['n differs'] WHEN 2 THEN ['chars is missing', 'seed is unknown'] WHEN 3 THEN ['lang differs', 'n differs'] ELSE ['seed is unknown'] END) AS fault FROM r)"""
+
+
+@query("run_records", _RUNS + " SELECT source, fault FROM f")
 def run_records(spark, sf_dir):
-    """Faults of a run's record against its settings, and of the record of a pass against thresholds and inputs."""
-    arm = records.arm_faults({"quant": "int8", "prompt": "paper", "seed": 1}, {"quant": "nf4", "prompt": "paper", "views": ["top"]})
-    made = {"split": "test", "n": 5, "thresholds": {"S1": {"tau": 0.5}}, "inputs": {"a.csv": "1", "b.csv": "2"}}
-    told = records.test_pass_faults(made, {"S1": {"tau": 0.6}}, {"a.csv": "9", "c.csv": "3"})
-    return spark.createDataFrame([("arm", x) for x in arm] + [("pass", x) for x in told], "record string, fault string")
+    """Faults of the records of runs, one a source, against what the documents say; the records of most sources were altered."""
+    runs = A.read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.min("lang").alias("lang"), F.sum("n_chars").alias("chars"))
+    k = F.regexp_extract("source", "[0-9]+", 0).cast("int") % 5
+    text = lambda c: F.col(c).cast("string")
+    expected = F.create_map(F.lit("n"), text("n"), F.lit("lang"), text("lang"), F.lit("chars"), text("chars"))
+    other = F.create_map(F.lit("n"), (F.col("n") + F.when(k.isin(1, 3), 1).otherwise(0)).cast("string"), F.lit("lang"), F.when(k == 3, "none").otherwise(F.col("lang")), F.lit("chars"), text("chars"), F.lit("seed"), F.lit("1"))
+    record = F.map_filter(other, lambda name, _: ~((name == "seed") & ~k.isin(2, 4)) & ~((name == "chars") & (k == 2)))
+    return runs.select("source", F.explode(keyed.map_faults(record, expected)).alias("fault"))
 
 
 #: The families of each split under the fixed seed.
@@ -110,28 +117,34 @@ SPLITS = {
 }
 
 
-@query("splits", "SELECT unnest(string_split(f, ' ')) AS family, split FROM (VALUES " + ", ".join(f"('{s}', '{f}')" for s, f in SPLITS.items()) + ") v(split, f)")
+@query("splits", A.SQL + A.OUTLINES + ", s AS (SELECT unnest(string_split(f, ' ')) AS family, split FROM (VALUES " + ", ".join(f"('{s}', '{f}')" for s, f in SPLITS.items()) + ") v(split, f)) SELECT family, split, sum(n)::BIGINT AS n FROM outlines JOIN s USING (family) GROUP BY ALL")
 def splits(spark, sf_dir):
-    return spark.createDataFrame(sorted(generators.family_splits(generators.SIZES).items()), "family string, split string")
+    """The seeded split of the parts' families, with how many parts each has."""
+    counts = A.outlines(spark, sf_dir).groupBy("family").agg(F.sum("n").alias("n"))
+    dealt = generators.family_splits(r["family"] for r in counts.select("family").collect())  # as many as there are places
+    split = F.element_at(F.create_map(*(F.lit(x) for pair in dealt.items() for x in pair)), F.col("family"))
+    return counts.select("family", split.alias("split"), "n")
 
 
 @query("shuffle")
 def shuffle(spark, sf_dir):
-    """Presentation order of each part's four blocks."""
-    ids = [p for p, _, _ in generators.part_list()]
-    rows = [(f"{p}_{r}", i, c) for p in ids for r in ("present_easy", "present_hard", "absent_easy", "absent_hard") for i, c in enumerate(generators.shuffled(["first", "second", "third"], f"{p}_{r}"))]
-    return spark.createDataFrame(rows, "block_id string, position int, role string")
+    """Presentation order of each block's candidates, seeded by the block."""
+    blocks = A.candidates(spark, sf_dir).groupBy("block_id").agg(F.sort_array(F.collect_list("cand_id")).alias("cands"))
+    return generators.presented(blocks)
 
 
 @query("panel")
 def panel(spark, sf_dir):
-    """The pilot panel of the development families: five categories, each pair with its label and margin."""
+    """The pilot panel of those parts' outlines that are of the development families, some fourteen: five categories, each pair with
+    its label and margin, and how many parts the peg stands for."""
     import json
 
     from ..operators import polygons as P
 
     split = generators.family_splits(generators.SIZES)
-    dev = [p for p in generators.part_list() if split[p[1]] == "dev"]  # some fourteen parts
+    there = A.outlines(spark, sf_dir).where(F.col("family").isin([f for f, x in split.items() if x == "dev"]))
+    counts = {r["variant"]: r["n"] for r in there.groupBy(F.substring_index("part_id", "@", 1).alias("variant")).agg(F.sum("n").alias("n")).collect()}  # variants of four families
+    dev = [p for p in generators.part_list() if p[0] in counts]
     profiled = P.profiles(spark.createDataFrame(dev, "part_id string, family string, params string"))
     found = {(r["peg_id"], r["socket_id"]): (r["label"], r["margin"]) for r in P.label_matrix(profiled).collect()}  # a row a pair of them
     outlines = {i: P.outline(f, json.loads(p)) for i, f, p in dev}
@@ -147,8 +160,8 @@ def panel(spark, sf_dir):
             label = "compatible" if margin >= P.BAND else "ambiguous" if margin >= -P.BAND else "incompatible"
         else:
             label, margin = found[peg, peg if category == "rotated" else socket]
-        rows.append((category, peg, socket, label, float(margin)))
-    return spark.createDataFrame(rows, "category string, peg_id string, socket string, label string, margin double")
+        rows.append((category, peg, socket, label, float(margin), counts[peg]))
+    return spark.createDataFrame(rows, "category string, peg_id string, socket string, label string, margin double, n long")
 
 
 _MASK = """, a AS (SELECT w::INTEGER AS a, h::INTEGER AS b, (part_id % 7 - 3)::INTEGER AS change, count(*) AS n FROM shapes GROUP BY ALL),

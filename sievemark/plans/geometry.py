@@ -268,35 +268,43 @@ def wkt_parse(spark, sf_dir):
     return points.select("part_id", "pos", "p.x", "p.y")
 
 
-_CATALOG = "WITH c AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{f}', '{p}')" for i, f, p in generators.part_list()) + ") v(part_id, family, params)) "
+@query("catalog_gen", A.SQL + A.OUTLINES + " SELECT * FROM outlines")
+def catalog_gen(spark, sf_dir):
+    """The distinct outlines of parts."""
+    return A.outlines(spark, sf_dir).drop("scale")
 
 
-@query("catalog_gen", _CATALOG + "SELECT * FROM c")
-def catalog_gen(spark, sf_dir):
-    return generators.parts(spark)
+def outlines(spark, sf_dir):
+    """Profiles of the parts' distinct outlines."""
+    rows = A.outlines(spark, sf_dir).select("part_id", "family", "params", "scale")
+    return polygons.profiles(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part_id"))
 
 
 @query("profile_vertices")
 def profile_vertices(spark, sf_dir):
-    return polygons.profiles(generators.parts(spark))
+    return outlines(spark, sf_dir)
 
 
-@query("mirror_twins", _CATALOG + """, k AS (SELECT *, replace(params, '"mirror": true, ', '') AS key FROM c) SELECT a.part_id AS part_a, b.part_id AS part_b FROM k a JOIN k b ON a.family = b.family AND a.key = b.key AND a.part_id < b.part_id""")
+@query("mirror_twins", A.SQL + A.OUTLINES + """, k AS (SELECT *, replace(params, '"mirror": true, ', '') AS key FROM outlines) SELECT a.part_id AS part_a, b.part_id AS part_b FROM k a JOIN k b ON a.family = b.family AND a.key = b.key AND a.size = b.size AND a.part_id < b.part_id""")
 def mirror_twins(spark, sf_dir):
-    return generators.mirror_twins(generators.parts(spark))
+    """Outlines of parts that mirror each other, at the same size."""
+    return generators.mirror_twins(A.outlines(spark, sf_dir), "size")
 
 
 @query("shift_fit")
 def shift_fit(spark, sf_dir):
-    return polygons.shift_fits(polygons.profiles(generators.parts(spark)))
+    """Outlines of parts of one family and size: does one fit another's socket after a shift?"""
+    group = F.concat("family", F.lit("@"), F.substring_index("part_id", "@", -1))
+    return polygons.shift_fits(outlines(spark, sf_dir).withColumn("group", group), "group")
 
 
 @query("raster")
 def raster(spark, sf_dir):
-    return polygons.rasters(polygons.profiles(generators.parts(spark)))
+    return polygons.rasters(outlines(spark, sf_dir))
 
 
 @query("label_matrix_catalog")
 def label_matrix_catalog(spark, sf_dir):
-    """Every part of the catalogue in the bore of every part: 5184 pairs."""
-    return polygons.label_matrix(polygons.profiles(generators.parts(spark)))
+    """Every part in the bore of every part of its catalogue, by outlines, with how many pairs of parts have them."""
+    pairs = A.outline_pairs(spark, sf_dir)
+    return polygons.label_pairs(pairs.select("peg_id", "socket_id"), outlines(spark, sf_dir)).join(pairs, ["peg_id", "socket_id"])

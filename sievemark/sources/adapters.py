@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import generators
+
 #: Groups that are reported apart.
 EXPOSED = ("NATION_0", "NATION_3", "NATION_6", "NATION_9", "NATION_12", "NATION_15", "NATION_18")
 
@@ -87,6 +89,32 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _step() -> Column:
+    return (F.ceil(F.col("p_size") / 10) * 10).cast("int")
+
+
+def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct outlines that parts have: part_id, family, params, size, scale, n parts, and the first of them. A part has the outline of
+    the catalogue that its number says, at the scale that its size, in steps of 10, says."""
+    known = generators.part_list()
+    variant = F.get(F.array(*(F.struct(F.lit(i).alias("variant"), F.lit(f).alias("family"), F.lit(p).alias("params")) for i, f, p in known)), (F.col("p_partkey") % len(known)).cast("int"))
+    rows = read(spark, sf_dir, "part").select(F.explode(F.array(variant)).alias("v"), _step().alias("size"), "p_partkey")
+    rows = rows.groupBy("v.variant", "v.family", "v.params", "size").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+    scale = F.lit(0.5) + F.col("size") / F.lit(100.0)
+    return rows.select(F.concat("variant", F.lit("@"), F.col("size").cast("string")).alias("part_id"), "family", "params", "size", scale.alias("scale"), "n", "first")
+
+
+def outline_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(peg_id, socket_id, n_pairs): outlines of parts of one catalogue (brand, type and size), and how many pairs of parts that are."""
+    n = len(generators.part_list())
+    ids = F.array(*(F.lit(i) for i, _, _ in generators.part_list()))
+    place = ["p_brand", "p_type", "size"]
+    rows = read(spark, sf_dir, "part").withColumn("size", _step()).groupBy(*place, (F.col("p_partkey") % n).alias("k")).agg(F.count("*").alias("n"))
+    name = lambda k: F.concat(F.get(ids, F.col(k).cast("int")), F.lit("@"), F.col("size").cast("string"))
+    pegs, sockets = rows.select(*place, F.col("k").alias("a"), F.col("n").alias("na")), rows.select(*place, F.col("k").alias("b"), F.col("n").alias("nb"))
+    return pegs.join(sockets, place).groupBy(name("a").alias("peg_id"), name("b").alias("socket_id")).agg(F.sum(F.col("na") * F.col("nb")).alias("n_pairs"))
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed score log: ord, key, answer, p_yes."""
     docs = read(spark, sf_dir, "documents")
@@ -114,3 +142,7 @@ ladder AS (SELECT user_id AS peg_id, user_id % 7 AS family, CASE WHEN user_id %
 shapes AS (SELECT p_partkey AS part_id, p_brand AS split, p_type AS family, p_size::DOUBLE AS w, (1 + p_partkey % 37)::DOUBLE AS h, p_size::DOUBLE + 0.6::DOUBLE AS bore_w, (1 + p_partkey % 37)::DOUBLE + 0.6::DOUBLE AS bore_h FROM part),
 log AS (SELECT doc_id AS ord, sha256(text) AS key, lang AS answer, (n_chars % 100) / 100::DOUBLE AS p_yes, source AS config FROM documents)
 """
+
+#: The outlines of parts for DuckDB, to follow the tables above.
+OUTLINES = ", known AS (SELECT row_number() OVER () - 1 AS k, * FROM (VALUES " + ", ".join(f"('{i}', '{f}', '{p}')" for i, f, p in generators.part_list()) + """) v(variant, family, params)),
+outlines AS (SELECT variant || '@' || (ceil(p_size / 10) * 10)::INTEGER AS part_id, family, params, (ceil(p_size / 10) * 10)::INTEGER AS size, count(*) AS n, min(p_partkey) AS first FROM part JOIN known ON k = p_partkey % (SELECT count(*) FROM known) GROUP BY ALL)"""

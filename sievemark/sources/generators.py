@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import random
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,21 @@ def family_splits(families, seed: int = SPLIT_SEED) -> dict[str, str]:
     return dict(zip(shuffled(sorted(names), seed), places, strict=True))
 
 
+def presented(blocks: DataFrame) -> DataFrame:
+    """(block_id, position, cand_id) of blocks (block_id, cands): the seeded order in which a block's candidates, a few, are shown."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for block, cands in zip(batch.column("block_id").to_pylist(), batch.column("cands").to_pylist(), strict=True):
+                order = list(cands)
+                random.Random(str(block)).shuffle(order)
+                rows += [(block, k, c) for k, c in enumerate(order)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.string()))], names=["block_id", "position", "cand_id"])
+
+    return blocks.select("block_id", "cands").mapInArrow(run, "block_id long, position int, cand_id string")
+
+
 def shuffled(items: list, seed: str | int) -> list:
     """Seeded order: of a block's candidates by the block's id, of families by the split's seed."""
     order = list(items)
@@ -102,11 +119,10 @@ def panel(ids: list[str], margins: dict[tuple[str, str], tuple[str, float]], fam
     return out + [("shrunk", p, f"{p}_c{by:+.1f}") for p in rng.sample(ids, SHRUNK) for by in OFFSETS]
 
 
-def mirror_twins(parts_: DataFrame) -> DataFrame:
-    """Pairs of a family whose parameters are equal but for `mirror`."""
+def mirror_twins(parts_: DataFrame, *by: str) -> DataFrame:
+    """Pairs of a family (and of equal columns by) whose parameters are equal but for `mirror`."""
     kind = "map<string,string>"
     key = F.to_json(F.map_filter(F.from_json("params", kind), lambda k, _: k != "mirror"))
-    rows = parts_.select("part_id", "family", key.alias("key"))
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.family") == F.col("b.family")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.part_id") < F.col("b.part_id")))
-    return met.select(F.col("a.part_id").alias("part_a"), F.col("b.part_id").alias("part_b"))
+    rows = parts_.select("part_id", "family", key.alias("key"), *by)
+    met = rows.withColumnRenamed("part_id", "part_a").join(rows.withColumnRenamed("part_id", "part_b"), ["family", "key", *by])
+    return met.where("part_a < part_b").select("part_a", "part_b")

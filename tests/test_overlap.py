@@ -99,3 +99,27 @@ def test_incomplete_joins_tell_how_many(spark):
     whole = keyed.joined_complete(left.where("k in (1, 3)"), right, "k")
     assert sorted((r["k"], r["x"], r["y"]) for r in whole.collect()) == [(1, "a", 10), (3, "c", 30)]
     assert "Nested" not in whole._jdf.queryExecution().executedPlan().toString() and left.withColumn("y", F.lit(1)).count() == 5
+
+
+def test_blocks_are_shown_in_seeded_order(spark):
+    blocks = spark.createDataFrame([(k, [f"{i:03d}" for i in range(k % 5)]) for k in range(40)], "block_id long, cands array<string>")
+    got = collections.defaultdict(dict)
+    for r in generators.presented(blocks).collect():
+        got[r["block_id"]][r["position"]] = r["cand_id"]
+    assert {b: [x[i] for i in range(len(x))] for b, x in got.items()} == {k: generators.shuffled([f"{i:03d}" for i in range(k % 5)], str(k)) for k in range(40) if k % 5}
+
+
+def test_faults_of_maps(spark):
+    rows = [({"a": "1", "b": "2"}, {"a": "1", "b": "3", "c": "x"}), ({"z": "1", "y": None}, {"y": "2"}), ({"a": "5"}, {"a": None}), ({}, {})]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, r struct<one:map<string,string>,two:map<string,string>>")
+    got = {r["id"]: r["f"] for r in df.select("id", keyed.map_faults(F.col("r.one"), F.col("r.two")).alias("f")).collect()}
+    assert got == {0: ["c is missing", "b differs"], 1: ["z is unknown", "y differs"], 2: [], 3: []}
+
+
+def test_scaled_outlines(spark):
+    parts = spark.createDataFrame([("a", "square", '{"s": 10}', 0.5), ("b", "tube", '{"d_out": 14, "d_in": 6}', 2.0)], "part_id string, family string, params string, scale double")
+    got = {r["part_id"]: (max(p["x"] for p in r["ring"]), r["hole"]) for r in polygons.profiles(parts).collect()}
+    assert got["a"] == (2.5, 0.0) and got["b"] == (pytest.approx(14), 6.0)
+    pairs = spark.createDataFrame([("a", "a"), ("b", "a")], "peg_id string, socket_id string")
+    labels = {(r["peg_id"], r["socket_id"]): r["label"] for r in polygons.label_pairs(pairs, polygons.profiles(parts)).collect()}
+    assert labels == {("a", "a"): "compatible", ("b", "a"): "incompatible"}
