@@ -304,21 +304,22 @@ def largest_gap(peg: np.ndarray, bore: np.ndarray) -> float:
 
 
 def inner_radius(pts: np.ndarray, hole: float) -> float:
-    """Radius of the largest circle inside, within a grid step: by distances of lattice points, then of finer ones."""
-    x, y = (g.ravel() for g in lattice(pts))
-    some = inside(pts, hole, x, y)
-    x, y = x[some], y[some]
-    if not len(x):
-        return 0.0
-    for step in (GRID / 5, GRID / 25, None):
-        depth = edge_distance(pts, x, y)
+    """Radius of the largest circle inside, to a tenth of a grid step: by ever finer squares, of which those go whose centres are
+    too shallow for a point of the square to be the deepest."""
+    step = 16 * GRID
+    lo, hi = pts.min(axis=0), pts.max(axis=0)
+    x, y = (g.ravel() for g in np.meshgrid(np.arange(lo[0] + step / 2, hi[0] + step / 2, step), np.arange(lo[1] + step / 2, hi[1] + step / 2, step)))
+    best = 0.0
+    while True:
+        depth = -signed(pts, np.c_[x, y])
         if hole:
             depth = np.minimum(depth, np.hypot(x, y) - hole)
-        k = int(depth.argmax())
-        if step:
-            near = np.arange(-6, 7) * step
-            x, y = (g.ravel() for g in np.meshgrid(x[k] + near, y[k] + near))
-    return float(depth[k])
+        best = max(best, float(depth.max(initial=0.0)))
+        if step <= GRID / 10:
+            return best
+        keep = depth + step * math.sqrt(0.5) > best
+        x, y = ((g[keep][:, None] + step / 4 * np.array(away)).ravel() for g, away in ((x, [-1, 1, -1, 1]), (y, [-1, -1, 1, 1])))
+        step /= 2
 
 
 class Socket:
@@ -326,23 +327,26 @@ class Socket:
 
     def __init__(self, pts: np.ndarray, hole: float):
         self.ring, self.pin = bore_of(pts, hole)
-        self._region = None
+        self._grown = self._inner = self._outside = None
 
-    def region(self):
-        """The bore grown by the tolerance and a grid step, as (size, area, inner radius, raster of what is outside)."""
-        if self._region is None:
+    def shifted(self, turns: list[np.ndarray], hole: float, area: float, radius: float) -> bool:
+        """Whether some turn may fit after a shift, in the bore grown by the tolerance and a grid step. Area, box and inner radius rule
+        most pegs out; the inner radius and the raster of what is outside are made when a peg first needs them."""
+        if self._grown is None:
             by = BAND + GRID
             ring, pin = offset_ring(self.ring, by), max(0.0, self.pin - by)
-            free = inside(ring, pin, *lattice(ring, 2 * GRID))
-            self._region = np.ptp(ring, axis=0), abs(_twice_area(ring)) / 2 - math.pi * pin**2, inner_radius(ring, pin), 1.0 - free
-        return self._region
-
-    def shifted(self, turns: list[np.ndarray], hole: float, area: float, radius: float) -> bool:
-        """Whether some turn may fit after a shift. Area, box and inner radius rule most pegs out."""
-        size, most, inner, outside = self.region()
-        if area > most or radius > inner + 0.02:
+            self._grown = ring, pin, np.ptp(ring, axis=0), abs(_twice_area(ring)) / 2 - math.pi * pin**2
+        ring, pin, size, most = self._grown
+        turns = [t for t in turns if t is not None and (np.ptp(t, axis=0) <= size).all()]
+        if area > most or not turns:
+            return False
+        if self._inner is None:
+            self._inner = inner_radius(ring, pin)
+        if radius > self._inner + 0.02:
             return False
-        return any(t is not None and (np.ptp(t, axis=0) <= size).all() and fits_shifted(inside(t, hole, *lattice(t)).astype(float), outside) for t in turns)
+        if self._outside is None:
+            self._outside = 1.0 - inside(ring, pin, *lattice(ring, 2 * GRID))
+        return any(fits_shifted(inside(t, hole, *lattice(t)).astype(float), self._outside) for t in turns)
 
     def label(self, turns: list[np.ndarray], hole: float, area: float, radius: float, alike: list[int] | None = None) -> dict:
         """alike: equal_turns() of turns, if known."""
