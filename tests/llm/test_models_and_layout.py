@@ -261,6 +261,21 @@ def test_shards(spark):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and all(len(x) == 1 for x in homes.values())
 
 
+def test_shards_split_on_language_and_source(spark):
+    """The widest dimension is cut first, languages far apart in the alphabet, then sources; copies go with the least of theirs."""
+    rng = random.Random(4)
+    names = [(lang, source) for lang in ("aa", "zz") for source in ("bb", "yy")]
+    rows = [(4 * i + k, f"{i:04d}{k} " + prose(rng, 3)[:11].ljust(11, "x"), lang, source) for i in range(800) for k, (lang, source) in enumerate(names)]
+    rows += [(10_000 + i, "a text of several languages", *names[i % 4]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(k) for k, c in enumerate(("size", "group", "tie", "node", "shard", "at_lang", "low_lang"))})
+    where = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, 4).collect()}
+    halves = Counter((lang, where[d] // 2) for d, _, lang, _ in rows if d < 10_000)
+    assert halves["aa", 0] + halves["zz", 1] >= 0.97 * sum(halves.values())  # a cut may miss the half by a little
+    one = [(source, where[d]) for d, _, lang, source in rows if d < 10_000 and lang == "aa" and where[d] < 2]
+    assert sum(shard == (source == "yy") for source, shard in one) >= 0.97 * len(one)  # where one language is left, sources are widest
+    assert len({where[10_000 + i] for i in range(12)}) == 1
+
+
 def test_group_that_no_shard_holds_is_cut(spark):
     rng = random.Random(2)
     data = [(i, "the same text again and again") for i in range(1000)] + [(2000 + i, prose(rng, 20)) for i in range(300)]

@@ -4,12 +4,13 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from sievemark.llm import registry, simhash
 
-from .conftest import prose
+from .conftest import CLASH, prose
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -80,6 +81,58 @@ def test_near_copies_go(spark, tmp_path):
     assert kept == {*range(24), *other}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_dedup_keeps_what_brute_force_keeps(spark, seed):
+    """Texts at all distances from one another, short ones and chains among them: the same rows stay as by all pairs."""
+    rng = random.Random(seed)
+
+    def shingles(text):
+        w = text.lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    base = [prose(rng, n).split() for n in (5, 7, 12, 30, 60, 60, 120, 300)]
+    rows = []
+    for k in range(160):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice((0, 0, 1, 1, 2, 3, 6))):
+            w[rng.randrange(len(w))] = rng.choice(("one", "other", "third"))
+        rows.append((1000 - 3 * k if k % 2 else 3 * k, " ".join(w) if k % 17 else rng.choice(("", None, " \t", "Two words"))))
+    sets = {t or "": shingles(t or "") for _, t in rows}
+    texts = sorted(sets)
+    alike = lambda a, b: a == b or (not sets[a] and not sets[b]) or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0
+    root = {t: t for t in texts}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if alike(a, b):
+                root[find(a)] = find(b)
+    first: dict = {}
+    for d, t in rows:
+        group = find(t or "")
+        first[group] = min(d, first.get(group, d))
+    docs = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string").withColumn("content", F.lit("a column of the caller")).repartition(5)
+    got = simhash.keep_unlike(docs)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(d for d, _ in rows if d in first.values())
+
+
+def test_whole_pipeline_on_odd_columns(spark, tables, tmp_path):
+    """Columns with clashing names, rows of null, repeated rows: run() as a whole."""
+    folder, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = spark.createDataFrame([(None, "some words of a text without a number", "en", None, None), (7000, None, None, None, 0), (7001, "", None, "src", 0), (7001, "", None, "src", 0)], docs.schema)
+    docs.unionByName(odd).withColumns({c: F.lit("z") for c in CLASH}).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(f"{folder}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    plain = {(r["doc_id"], r["doc_tokens"]) for r in corpus_pipeline.run(spark, folder).collect()}
+    got = {(r["doc_id"], r["doc_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {x for x in got if x[0] is not None and x[0] < 7000} == plain
+
+
 def test_near_copies_odd(spark, odd, empty):
     got = simhash.keep_unlike(odd)
     assert got.columns == odd.columns and simhash.keep_unlike(empty).count() == 0
@@ -87,7 +140,7 @@ def test_near_copies_odd(spark, odd, empty):
 
 
 def test_registry():
-    assert [sum(k.startswith(f"op{n}_") for k in registry.queries()) for n in range(1, 11)] == [1] * 10
+    assert [sum(k.startswith(f"op{n}_") for k in registry.queries()) for n in range(1, 14)] == [1] * 13
     assert set(registry.oracle_sql()) <= set(registry.queries()) and "pipeline" in entry.queries()
 
 
@@ -97,7 +150,7 @@ def test_against_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want, got = c.sql(registry.oracle_sql()[name]), registry.queries()[name](spark, str(DATA))
     cols = sorted(got.columns)
