@@ -1,6 +1,8 @@
 """Every query against its SQL on the smallest tables."""
 
 import math
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -43,5 +45,12 @@ def test_query(spark, duck, name):
         assert rows == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
 
 
+def test_entry_without_other_packages():
+    """What the corpus part needs and does not find takes its queries away, and no others."""
+    code = "import sys; sys.modules['regex'] = None; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(sorted(k for k in e.queries() if k[:2] == 'op' or k == 'pipeline'), len(e.queries()) > 100)"
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split("\n")[0] == "[] True", done.stderr
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
