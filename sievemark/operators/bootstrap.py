@@ -74,21 +74,24 @@ def _replayed(spark: SparkSession, states: list[tuple[int, bytes]], draw, reps:
     return sent.mapInArrow(replay, DRAWS)
 
 
-def numbered(parts: DataFrame, group: str) -> DataFrame:
-    """(ord, num, den) of a row a group, groups in their order."""
-    return parts.select((F.row_number().over(Window.orderBy(group)) - 1).alias("ord"), F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den"))
+def numbered(parts: DataFrame, group: str, *by: str) -> DataFrame:
+    """(by, ord, num, den) of a row a group (in each by), groups in their order."""
+    order = F.row_number().over(Window.partitionBy(*by).orderBy(group) if by else Window.orderBy(group)) - 1
+    return parts.select(*by, order.alias("ord"), F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den"))
 
 
-def interval(contributions: DataFrame, draws: DataFrame, reps: int, linear: bool = False) -> DataFrame:
-    """One row (low, high, defined) from contributions (ord, num, den): 2.5 and 97.5 % of the repetitions' ratios.
+def interval(contributions: DataFrame, draws: DataFrame, reps: int, linear: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, low, high, defined), one row (for each by), from contributions (by, ord, num, den): 2.5 and 97.5 % of the repetitions'
+    ratios. The same draws serve all.
 
     Repetitions with a zero denominator are left out; with fewer than a tenth defined the bounds are null. Bounds are
     elements of the sorted ratios at int(q * m), or linear interpolation between them."""
-    values = draws.join(F.broadcast(contributions), "ord").groupBy("rep").agg(ratio(F.sum(F.col("num") * F.col("times")), F.sum(F.col("den") * F.col("times"))).alias("v")).where("v is not null")
+    sums = draws.join(F.broadcast(contributions), "ord").groupBy(*by, "rep").agg(F.sum(F.col("num") * F.col("times")).alias("n"), F.sum(F.col("den") * F.col("times")).alias("d"))
+    values = sums.select(*by, ratio(F.col("n"), F.col("d")).alias("v")).where("v is not null").groupBy(*by)
     if linear:
         return values.agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"), F.count("*").alias("defined"))
     kept = values.agg(F.sort_array(F.collect_list("v")).alias("v"), F.count("*").alias("defined"))  # one value a repetition
     enough = F.col("defined") >= max(1, reps // 10)
     low = F.floor(F.lit(0.025) * F.col("defined")).cast("int")
     high = F.least(F.floor(F.lit(0.975) * F.col("defined")).cast("int"), (F.col("defined") - 1).cast("int"))
-    return kept.select(F.when(enough, F.get("v", low)).alias("low"), F.when(enough, F.get("v", high)).alias("high"), "defined")
+    return kept.select(*by, F.when(enough, F.get("v", low)).alias("low"), F.when(enough, F.get("v", high)).alias("high"), "defined")
