@@ -64,10 +64,11 @@ def with_weights(cell: DataFrame, *by: str, regime_weights: dict[str, float] | N
 def report(cell: DataFrame, *by: str, digits: int = 9, **kw) -> DataFrame:
     """Raw counts, weighted counts and ratios of the latter for each slice; by must include method. Weights are summed
     exactly, each as often as the cell counts it, and rounded once."""
-    raw = [F.sum(c).cast("long").alias(c) for c in COUNTS]
-    cell = with_weights(cell, *by, **kw)
-    weighted = exact_sums(cell, [*by], {f"weighted_{c}": (F.col("weight"), F.col(c)) for c in COUNTS})
-    out = cell.groupBy(*by).agg(F.count_distinct("family").alias("n_families"), *raw).join(weighted, [*by])
+    families = F.size(F.collect_set("family").over(Window.partitionBy(*by))).cast("long")  # of few cells
+    cell = with_weights(cell, *by, **kw).withColumn("n_families", families)
+    sums = {f"weighted_{c}": (F.col("weight"), F.col(c)) for c in COUNTS} | {c: (F.lit(1.0), F.col(c)) for c in COUNTS}
+    out = exact_sums(cell, [*by, "n_families"], sums)  # all in one pass over the cells
+    out = out.select(*by, "n_families", *(F.col(c).cast("long").alias(c) for c in COUNTS), *(f"weighted_{c}" for c in COUNTS))
     ratios = {k: ratio(F.col(f"weighted_{a}"), F.col(f"weighted_{b}")) for k, (a, b) in RATIOS.items()}
     out = out.withColumns(ratios)
     ranked = {c: F.when(F.col("method") != "B1", F.col(c)) for c in ("top1_correct", "weighted_top1_correct", "top1_present")}
