@@ -10,6 +10,9 @@ windows of as many words as the template has, wherever they start: of a template
 worse; so are texts and windows that hold less than t/(2-t) of the template's bigrams, as they cannot match. How many a window
 holds is told by the places of the template's bigrams in the text, which are looked for once.
 
+A match holds 2/3 (at a threshold of 0.8) of a template's bigrams, so it has one of any words that more than 1/3 of these contain.
+Texts without any of such words are left out before they are split.
+
 Everything is an expression over one row: no shuffle, no Python.
 
 Edge cases: null, empty and one-word texts have no bigrams and match nothing; a unit may match several templates and
@@ -73,6 +76,26 @@ def text_bigrams(text: str) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
+def _need(bigrams: list[str], least: float) -> int:
+    """How many of a template's bigrams a match holds at least."""
+    return max(1, math.ceil(least * len(bigrams) - 1e-9))
+
+
+def telling_words(templates: dict[str, str], least: float, letters: int = 6) -> list[str]:
+    """Words one of which is in every text that holds the share least of some template's bigrams: of each template, fewer bigrams than
+    that contain none of them. Those that most bigrams contain come first, short ones only where no others are left."""
+    left = {k: set(template_bigrams(t)) for k, t in templates.items()}
+    need = {k: _need(b, least) for k, b in left.items()}
+    words = sorted({w for b in left.values() for x in b for w in x.split()})
+    out: list[str] = []
+    while any(len(b) >= need[k] for k, b in left.items()):
+        gain = {w: sum(min(len(b) - need[k] + 1, sum(w in x for x in b)) for k, b in left.items() if len(b) >= need[k]) for w in words}
+        some = [w for w in words if gain[w]]
+        out.append(max([w for w in some if len(w) >= letters] or some, key=lambda w: (gain[w], len(w), w)))
+        left = {k: {x for x in b if out[-1] not in x} for k, b in left.items()}
+    return out
+
+
 def _pairs(w: Column) -> Column:
     each = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
     return F.when(F.size(w) > 1, each).otherwise(F.array().cast("array<string>"))
@@ -102,7 +125,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     every = strings(sorted({b for t in known.values() for b in template_bigrams(t)}))
     least = threshold / (2 - threshold)
     table_ = F.array(*[
-        F.struct(F.lit(k).alias("template"), strings(b).alias("bigrams"), F.lit(len(b)).alias("n"), F.lit(len(text_bigrams(t))).alias("length"), F.lit(math.ceil(least * len(b) - 1e-9)).alias("need"))
+        F.struct(F.lit(k).alias("template"), strings(b).alias("bigrams"), F.lit(len(b)).alias("n"), F.lit(len(text_bigrams(t))).alias("length"), F.lit(_need(b, least)).alias("need"))
         for k, t, b in ((k, t, template_bigrams(t)) for k, t in known.items())
     ])
 
@@ -132,7 +155,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         score = lambda i: F.struct(_given(F.array_distinct(F.slice(g, i + 1, t["length"])), dice).alias("dice"), (-i).alias("minus"))
         return _given(F.array_max(F.transform(_given(places, dense), score)), lambda best: F.when(best.isNotNull(), row(F.lit(WINDOW), -best["minus"], t, best["dice"])))
 
-    lines = docs.select("doc_id", "text", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    telling = strings(telling_words(known, least))
+    told = _given(F.lower("text"), lambda x: F.exists(telling, lambda w: F.contains(x, w)))
+    lines = docs.where(told).select("doc_id", "text", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     whole = F.array(F.struct(F.lit(WHOLE).alias("line"), F.col("text").alias("unit")))
     units = F.when(F.size("lines") > 1, F.concat(whole, _numbered())).otherwise(_numbered())
     each = _once(lines, "doc_id", units=F.transform(units, unit)).where(F.exists("units", lambda u: F.size(u["hits"]) > 0))

@@ -224,6 +224,19 @@ def test_licences_against_all_pairs(spark, docs):
     assert rows(license_scan.scan(df), "doc_id", "line", "template") == sorted(want, key=str) and want
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.8, 1.0])
+def test_licences_are_told_by_words(spark, threshold):
+    """Texts without the words are left out, and no choice of as many bigrams as a match takes is without any of them."""
+    known = license_scan.TEMPLATES | {"short": "a b c", "odd": "x Ünder x"}
+    words = license_scan.telling_words(known, threshold / (2 - threshold))
+    for t in known.values():
+        b = license_scan.template_bigrams(t)
+        free = [x for x in b if not any(w in x for w in words)]
+        assert len(free) < max(1, threshold / (2 - threshold) * len(b))
+    df = spark.createDataFrame([(1, "X\nA b! c"), (2, "x ÜNDER  x"), (3, "nothing here"), (4, None)], "doc_id long, text string")
+    assert set(rows(license_scan.scan(df, known, threshold), "doc_id", "template")) == {(1, "short"), (2, "odd")}
+
+
 def test_words():
     assert words_of("A\tb\x0bC\x1cd É ".encode()) == [b"a", b"b", b"c\x1cd", "É".encode()] and words_of(None) == []
 
