@@ -18,6 +18,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a large table that a task sorts or joins at once.
+TASK_ROWS = 100_000
+
+
+def dealt(rows: DataFrame, total: int, *key: str) -> DataFrame:
+    """rows dealt by key to tasks, as many as total rows need to have TASK_ROWS each (and no fewer than cores): what a sort or join by
+    that key holds does not grow with the table. (Partitions that Spark is free to join grow up to 64 MB as compressed.)"""
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_ROWS))
+    return rows.repartition(n, *key)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new name in the folder that driver and executors share; it goes when the JVM ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,6 +46,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per scored candidate of a block: block_id, position, cand_id, answer, top_prob, p_yes, mass_yes, mass_no, price."""
     order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
     items = read(spark, sf_dir, "lineitem")
+    items = dealt(items.select("l_orderkey", *order, "l_returnflag"), items.count(), "l_orderkey")
     position = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order))
     p = F.col("l_quantity") / F.lit(50.0)
     answer = F.when((F.col("l_tax") == 0.08) & (F.col("l_linenumber") == 7), "other").when(F.col("l_returnflag") == "N", "no").otherwise("yes")
@@ -51,7 +63,9 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     mate = F.col("o_orderkey") % 2 == 0
     tier = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "hard").otherwise("easy")
     split = F.when(F.col("n_regionkey") % 3 == 0, "dev").when(F.col("n_regionkey") % 3 == 1, "calib").otherwise("test")
-    joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    total = orders.count()
+    one, two = dealt(orders.select("o_orderkey", "o_custkey", "o_orderpriority"), total, "o_custkey"), dealt(customer.select("c_custkey", "c_nationkey"), total, "c_custkey")
+    joined = one.join(two, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # a few places
     return joined.select(
         F.col("o_orderkey").alias("block_id"), F.col("n_name").alias("family"), split.alias("split"), tier.alias("tier"),
         F.concat(F.when(mate, "present_").otherwise("absent_"), tier).alias("regime"), mate.alias("has_mate"),
@@ -60,7 +74,8 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with what their block says, and label: the dearest candidate is the mate where there is one."""
-    cand = candidates(spark, sf_dir).join(blocks(spark, sf_dir), "block_id")
+    of_block = dealt(blocks(spark, sf_dir), read(spark, sf_dir, "lineitem").count(), "block_id")  # as candidates() are
+    cand = candidates(spark, sf_dir).join(of_block, "block_id")
     best = F.row_number().over(Window.partitionBy("block_id").orderBy(F.desc("price"), "position"))
     return cand.withColumn("label", F.when(F.col("has_mate") & (best == 1), "compatible").otherwise("incompatible"))
 

@@ -181,3 +181,20 @@ def test_bootstrap_against_a_loop(spark):
 
 def test_trigger():
     assert calibrate.no_better_than_chance([None, 0.2]) and not calibrate.no_better_than_chance([0.4])
+
+
+def test_tasks_stay_small_as_tables_grow(spark, monkeypatch):
+    """Candidates and blocks meet in as many tasks as their rows need, whatever the number of shuffle partitions."""
+    from pathlib import Path
+
+    from sievemark.sources import adapters as A
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).is_dir():
+        pytest.skip("no test tables")
+    monkeypatch.setattr(A, "TASK_ROWS", 200)
+    monkeypatch.setattr(spark.sparkContext.__class__, "defaultParallelism", 2)
+    rows = A.labelled(spark, data)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    total = A.read(spark, data, "lineitem").count()
+    assert sum(sizes) == rows.count() == total and len(sizes) > total / 200 / 2 and max(sizes) < 3 * 200
