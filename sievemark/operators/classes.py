@@ -27,10 +27,10 @@ def shape_classes(shapes: DataFrame, *by: str) -> DataFrame:
     return shapes.dropna(subset=SIZES).groupBy(*by, *SIZES).agg(F.min("part_id").alias("class_id"), F.max("part_id").alias("last"), F.count("*").alias("n"))
 
 
-def members(shapes: DataFrame, classes: DataFrame, *by: str) -> DataFrame:
-    """(part_id, by, class_id); a class may have most of the parts."""
-    own = shapes.dropna(subset=SIZES).select("part_id", *by, *SIZES)
-    return looked_up(own, classes.select(*by, *SIZES, "class_id", "n"), [*by, *SIZES], "n", own.count()).select("part_id", *by, "class_id")
+def members(shapes: DataFrame, classes: DataFrame, *by: str, keep: tuple[str, ...] = (), sizes: tuple[str, ...] = tuple(SIZES)) -> DataFrame:
+    """(part_id, by, keep, class_id); a class, of equal sizes, may have most of the parts."""
+    own = shapes.dropna(subset=SIZES).select("part_id", *by, *keep, *sizes)
+    return looked_up(own, classes.select(*by, *sizes, "class_id", "n"), [*by, *sizes], "n", own.count()).select("part_id", *by, *keep, "class_id")
 
 
 def class_pairs(shapes: DataFrame, by: str) -> DataFrame:

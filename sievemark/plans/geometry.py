@@ -37,6 +37,21 @@ def _iou(a: str, b: str, c: str, d: str) -> str:
 _POOL = _PAIRS + f", pool AS (SELECT *, {_iou('own_w', 'own_h', 'bore_w', 'bore_h')} AS sim FROM matrix WHERE peg_id <> socket_id AND label = 'incompatible')"
 
 
+#: Members of the shapes after the pairs of them.
+_MEMBERS = " UNION ALL BY NAME SELECT shape AS {shape}, part_id, split FROM {of}"
+
+
+def with_members(pairs, members):
+    """Pairs of shapes (part_id and split null), and a row for each part with its shape (the other columns null): together they
+    stand for every pair of parts, which a join of the members with the pairs on shape gives back."""
+    return pairs.unionByName(members, allowMissingColumns=True)
+
+
+def _with_parts(spark, sf_dir, pairs):
+    s = A.shapes(spark, sf_dir)
+    return with_members(pairs, C.members(s, C.shape_classes(s), keep=("split",)).withColumnRenamed("class_id", "peg_shape"))
+
+
 def matrix(spark, sf_dir):
     return C.label_matrix(A.shapes(spark, sf_dir), "split")
 
@@ -49,10 +64,10 @@ def shape_classes(spark, sf_dir):
     return C.members(s, C.shape_classes(s, "split"), "split").join(whole, "part_id").select("part_id", "split", "shape", "class_id")
 
 
-@query("label_matrix", _PAIRS + "SELECT peg_shape, socket_shape, n_pairs, label, CASE WHEN label = 'ambiguous' THEN 'boundary' ELSE '' END AS reason, round(margin, 9) AS margin, (coalesce(max_gap, 0) > 0.6::DOUBLE)::INTEGER AS loose FROM byshape")
+@query("label_matrix", _PAIRS + "SELECT peg_shape, socket_shape, n_pairs, label, CASE WHEN label = 'ambiguous' THEN 'boundary' ELSE '' END AS reason, round(margin, 9) AS margin, (coalesce(max_gap, 0) > 0.6::DOUBLE)::INTEGER AS loose FROM byshape" + _MEMBERS.format(shape="peg_shape", of="cls"))
 def label_matrix(spark, sf_dir):
-    """Every peg in every socket of its split, by shapes: shape_classes has their members."""
-    return matrix(spark, sf_dir).select("peg_shape", "socket_shape", "n_pairs", "label", "reason", F.round("margin", 9).alias("margin"), "loose")
+    """Every peg in every socket of its split, by shapes, and their members."""
+    return _with_parts(spark, sf_dir, matrix(spark, sf_dir).select("peg_shape", "socket_shape", "n_pairs", "label", "reason", F.round("margin", 9).alias("margin"), "loose"))
 
 
 @query("fit_margin", A.SQL + "SELECT part_id, round(CASE WHEN bore_h - 1 < h THEN -least(2, sqrt(greatest(w - bore_w + 1, 0) ** 2 / 4 + (h - bore_h + 1) ** 2 / 4)) ELSE 0 END, 9) AS margin FROM shapes")
@@ -62,9 +77,9 @@ def fit_margin(spark, sf_dir):
     return A.shapes(spark, sf_dir).select("part_id", F.round(m, 9).alias("margin"))
 
 
-@query("best_turn", _PAIRS + "SELECT peg_shape, socket_shape, turn FROM byshape")
+@query("best_turn", _PAIRS + "SELECT peg_shape, socket_shape, turn FROM byshape" + _MEMBERS.format(shape="peg_shape", of="cls"))
 def best_turn(spark, sf_dir):
-    return matrix(spark, sf_dir).select("peg_shape", "socket_shape", "turn")
+    return _with_parts(spark, sf_dir, matrix(spark, sf_dir).select("peg_shape", "socket_shape", "turn"))
 
 
 @query("pair_label", _PAIRS + "SELECT label, count(*) AS n, count(*) FILTER (margin = -2) AS capped FROM matrix GROUP BY label")
@@ -73,33 +88,36 @@ def pair_label(spark, sf_dir):
     return matrix(spark, sf_dir).groupBy("label").agg(F.sum("n_pairs").alias("n"), F.sum(F.when(F.col("margin") == -2, F.col("n_pairs")).otherwise(0)).alias("capped"))
 
 
-@query("loose_flag", _PAIRS + "SELECT peg_shape, socket_shape, round(max_gap, 9) AS max_gap FROM byshape WHERE label = 'compatible'")
+@query("loose_flag", _PAIRS + "SELECT peg_shape, socket_shape, round(max_gap, 9) AS max_gap FROM byshape WHERE label = 'compatible'" + _MEMBERS.format(shape="peg_shape", of="cls"))
 def loose_flag(spark, sf_dir):
-    return matrix(spark, sf_dir).where("label = 'compatible'").select("peg_shape", "socket_shape", F.round("max_gap", 9).alias("max_gap"))
+    return _with_parts(spark, sf_dir, matrix(spark, sf_dir).where("label = 'compatible'").select("peg_shape", "socket_shape", F.round("max_gap", 9).alias("max_gap")))
 
 
-@query("similarity", _PAIRS + f"SELECT peg_shape, socket_shape, round({_iou('own_w', 'own_h', 'bore_w', 'bore_h')}, 9) AS sim FROM byshape")
+@query("similarity", _PAIRS + f"SELECT peg_shape, socket_shape, round({_iou('own_w', 'own_h', 'bore_w', 'bore_h')}, 9) AS sim FROM byshape" + _MEMBERS.format(shape="peg_shape", of="cls"))
 def similarity(spark, sf_dir):
     s = R.similarity(*map(F.col, ("own_w", "own_h", "bore_w", "bore_h")))
-    return C.class_pairs(A.shapes(spark, sf_dir), "split").select("peg_shape", "socket_shape", F.round(s, 9).alias("sim"))
+    return _with_parts(spark, sf_dir, C.class_pairs(A.shapes(spark, sf_dir), "split").select("peg_shape", "socket_shape", F.round(s, 9).alias("sim")))
 
 
-@query("candidate_pool", _PAIRS + f"SELECT peg_shape, socket_shape, n_pairs - n_same AS n_pairs, round({_iou('own_w', 'own_h', 'bore_w', 'bore_h')}, 9) AS sim FROM byshape WHERE label = 'incompatible' AND n_pairs > n_same")
+@query("candidate_pool", _PAIRS + f"SELECT peg_shape, socket_shape, n_pairs - n_same AS n_pairs, round({_iou('own_w', 'own_h', 'bore_w', 'bore_h')}, 9) AS sim FROM byshape WHERE label = 'incompatible' AND n_pairs > n_same" + _MEMBERS.format(shape="peg_shape", of="cls"))
 def candidate_pool(spark, sf_dir):
-    """Sockets of other parts that don't take a peg, by shapes, with how many pairs of parts that is."""
+    """Sockets of other parts that don't take a peg, by shapes, with how many pairs of parts that is, and the members of all shapes."""
     out = matrix(spark, sf_dir).where("label = 'incompatible' and n_pairs > n_same")
-    return out.select("peg_shape", "socket_shape", (F.col("n_pairs") - F.col("n_same")).alias("n_pairs"), F.round("sim", 9).alias("sim"))
+    return _with_parts(spark, sf_dir, out.select("peg_shape", "socket_shape", (F.col("n_pairs") - F.col("n_same")).alias("n_pairs"), F.round("sim", 9).alias("sim")))
 
 
 _NEAR = A.SQL + f""", b AS (SELECT part_id, split, bore_w, bore_h, min(part_id) OVER (PARTITION BY bore_w, bore_h) AS shape FROM shapes),
 near AS (SELECT a.part_id AS part_a, b.part_id AS part_b, a.shape AS x, b.shape AS y, {_iou('a.bore_w', 'a.bore_h', 'b.bore_w', 'b.bore_h')} AS sim FROM b a JOIN b ON a.part_id < b.part_id AND a.split <> b.split WHERE {_iou('a.bore_w', 'a.bore_h', 'b.bore_w', 'b.bore_h')} >= {NEAR})"""
 
 
-@query("near_dup", _NEAR + "SELECT least(x, y) AS shape_a, greatest(x, y) AS shape_b, round(any_value(sim), 9) AS similarity, count(*) AS n_pairs FROM near GROUP BY ALL")
+@query("near_dup", _NEAR + "SELECT least(x, y) AS shape_a, greatest(x, y) AS shape_b, round(any_value(sim), 9) AS similarity, count(*) AS n_pairs FROM near GROUP BY ALL" + _MEMBERS.format(shape="shape_a", of="b"))
 def near_dup(spark, sf_dir):
-    """Shapes of openings that are alike across splits, the likest first, with how many pairs of parts have them; near_dup_links has the members."""
-    near = C.near_classes(A.shapes(spark, sf_dir), "split", NEAR)
-    return near.withColumn("similarity", F.round("similarity", 9)).orderBy(F.desc("similarity"), "shape_a", "shape_b")
+    """Shapes of openings that are alike across splits, the likest first, with how many pairs of parts have them; then the members of all shapes."""
+    s = A.shapes(spark, sf_dir)
+    near = C.near_classes(s, "split", NEAR).withColumn("similarity", F.round("similarity", 9))
+    bores = C.shape_classes(s).groupBy("bore_w", "bore_h").agg(F.min("class_id").alias("class_id"), F.sum("n").alias("n"))
+    parts = C.members(s, bores, keep=("split",), sizes=("bore_w", "bore_h")).withColumnRenamed("class_id", "shape_a")
+    return with_members(near, parts).orderBy(F.desc_nulls_last("similarity"), "shape_a", "shape_b", "part_id")
 
 
 @query("near_dup_links", _NEAR + ", e AS (SELECT part_a AS part_id FROM near UNION ALL SELECT part_b FROM near) SELECT b.part_id, any_value(shape) AS shape, count(e.part_id) AS n_links FROM b LEFT JOIN e USING (part_id) GROUP BY b.part_id")
