@@ -7,7 +7,10 @@ a batch meets few of them, an append reads little of the table, however long tha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,13 +96,98 @@ def repair(spark: SparkSession, path: str, backup: str) -> list[str]:
     return found
 
 
-def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+#: Bytes of a file that one task hashes at most.
+BLOCK = 1 << 30
+PIECE = 1 << 20
+#: A byte order mark, at the start of a file.
+MARK = b"\xef\xbb\xbf"
+
+
+def file_manifest(spark: SparkSession, path: str, glob: str = "*", block: int = BLOCK) -> DataFrame:
     """(path, size, digest) of all files below path whose names fit: SHA-256 of their bytes, made where the files are read. path is
-    relative to the folder; Spark's readers pass over empty files, so these are in no manifest. A file is one value while it is hashed (spark.sql.sources.binaryFile.maxLength bounds it)."""
+    relative to the folder; Spark's readers pass over empty files, so these are in no manifest. A file of up to block bytes is one value
+    while it is hashed. SHA-256 is one chain, so the digest of a larger file is the SHA-256 of its blocks' SHA-256s (32 bytes each, in
+    order), and tasks share the file."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    out = found.where(F.col("length") <= block).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
+    large = {r["path"]: r["length"] for r in found.where(F.col("length") > block).select("path", "length").collect()}  # few: their contents are not read
+    if large:
+        out = out.union(_by_blocks(spark, large, block))
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     whole = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
-    return found.select(F.substring("path", len(whole) + 2, 1 << 20).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
+    return out.withColumn("path", F.substring("path", len(whole) + 2, 1 << 20))
+
+
+def _escaped(name: str) -> str:
+    """A file's name as a reader takes it, in which signs of patterns stand for themselves."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", name)
+
+
+def _by_blocks(spark: SparkSession, files: dict[str, int], block: int) -> DataFrame:
+    """(path, size, digest) of large files. Their bytes are read as lines, in splits; where a split's first line lies follows from the
+    lengths of the lines of the splits before it. Pieces go to their block's task in order and are hashed as they come."""
+    names = sorted(files)
+    numbers, blocks = {}, 0
+    for name in names:
+        numbers[name] = blocks
+        blocks += -(-files[name] // block)
+    one_each = [spark.read.option("lineSep", "\n").text(_escaped(n)).select(F.lit(n).alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value")) for n in names]
+    lines = reduce(DataFrame.unionByName, one_each)
+    long = lines.groupBy("path", "split").agg(F.sum(F.octet_length("value") + 1).cast("long").alias("n"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.element_at(F.create_map(*(F.lit(x) for n in names for x in (n, files[n]))), F.col("path"))
+    mark = F.when(F.sum("n").over(Window.partitionBy("path")) < size, len(MARK)).otherwise(0)  # which readers of text pass over
+    starts = long.select("path", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) + mark).cast("long").alias("at"))  # a row a split
+
+    def pieces(batches):
+        import pyarrow as pa
+
+        def cut(path, at, data):
+            data = data[: max(files[path] - at, 0)]  # nothing need end the last line
+            rows, i = [], 0
+            while i < len(data):
+                n = min(PIECE, block - (at + i) % block)
+                rows.append((numbers[path] + (at + i) // block, at + i, data[i : i + n]))
+                i += n
+            return rows
+
+        here, at = None, 0
+        for b in batches:
+            keys, values = list(zip(b.column("path").to_pylist(), b.column("split").to_pylist(), b.column("at").to_pylist(), strict=True)), b.column("value").to_pylist()
+            i, rows = 0, []
+            while i < len(keys):
+                j = i + 1
+                while j < len(keys) and keys[j] == keys[i]:
+                    j += 1
+                if keys[i][:2] != here:
+                    here, at = keys[i][:2], keys[i][2]
+                data = b"\n".join(values[i:j]) + b"\n"
+                if at == len(MARK) and here[1] == 0 and keys[i][2] == at:
+                    data, at = MARK + data, 0
+                rows += cut(keys[i][0], at, data)
+                at += len(data)
+                i = j
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["block", "at", "piece"])
+
+    def hashed(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        known: dict[int, object] = {}
+        for b in batches:
+            for k, piece in zip(b.column("block").to_pylist(), b.column("piece").to_pylist(), strict=True):
+                known.setdefault(k, hashlib.sha256()).update(piece)
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.int32()), pa.array([h.digest() for h in known.values()], pa.binary())], names=["block", "digest"])
+
+    cuts = lines.join(F.broadcast(starts), ["path", "split"]).select("path", "split", "at", "value").mapInArrow(pieces, "block int, at long, piece binary")
+    each = cuts.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "at").mapInArrow(hashed, "block int, digest binary")
+    of = spark.createDataFrame([(numbers[n] + k, n, files[n]) for n in names for k in range(-(-files[n] // block))], "block int, path string, size long")
+    lists = each.join(of, "block").groupBy("path", "size").agg(F.array_sort(F.collect_list(F.struct("block", "digest"))).alias("x"))  # 32 bytes a block
+    joined = F.unhex(F.array_join(F.transform("x", lambda e: F.hex(e["digest"])), ""))
+    return lists.select("path", "size", F.sha2(joined, 256).alias("digest"))
 
 
 def manifest_faults(spark: SparkSession, path: str, recorded: DataFrame, glob: str = "*") -> DataFrame:

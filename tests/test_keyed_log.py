@@ -99,3 +99,23 @@ def test_manifest_of_files(spark, tmp_path):
     (folder / "new.txt").write_bytes(b"n")
     (folder / "c.csv").unlink()
     assert {(r["path"], r["fault"]) for r in keyed_log.manifest_faults(spark, str(folder), recorded).collect()} == {("a.txt", "changed"), ("new.txt", "unexpected"), ("c.csv", "missing")}
+
+
+def test_manifest_of_large_files_is_made_by_blocks(spark, tmp_path):
+    """Splits cut lines and blocks anywhere; lines may be long, empty, or not ended."""
+    import random
+
+    rng = random.Random(5)
+    texts = {"a b.bin": rng.randbytes(70_001), "b.bin": b"\n" * 9000 + b"x" * 30_000 + b"\r\n", "c.bin": rng.randbytes(8000) + b"\n", "d.bin": b"PAR1\xff\xfe" + bytes(8000), "small.bin": b"one\n", "e.bin": b"y" * 4096, "f.bin": b"\xef\xbb\xbf" + b"ab\n" * 3000, "g.bin": b"\xef\xbb\xbf\n\n" + b"ab" * 3000}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    whole = lambda t: hashlib.sha256(t).hexdigest()
+    by_blocks = lambda t: whole(b"".join(hashlib.sha256(t[i : i + 4096]).digest() for i in range(0, len(t), 4096)))
+    want = {n: (len(t), whole(t) if len(t) <= 4096 else by_blocks(t)) for n, t in texts.items()}
+    for split in ("1000b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            got = {r["path"]: (r["size"], r["digest"]) for r in keyed_log.file_manifest(spark, str(tmp_path), block=4096).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == want
