@@ -21,13 +21,14 @@ BUCKETS = 512
 
 
 def block_weights(blocks: DataFrame, weighting: str = "family") -> DataFrame:
-    """blocks with weight: families alike, their regimes alike, rows of a regime alike."""
+    """blocks with weight: families alike, their regimes alike, rows of a regime alike. Families are few, so their weights are
+    broadcast and blocks stay where they are: dealt by family, a task would hold a share of all blocks."""
     if weighting == "query":
         return blocks.withColumn("weight", F.lit(1.0))
     sizes = blocks.groupBy("family", "regime").agg(F.count("*").alias("rows"))
     regimes = sizes.groupBy("family").agg(F.count("*").alias("regimes"))
     cell = sizes.join(regimes, "family").select("family", "regime", (1.0 / (F.col("rows") * F.col("regimes"))).alias("weight"))
-    return blocks.join(cell, ["family", "regime"])
+    return blocks.join(F.broadcast(cell), ["family", "regime"])
 
 
 def curve(weighted: DataFrame, measures: dict) -> DataFrame:

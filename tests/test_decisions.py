@@ -198,3 +198,17 @@ def test_tasks_stay_small_as_tables_grow(spark, monkeypatch):
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     total = A.read(spark, data, "lineitem").count()
     assert sum(sizes) == rows.count() == total and len(sizes) > total / 200 / 2 and max(sizes) < 3 * 200
+
+
+def test_weights_leave_blocks_where_they_are(spark):
+    """A family may have all blocks: its weights go to them, whatever tables Spark would broadcast by itself."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = spark.range(4000, numPartitions=8).select(F.lit("f").alias("family"), F.when(F.col("id") % 4 == 0, "present").otherwise("absent").alias("regime"))
+        w = calibrate.block_weights(b)
+        sizes = [r["count"] for r in w.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 4000 and max(sizes) == 500
+        assert sorted((r["regime"], r["weight"]) for r in w.distinct().collect()) == [("absent", 1 / 6000), ("present", 1 / 2000)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
