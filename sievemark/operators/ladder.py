@@ -101,6 +101,15 @@ def auroc(rows: DataFrame, by: str, score: str, positive, large: bool = False) -
     return out.select(by, ratio(F.col("w"), F.col("p") * F.col("n")).alias("auroc"))
 
 
+def auroc_within(rows: DataFrame, by: str, block: str, score: str, positive) -> DataFrame:
+    """As auroc(), of the pairs that lie in one block; a block is of one group and has few scores. One pass over rows by block."""
+    at = rows.groupBy(block, score).agg(F.first(by).alias(by), F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(block).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wins = at.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
+    each = wins.groupBy(block).agg(F.first(by).alias(by), F.sum("wins").alias("w"), (F.sum("pos") * F.sum("neg")).alias("pairs"))
+    return each.groupBy(by).agg(ratio(F.sum("w"), F.sum("pairs")).alias("auroc"))
+
+
 def spearman(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """Rank correlation per group; null where a side does not vary."""
     mean_rank = lambda c: F.rank().over(Window.partitionBy(by).orderBy(c)) + (F.count("*").over(Window.partitionBy(by, c)) - 1) / 2

@@ -257,9 +257,7 @@ def config_report(spark, sf_dir):
         part(~good, F.col("p_yes")).alias("mean_p_incompat"), F.round(F.avg("price"), 6).alias("cost"), F.max("price").alias("most"),
     )
     area = ladder.auroc(rows, "family", "p_yes", good, large=True)
-    pairs = rows.groupBy("block_id").agg(F.first("family").alias("family"), (F.count_if(good) * F.count_if(~good)).alias("pairs")).where("pairs > 0")
-    each = pairs.join(ladder.auroc(rows, "block_id", "p_yes", good), "block_id")
-    rank = each.groupBy("family").agg((F.sum(F.col("auroc") * F.col("pairs")) / F.sum("pairs")).alias("rank"))
+    rank = ladder.auroc_within(rows, "family", "block_id", "p_yes", good).withColumnRenamed("auroc", "rank")
     out = sums.join(area, "family", "left").join(rank, "family", "left")
     rounded = ("min_mass", "yes_rate", "acc", *(f"acc_{r}" for r in _REGIMES), "mean_p_compat", "mean_p_incompat", "auroc", "rank")
     return out.withColumns({c: F.round(c, 9) for c in rounded})

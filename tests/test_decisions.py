@@ -212,3 +212,31 @@ def test_weights_leave_blocks_where_they_are(spark):
         assert sorted((r["regime"], r["weight"]) for r in w.distinct().collect()) == [("absent", 1 / 6000), ("present", 1 / 2000)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_rank_within_blocks_against_a_loop(spark):
+    from sievemark.operators import ladder
+
+    rng = random.Random(7)
+    rows = [(f"b{i}", f"f{i % 3}", rng.randint(0, 4) / 4, rng.random() < 0.4) for i in range(40) for _ in range(rng.randint(1, 6))]
+    rows += [("alone", "none", 0.5, True)]
+    want = {}
+    for b, f, p, good in rows:
+        beaten = [1.0 if p > q else 0.5 if p == q else 0.0 for c, _, q, other in rows if c == b and good and not other]
+        want.setdefault(f, []).extend(beaten)
+    df = spark.createDataFrame(rows, "block_id string, family string, p double, good boolean")
+    got = dict(ladder.auroc_within(df, "family", "block_id", "p", F.col("good")).collect())
+    assert got == {f: pytest.approx(sum(x) / len(x)) if x else None for f, x in want.items()} and got["none"] is None
+
+
+def test_rank_of_config_report_passes_over_candidates_once(spark):
+    """Counts read candidates once, the area four times (ranges, their cuts and starts), the rank within blocks once."""
+    from pathlib import Path
+
+    from sievemark.plans import decisions
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).is_dir():
+        pytest.skip("no test tables")
+    plan = decisions.config_report(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 6
