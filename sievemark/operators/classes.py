@@ -44,6 +44,20 @@ def class_pairs(shapes: DataFrame, by: str) -> DataFrame:
     return met.join(peg, "peg_shape").join(known.select(F.col("class_id").alias("socket_shape"), "bore_w", "bore_h"), "socket_shape")
 
 
+def peg_links(shapes: DataFrame, by: str, pairs: DataFrame, own: bool = True) -> DataFrame:
+    """(part_id, by, class_id, n_links): every part with its shape and how many sockets of its group (by) are paired with it as a peg, when
+    pairs has the (peg_shape, socket_shape) that are. own: its own socket counts, too. Counted by shapes, so no pair of parts is a row."""
+    known = shape_classes(shapes)
+    counts = shape_classes(shapes, by).drop("class_id", "last").join(known.select(*SIZES, "class_id"), SIZES).select(by, "class_id", "n")
+    met = pairs.select("peg_shape", "socket_shape").join(counts.select(by, F.col("class_id").alias("peg_shape")), "peg_shape")
+    met = met.join(counts.select(by, F.col("class_id").alias("socket_shape"), "n"), [by, "socket_shape"])
+    less = F.lit(0) if own else F.when(F.col("peg_shape") == F.col("socket_shape"), 1).otherwise(0)
+    links = met.groupBy(by, F.col("peg_shape").alias("class_id")).agg(F.sum(F.col("n") - less).alias("n_links"))
+    parts = members(shapes, known, keep=(by,))
+    found = looked_up(parts, counts.join(links, [by, "class_id"]), [by, "class_id"], "n", parts.count())
+    return found.select("part_id", by, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def label_matrix(shapes: DataFrame, by: str) -> DataFrame:
     """class_pairs() with label columns and sim, the likeness of the peg's own bore and the socket."""
     out = R.labelled(class_pairs(shapes, by), *map(F.col, SIZES), R.CLEARANCE)

@@ -52,6 +52,14 @@ def _with_parts(spark, sf_dir, pairs):
     return with_members(pairs, C.members(s, C.shape_classes(s), keep=("split",)).withColumnRenamed("class_id", "peg_shape"))
 
 
+#: The same with how many sockets each part is paired with as a peg.
+_LINKED = " UNION ALL BY NAME SELECT shape AS peg_shape, part_id, split, coalesce(n, 0) AS n_links FROM cls LEFT JOIN (SELECT peg_id, count(*) AS n FROM {of} GROUP BY peg_id) ON peg_id = part_id"
+
+
+def _with_links(spark, sf_dir, pairs, own=True):
+    return with_members(pairs, C.peg_links(A.shapes(spark, sf_dir), "split", pairs, own).withColumnRenamed("class_id", "peg_shape"))
+
+
 def matrix(spark, sf_dir):
     return C.label_matrix(A.shapes(spark, sf_dir), "split")
 
@@ -77,9 +85,9 @@ def fit_margin(spark, sf_dir):
     return A.shapes(spark, sf_dir).select("part_id", F.round(m, 9).alias("margin"))
 
 
-@query("best_turn", _PAIRS + "SELECT peg_shape, socket_shape, turn FROM byshape" + _MEMBERS.format(shape="peg_shape", of="cls"))
+@query("best_turn", _PAIRS + "SELECT peg_shape, socket_shape, n_pairs, turn FROM byshape" + _LINKED.format(of="matrix"))
 def best_turn(spark, sf_dir):
-    return _with_parts(spark, sf_dir, matrix(spark, sf_dir).select("peg_shape", "socket_shape", "turn"))
+    return _with_links(spark, sf_dir, matrix(spark, sf_dir).select("peg_shape", "socket_shape", "n_pairs", "turn"))
 
 
 @query("pair_label", _PAIRS + "SELECT label, count(*) AS n, count(*) FILTER (margin = -2) AS capped FROM matrix GROUP BY label")

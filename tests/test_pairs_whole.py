@@ -37,3 +37,20 @@ def test_pairs_and_members_give_all_pairs(spark, name):
         WHERE x.part_id IS NULL AND a.part_id IS NOT NULL AND b.part_id IS NOT NULL AND {met}""")
     plain = lambda rows: [tuple(round(x, 8) if isinstance(x, float) else x for x in r) for r in rows]
     assert plain(sorted(tuple(r) for r in got.collect())) == plain(want) and want
+
+
+@pytest.mark.parametrize("name", ["best_turn"])
+def test_parts_have_their_number_of_links(spark, name):
+    """As many pairs of parts as all-pairs SQL finds: in sum over shapes, and for each part, those that have none too."""
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("part", "lineitem", "orders", "customer", "nation", "events", "documents"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want = {}
+    for peg, *_ in c.sql(ALL[name][0]).fetchall():
+        want[peg] = want.get(peg, 0) + 1
+    parts = [r[0] for r in c.sql("SELECT p_partkey FROM part").fetchall()]
+    found = entry.queries()[name](spark, str(DATA)).collect()
+    assert sum(r["n_pairs"] for r in found if r["part_id"] is None) == sum(want.values())
+    assert {r["part_id"]: r["n_links"] for r in found if r["part_id"] is not None} == {p: want.get(p, 0) for p in parts}
