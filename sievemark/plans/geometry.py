@@ -96,9 +96,9 @@ def pair_label(spark, sf_dir):
     return matrix(spark, sf_dir).groupBy("label").agg(F.sum("n_pairs").alias("n"), F.sum(F.when(F.col("margin") == -2, F.col("n_pairs")).otherwise(0)).alias("capped"))
 
 
-@query("loose_flag", _PAIRS + "SELECT peg_shape, socket_shape, round(max_gap, 9) AS max_gap FROM byshape WHERE label = 'compatible'" + _MEMBERS.format(shape="peg_shape", of="cls"))
+@query("loose_flag", _PAIRS + "SELECT peg_shape, socket_shape, n_pairs, round(max_gap, 9) AS max_gap FROM byshape WHERE label = 'compatible'" + _LINKED.format(of="matrix WHERE label = 'compatible'"))
 def loose_flag(spark, sf_dir):
-    return _with_parts(spark, sf_dir, matrix(spark, sf_dir).where("label = 'compatible'").select("peg_shape", "socket_shape", F.round("max_gap", 9).alias("max_gap")))
+    return _with_links(spark, sf_dir, matrix(spark, sf_dir).where("label = 'compatible'").select("peg_shape", "socket_shape", "n_pairs", F.round("max_gap", 9).alias("max_gap")))
 
 
 @query("similarity", _PAIRS + f"SELECT peg_shape, socket_shape, round({_iou('own_w', 'own_h', 'bore_w', 'bore_h')}, 9) AS sim FROM byshape" + _MEMBERS.format(shape="peg_shape", of="cls"))
