@@ -101,10 +101,10 @@ def loose_flag(spark, sf_dir):
     return _with_links(spark, sf_dir, matrix(spark, sf_dir).where("label = 'compatible'").select("peg_shape", "socket_shape", "n_pairs", F.round("max_gap", 9).alias("max_gap")))
 
 
-@query("similarity", _PAIRS + f"SELECT peg_shape, socket_shape, round({_iou('own_w', 'own_h', 'bore_w', 'bore_h')}, 9) AS sim FROM byshape" + _MEMBERS.format(shape="peg_shape", of="cls"))
+@query("similarity", _PAIRS + f"SELECT peg_shape, socket_shape, n_pairs, round({_iou('own_w', 'own_h', 'bore_w', 'bore_h')}, 9) AS sim FROM byshape" + _LINKED.format(of="matrix"))
 def similarity(spark, sf_dir):
     s = R.similarity(*map(F.col, ("own_w", "own_h", "bore_w", "bore_h")))
-    return _with_parts(spark, sf_dir, C.class_pairs(A.shapes(spark, sf_dir), "split").select("peg_shape", "socket_shape", F.round(s, 9).alias("sim")))
+    return _with_links(spark, sf_dir, C.class_pairs(A.shapes(spark, sf_dir), "split").select("peg_shape", "socket_shape", "n_pairs", F.round(s, 9).alias("sim")))
 
 
 @query("candidate_pool", _PAIRS + f"SELECT peg_shape, socket_shape, n_pairs - n_same AS n_pairs, round({_iou('own_w', 'own_h', 'bore_w', 'bore_h')}, 9) AS sim FROM byshape WHERE label = 'incompatible' AND n_pairs > n_same" + _MEMBERS.format(shape="peg_shape", of="cls"))
