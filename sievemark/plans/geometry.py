@@ -107,11 +107,11 @@ def similarity(spark, sf_dir):
     return _with_links(spark, sf_dir, C.class_pairs(A.shapes(spark, sf_dir), "split").select("peg_shape", "socket_shape", "n_pairs", F.round(s, 9).alias("sim")))
 
 
-@query("candidate_pool", _PAIRS + f"SELECT peg_shape, socket_shape, n_pairs - n_same AS n_pairs, round({_iou('own_w', 'own_h', 'bore_w', 'bore_h')}, 9) AS sim FROM byshape WHERE label = 'incompatible' AND n_pairs > n_same" + _MEMBERS.format(shape="peg_shape", of="cls"))
+@query("candidate_pool", _POOL + f"SELECT peg_shape, socket_shape, n_pairs - n_same AS n_pairs, round({_iou('own_w', 'own_h', 'bore_w', 'bore_h')}, 9) AS sim FROM byshape WHERE label = 'incompatible' AND n_pairs > n_same" + _LINKED.format(of="pool"))
 def candidate_pool(spark, sf_dir):
-    """Sockets of other parts that don't take a peg, by shapes, with how many pairs of parts that is, and the members of all shapes."""
+    """Sockets of other parts that don't take a peg, by shapes, with how many pairs of parts that is; then every part with its shape and its number of such sockets."""
     out = matrix(spark, sf_dir).where("label = 'incompatible' and n_pairs > n_same")
-    return _with_parts(spark, sf_dir, out.select("peg_shape", "socket_shape", (F.col("n_pairs") - F.col("n_same")).alias("n_pairs"), F.round("sim", 9).alias("sim")))
+    return _with_links(spark, sf_dir, out.select("peg_shape", "socket_shape", (F.col("n_pairs") - F.col("n_same")).alias("n_pairs"), F.round("sim", 9).alias("sim")), own=False)
 
 
 _NEAR = A.SQL + f""", b AS (SELECT part_id, split, bore_w, bore_h, min(part_id) OVER (PARTITION BY bore_w, bore_h) AS shape FROM shapes),

@@ -39,7 +39,7 @@ def test_pairs_and_members_give_all_pairs(spark, name):
     assert plain(sorted(tuple(r) for r in got.collect())) == plain(want) and want
 
 
-@pytest.mark.parametrize("name", ["best_turn", "loose_flag", "similarity"])
+@pytest.mark.parametrize("name", ["best_turn", "loose_flag", "similarity", "candidate_pool"])
 def test_parts_have_their_number_of_links(spark, name):
     """As many pairs of parts as all-pairs SQL finds: in sum over shapes, and for each part, those that have none too."""
     import duckdb
