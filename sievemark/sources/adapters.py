@@ -21,12 +21,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Rows of a large table that a task sorts or joins at once.
 TASK_ROWS = 100_000
 
+#: Rows for up to so many tasks are written to each one's file as they come (Spark's default, spark.shuffle.sort.bypassMergeThreshold);
+#: for more, a task first holds all rows that it deals.
+HELD_BEYOND = 200
+
+
+def tasks(spark: SparkSession, total: int) -> int:
+    """How many tasks total rows are dealt to: TASK_ROWS each (and no fewer than cores), up to twice that where HELD_BEYOND tasks then do."""
+    cores = spark.sparkContext.defaultParallelism
+    n = max(cores, -(-total // TASK_ROWS))
+    if n <= HELD_BEYOND:
+        return n
+    if n <= 2 * HELD_BEYOND:
+        return max(cores, HELD_BEYOND)
+    return -(-n // HELD_BEYOND) * HELD_BEYOND  # each of the HELD_BEYOND first tasks then deals to its own few
+
 
 def dealt(rows: DataFrame, total: int, *key: str) -> DataFrame:
-    """rows dealt by key to tasks, as many as total rows need to have TASK_ROWS each (and no fewer than cores): what a sort or join by
-    that key holds does not grow with the table. (Partitions that Spark is free to join grow up to 64 MB as compressed.)"""
-    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_ROWS))
-    return rows.repartition(n, *key)
+    """The rows of a file, total in number, dealt by key to tasks(): what a sort or join by that key holds does not grow with the table.
+    (Partitions that Spark is free to join grow up to 64 MB as compressed.) The task that reads a split of the file does not hold it,
+    either: rows for more than HELD_BEYOND tasks are dealt to HELD_BEYOND first, and only a task of these holds its share."""
+    n = tasks(rows.sparkSession, total)
+    if n <= HELD_BEYOND:
+        return rows.repartition(n, *key)
+    other = {k: f"{k}_dealt" for k in key}  # Spark leaves out a deal that is followed by another at once
+    again = rows.repartition(HELD_BEYOND, *key).withColumnsRenamed(other).repartition(n, *other.values())
+    return again.withColumnsRenamed({v: k for k, v in other.items()})
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -74,7 +94,8 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with what their block says, and label: the dearest candidate is the mate where there is one."""
-    of_block = dealt(blocks(spark, sf_dir), read(spark, sf_dir, "lineitem").count(), "block_id")  # as candidates() are
+    n = tasks(spark, read(spark, sf_dir, "lineitem").count())
+    of_block = blocks(spark, sf_dir).repartition(n, "block_id")  # as candidates() are; the tasks that deal these are of bounded size already
     cand = candidates(spark, sf_dir).join(of_block, "block_id")
     best = F.row_number().over(Window.partitionBy("block_id").orderBy(F.desc("price"), "position"))
     return cand.withColumn("label", F.when(F.col("has_mate") & (best == 1), "compatible").otherwise("incompatible"))

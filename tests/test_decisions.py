@@ -200,6 +200,30 @@ def test_tasks_stay_small_as_tables_grow(spark, monkeypatch):
     assert sum(sizes) == rows.count() == total and len(sizes) > total / 200 / 2 and max(sizes) < 3 * 200
 
 
+def test_no_task_holds_the_split_that_it_deals(spark, monkeypatch):
+    """Rows for many tasks are dealt to a few first, and both deals are kept; what follows by the same key needs no other."""
+    import re
+    from pathlib import Path
+
+    from sievemark.sources import adapters as A
+
+    monkeypatch.setattr(A, "TASK_ROWS", 10)
+    parts = lambda df: [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())]
+    for total, want in ((1500, [150]), (3000, [200]), (4010, [600, 200])):
+        d = A.dealt(spark.range(0, total, 1, 3).withColumn("x", F.col("id") * 2), total, "id")
+        assert parts(d.groupBy("id").agg(F.sum("x"))) == want and d.columns == ["id", "x"]
+        sizes = [r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == total and max(sizes) < 50 and d.agg(F.sum("x")).first()[0] == total * (total - 1)
+    data = "/root/testdata/sf0.001"
+    if not Path(data).is_dir():
+        pytest.skip("no test tables")
+    rows = A.labelled(spark, data)
+    assert sorted(parts(rows))[-3:] == [200, 600, 600]  # candidates twice, blocks once, and they meet as they are
+    got = sorted(map(str, rows.select("block_id", "position", "label", "family").collect()))
+    monkeypatch.setattr(A, "TASK_ROWS", 100_000)
+    assert got == sorted(map(str, A.labelled(spark, data).select("block_id", "position", "label", "family").collect()))
+
+
 def test_weights_leave_blocks_where_they_are(spark):
     """A family may have all blocks: its weights go to them, whatever tables Spark would broadcast by itself."""
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
