@@ -224,6 +224,29 @@ def test_no_task_holds_the_split_that_it_deals(spark, monkeypatch):
     assert got == sorted(map(str, A.labelled(spark, data).select("block_id", "position", "label", "family").collect()))
 
 
+@pytest.mark.parametrize("name", ["s1_calibrate", "s2_calibrate"])
+def test_calibration_deals_each_split_to_a_few(spark, monkeypatch, name):
+    """Wherever a calibration reads lineitem, also for weights, ranges and the grid, rows for many tasks are dealt to a few first."""
+    import re
+    from pathlib import Path
+
+    from sievemark import catalog
+    from sievemark.sources import adapters as A
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).is_dir():
+        pytest.skip("no test tables")
+    monkeypatch.setattr(A, "TASK_ROWS", 10)
+    plan = catalog.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    above, dealt = None, []
+    for line in plan.splitlines():  # what a line reads follows it
+        if m := re.search(r"Exchange hashpartitioning\(.*?, (\d+)\)", line):
+            above = int(m[1])
+        elif "FileScan parquet [l_orderkey" in line:
+            dealt.append(above)
+    assert dealt and set(dealt) == {A.HELD_BEYOND} and ", 600)" in plan
+
+
 def test_weights_leave_blocks_where_they_are(spark):
     """A family may have all blocks: its weights go to them, whatever tables Spark would broadcast by itself."""
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
