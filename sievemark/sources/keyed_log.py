@@ -8,7 +8,6 @@ a batch meets few of them, an append reads little of the table, however long tha
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,24 +97,42 @@ def repair(spark: SparkSession, path: str, backup: str) -> list[str]:
 
 #: Bytes of a file that one task hashes at most.
 BLOCK = 1 << 30
-PIECE = 1 << 20
+#: Bytes of a file that is one value while it is hashed, and of small blocks that a task takes together, at most.
+WHOLE = 1 << 26
+#: Bytes of a row at most, so that the 10,000 rows of an Arrow batch are some 40 MB.
+PIECE = 1 << 12
 #: A byte order mark, at the start of a file.
 MARK = b"\xef\xbb\xbf"
 
 
-def file_manifest(spark: SparkSession, path: str, glob: str = "*", block: int = BLOCK) -> DataFrame:
-    """(path, size, digest) of all files below path whose names fit: SHA-256 of their bytes, made where the files are read. path is
-    relative to the folder; Spark's readers pass over empty files, so these are in no manifest. A file of up to block bytes is one value
-    while it is hashed. SHA-256 is one chain, so the digest of a larger file is the SHA-256 of its blocks' SHA-256s (32 bytes each, in
-    order), and tasks share the file."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    out = found.where(F.col("length") <= block).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
-    large = {r["path"]: r["length"] for r in found.where(F.col("length") > block).select("path", "length").collect()}  # few: their contents are not read
-    if large:
-        out = out.union(_by_blocks(spark, large, block))
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    whole = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
-    return out.withColumn("path", F.substring("path", len(whole) + 2, 1 << 20))
+def file_manifest(spark: SparkSession, path: str, glob: str = "*", block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
+    """(path, size, digest) of all files below path whose names fit: SHA-256 of their bytes, made on executors. path is relative to
+    the folder; Spark's readers pass over empty files, so these are in no manifest. A file of up to whole bytes is one value while it is
+    hashed; larger ones pass in pieces. SHA-256 is one chain, so the digest of a file of more than block bytes is the SHA-256 of its
+    blocks' SHA-256s (32 bytes each, in order), and tasks share the file. Readers of lines would decompress files with a codec's
+    ending, so these are one value at any size (Spark takes none over 2 GiB)."""
+    whole = min(whole, block)
+    sc = spark.sparkContext
+    conf, hadoop = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop
+    codecs = hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def reader(kind):
+        return spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+
+    found = reader("binaryFile").load(path)
+    out = found.where(F.col("length") <= whole).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
+    large = found.where(F.col("length") > whole).select("path", "length", F.col("_metadata.file_path").alias("file")).collect()  # their contents are not read
+    coded = [r for r in large if codecs.getCodec(hadoop.fs.Path(r["path"])) is not None]
+    if coded:
+        values = spark.read.format("binaryFile").load([_escaped(r["path"]) for r in coded])
+        parts = F.transform(F.sequence(F.lit(0), ((F.col("length") - 1) / block).cast("int")), lambda k: F.sha2(F.substr("content", k * block + 1, F.lit(block)), 256))
+        out = out.union(values.select("path", F.col("length").alias("size"), _of_blocks(parts).alias("digest")))
+    if len(large) > len(coded):
+        lines = reader("text").option("lineSep", "\n").load(path).where((F.col("_metadata.file_size") > whole) & ~F.col("_metadata.file_path").isin([r["file"] for r in coded]))
+        out = out.union(_by_pieces(spark, lines, sorted(set(large) - set(coded)), block))
+    folder = hadoop.fs.Path(path)
+    root = folder.getFileSystem(conf).makeQualified(folder).toString()
+    return out.withColumn("path", F.substring("path", len(root) + 2, 1 << 20))
 
 
 def _escaped(name: str) -> str:
@@ -123,71 +140,81 @@ def _escaped(name: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", name)
 
 
-def _by_blocks(spark: SparkSession, files: dict[str, int], block: int) -> DataFrame:
-    """(path, size, digest) of large files. Their bytes are read as lines, in splits; where a split's first line lies follows from the
-    lengths of the lines of the splits before it. Pieces go to their block's task in order and are hashed as they come."""
-    names = sorted(files)
-    numbers, blocks = {}, 0
-    for name in names:
-        numbers[name] = blocks
-        blocks += -(-files[name] // block)
-    one_each = [spark.read.option("lineSep", "\n").text(_escaped(n)).select(F.lit(n).alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value")) for n in names]
-    lines = reduce(DataFrame.unionByName, one_each)
-    long = lines.groupBy("path", "split").agg(F.sum(F.octet_length("value") + 1).cast("long").alias("n"))
-    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.element_at(F.create_map(*(F.lit(x) for n in names for x in (n, files[n]))), F.col("path"))
-    mark = F.when(F.sum("n").over(Window.partitionBy("path")) < size, len(MARK)).otherwise(0)  # which readers of text pass over
-    starts = long.select("path", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) + mark).cast("long").alias("at"))  # a row a split
+def _of_blocks(digests: Column) -> Column:
+    """A file's digest from those of its blocks, in hexadecimal digits."""
+    return F.when(F.size(digests) == 1, digests[0]).otherwise(F.sha2(F.unhex(F.array_join(digests, "")), 256))
+
+
+def _by_pieces(spark: SparkSession, lines: DataFrame, files: list, block: int) -> DataFrame:
+    """(path, size, digest) of larger files, (path, length, file) each. Their bytes are read as lines, in splits; where a split's first
+    line lies follows from the lengths of the lines of the splits before it. Pieces go to their block's task in order and are
+    hashed as they come, so a task holds a batch of pieces and what its sort may; a long line is held by its reader."""
+    at_block, of, filled = {}, [], WHOLE
+    for r in files:
+        at_block[r["file"]] = (len(of), r["length"])
+        for start in range(0, r["length"], block):
+            n = min(block, r["length"] - start)
+            task, filled = (of[-1][1], filled + n) if filled + n <= WHOLE else (of[-1][1] + 1 if of else 0, n)
+            of.append((len(of), task, r["path"], r["length"]))
+    tasks = [x[1] for x in of]
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("line"))
+    long = lines.groupBy("file", "size", "split").agg(F.sum(F.octet_length("line") + 1).cast("long").alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    mark = F.when(F.sum("n").over(Window.partitionBy("file")) < F.col("size"), len(MARK)).otherwise(0)  # which readers of text pass over
+    starts = long.select("file", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) + mark).cast("long").alias("at"))  # a row a split
 
     def pieces(batches):
         import pyarrow as pa
 
-        def cut(path, at, data):
-            data = data[: max(files[path] - at, 0)]  # nothing need end the last line
+        def cut(file, at, data):
+            first, size = at_block[file]
+            data = data[: max(size - at, 0)]  # nothing need end the last line
             rows, i = [], 0
             while i < len(data):
-                n = min(PIECE, block - (at + i) % block)
-                rows.append((numbers[path] + (at + i) // block, at + i, data[i : i + n]))
+                n, b = min(PIECE, block - (at + i) % block), first + (at + i) // block
+                rows.append((tasks[b], b, at + i, data[i : i + n]))
                 i += n
             return rows
 
         here, at = None, 0
         for b in batches:
-            keys, values = list(zip(b.column("path").to_pylist(), b.column("split").to_pylist(), b.column("at").to_pylist(), strict=True)), b.column("value").to_pylist()
+            keys, values = list(zip(b.column("file").to_pylist(), b.column("split").to_pylist(), b.column("at").to_pylist(), strict=True)), b.column("line").to_pylist()
             i, rows = 0, []
             while i < len(keys):
                 j = i + 1
                 while j < len(keys) and keys[j] == keys[i]:
                     j += 1
+                data = b"\n".join(values[i:j]) + b"\n"
                 if keys[i][:2] != here:
                     here, at = keys[i][:2], keys[i][2]
-                data = b"\n".join(values[i:j]) + b"\n"
-                if at == len(MARK) and here[1] == 0 and keys[i][2] == at:
-                    data, at = MARK + data, 0
-                rows += cut(keys[i][0], at, data)
+                    if at == len(MARK) and here[1] == 0:
+                        data, at = MARK + data, 0
+                rows += cut(here[0], at, data)
                 at += len(data)
                 i = j
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["block", "at", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["task", "block", "at", "piece"])
 
     def hashed(batches):
         import hashlib
 
         import pyarrow as pa
 
-        known: dict[int, object] = {}
+        known: dict[int, list] = {}
         for b in batches:
-            for k, piece in zip(b.column("block").to_pylist(), b.column("piece").to_pylist(), strict=True):
-                known.setdefault(k, hashlib.sha256()).update(piece)
+            for k, piece in zip(b.column("block").to_pylist(), b.column("piece"), strict=True):
+                x = known.setdefault(k, [hashlib.sha256(), 0])
+                x[0].update(piece.as_buffer())
+                x[1] += len(piece.as_buffer())
         if known:
-            yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.int32()), pa.array([h.digest() for h in known.values()], pa.binary())], names=["block", "digest"])
-
-    cuts = lines.join(F.broadcast(starts), ["path", "split"]).select("path", "split", "at", "value").mapInArrow(pieces, "block int, at long, piece binary")
-    each = cuts.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "at").mapInArrow(hashed, "block int, digest binary")
-    of = spark.createDataFrame([(numbers[n] + k, n, files[n]) for n in names for k in range(-(-files[n] // block))], "block int, path string, size long")
-    lists = each.join(of, "block").groupBy("path", "size").agg(F.array_sort(F.collect_list(F.struct("block", "digest"))).alias("x"))  # 32 bytes a block
-    joined = F.unhex(F.array_join(F.transform("x", lambda e: F.hex(e["digest"])), ""))
-    return lists.select("path", "size", F.sha2(joined, 256).alias("digest"))
+            yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.int32()), pa.array([x[1] for x in known.values()], pa.int64()), pa.array([x[0].hexdigest() for x in known.values()])], names=["block", "n", "digest"])
+
+    cuts = lines.join(F.broadcast(starts), ["file", "split"]).select("file", "split", "at", "line").mapInArrow(pieces, "task int, block int, at long, piece binary")
+    each = cuts.repartitionById(tasks[-1] + 1, F.col("task")).sortWithinPartitions("block", "at").mapInArrow(hashed, "block int, n long, digest string")
+    rows = spark.createDataFrame(of, "block int, task int, path string, size long").join(each, "block", "left").groupBy("path", "size")
+    found = rows.agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("block", "digest"))).alias("x"))  # 64 digits a block
+    unlike = F.raise_error(F.concat(F.lit("other bytes were read than the file has: "), F.col("path"))).cast("string")
+    return found.select("path", "size", F.when(F.col("n") == F.col("size"), _of_blocks(F.col("x")["digest"])).otherwise(unlike).alias("digest"))
 
 
 def manifest_faults(spark: SparkSession, path: str, recorded: DataFrame, glob: str = "*") -> DataFrame:

@@ -5,6 +5,7 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sievemark.sources import keyed_log, records
@@ -119,3 +120,34 @@ def test_manifest_of_large_files_is_made_by_blocks(spark, tmp_path):
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
         assert got == want
+
+
+def test_manifest_holds_no_large_file(spark, tmp_path):
+    """Spark may make no value of over 64 MiB here; two files are larger, and tasks of their own take their bytes."""
+    texts = {"a.parquet": bytes(range(256)) * (65 << 12), "b c.parquet": b"PAR1" + b"\n" * 5000 + b"x" * (66 << 20), "sub/small.parquet": b"one"}
+    (tmp_path / "sub").mkdir()
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 64 << 20)
+    try:
+        got = {r["path"]: (r["size"], r["digest"]) for r in keyed_log.file_manifest(spark, str(tmp_path), "*.parquet").collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {n: (len(t), hashlib.sha256(t).hexdigest()) for n, t in texts.items()}
+
+
+def test_manifest_takes_bytes_as_they_are(spark, tmp_path):
+    """Endings of codecs are no reason to decompress; bytes that were not read fail the job."""
+    import gzip
+
+    texts = {"whole.gz": gzip.compress(b"ab\n" * 9000, mtime=0), "blocks.gz": gzip.compress(hashlib.shake_256(b"s").digest(9000), mtime=0), "no.bz2": b"x\n" * 3000, "plain.bin": b"y\n" * 3001}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    whole = lambda t: hashlib.sha256(t).hexdigest()
+    by_blocks = lambda t: whole(b"".join(hashlib.sha256(t[i : i + 4096]).digest() for i in range(0, len(t), 4096)))
+    want = {n: (len(t), whole(t) if len(t) <= 4096 else by_blocks(t)) for n, t in texts.items()}
+    assert {r["path"]: (r["size"], r["digest"]) for r in keyed_log.file_manifest(spark, str(tmp_path), block=4096, whole=10).collect()} == want
+    lines = spark.read.option("lineSep", "\n").text(str(tmp_path / "plain.bin"))
+    r = lines.select("_metadata.file_path").first()
+    with pytest.raises(Exception, match="other bytes were read than the file has"):
+        keyed_log._by_pieces(spark, lines, [Row(path="plain.bin", length=6010, file=r["file_path"])], 4096).collect()
