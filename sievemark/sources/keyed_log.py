@@ -110,7 +110,8 @@ def file_manifest(spark: SparkSession, path: str, glob: str = "*", block: int =
     the folder; Spark's readers pass over empty files, so these are in no manifest. A file of up to whole bytes is one value while it is
     hashed; larger ones pass in pieces. SHA-256 is one chain, so the digest of a file of more than block bytes is the SHA-256 of its
     blocks' SHA-256s (32 bytes each, in order), and tasks share the file. Readers of lines would decompress files with a codec's
-    ending, so these are one value at any size (Spark takes none over 2 GiB)."""
+    ending, so these are one value at any size (Spark takes none over 2 GiB), as are files of up to block bytes that have a line
+    of more than whole bytes."""
     whole = min(whole, block)
     sc = spark.sparkContext
     conf, hadoop = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop
@@ -122,14 +123,22 @@ def file_manifest(spark: SparkSession, path: str, glob: str = "*", block: int =
     found = reader("binaryFile").load(path)
     out = found.where(F.col("length") <= whole).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
     large = found.where(F.col("length") > whole).select("path", "length", F.col("_metadata.file_path").alias("file")).collect()  # their contents are not read
-    coded = [r for r in large if codecs.getCodec(hadoop.fs.Path(r["path"])) is not None]
-    if coded:
-        values = spark.read.format("binaryFile").load([_escaped(r["path"]) for r in coded])
+    single = [r for r in large if codecs.getCodec(hadoop.fs.Path(r["path"])) is not None]
+    named = {r["file"] for r in large} - {r["file"] for r in single}
+    if named:
+        lines = reader("text").option("lineSep", "\n").load(path).where(F.col("_metadata.file_size") > whole)
+        # this reader passes over lines of more than whole bytes and holds no more of them
+        passed = reader("text").option("lineSep", "\n").option("mapreduce.input.linerecordreader.line.maxlength", whole).load(path)
+        read = passed.where((F.col("_metadata.file_size") > whole) & (F.col("_metadata.file_size") <= block)).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.sum(F.octet_length("value") + 1).alias("n"))
+        n = {r["file"]: r["n"] for r in read.collect()}
+        single += [r for r in large if r["file"] in named and r["length"] <= block and n.get(r["file"], 0) + len(MARK) < r["length"]]
+    if single:
+        values = spark.read.format("binaryFile").load([_escaped(r["path"]) for r in single])
         parts = F.transform(F.sequence(F.lit(0), ((F.col("length") - 1) / block).cast("int")), lambda k: F.sha2(F.substr("content", k * block + 1, F.lit(block)), 256))
         out = out.union(values.select("path", F.col("length").alias("size"), _of_blocks(parts).alias("digest")))
-    if len(large) > len(coded):
-        lines = reader("text").option("lineSep", "\n").load(path).where((F.col("_metadata.file_size") > whole) & ~F.col("_metadata.file_path").isin([r["file"] for r in coded]))
-        out = out.union(_by_pieces(spark, lines, sorted(set(large) - set(coded)), block))
+    if len(large) > len(single):
+        lines = lines.where(~F.col("_metadata.file_path").isin([r["file"] for r in single]))
+        out = out.union(_by_pieces(spark, lines, sorted(set(large) - set(single)), block))
     folder = hadoop.fs.Path(path)
     root = folder.getFileSystem(conf).makeQualified(folder).toString()
     return out.withColumn("path", F.substring("path", len(root) + 2, 1 << 20))

@@ -124,7 +124,7 @@ def test_manifest_of_large_files_is_made_by_blocks(spark, tmp_path):
 
 def test_manifest_holds_no_large_file(spark, tmp_path):
     """Spark may make no value of over 64 MiB here; two files are larger, and tasks of their own take their bytes."""
-    texts = {"a.parquet": bytes(range(256)) * (65 << 12), "b c.parquet": b"PAR1" + b"\n" * 5000 + b"x" * (66 << 20), "sub/small.parquet": b"one"}
+    texts = {"a.parquet": bytes(range(256)) * (65 << 12), "b c.parquet": b"PAR1" + b"\n" * 5000 + (b"x" * (1 << 20) + b"\n") * 66 + b"y", "sub/small.parquet": b"one"}
     (tmp_path / "sub").mkdir()
     for name, text in texts.items():
         (tmp_path / name).write_bytes(text)
@@ -137,10 +137,10 @@ def test_manifest_holds_no_large_file(spark, tmp_path):
 
 
 def test_manifest_takes_bytes_as_they_are(spark, tmp_path):
-    """Endings of codecs are no reason to decompress; bytes that were not read fail the job."""
+    """Endings of codecs are no reason to decompress; a line of any length and a mark are bytes like others; bytes that were not read fail the job."""
     import gzip
 
-    texts = {"whole.gz": gzip.compress(b"ab\n" * 9000, mtime=0), "blocks.gz": gzip.compress(hashlib.shake_256(b"s").digest(9000), mtime=0), "no.bz2": b"x\n" * 3000, "plain.bin": b"y\n" * 3001}
+    texts = {"whole.gz": gzip.compress(b"ab\n" * 9000, mtime=0), "blocks.gz": gzip.compress(hashlib.shake_256(b"s").digest(9000), mtime=0), "no.bz2": b"x\n" * 3000, "plain.bin": b"y\n" * 3001, "long.bin": b"a\n" + bytes(4000), "mark.bin": b"\xef\xbb\xbf" + b"ab\n" * 900}
     for name, text in texts.items():
         (tmp_path / name).write_bytes(text)
     whole = lambda t: hashlib.sha256(t).hexdigest()
